@@ -100,3 +100,147 @@ def q_top_values(spark, sf):
 def q_profile_many(spark, sf):
     return _rendered(P.profile_many({"part": load(spark, sf, "part"),
                                      "supplier": load(spark, sf, "supplier")}))
+
+
+# ---------------------------------------------------------------- D10-D13 anomalies
+from vigil.operators import anomalies as A  # noqa: E402
+
+
+@register("dq_metric_baseline", """
+SELECT count(*) AS total_points, avg(value) AS mean, stddev_samp(value) AS stddev
+FROM events WHERE value IS NOT NULL""")
+def q_metric_baseline(spark, sf):
+    return A.metric_baseline(load(spark, sf, "events"), "value")
+
+
+@register("dq_anomalies", """
+WITH s AS (SELECT avg(value) AS mu, stddev_samp(value) AS sd, count(*) AS n FROM events WHERE value IS NOT NULL),
+z AS (SELECT ts, value, (value - mu) / NULLIF(sd, 0) AS z, n FROM events, s WHERE value IS NOT NULL)
+SELECT ts AS "timestamp", value, round(z, 3) AS z_score,
+       CASE WHEN abs(z) > 4.5 THEN 'high' ELSE 'medium' END AS severity, n AS total_points
+FROM z WHERE abs(z) > 3.0""")
+def q_anomalies(spark, sf):
+    return A.detect_anomalies(load(spark, sf, "events"), "ts", "value", threshold=3.0)
+
+
+@register("dq_anomaly_summary", """
+WITH s AS (SELECT avg(value) AS mu, stddev_samp(value) AS sd FROM events WHERE value IS NOT NULL),
+z AS (SELECT abs((value - mu) / NULLIF(sd, 0)) AS z FROM events, s WHERE value IS NOT NULL)
+SELECT count(*) AS total_points, count(*) FILTER (WHERE z > 3.0) AS anomalies,
+       count(*) FILTER (WHERE z > 4.5) AS high, count(*) FILTER (WHERE z > 3.0 AND z <= 4.5) AS medium,
+       'zscore' AS method, 3.0::DOUBLE AS threshold
+FROM z""")
+def q_anomaly_summary(spark, sf):
+    return A.anomaly_summary(load(spark, sf, "events"), "ts", "value", threshold=3.0)
+
+
+@register("dq_anomalies_by_series", """
+WITH s AS (SELECT event_type, avg(value) AS mu, stddev_samp(value) AS sd, count(*) AS n
+           FROM events WHERE value IS NOT NULL GROUP BY event_type),
+z AS (SELECT e.event_type, e.ts, e.value, (e.value - s.mu) / NULLIF(s.sd, 0) AS z, s.n
+      FROM events e JOIN s ON e.event_type = s.event_type WHERE e.value IS NOT NULL)
+SELECT event_type, ts AS "timestamp", value, round(z, 3) AS z_score,
+       CASE WHEN abs(z) > 4.5 THEN 'high' ELSE 'medium' END AS severity, n AS total_points
+FROM z WHERE abs(z) > 3.0""")
+def q_anomalies_by_series(spark, sf):
+    return A.detect_anomalies_by_series(load(spark, sf, "events"), "ts", "value", ["event_type"],
+                                        threshold=3.0)
+
+
+# ---------------------------------------------------------------- D14-D20 rules
+from vigil.operators import rules as RU  # noqa: E402
+
+SEGMENTS_OK = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
+CUSTOM_SQL = "SELECT * FROM {{table}} WHERE c_acctbal < 0 AND c_version = 2"
+CUSTOMER_RULES = [
+    RU.rule("not_null", "c_mktsegment"),
+    RU.rule("not_null", "c_name"),
+    RU.rule("unique", "c_custkey"),
+    RU.rule("min", "c_acctbal", value=0),
+    RU.rule("max", "c_acctbal", value=9000),
+    RU.rule("accepted_values", "c_mktsegment", values=SEGMENTS_OK),
+    RU.rule("custom_sql", sql=CUSTOM_SQL),
+]
+_SEG_SQL = ", ".join(f"'{s}'" for s in SEGMENTS_OK)
+
+
+def _row_rule_sql(i, rtype, col, cond, source="dirty_customer"):
+    return (f"SELECT {i} AS rule_index, '{rtype}' AS rule_type, '{col}' AS \"column\","
+            f" count(*) FILTER (WHERE {cond}) = 0 AS passed, count(*) FILTER (WHERE {cond}) AS failures,"
+            f" CAST(NULL AS VARCHAR) AS error FROM {source}")
+
+
+_RULE_SQL = [
+    _row_rule_sql(0, "not_null", "c_mktsegment", "c_mktsegment IS NULL"),
+    _row_rule_sql(1, "not_null", "c_name", "c_name IS NULL"),
+    ("SELECT 2 AS rule_index, 'unique' AS rule_type, 'c_custkey' AS \"column\","
+     " coalesce(sum(cnt - 1), 0) = 0 AS passed, CAST(coalesce(sum(cnt - 1), 0) AS BIGINT) AS failures,"
+     " CAST(NULL AS VARCHAR) AS error FROM (SELECT c_custkey, count(*) AS cnt FROM dirty_customer"
+     " WHERE c_custkey IS NOT NULL GROUP BY c_custkey HAVING count(*) > 1)"),
+    _row_rule_sql(3, "min", "c_acctbal", "c_acctbal IS NOT NULL AND c_acctbal < 0"),
+    _row_rule_sql(4, "max", "c_acctbal", "c_acctbal IS NOT NULL AND c_acctbal > 9000"),
+    _row_rule_sql(5, "accepted_values", "c_mktsegment",
+                  f"c_mktsegment IS NOT NULL AND c_mktsegment NOT IN ({_SEG_SQL})"),
+    ("SELECT 6 AS rule_index, 'custom_sql' AS rule_type, '' AS \"column\", count(*) = 0 AS passed,"
+     " count(*) AS failures, CAST(NULL AS VARCHAR) AS error FROM dirty_customer"
+     " WHERE c_acctbal < 0 AND c_version = 2"),
+]
+_DIRTY = D.oracle_with("dirty_customer")
+
+
+def _rules_query(indices):
+    def q(spark, sf):
+        return RU.validate_rules(D.view(spark, sf, "dirty_customer"), [CUSTOMER_RULES[i] for i in indices])
+    return q
+
+
+def _rules_sql(indices):
+    # rule_index is the position inside the validated list
+    parts = []
+    for pos, i in enumerate(indices):
+        parts.append(f"SELECT {pos} AS rule_index, rule_type, \"column\", passed, failures, error FROM ({_RULE_SQL[i]})")
+    return _DIRTY + "\nUNION ALL\n".join(parts)
+
+
+for _key, _idx in [("dq_rule_not_null", [0, 1]), ("dq_rule_range", [3, 4]),
+                   ("dq_rule_accepted", [5]), ("dq_rule_custom_sql", [6]), ("dq_rules_all", list(range(7)))]:
+    register(_key, _rules_sql(_idx))(_rules_query(_idx))
+
+
+@register("dq_rule_unique", """
+SELECT 0 AS rule_index, 'unique' AS rule_type, 'l_orderkey,l_linenumber' AS "column",
+       coalesce(sum(cnt - 1), 0) = 0 AS passed, CAST(coalesce(sum(cnt - 1), 0) AS BIGINT) AS failures,
+       CAST(NULL AS VARCHAR) AS error
+FROM (SELECT l_orderkey, l_linenumber, count(*) AS cnt FROM lineitem
+      WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+      GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""")
+def q_rule_unique(spark, sf):
+    return RU.validate_rules(load(spark, sf, "lineitem"), [RU.rule("unique", ["l_orderkey", "l_linenumber"])])
+
+
+@register("dq_scorecard", _DIRTY + f"""
+, r AS ({_rules_sql(list(range(7))).replace(_DIRTY, '')})
+SELECT count(*) AS total_rules, count(*) FILTER (WHERE passed) AS passed,
+       count(*) - count(*) FILTER (WHERE passed) AS failed,
+       CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE passed) / count(*), 2) ELSE 1.0 END AS pass_rate
+FROM r""")
+def q_scorecard(spark, sf):
+    return RU.scorecard(RU.validate_rules(D.view(spark, sf, "dirty_customer"), CUSTOMER_RULES))
+
+
+@register("dq_failed_rows", _DIRTY + f"""
+SELECT rule_index, rule_type, value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT rule_index, rule_type, value, row_number() OVER (PARTITION BY rule_index ORDER BY value) AS rank FROM (
+    SELECT 0 AS rule_index, 'not_null' AS rule_type, coalesce(CAST(c_mktsegment AS VARCHAR), 'NULL') AS value
+      FROM dirty_customer WHERE c_mktsegment IS NULL
+    UNION ALL SELECT 1, 'not_null', coalesce(CAST(c_name AS VARCHAR), 'NULL') FROM dirty_customer WHERE c_name IS NULL
+    UNION ALL SELECT 2, 'unique', CAST(c_custkey AS VARCHAR) FROM dirty_customer
+      WHERE c_custkey IS NOT NULL GROUP BY c_custkey HAVING count(*) > 1
+    UNION ALL SELECT 3, 'min', CAST(c_acctbal AS VARCHAR) FROM dirty_customer WHERE c_acctbal < 0
+    UNION ALL SELECT 4, 'max', CAST(c_acctbal AS VARCHAR) FROM dirty_customer WHERE c_acctbal > 9000
+    UNION ALL SELECT 5, 'accepted_values', CAST(c_mktsegment AS VARCHAR) FROM dirty_customer
+      WHERE c_mktsegment IS NOT NULL AND c_mktsegment NOT IN ({_SEG_SQL})
+  ) u
+) x WHERE rank <= 5""")
+def q_failed_rows(spark, sf):
+    return RU.failed_rows(D.view(spark, sf, "dirty_customer"), CUSTOMER_RULES)
