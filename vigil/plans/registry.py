@@ -244,3 +244,141 @@ SELECT rule_index, rule_type, value, CAST(rank AS INTEGER) AS rank FROM (
 ) x WHERE rank <= 5""")
 def q_failed_rows(spark, sf):
     return RU.failed_rows(D.view(spark, sf, "dirty_customer"), CUSTOMER_RULES)
+
+
+# ---------------------------------------------------------------- O1-O11 runs, alerts, cost
+from vigil.operators import cost as CO  # noqa: E402
+from vigil.operators import runs as RN  # noqa: E402
+
+AS_OF = "2024-01-31 00:00:00"
+HOURS = 168
+_RUNS = D.oracle_with("runs")
+_ALERTS = D.oracle_with("alerts")
+_RUNS_ALERTS = D.oracle_with("runs", "alerts")
+_LAST20 = """r AS (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY ts DESC, run_id DESC) AS recency
+           FROM runs)"""
+_STATS_SQL = """SELECT pipeline, count(*) AS runs_counted,
+       round(count(*) FILTER (WHERE status = 'success') / count(*), 2) AS success_rate,
+       round(avg(duration_min), 1) AS avg_duration_min,
+       max(CASE WHEN recency = 1 THEN status END) AS last_status, max(ts) AS last_run
+FROM r WHERE recency <= 20 GROUP BY pipeline"""
+
+
+@register("run_stats", _RUNS + ", " + _LAST20 + "\n" + _STATS_SQL)
+def q_run_stats(spark, sf):
+    return RN.run_stats(D.view(spark, sf, "runs"))
+
+
+@register("pipeline_health", _RUNS_ALERTS + ", " + _LAST20 + f""",
+s AS ({_STATS_SQL}),
+r10 AS (SELECT pipeline, count(*) AS recent_runs FROM r WHERE recency <= 10 GROUP BY pipeline),
+a AS (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY ts DESC, alert_id DESC) AS rr FROM alerts),
+a10 AS (SELECT pipeline, count(*) FILTER (WHERE NOT acknowledged) AS active_alerts FROM a WHERE rr <= 10 GROUP BY pipeline)
+SELECT s.pipeline,
+       CASE WHEN s.success_rate >= 0.95 THEN 'healthy' WHEN s.success_rate >= 0.80 THEN 'degraded' ELSE 'unhealthy' END AS health,
+       s.last_status AS status, s.success_rate, s.avg_duration_min, s.last_run,
+       coalesce(r10.recent_runs, 0) AS recent_runs, coalesce(a10.active_alerts, 0) AS active_alerts
+FROM s LEFT JOIN r10 ON s.pipeline = r10.pipeline LEFT JOIN a10 ON s.pipeline = a10.pipeline""")
+def q_pipeline_health(spark, sf):
+    return RN.pipeline_health(D.view(spark, sf, "runs"), D.view(spark, sf, "alerts"))
+
+
+@register("recent_runs", _RUNS + ", " + _LAST20 + """
+SELECT pipeline, CAST(count(*) OVER (PARTITION BY pipeline) - recency + 1 AS INTEGER) AS pos,
+       run_id, status, duration_min, ts
+FROM r WHERE recency <= 5""")
+def q_recent_runs(spark, sf):
+    return RN.recent_runs(D.view(spark, sf, "runs"))
+
+
+_ALERT_WIN = (f"ts > TIMESTAMP '{AS_OF}' - INTERVAL {HOURS} HOUR AND ts <= TIMESTAMP '{AS_OF}'")
+
+
+@register("alert_summary", _ALERTS + f"""
+SELECT {HOURS} AS time_window_hours, count(*) AS total_alerts,
+       count(*) FILTER (WHERE severity = 'critical') AS critical,
+       count(*) FILTER (WHERE severity = 'warning') AS warning,
+       count(*) FILTER (WHERE severity = 'info') AS info,
+       count(DISTINCT pipeline) AS pipelines_affected,
+       count(*) FILTER (WHERE NOT acknowledged) AS unacknowledged_count
+FROM alerts WHERE {_ALERT_WIN}""")
+def q_alert_summary(spark, sf):
+    return RN.alert_summary(D.view(spark, sf, "alerts"), AS_OF, HOURS)
+
+
+@register("top_alerts", _ALERTS + f"""
+SELECT alert_id, pipeline, severity, substring(message, 1, 60) AS message, ts
+FROM alerts WHERE {_ALERT_WIN}
+ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, ts, alert_id LIMIT 5""")
+def q_top_alerts(spark, sf):
+    return RN.top_alerts(D.view(spark, sf, "alerts"), AS_OF, HOURS)
+
+
+@register("alert_windows", _ALERTS + """
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
+       time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, severity, count(*) AS n
+FROM alerts GROUP BY 1, 2, 3""")
+def q_alert_windows(spark, sf):
+    return RN.alert_windows(D.view(spark, sf, "alerts"), "1 day")
+
+
+_SUGGEST = [
+    ("performance", "high", "Consider incremental processing instead of full refresh", "avg_duration > 30"),
+    ("reliability", "high", "Add retry logic with exponential backoff for transient failures", "success_rate < 0.9"),
+    ("efficiency", "medium", "Review partitioning strategy and add predicate pushdown", "avg_rows > 10000000"),
+    ("monitoring", "low", "Add row count logging to monitor data volume trends", "avg_rows = 0"),
+    ("consistency", "medium",
+     "Investigate root cause of runtime variance: data skew, resource contention, or queuing",
+     "n >= 5 AND max_d > min_d * 3"),
+]
+
+
+@register("suggest_optimizations", _RUNS + ", " + _LAST20 + """,
+s AS (SELECT pipeline, count(*) AS n, round(avg(duration_min), 1) AS avg_duration,
+             round(count(*) FILTER (WHERE status = 'success') / count(*), 2) AS success_rate,
+             avg(coalesce(rows_processed, 0)) AS avg_rows, min(duration_min) AS min_d, max(duration_min) AS max_d
+      FROM r WHERE recency <= 20 GROUP BY pipeline),
+f AS (""" + "\nUNION ALL\n".join(
+    f"SELECT pipeline, '{c}' AS category, '{sv}' AS severity, '{sg}' AS suggestion FROM s WHERE {cond}"
+    for c, sv, sg, cond in _SUGGEST) + """)
+SELECT * FROM f
+UNION ALL
+SELECT pipeline, 'info', 'low', 'Continue monitoring; pipeline appears healthy' FROM s
+WHERE pipeline NOT IN (SELECT pipeline FROM f)""")
+def q_suggest(spark, sf):
+    return RN.suggest_optimizations(D.view(spark, sf, "runs")).drop("finding")
+
+
+_COSTS = D.oracle_with("costs")
+
+
+@register("cost_by_provider", _COSTS + """
+SELECT provider, compute, storage, total, CAST(round(total / (SELECT sum(total) FROM costs), 4) AS DOUBLE) AS share
+FROM costs""")
+def q_cost_by_provider(spark, sf):
+    return CO.cost_by_provider(D.view(spark, sf, "costs"))
+
+
+@register("cost_summary", _COSTS + """
+SELECT sum(total) AS monthly_total,
+       (SELECT provider FROM costs ORDER BY total DESC, provider DESC LIMIT 1) AS top_provider,
+       count(*) AS providers
+FROM costs""")
+def q_cost_summary(spark, sf):
+    return CO.cost_summary(D.view(spark, sf, "costs"))
+
+
+@register("cost_recommendations", _COSTS + """,
+t AS (SELECT provider, compute, storage FROM costs ORDER BY total DESC, provider DESC LIMIT 1),
+a AS (SELECT sum(compute) AS c, sum(storage) AS s FROM costs)
+SELECT 'compute_optimization' AS area, CAST(round(t.compute * 0.15, 0) AS BIGINT) AS potential_savings,
+       t.provider || ': Consider auto-scaling or spot instances for non-production workloads' AS suggestion
+FROM t WHERE t.compute > t.storage * 3
+UNION ALL
+SELECT 'warehouse_sizing', CAST(round(c * 0.10, 0) AS BIGINT),
+       'Review warehouse sizing: consider multi-cluster warehouses for concurrent workloads' FROM a WHERE c > 10000
+UNION ALL
+SELECT 'storage_optimization', CAST(round(s * 0.20, 0) AS BIGINT),
+       'Implement data lifecycle policy: auto-archive data not accessed in 90+ days' FROM a WHERE s > 2000""")
+def q_cost_recommendations(spark, sf):
+    return CO.cost_recommendations(D.view(spark, sf, "costs"))

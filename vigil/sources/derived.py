@@ -45,9 +45,9 @@ FROM {events} WHERE value > 100
 # Cost records per provider (brand): returned lines are "storage", the rest "compute".
 VIEWS["costs"] = """
 SELECT p.p_brand AS provider,
-       SUM(CASE WHEN l.l_returnflag <> 'R' THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS compute,
-       SUM(CASE WHEN l.l_returnflag = 'R' THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS storage,
-       SUM(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS total
+       CAST(SUM(CASE WHEN l.l_returnflag <> 'R' THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DECIMAL(38,2)) AS compute,
+       CAST(SUM(CASE WHEN l.l_returnflag = 'R' THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DECIMAL(38,2)) AS storage,
+       CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey GROUP BY p.p_brand
 """
 
