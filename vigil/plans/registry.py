@@ -382,3 +382,359 @@ SELECT 'storage_optimization', CAST(round(s * 0.20, 0) AS BIGINT),
        'Implement data lifecycle policy: auto-archive data not accessed in 90+ days' FROM a WHERE s > 2000""")
 def q_cost_recommendations(spark, sf):
     return CO.cost_recommendations(D.view(spark, sf, "costs"))
+
+
+# ---------------------------------------------------------------- S1-S8 schema drift / migration
+from vigil.operators import catalog as CA  # noqa: E402
+from vigil.operators import lineage as LI  # noqa: E402
+from vigil.operators import lint as LT  # noqa: E402
+from vigil.operators import schema as SC  # noqa: E402
+
+_COLS = D.oracle_with("source_columns", "target_columns")
+_DRIFT_SQL = """SELECT coalesce(s.table_name, t.table_name) AS table_name, coalesce(s.name, t.name) AS name,
+  CASE WHEN s.name IS NULL THEN 'added' WHEN t.name IS NULL THEN 'removed' ELSE 'modified' END AS change,
+  CASE WHEN s.name IS NOT NULL AND t.name IS NOT NULL THEN concat_ws('; ',
+     CASE WHEN s.type IS DISTINCT FROM t.type
+          THEN 'type: ' || coalesce(s.type, 'None') || ' -> ' || coalesce(t.type, 'None') END,
+     CASE WHEN coalesce(s.nullable, true) <> coalesce(t.nullable, true)
+          THEN 'nullable: ' || CASE WHEN coalesce(s.nullable, true) THEN 'True' ELSE 'False' END || ' -> '
+               || CASE WHEN coalesce(t.nullable, true) THEN 'True' ELSE 'False' END END)
+  ELSE '' END AS changes
+FROM source_columns s FULL OUTER JOIN target_columns t ON s.table_name = t.table_name AND s.name = t.name
+WHERE s.name IS NULL OR t.name IS NULL OR s.type IS DISTINCT FROM t.type
+   OR coalesce(s.nullable, true) <> coalesce(t.nullable, true)"""
+
+
+def _drift(spark, sf):
+    return SC.detect_drift(D.view(spark, sf, "source_columns"), D.view(spark, sf, "target_columns"))
+
+
+@register("schema_drift", _COLS + _DRIFT_SQL)
+def q_schema_drift(spark, sf):
+    return _drift(spark, sf).withColumn("changes", F.array_join("changes", "; "))
+
+
+@register("schema_drift_modified", _COLS + f"SELECT * FROM ({_DRIFT_SQL}) d WHERE change = 'modified'")
+def q_schema_drift_modified(spark, sf):
+    return q_schema_drift(spark, sf).filter(F.col("change") == "modified")
+
+
+@register("drift_summary", _COLS + f""", d AS ({_DRIFT_SQL}),
+ns AS (SELECT table_name, count(*) AS total_source FROM source_columns GROUP BY table_name),
+nt AS (SELECT table_name, count(*) AS total_target FROM target_columns GROUP BY table_name),
+dd AS (SELECT table_name, count(*) FILTER (WHERE change = 'added') AS added,
+              count(*) FILTER (WHERE change = 'removed') AS removed,
+              count(*) FILTER (WHERE change = 'modified') AS modified FROM d GROUP BY table_name)
+SELECT coalesce(ns.table_name, nt.table_name) AS table_name, coalesce(total_source, 0) AS total_source,
+       coalesce(total_target, 0) AS total_target, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed,
+       coalesce(modified, 0) AS modified,
+       coalesce(added, 0) + coalesce(removed, 0) + coalesce(modified, 0) > 0 AS has_drift
+FROM ns FULL OUTER JOIN nt ON ns.table_name = nt.table_name
+LEFT JOIN dd ON dd.table_name = coalesce(ns.table_name, nt.table_name)""")
+def q_drift_summary(spark, sf):
+    return SC.drift_summary(D.view(spark, sf, "source_columns"), D.view(spark, sf, "target_columns"))
+
+
+_SPLIT = D.PERIOD_SPLIT
+
+
+@register("json_key_drift", D.oracle_with("events_v2") + f""",
+kv AS (SELECT CASE WHEN ts < TIMESTAMP '{_SPLIT}' THEN 'before' ELSE 'after' END AS period, k AS key,
+              json_type(props, '$.' || k) AS jt
+       FROM (SELECT ts, props, unnest(json_keys(props)) AS k FROM events_v2)),
+ty AS (SELECT period, key, array_to_string(list_sort(list_distinct(list(
+          CASE WHEN jt IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' WHEN jt = 'VARCHAR' THEN 'string'
+               WHEN jt = 'BOOLEAN' THEN 'boolean' WHEN jt = 'NULL' THEN 'null' WHEN jt = 'OBJECT' THEN 'object'
+               WHEN jt = 'ARRAY' THEN 'array' ELSE 'other' END))), '|') AS types
+       FROM kv GROUP BY period, key),
+j AS (SELECT coalesce(b.key, a.key) AS key, b.types AS types_before, a.types AS types_after
+      FROM (SELECT * FROM ty WHERE period = 'before') b FULL OUTER JOIN (SELECT * FROM ty WHERE period = 'after') a
+      ON b.key = a.key)
+SELECT key, types_before, types_after,
+       CASE WHEN types_before IS NULL THEN 'added' WHEN types_after IS NULL THEN 'removed' ELSE 'modified' END AS change
+FROM j WHERE types_before IS NULL OR types_after IS NULL OR types_before <> types_after""")
+def q_json_key_drift(spark, sf):
+    ev = D.view(spark, sf, "events_v2")
+    period = F.when(F.col("ts") < F.lit(_SPLIT).cast("timestamp_ntz"), "before").otherwise("after")
+    return SC.json_key_drift(ev, "props", period)
+
+
+def _qid(x):
+    return f"'`' || replace({x}, '`', '``') || '`'"
+
+
+@register("migration_plan", _COLS + f""",
+src_t AS (SELECT DISTINCT table_name FROM source_columns),
+j AS (SELECT coalesce(s.table_name, t.table_name) AS table_name, coalesce(s.name, t.name) AS name,
+             s.name IS NOT NULL AS has_s, t.name IS NOT NULL AS has_t, s.type AS s_type, t.type AS t_type,
+             coalesce(s.nullable, true) AS s_null, coalesce(t.nullable, true) AS t_null
+      FROM source_columns s FULL OUTER JOIN target_columns t ON s.table_name = t.table_name AND s.name = t.name),
+st AS (
+  SELECT table_name, name, 1 AS phase, 0 AS sub, 'drop' AS kind,
+         'ALTER TABLE ' || {_qid('table_name')} || ' DROP COLUMN IF EXISTS ' || {_qid('name')} || ';' AS statement
+  FROM j WHERE NOT has_t AND table_name IN (SELECT table_name FROM src_t)
+  UNION ALL
+  SELECT table_name, name, 2, 0, 'add', 'ALTER TABLE ' || {_qid('table_name')} || ' ADD COLUMN ' || {_qid('name')}
+         || ' ' || t_type || CASE WHEN t_null THEN '' ELSE ' NOT NULL' END || ';'
+  FROM j WHERE NOT has_s AND table_name IN (SELECT table_name FROM src_t)
+  UNION ALL
+  SELECT table_name, name, 3, 0, 'alter_type', 'ALTER TABLE ' || {_qid('table_name')} || ' ALTER COLUMN '
+         || {_qid('name')} || ' TYPE ' || t_type || ';'
+  FROM j WHERE has_s AND has_t AND s_type IS DISTINCT FROM t_type
+  UNION ALL
+  SELECT table_name, name, 3, 1, CASE WHEN t_null THEN 'drop_not_null' ELSE 'set_not_null' END,
+         'ALTER TABLE ' || {_qid('table_name')} || ' ALTER COLUMN ' || {_qid('name')}
+         || CASE WHEN t_null THEN ' DROP NOT NULL;' ELSE ' SET NOT NULL;' END
+  FROM j WHERE has_s AND has_t AND s_null <> t_null
+  UNION ALL
+  SELECT table_name, '', 0, 0, 'create', 'CREATE TABLE ' || {_qid('table_name')} || ' ('
+         || string_agg({_qid('name')} || ' ' || type || CASE WHEN coalesce(nullable, true) THEN '' ELSE ' NOT NULL' END,
+                       ', ' ORDER BY name) || ');'
+  FROM target_columns WHERE table_name NOT IN (SELECT table_name FROM src_t) GROUP BY table_name)
+SELECT table_name, CAST(row_number() OVER (PARTITION BY table_name ORDER BY phase, name, sub) AS INTEGER) AS seq,
+       kind, statement FROM st""")
+def q_migration_plan(spark, sf):
+    return SC.migration_plan(D.view(spark, sf, "source_columns"), D.view(spark, sf, "target_columns"))
+
+
+CONFORM_TARGET = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nation_text", "int"),
+                  ("c_acctbal", "decimal(12,2)"), ("c_mktsegment", "string", False), ("c_comment", "string")]
+
+
+@register("migration_conform", _DIRTY + """
+SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, TRY_CAST(c_nation_text AS INTEGER) AS c_nation_text,
+       TRY_CAST(c_acctbal AS DECIMAL(12,2)) AS c_acctbal, c_mktsegment, CAST(NULL AS VARCHAR) AS c_comment
+FROM dirty_customer""")
+def q_migration_conform(spark, sf):
+    return SC.conform(D.view(spark, sf, "dirty_customer"), CONFORM_TARGET)
+
+
+@register("migration_safety", _DIRTY + """
+SELECT 'c_nation_text' AS "column", 'cast' AS change,
+       count(*) FILTER (WHERE c_nation_text IS NOT NULL AND TRY_CAST(c_nation_text AS INTEGER) IS NULL) AS rows_affected
+FROM dirty_customer
+UNION ALL SELECT 'c_acctbal', 'cast', count(*) FILTER (WHERE c_acctbal IS NOT NULL
+       AND TRY_CAST(c_acctbal AS DECIMAL(12,2)) IS NULL) FROM dirty_customer
+UNION ALL SELECT 'c_mktsegment', 'set_not_null', count(*) FILTER (WHERE c_mktsegment IS NULL) FROM dirty_customer
+UNION ALL SELECT 'c_nationkey', 'drop', count(c_nationkey) FROM dirty_customer
+UNION ALL SELECT 'c_version', 'drop', count(c_version) FROM dirty_customer""")
+def q_migration_safety(spark, sf):
+    return SC.migration_safety(D.view(spark, sf, "dirty_customer"), CONFORM_TARGET)
+
+
+# ---------------------------------------------------------------- S9-S16 lint
+_TGT = D.oracle_with("target_columns")
+_LINT_SQL = """SELECT table_name, name AS "column", 'warning' AS severity, 'naming_case' AS rule,
+       'Column ''' || name || ''' should use snake_case' AS message FROM target_columns WHERE name <> lower(name)
+UNION ALL SELECT table_name, name, 'error', 'no_spaces', 'Column ''' || name || ''' contains spaces'
+  FROM target_columns WHERE contains(name, ' ')
+UNION ALL SELECT table_name, name, 'info', 'missing_description', 'Column ''' || name || ''' is missing a description'
+  FROM target_columns WHERE coalesce(description, '') = ''
+UNION ALL SELECT table_name, name, 'warning', 'nullable_column', 'Column ''' || name || ''' is nullable but should be NOT NULL'
+  FROM target_columns WHERE coalesce(nullable, true)
+UNION ALL SELECT table_name, name, 'warning', 'id_type', 'Column ''' || name || ''' looks like an ID but is ' || coalesce(type, '')
+  FROM target_columns WHERE upper(coalesce(type, '')) IN ('TEXT', 'VARCHAR', 'STRING') AND contains(lower(name), 'id')"""
+
+
+def _lint(spark, sf):
+    return LT.lint_schema(D.view(spark, sf, "target_columns"), naming_case="snake_case",
+                          require_descriptions=True, require_not_null=True)
+
+
+@register("lint_schema", _TGT + _LINT_SQL)
+def q_lint_schema(spark, sf):
+    return _lint(spark, sf)
+
+
+@register("lint_summary", _TGT + f""", i AS ({_LINT_SQL}),
+c AS (SELECT table_name, count(*) AS columns_checked FROM target_columns GROUP BY table_name),
+n AS (SELECT table_name, count(*) AS issue_count FROM i GROUP BY table_name)
+SELECT c.table_name, c.columns_checked, coalesce(n.issue_count, 0) AS issue_count,
+       coalesce(n.issue_count, 0) > 0 AS has_issues
+FROM c LEFT JOIN n ON c.table_name = n.table_name""")
+def q_lint_summary(spark, sf):
+    return LT.lint_summary(D.view(spark, sf, "target_columns"), _lint(spark, sf))
+
+
+# Spark's schema of the view marks c_version (a literal) NOT NULL; every other column is nullable.
+_NULLABLE_DIRTY = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "c_nation_text"]
+
+
+@register("lint_with_data", _DIRTY + "\nUNION ALL\n".join(
+    f"SELECT CAST(NULL AS VARCHAR) AS table_name, '{c}' AS \"column\", 'info' AS severity, 'never_null' AS rule,"
+    f" 'Column ''{c}'' is nullable but holds no NULL' AS message FROM dirty_customer"
+    f" HAVING count(*) > 0 AND count(*) FILTER (WHERE \"{c}\" IS NULL) = 0" for c in _NULLABLE_DIRTY))
+def q_lint_with_data(spark, sf):
+    return LT.lint_with_data(D.view(spark, sf, "dirty_customer"))
+
+
+# ---------------------------------------------------------------- S17-S19 lineage
+_LIN = D.oracle_with("lineage_edges")
+
+
+@register("lineage_upstream", _LIN + """
+SELECT DISTINCT target_table AS "table", target_column AS "column", source_table || '.' || source_column AS source,
+       coalesce(transform, 'direct') AS transform FROM lineage_edges""")
+def q_lineage_upstream(spark, sf):
+    return LI.lineage_upstream(D.view(spark, sf, "lineage_edges"))
+
+
+@register("lineage_downstream", _LIN + """
+SELECT DISTINCT source_table AS "table", source_column AS "column", target_table || '.' || target_column AS target,
+       coalesce(transform, 'direct') AS transform FROM lineage_edges""")
+def q_lineage_downstream(spark, sf):
+    return LI.lineage_downstream(D.view(spark, sf, "lineage_edges"))
+
+
+@register("lineage_closure", _LIN.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+c(st, sc, tt, tc, hops) AS (
+  SELECT DISTINCT source_table, source_column, target_table, target_column, 1 FROM lineage_edges
+  UNION
+  SELECT c.st, c.sc, e.target_table, e.target_column, c.hops + 1
+  FROM c JOIN lineage_edges e ON c.tt = e.source_table AND c.tc = e.source_column)
+SELECT st AS source_table, sc AS source_column, tt AS target_table, tc AS target_column, min(hops) AS hops
+FROM c GROUP BY st, sc, tt, tc""")
+def q_lineage_closure(spark, sf):
+    return LI.lineage_closure(D.view(spark, sf, "lineage_edges"))
+
+
+# ---------------------------------------------------------------- C1-C7 catalog
+_CAT = D.oracle_with("catalog_tables", "target_columns", "usage_edges")
+
+
+@register("catalog_sync", _TGT + """
+SELECT table_name, 'Imported from public.' || table_name AS description, count(*) AS column_count,
+       count(*) FILTER (WHERE coalesce(nullable, true)) AS nullable_columns
+FROM target_columns GROUP BY table_name""")
+def q_catalog_sync(spark, sf):
+    return CA.catalog_sync(D.view(spark, sf, "target_columns"))
+
+
+@register("catalog_sync_totals", _TGT + """
+SELECT count(*) AS tables_added, CAST(sum(n) AS BIGINT) AS columns_added
+FROM (SELECT table_name, count(*) AS n FROM target_columns GROUP BY table_name)""")
+def q_catalog_sync_totals(spark, sf):
+    return CA.sync_totals(CA.catalog_sync(D.view(spark, sf, "target_columns")))
+
+
+SEARCH = "purchase"
+
+
+@register("catalog_search", _CAT + f"""
+SELECT 'table' AS kind, table_name, CAST(NULL AS VARCHAR) AS column_name, table_name AS name, description
+FROM catalog_tables WHERE contains(lower(table_name), '{SEARCH}') OR contains(lower(coalesce(description, '')), '{SEARCH}')
+UNION ALL
+SELECT 'column', table_name, name, name, description FROM target_columns
+WHERE contains(lower(name), '{SEARCH}') OR contains(lower(coalesce(description, '')), '{SEARCH}')
+UNION ALL
+SELECT 'tag', NULL, NULL, tag, CAST(count(DISTINCT table_name) AS VARCHAR) || ' tables'
+FROM (SELECT table_name, unnest(tags) AS tag FROM catalog_tables) WHERE contains(lower(tag), '{SEARCH}') GROUP BY tag""")
+def q_catalog_search(spark, sf):
+    return CA.catalog_search(D.view(spark, sf, "catalog_tables"), D.view(spark, sf, "target_columns"), SEARCH)
+
+
+@register("tag_counts", D.oracle_with("catalog_tables") + """
+SELECT tag, count(DISTINCT table_name) AS table_count
+FROM (SELECT table_name, unnest(tags) AS tag FROM catalog_tables) GROUP BY tag""")
+def q_tag_counts(spark, sf):
+    return CA.tag_counts(D.view(spark, sf, "catalog_tables"))
+
+
+CONTENT_QUERY = "data"
+_CONTENT_SOURCES = [("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("benchmark", "item_id", "text")]
+
+
+def _content(spark, sf):
+    return CA.content_search({n: (load(spark, sf, n), i, t) for n, i, t in _CONTENT_SOURCES}, CONTENT_QUERY)
+
+
+_CONTENT_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS source, CAST({i} AS BIGINT) AS row_id,"
+    f" CAST((length(lower({t})) - length(replace(lower({t}), '{CONTENT_QUERY}', ''))) / {len(CONTENT_QUERY)} AS BIGINT)"
+    f" AS occurrences FROM {n} WHERE contains(lower({t}), '{CONTENT_QUERY}')" for n, i, t in _CONTENT_SOURCES)
+
+
+@register("content_search", _CONTENT_SQL)
+def q_content_search(spark, sf):
+    return _content(spark, sf)
+
+
+@register("content_hits", f"""SELECT source, count(*) AS rows, CAST(sum(occurrences) AS BIGINT) AS occurrences
+FROM ({_CONTENT_SQL}) GROUP BY source""")
+def q_content_hits(spark, sf):
+    return CA.content_hits(_content(spark, sf))
+
+
+@register("catalog_describe", _CAT + """,
+nc AS (SELECT table_name, count(*) AS column_count FROM target_columns GROUP BY table_name),
+u AS (SELECT table_name, count(DISTINCT pipeline) AS downstream_pipelines, count(DISTINCT column_name) AS columns_read
+      FROM usage_edges GROUP BY table_name)
+SELECT t.table_name, t.description, coalesce(array_to_string(t.tags, ','), '') AS tags,
+       coalesce(nc.column_count, 0) AS column_count, coalesce(u.downstream_pipelines, 0) AS downstream_pipelines,
+       coalesce(u.columns_read, 0) AS columns_read
+FROM catalog_tables t LEFT JOIN nc ON t.table_name = nc.table_name LEFT JOIN u ON t.table_name = u.table_name""")
+def q_catalog_describe(spark, sf):
+    out = CA.catalog_describe(D.view(spark, sf, "catalog_tables"), D.view(spark, sf, "target_columns"),
+                              D.view(spark, sf, "usage_edges"))
+    return out.withColumn("tags", F.coalesce(F.array_join("tags", ","), F.lit("")))
+
+
+def _changes(spark, sf):
+    d = _drift(spark, sf)
+    return d.select("table_name", F.col("name").alias("column"),
+                    F.when(F.col("change") == "removed", "drop").when(F.col("change") == "modified", "modify")
+                     .otherwise("add").alias("change_type"))
+
+
+_IMPACT_SQL = f"""d AS ({_DRIFT_SQL}),
+ch AS (SELECT table_name, name AS "column",
+              CASE change WHEN 'removed' THEN 'drop' WHEN 'modified' THEN 'modify' ELSE 'add' END AS change_type FROM d),
+k AS (SELECT u.table_name, u.column_name AS "column", count(DISTINCT u.pipeline) AS n
+      FROM usage_edges u GROUP BY u.table_name, u.column_name),
+im AS (SELECT ch.table_name, ch."column", ch.change_type,
+       CASE WHEN change_type = 'drop' THEN 'high' WHEN change_type IN ('rename', 'modify') THEN 'medium' ELSE 'low' END AS severity,
+       coalesce(k.n, 0) AS affected_pipelines,
+       CASE change_type
+         WHEN 'drop' THEN 'Remove all references to ' || ch."column" || ' before dropping. Affects '
+                          || CAST(coalesce(k.n, 0) AS VARCHAR) || ' pipeline(s).'
+         WHEN 'modify' THEN 'Verify type compatibility for ' || ch."column" || ' across '
+                          || CAST(coalesce(k.n, 0) AS VARCHAR) || ' downstream pipeline(s).'
+         ELSE '' END AS recommendation
+FROM ch LEFT JOIN k ON ch.table_name = k.table_name AND ch."column" = k."column")"""
+_IMPACT_PREFIX = D.oracle_with("source_columns", "target_columns", "usage_edges")
+
+
+@register("impact_analysis", _IMPACT_PREFIX + ", " + _IMPACT_SQL + "\nSELECT * FROM im")
+def q_impact_analysis(spark, sf):
+    return CA.impact_analysis(_changes(spark, sf), D.view(spark, sf, "usage_edges"))
+
+
+@register("impact_summary", _IMPACT_PREFIX + ", " + _IMPACT_SQL + """
+SELECT table_name, count(*) AS total_impacts, count(*) FILTER (WHERE severity = 'high') AS high_severity,
+       count(*) FILTER (WHERE severity = 'medium') AS medium_severity,
+       count(*) FILTER (WHERE severity = 'low') AS low_severity
+FROM im GROUP BY table_name""")
+def q_impact_summary(spark, sf):
+    return CA.impact_summary(q_impact_analysis(spark, sf))
+
+
+@register("tag_apply", D.oracle_with("doc_tags", "tag_changes") + """,
+ch AS (SELECT entity_type, entity_name, action, unnest(tags) AS tag FROM tag_changes),
+per AS (SELECT entity_type, entity_name,
+               list(DISTINCT tag) FILTER (WHERE action = 'add') AS adds,
+               list(DISTINCT tag) FILTER (WHERE action = 'remove') AS removes,
+               list(DISTINCT tag) FILTER (WHERE action = 'set') AS sets,
+               max(CASE WHEN action = 'set' THEN 1 ELSE 0 END) AS has_set
+        FROM ch GROUP BY entity_type, entity_name),
+j AS (SELECT coalesce(s.entity_type, p.entity_type) AS entity_type, coalesce(s.entity_name, p.entity_name) AS entity_name,
+             CASE WHEN p.has_set = 1 THEN p.sets ELSE coalesce(s.tags, []) END AS base,
+             coalesce(p.adds, []) AS adds, coalesce(p.removes, []) AS removes, p.has_set IS NOT NULL AS changed
+      FROM doc_tags s FULL OUTER JOIN per p ON s.entity_type = p.entity_type AND s.entity_name = p.entity_name)
+SELECT entity_type, entity_name,
+       array_to_string(list_sort(list_distinct(list_filter(list_concat(base, adds),
+                                                lambda x: NOT list_contains(removes, x)))), ',') AS tags,
+       changed
+FROM j""")
+def q_tag_apply(spark, sf):
+    out = CA.tag_apply(D.view(spark, sf, "doc_tags"), D.view(spark, sf, "tag_changes"))
+    return out.withColumn("tags", F.array_join("tags", ","))
