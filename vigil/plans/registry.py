@@ -738,3 +738,196 @@ FROM j""")
 def q_tag_apply(spark, sf):
     out = CA.tag_apply(D.view(spark, sf, "doc_tags"), D.view(spark, sf, "tag_changes"))
     return out.withColumn("tags", F.array_join("tags", ","))
+
+
+# ---------------------------------------------------------------- G1-G7 dependency graph
+from vigil.operators import backfill as BF  # noqa: E402
+from vigil.operators import cleaning as CL  # noqa: E402
+from vigil.operators import graph as GR  # noqa: E402
+
+_GRAPH = D.oracle_with("tasks", "task_edges")
+_FAULTY = D.oracle_with("tasks", "task_edges_faulty")
+
+
+@register("deps_missing", _FAULTY + """
+SELECT DISTINCT e.dag_id, e.child, e.parent FROM task_edges_faulty e
+WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE t.dag_id = e.dag_id AND t.task_id = e.parent)""")
+def q_deps_missing(spark, sf):
+    return GR.missing_parents(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges_faulty"))
+
+
+@register("deps_cycles", _FAULTY.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+e AS (SELECT DISTINCT dag_id, child, parent FROM task_edges_faulty),
+reach(dag_id, a, b) AS (SELECT dag_id, parent, child FROM e
+                        UNION SELECT r.dag_id, r.a, e.child FROM reach r JOIN e ON r.dag_id = e.dag_id AND r.b = e.parent),
+cyc AS (SELECT dag_id, a AS task_id FROM reach WHERE a = b),
+miss AS (SELECT e.dag_id, e.child AS task_id FROM e
+         WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE t.dag_id = e.dag_id AND t.task_id = e.parent)),
+bad0 AS (SELECT * FROM cyc UNION SELECT * FROM miss)
+SELECT dag_id, task_id FROM bad0
+UNION
+SELECT r.dag_id, r.b FROM reach r JOIN bad0 ON r.dag_id = bad0.dag_id AND r.a = bad0.task_id""")
+def q_deps_cycles(spark, sf):
+    return GR.blocked_tasks(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges_faulty"))
+
+
+_PATHS = """e AS (SELECT DISTINCT dag_id, child, parent FROM task_edges),
+p(dag_id, task_id, depth, path) AS (
+  SELECT t.dag_id, t.task_id, 1, [t.task_id] FROM tasks t
+  WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.dag_id = t.dag_id AND e.child = t.task_id)
+  UNION ALL
+  SELECT p.dag_id, e.child, p.depth + 1, list_append(p.path, e.child)
+  FROM p JOIN e ON p.dag_id = e.dag_id AND e.parent = p.task_id),
+lv AS (SELECT dag_id, task_id, max(depth) AS level FROM p GROUP BY dag_id, task_id)"""
+_GRAPH_R = _GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _PATHS
+
+
+def _levels(spark, sf, with_paths=False):
+    return GR.dag_levels(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges"), with_paths=with_paths)
+
+
+@register("deps_levels", _GRAPH_R + "\nSELECT dag_id, task_id, level FROM lv")
+def q_deps_levels(spark, sf):
+    return _levels(spark, sf).select("dag_id", "task_id", "level")
+
+
+@register("deps_level_widths", _GRAPH_R + "\nSELECT dag_id, level, count(*) AS width FROM lv GROUP BY dag_id, level")
+def q_deps_level_widths(spark, sf):
+    return GR.level_widths(_levels(spark, sf))
+
+
+@register("deps_order", _GRAPH_R + """,
+w AS (SELECT dag_id, level, count(*) AS width FROM lv GROUP BY dag_id, level)
+SELECT dag_id, CAST(sum(width) AS BIGINT) AS task_count, max(level) AS depth, max(width) AS max_width,
+       max(width) > 1 AS can_parallelize FROM w GROUP BY dag_id""")
+def q_deps_order(spark, sf):
+    return GR.dag_resolution(_levels(spark, sf))
+
+
+@register("deps_critical_path", _GRAPH_R + """,
+best AS (SELECT dag_id, max(depth) AS len FROM p GROUP BY dag_id)
+SELECT p.dag_id, array_to_string(min(p.path), '>') AS critical_path, p.depth AS critical_path_length
+FROM p JOIN best ON p.dag_id = best.dag_id AND p.depth = best.len GROUP BY p.dag_id, p.depth""")
+def q_deps_critical_path(spark, sf):
+    return GR.critical_path(_levels(spark, sf, with_paths=True))
+
+
+_ADJ = """e AS (SELECT DISTINCT dag_id, child, parent FROM task_edges),
+up AS (SELECT dag_id, child AS task_id, count(*) AS n FROM e GROUP BY dag_id, child),
+dn AS (SELECT dag_id, parent AS task_id, count(*) AS n FROM e GROUP BY dag_id, parent),
+adj AS (SELECT t.dag_id, t.task_id, coalesce(up.n, 0) AS n_parents, coalesce(dn.n, 0) AS n_children
+        FROM (SELECT DISTINCT dag_id, task_id FROM tasks) t
+        LEFT JOIN up ON t.dag_id = up.dag_id AND t.task_id = up.task_id
+        LEFT JOIN dn ON t.dag_id = dn.dag_id AND t.task_id = dn.task_id)"""
+
+
+@register("deps_children", _GRAPH + ", " + _ADJ + "\nSELECT * FROM adj")
+def q_deps_children(spark, sf):
+    return GR.adjacency(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges"))
+
+
+@register("dag_summary", _GRAPH + ", " + _ADJ + """
+SELECT dag_id, count(*) AS task_count, CAST(sum(n_parents) AS BIGINT) AS edge_count,
+       count(*) FILTER (WHERE n_parents = 0) AS root_count, count(*) FILTER (WHERE n_children = 0) AS leaf_count
+FROM adj GROUP BY dag_id""")
+def q_dag_summary(spark, sf):
+    return GR.dag_summary(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges"))
+
+
+# ---------------------------------------------------------------- G8-G11 backfill
+_BF = D.oracle_with("dags", "tasks")
+_PLAN_SQL = """SELECT t.dag_id, t.task_id,
+       unnest(generate_series(CAST(d.start_date AS TIMESTAMP), CAST(d.end_date AS TIMESTAMP),
+              CASE d.schedule WHEN '@hourly' THEN INTERVAL 1 HOUR WHEN '@weekly' THEN INTERVAL 7 DAY
+                              WHEN '@monthly' THEN INTERVAL 30 DAY ELSE INTERVAL 1 DAY END)) AS "interval",
+       'queued' AS status
+FROM (SELECT DISTINCT dag_id, task_id FROM tasks) t JOIN dags d ON t.dag_id = d.dag_id
+WHERE d.end_date >= d.start_date"""
+
+
+def _plan(spark, sf):
+    return BF.backfill_plan(D.view(spark, sf, "dags"), D.view(spark, sf, "tasks"))
+
+
+@register("backfill_plan", _BF + _PLAN_SQL)
+def q_backfill_plan(spark, sf):
+    return _plan(spark, sf)
+
+
+@register("backfill_counts", _BF + """,
+iv AS (SELECT dag_id, CAST(len(generate_series(CAST(start_date AS TIMESTAMP), CAST(end_date AS TIMESTAMP),
+              CASE schedule WHEN '@hourly' THEN INTERVAL 1 HOUR WHEN '@weekly' THEN INTERVAL 7 DAY
+                            WHEN '@monthly' THEN INTERVAL 30 DAY ELSE INTERVAL 1 DAY END)) AS BIGINT) AS total_intervals
+       FROM dags WHERE end_date >= start_date),
+nt AS (SELECT dag_id, count(DISTINCT task_id) AS tasks_per_run FROM tasks GROUP BY dag_id)
+SELECT iv.dag_id, total_intervals, coalesce(tasks_per_run, 0) AS tasks_per_run,
+       total_intervals * coalesce(tasks_per_run, 0) AS total_task_runs
+FROM iv LEFT JOIN nt ON iv.dag_id = nt.dag_id""")
+def q_backfill_counts(spark, sf):
+    return BF.backfill_counts(D.view(spark, sf, "dags"), D.view(spark, sf, "tasks"))
+
+
+@register("run_history", _BF + f""", pl AS ({_PLAN_SQL})
+SELECT dag_id, "interval", count(*) AS tasks, count(*) FILTER (WHERE status = 'queued') AS queued
+FROM pl GROUP BY dag_id, "interval" """)
+def q_run_history(spark, sf):
+    return BF.run_history(_plan(spark, sf))
+
+
+@register("intervals_covered", _BF + f""", pl AS ({_PLAN_SQL})
+SELECT dag_id, count(*) AS total_runs, count(DISTINCT "interval") AS intervals_covered FROM pl GROUP BY dag_id""")
+def q_intervals_covered(spark, sf):
+    return BF.intervals_covered(_plan(spark, sf))
+
+
+@register("backfill_gaps", D.oracle_with("daily_metric") + """,
+r AS (SELECT min(dt) AS lo, max(dt) AS hi FROM daily_metric),
+ex AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS "interval" FROM r)
+SELECT "interval" FROM ex WHERE "interval" NOT IN (SELECT dt FROM daily_metric)""")
+def q_backfill_gaps(spark, sf):
+    return BF.missing_intervals(D.view(spark, sf, "daily_metric"), "dt", "1 day")
+
+
+# ---------------------------------------------------------------- P1-P6 cleaning
+CAST_MAP = {"c_nation_text": "int"}
+
+
+@register("step_filter_nulls", _DIRTY + "SELECT * FROM dirty_customer WHERE c_mktsegment IS NOT NULL")
+def q_step_filter_nulls(spark, sf):
+    return CL.filter_nulls(D.view(spark, sf, "dirty_customer"), ["c_mktsegment"])
+
+
+_CAST_SELECT = """SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
+       TRY_CAST(c_nation_text AS INTEGER) AS c_nation_text, c_version FROM dirty_customer"""
+
+
+@register("step_cast_types", _DIRTY + _CAST_SELECT
+          + " WHERE c_nation_text IS NULL OR TRY_CAST(c_nation_text AS INTEGER) IS NOT NULL")
+def q_step_cast_types(spark, sf):
+    return CL.cast_types(D.view(spark, sf, "dirty_customer"), CAST_MAP)
+
+
+@register("step_cast_rejects", _DIRTY + """SELECT * FROM dirty_customer
+WHERE NOT (c_nation_text IS NULL OR TRY_CAST(c_nation_text AS INTEGER) IS NOT NULL)""")
+def q_step_cast_rejects(spark, sf):
+    return CL.cast_rejects(D.view(spark, sf, "dirty_customer"), CAST_MAP)
+
+
+_DEDUP_SQL = """SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, c_nation_text, c_version FROM (
+  SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY c_version DESC, c_name DESC, c_nationkey DESC,
+         c_acctbal DESC, c_mktsegment DESC, c_nation_text DESC) AS rn FROM {src}) x WHERE rn = 1"""
+
+
+@register("step_deduplicate", _DIRTY + _DEDUP_SQL.format(src="dirty_customer"))
+def q_step_deduplicate(spark, sf):
+    return CL.deduplicate(D.view(spark, sf, "dirty_customer"), ["c_custkey"], ["c_version"])
+
+
+@register("clean_pipeline", _DIRTY + ", nn AS (SELECT * FROM dirty_customer WHERE c_mktsegment IS NOT NULL), dd AS ("
+          + _DEDUP_SQL.format(src="nn") + ")\n" + _CAST_SELECT.replace("dirty_customer", "dd")
+          + " WHERE c_nation_text IS NULL OR TRY_CAST(c_nation_text AS INTEGER) IS NOT NULL")
+def q_clean_pipeline(spark, sf):
+    p = CL.Pipeline([("filter_nulls", {"columns": ["c_mktsegment"]}),
+                     ("deduplicate", {"keys": ["c_custkey"], "order_by": ["c_version"]}),
+                     ("cast_types", {"mapping": CAST_MAP})])
+    return p.run(D.view(spark, sf, "dirty_customer"))

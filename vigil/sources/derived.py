@@ -66,14 +66,15 @@ SELECT conv_id AS dag_id, concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRI
 FROM {conversations}
 """
 
-# Edges where each first turn also waits for a task that does not exist (G1), and where the
-# conversations whose id is a multiple of 10 loop back from their first to their last turn.
+# Edges with faults: in conversations whose id ends in 5 the first turn also waits for a task
+# that does not exist (G1); those whose id ends in 0 loop back from their first to their
+# last turn (G2).  All other DAGs stay valid.
 VIEWS["task_edges_faulty"] = """
 SELECT dag_id, child, parent FROM {task_edges}
 UNION ALL
 SELECT conv_id AS dag_id, concat(CAST(conv_id AS STRING), '-0') AS child,
        concat(CAST(conv_id AS STRING), '-pre') AS parent
-FROM {conversations} WHERE turn = 0
+FROM {conversations} WHERE turn = 0 AND conv_id % 10 = 5
 UNION ALL
 SELECT conv_id AS dag_id, concat(CAST(conv_id AS STRING), '-0') AS child,
        concat(CAST(conv_id AS STRING), '-', CAST(max(turn) AS STRING)) AS parent
@@ -183,6 +184,17 @@ SELECT event_id, ts, user_id, event_type, value,
 FROM {{events}}
 """
 
+# DAG schedules for backfill: one DAG per conversation, schedule preset by id, a start date
+# spread over a week and a range as long as the conversation.
+VIEWS["dags"] = """
+SELECT conv_id AS dag_id,
+       CASE conv_id % 5 WHEN 0 THEN '@daily' WHEN 1 THEN '@hourly' WHEN 2 THEN '@weekly'
+                        WHEN 3 THEN '@monthly' END AS schedule,
+       DATE '2024-01-01' + CAST(conv_id % 7 AS INTEGER) AS start_date,
+       DATE '2024-01-01' + CAST(conv_id % 7 AS INTEGER) + CAST(max(turn) AS INTEGER) AS end_date
+FROM {conversations} GROUP BY conv_id
+"""
+
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 
