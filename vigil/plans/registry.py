@@ -931,3 +931,41 @@ def q_clean_pipeline(spark, sf):
                      ("deduplicate", {"keys": ["c_custkey"], "order_by": ["c_version"]}),
                      ("cast_types", {"mapping": CAST_MAP})])
     return p.run(D.view(spark, sf, "dirty_customer"))
+
+
+# ---------------------------------------------------------------- W1-W3 flows, O8 stream
+from vigil.plans import flows as FL  # noqa: E402
+from vigil.streaming import alert_windows as AW  # noqa: E402
+
+_PII_TABLES = {"documents": ["text", "lang", "source"], "conversations": ["role", "text"],
+               "pages": ["url", "html"], "benchmark": ["text"]}
+
+
+@register("pii_scan", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS \"column\", '{p}' AS pattern,"
+    f" count(*) FILTER (WHERE regexp_matches({c}, '{rx}')) AS matches FROM {t}"
+    for t, cols in _PII_TABLES.items() for c in cols for p, rx in FL.PII_PATTERNS.items()))
+def q_pii_scan(spark, sf):
+    return FL.pii_scan({t: load(spark, sf, t) for t in _PII_TABLES})
+
+
+@register("validation_loop")
+def q_validation_loop(spark, sf):
+    # Rows-only: composes dq_profile, schema_drift, dq_rules_all (each oracle-checked).
+    base = SC.columns_of(load(spark, sf, "customer"), "dirty_customer")
+    return FL.validation_loop(D.view(spark, sf, "dirty_customer"), "dirty_customer", base, CUSTOMER_RULES)
+
+
+@register("compliance_scan")
+def q_compliance_scan(spark, sf):
+    # Rows-only: composes pii_scan, dq_null_rates, tag_apply, lint_schema (each oracle-checked).
+    return FL.compliance_scan(load(spark, sf, "documents"), "documents")
+
+
+@register("alert_windows_stream", _ALERTS + """,
+c AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
+             time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, severity, count(*) AS n
+      FROM alerts GROUP BY 1, 2, 3)
+SELECT * FROM c WHERE window_end <= (SELECT max(ts) FROM alerts) - INTERVAL 1 HOUR""")
+def q_alert_windows_stream(spark, sf):
+    return AW.alert_windows_via_stream(D.view(spark, sf, "alerts"), "1 day", "1 hour")
