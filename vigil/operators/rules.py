@@ -74,8 +74,12 @@ def failure_condition(df: DataFrame, r: Rule) -> Column:
         return c.isNotNull() & (c > F.lit(r.value))
     if r.type == "accepted_values":
         dtype = df.schema[r.columns[0]].dataType
-        typed = [F.lit(v).try_cast(dtype) for v in r.values]
-        return c.isNotNull() & ~c.isin(*typed) if typed else c.isNotNull()
+        if not r.values:
+            return c.isNotNull()
+        # Literals are converted to the column type; ones that do not convert match nothing
+        # (a NULL inside NOT IN would otherwise hide every failure).
+        accepted = F.filter(F.array(*[F.lit(v).try_cast(dtype) for v in r.values]), lambda x: x.isNotNull())
+        return c.isNotNull() & ~F.array_contains(accepted, c)
     raise ValueError(r.type)
 
 
