@@ -45,6 +45,7 @@ def dag_levels(tasks: DataFrame, edges: DataFrame, with_paths: bool = True,
     if with_paths:
         ready = ready.withColumn("path", F.array("task_id"))
     ready = ready.persist()
+    held = [ready]
     done = ready
     level = 1
     while not ready.isEmpty() and level < max_rounds:
@@ -65,11 +66,16 @@ def dag_levels(tasks: DataFrame, edges: DataFrame, with_paths: bool = True,
             nxt = nxt.join(best.withColumnRenamed("child", "task_id"), ["dag_id", "task_id"]).select(
                 "dag_id", "task_id", "level", F.concat("ppath", F.array("task_id")).alias("path"))
         nxt = nxt.checkpoint() if level % CHECKPOINT_EVERY == 0 else nxt.persist()
+        held.append(nxt)
         done = done.unionByName(nxt)
         if level % CHECKPOINT_EVERY == 0:
             done = done.checkpoint()
         ready = nxt
-    return done
+    # Materialise the result once in the reliable checkpoint folder, then free the rounds.
+    result = done.checkpoint()
+    for h in held:
+        h.unpersist()
+    return result
 
 
 def blocked_tasks(tasks: DataFrame, edges: DataFrame, levels: DataFrame | None = None) -> DataFrame:

@@ -54,6 +54,7 @@ def lineage_closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     e = _edges(edges).select(*cols).distinct()
     known = e.withColumn("hops", F.lit(1))
     frontier = e
+    held = []
     for rnd in range(2, max_rounds + 1):
         step = (frontier.alias("f")
                 .join(e.alias("e"), (F.col("f.target_table") == F.col("e.source_table"))
@@ -65,10 +66,15 @@ def lineage_closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         # Each round's pairs are used three times (emptiness test, union, next join):
         # keep them, and every few rounds write them to the reliable checkpoint folder.
         new = new.checkpoint() if rnd % CHECKPOINT_EVERY == 0 else new.persist()
+        held.append(new)
         if new.isEmpty():
             break
         known = known.unionByName(new)
         if rnd % CHECKPOINT_EVERY == 0:
             known = known.checkpoint()
         frontier = new.select(*cols)
-    return known
+    # Materialise the result once in the reliable checkpoint folder, then free the rounds.
+    result = known.checkpoint()
+    for h in held:
+        h.unpersist()
+    return result
