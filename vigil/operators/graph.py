@@ -28,62 +28,79 @@ def missing_parents(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     return _edges(edges).join(t, ["dag_id", "parent"], "left_anti")
 
 
-def dag_levels(tasks: DataFrame, edges: DataFrame, with_paths: bool = True,
-               max_rounds: int = 100_000) -> DataFrame:
-    """G4 (+G5 state): (dag_id, task_id, level, path) for every task that can run.
-
-    level 1 = no parents; level k = 1 + the deepest parent.  Tasks on a cycle, below a
-    cycle or waiting on a missing parent never become ready and are absent (see
-    ``blocked_tasks``).  ``path`` is the smallest longest chain ending at the task.
+def _kahn(tasks: DataFrame, edges: DataFrame, with_paths: bool, max_rounds: int = 100_000):
+    """Kahn's algorithm as DataFrame rounds: (levels, blocked), both checkpointed.
+
+    State per round: the frontier (tasks that became ready last round) and ``pending``
+    (tasks still waiting, with their count of unfinished parents).  A round joins the
+    frontier with the edges (cached, hash-partitioned on (dag_id, parent) so only the
+    small frontier moves), counts finished parents per child, and subtracts.  Tasks
+    reaching zero form the next frontier; one action per round.
     """
     spark = tasks.sparkSession
     ensure_checkpoint_dir(spark)
-    e = _edges(edges)
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = _edges(edges).repartition(nparts, "dag_id", "parent").persist()
     nodes = tasks.select("dag_id", "task_id").distinct()
-    has_parent = e.select("dag_id", F.col("child").alias("task_id")).distinct()
-    ready = nodes.join(has_parent, ["dag_id", "task_id"], "left_anti").withColumn("level", F.lit(1))
+    indeg = e.groupBy("dag_id", F.col("child").alias("task_id")).agg(F.count(F.lit(1)).alias("remaining"))
+    ready = nodes.join(indeg, ["dag_id", "task_id"], "left_anti").withColumn("level", F.lit(1))
     if with_paths:
         ready = ready.withColumn("path", F.array("task_id"))
     ready = ready.persist()
-    held = [ready]
-    done = ready
+    # tasks with a parent: everything in indeg that is a task (a missing parent still counts)
+    pending = indeg.join(nodes, ["dag_id", "task_id"], "left_semi").persist()
+    held = [e, ready, pending]
+    frames = [ready]
     level = 1
-    while not ready.isEmpty() and level < max_rounds:
+    n_ready = ready.count()
+    while n_ready > 0 and level < max_rounds:
         level += 1
-        done_keys = done.select("dag_id", F.col("task_id").alias("parent"))
-        # children that still wait for at least one parent that is not done
-        waiting = e.join(done_keys, ["dag_id", "parent"], "left_anti").select(
-            "dag_id", F.col("child").alias("task_id")).distinct()
-        cand = (e.join(ready.select("dag_id", F.col("task_id").alias("parent")), ["dag_id", "parent"])
-                 .select("dag_id", F.col("child").alias("task_id")).distinct())
-        nxt = cand.join(waiting, ["dag_id", "task_id"], "left_anti").withColumn("level", F.lit(level))
+        front = ready.select("dag_id", F.col("task_id").alias("parent"), *(["path"] if with_paths else []))
+        hits = e.join(front, ["dag_id", "parent"])
+        aggs = [F.count(F.lit(1)).alias("done_now")]
+        if with_paths:
+            # parents finishing last round are the deepest ones; keep the smallest chain
+            aggs.append(F.min("path").alias("ppath"))
+        dec = hits.groupBy("dag_id", F.col("child").alias("task_id")).agg(*aggs)
+        upd = (pending.join(dec, ["dag_id", "task_id"], "left")
+                      .withColumn("remaining", F.col("remaining") - F.coalesce("done_now", F.lit(0))))
+        upd = upd.checkpoint() if level % CHECKPOINT_EVERY == 0 else upd.persist()
+        held.append(upd)
+        nxt = upd.filter((F.col("remaining") == 0) & F.col("done_now").isNotNull()).withColumn("level", F.lit(level))
         if with_paths:
-            # parents exactly one level up are the deepest ones; take the smallest chain
-            prev = ready.select("dag_id", F.col("task_id").alias("parent"), F.col("path").alias("ppath"))
-            best = (e.join(nxt.select("dag_id", F.col("task_id").alias("child")), ["dag_id", "child"])
-                     .join(prev, ["dag_id", "parent"])
-                     .groupBy("dag_id", "child").agg(F.min("ppath").alias("ppath")))
-            nxt = nxt.join(best.withColumnRenamed("child", "task_id"), ["dag_id", "task_id"]).select(
-                "dag_id", "task_id", "level", F.concat("ppath", F.array("task_id")).alias("path"))
-        nxt = nxt.checkpoint() if level % CHECKPOINT_EVERY == 0 else nxt.persist()
+            nxt = nxt.withColumn("path", F.concat("ppath", F.array("task_id")))
+        nxt = nxt.select("dag_id", "task_id", "level", *(["path"] if with_paths else [])).persist()
         held.append(nxt)
-        done = done.unionByName(nxt)
-        if level % CHECKPOINT_EVERY == 0:
-            done = done.checkpoint()
+        n_ready = nxt.count()
+        pending = upd.filter(F.col("remaining") > 0).select("dag_id", "task_id", "remaining")
+        if n_ready:
+            frames.append(nxt)
         ready = nxt
-    # Materialise the result once in the reliable checkpoint folder, then free the rounds.
-    result = done.checkpoint()
+    levels = frames[0]
+    for f in frames[1:]:
+        levels = levels.unionByName(f)
+    # Materialise both results once in the reliable checkpoint folder, then free the rounds.
+    levels = levels.checkpoint()
+    blocked = pending.select("dag_id", "task_id").checkpoint()
     for h in held:
         h.unpersist()
-    return result
+    return levels, blocked
+
+
+def dag_levels(tasks: DataFrame, edges: DataFrame, with_paths: bool = True) -> DataFrame:
+    """G4 (+G5 state): (dag_id, task_id, level[, path]) for every task that can run.
+
+    level 1 = no parents; level k = 1 + the deepest parent.  Tasks on a cycle, below a
+    cycle or waiting on a missing parent never become ready and are absent (see
+    ``blocked_tasks``).  ``path`` is the smallest longest chain ending at the task.
+    """
+    return _kahn(tasks, edges, with_paths)[0]
 
 
-def blocked_tasks(tasks: DataFrame, edges: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+def blocked_tasks(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """Tasks that can never run — on a cycle, downstream of one, or waiting on a
-    missing parent (what remains after the Kahn loop)."""
-    levels = levels if levels is not None else dag_levels(tasks, edges, with_paths=False)
-    return (tasks.select("dag_id", "task_id").distinct()
-                 .join(levels.select("dag_id", "task_id"), ["dag_id", "task_id"], "left_anti"))
+    missing parent (what the Kahn rounds leave pending)."""
+    return _kahn(tasks, edges, with_paths=False)[1]
 
 
 def level_widths(levels: DataFrame) -> DataFrame:

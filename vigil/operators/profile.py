@@ -102,17 +102,25 @@ def _value_counts(df: DataFrame, c: str, dt: T.DataType, fingerprint_text: bool)
 
 def _branches(df: DataFrame, cols, k: int, with_distinct: bool, with_top: bool,
               fingerprint_text: bool):
+    """Per column, one value-count aggregate feeding both the distinct count and the top-k.
+
+    Both consumers read the aggregate exactly as produced (no filter pushed below it, the
+    count column used by both), so the plans below the shuffle are identical and Spark
+    reuses the exchange: each column is scanned and shuffled once.
+    """
     distinct_parts, top_parts = [], []
     for i, c, dt in cols:
         vc = _value_counts(df, c, dt, fingerprint_text)
         if with_distinct:
             distinct_parts.append(
-                vc.agg(F.count_if(~F.col("_null")).alias("distinct_count"))
+                vc.agg(F.count_if(~F.col("_null") & (F.col("cnt") > 0)).alias("distinct_count"))
                   .select(F.lit(c).alias("column_name"), "distinct_count"))
         if with_top:
+            # NULL group sorts last and is dropped after the limit (filtering first would be
+            # pushed below the aggregate and break the exchange reuse).
             top_parts.append(
-                vc.filter(~F.col("_null"))
-                  .orderBy(F.col("cnt").desc(), F.col("value").asc()).limit(k)
+                vc.orderBy(F.col("_null").asc(), F.col("cnt").desc(), F.col("value").asc()).limit(k)
+                  .filter(~F.col("_null"))
                   .select(F.lit(c).alias("column_name"), "value", F.col("cnt").alias("count")))
     union = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
     return union(distinct_parts), union(top_parts)
