@@ -131,7 +131,7 @@ SELECT table_name, name, type, nullable, description FROM {observed_columns} WHE
 VIEWS["catalog_tables"] = """
 SELECT concat('p', CAST(user_id AS STRING)) AS table_name,
        concat('Output of pipeline p', CAST(user_id AS STRING)) AS description,
-       array_sort(array_distinct(array_agg(event_type) FILTER (WHERE value > 100))) AS tags
+       array_sort(array_agg(DISTINCT event_type) FILTER (WHERE value > 100)) AS tags
 FROM {events} GROUP BY user_id
 """
 
