@@ -969,3 +969,32 @@ c AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
 SELECT * FROM c WHERE window_end <= (SELECT max(ts) FROM alerts) - INTERVAL 1 HOUR""")
 def q_alert_windows_stream(spark, sf):
     return AW.alert_windows_via_stream(D.view(spark, sf, "alerts"), "1 day", "1 hour")
+
+
+# ---------------------------------------------------------------- additional detail views
+@register("recent_alerts", _ALERTS + """,
+a AS (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY ts DESC, alert_id DESC) AS rr FROM alerts)
+SELECT pipeline, CAST(count(*) OVER (PARTITION BY pipeline) - rr + 1 AS INTEGER) AS pos, alert_id, severity,
+       message, acknowledged
+FROM a WHERE rr <= 3""")
+def q_recent_alerts(spark, sf):
+    return RN.recent_alerts(D.view(spark, sf, "alerts"))
+
+
+@register("deps_children_edges", _GRAPH + "\nSELECT DISTINCT dag_id, parent, child FROM task_edges")
+def q_deps_children_edges(spark, sf):
+    return GR.children(D.view(spark, sf, "task_edges"))
+
+
+_PART_META = [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+              ("p_size", "int"), ("p_retailprice", "double")]
+
+
+@register("catalog_describe_columns", "WITH prof AS (" + OP.profile_sql("part", "part", PART_KINDS, with_top=False)
+          + ")\nSELECT 'part' AS table_name, column_name AS name, null_count, distinct_count, \"min\", \"max\", mean "
+            "FROM prof")
+def q_catalog_describe_columns(spark, sf):
+    part = load(spark, sf, "part")
+    cols = SC.columns_of(part, "part")
+    out = CA.describe_columns(cols, P.profile(part, table="part"))
+    return out.select("table_name", "name", "null_count", "distinct_count", "min", "max", "mean")
