@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from vigil.session import ensure_checkpoint_dir
 
-CHECKPOINT_EVERY = 4
+# Lineage cut: every round reads the previous round's state twice, and a logical plan is a
+# tree, so an uncut plan doubles per round (persist() does not shorten it).  A reliable
+# checkpoint every 2 rounds bounds it at 4 copies.
+CHECKPOINT_EVERY = 2
 
 
 def _edges(edges: DataFrame) -> DataFrame:
@@ -65,12 +68,16 @@ def lineage_closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         new = step.join(known.select(*cols), cols, "left_anti").withColumn("hops", F.lit(rnd))
         # Each round's pairs are used three times (emptiness test, union, next join):
         # keep them, and every few rounds write them to the reliable checkpoint folder.
-        new = new.checkpoint() if rnd % CHECKPOINT_EVERY == 0 else new.persist()
+        new = new.persist()
         held.append(new)
+        if rnd % CHECKPOINT_EVERY == 0:
+            new = new.checkpoint()  # written from the cache, not recomputed
         if new.isEmpty():
             break
         known = known.unionByName(new)
         if rnd % CHECKPOINT_EVERY == 0:
+            known = known.persist()
+            held.append(known)
             known = known.checkpoint()
         frontier = new.select(*cols)
     # Materialise the result once in the reliable checkpoint folder, then free the rounds.

@@ -37,7 +37,7 @@ def _columns(df: DataFrame, columns: list[str] | None) -> list[tuple[int, str, T
     return [(i, c, fields[c]) for i, c in enumerate(names)]
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def sample_rows(df: DataFrame, n: int, seed: int = 42, total: int | None = None) -> DataFrame:
     """Exactly ``n`` random rows (D4), or ``df`` itself when ``n`` is 0 / None / >= rows.
 
     A Bernoulli pre-sample with a safety margin shrinks the input before the exact
@@ -46,7 +46,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """
     if not n or n <= 0:
         return df
-    total = df.count()
+    total = df.count() if total is None else total
     if n >= total:
         return df
     fraction = min(1.0, (n * 1.2 + 100) / total)
@@ -146,11 +146,12 @@ def profile(df: DataFrame, columns: list[str] | None = None, sample_size: int |
     cols = _columns(df, columns)
     data = df.select(*[c for _, c, _ in cols])
     total = None
-    if sample_size:
-        sampled = sample_rows(data, sample_size, seed)
+    if sample_size and sample_size > 0:
+        n_rows = data.count()
+        sampled = sample_rows(data, sample_size, seed, total=n_rows)
         if sampled is not data:
             # Sample once and persist so every statistic sees the same rows.
-            total = data.count()
+            total = n_rows
             data = sampled.persist()
     stats = _stats(data, cols)
     if approx:
