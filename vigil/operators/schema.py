@@ -199,14 +199,19 @@ def json_keys_observed(df: DataFrame, json_col: str, by: list[str] | None = None
 def json_key_drift(df: DataFrame, json_col: str, period: Column) -> DataFrame:
     """Drift of a semi-structured column between two periods ('before' / 'after').
 
-    Per key: types_before, types_after ('|'-joined sorted type classes), change.
+    Per key: types_before, types_after ('|'-joined sorted type classes), change.  One pass:
+    keys and types are exploded once and both periods are conditional aggregates of the same
+    ``groupBy(key)`` (type sets are bounded by the handful of JSON types).
     """
-    obs = json_keys_observed(df.withColumn("_period", period), json_col, ["_period"])
-    types = (obs.groupBy("_period", "key")
-                .agg(F.array_join(F.array_sort(F.collect_set("json_type")), "|").alias("types")))
-    b = types.filter(F.col("_period") == "before").select("key", F.col("types").alias("types_before"))
-    a = types.filter(F.col("_period") == "after").select("key", F.col("types").alias("types_after"))
-    j = b.join(a, "key", "full_outer")
+    kv = df.select(period.alias("_period"),
+                   F.explode(F.from_json(json_col, "map<string,variant>")).alias("key", "v"))
+    typed = kv.select("_period", "key", json_type_class(F.schema_of_variant("v")).alias("t"))
+    per_key = typed.groupBy("key").agg(
+        F.array_sort(F.collect_set(F.when(F.col("_period") == "before", F.col("t")))).alias("b"),
+        F.array_sort(F.collect_set(F.when(F.col("_period") == "after", F.col("t")))).alias("a"))
+    tb = F.when(F.size("b") > 0, F.array_join("b", "|"))
+    ta = F.when(F.size("a") > 0, F.array_join("a", "|"))
+    j = per_key.select("key", tb.alias("types_before"), ta.alias("types_after"))
     change = (F.when(F.col("types_before").isNull(), "added").when(F.col("types_after").isNull(), "removed")
                .when(F.col("types_before") != F.col("types_after"), "modified"))
     return j.select("key", "types_before", "types_after", change.alias("change")).filter(F.col("change").isNotNull())
