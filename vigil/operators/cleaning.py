@@ -46,9 +46,10 @@ def deduplicate(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFram
     """Keep one row per key — the one with the greatest ``order_by`` values.
 
     Equivalent to ``row_number() over (partition by keys order by order_by desc) = 1`` with
-    the remaining columns as tie-breakers, but planned as a hash aggregate of ``max(struct)``:
-    partial aggregation on the map side, so a key holding a third of the rows is reduced
-    in every input partition before the shuffle instead of being sorted in one task.
+    the remaining columns as tie-breakers, but planned as an aggregate of ``max(struct)``
+    with a partial step on the map side (Spark's sort-based aggregate, as struct buffers are
+    not hash-aggregatable), so a key holding a third of the rows is reduced in every input
+    partition before the shuffle instead of being sorted in one task.
     """
     rest = [c for c in df.columns if c not in keys and c not in order_by]
     best = df.groupBy(*keys).agg(F.max(F.struct(*order_by, *rest)).alias("_best"))
