@@ -36,14 +36,14 @@ def _kahn(tasks: DataFrame, edges: DataFrame, with_paths: bool, max_rounds: int
 
     State per round: the frontier (tasks that became ready last round) and ``pending``
     (tasks still waiting, with their count of unfinished parents).  A round joins the
-    frontier with the edges (cached, hash-partitioned on (dag_id, parent) so only the
-    small frontier moves), counts finished parents per child, and subtracts.  Tasks
-    reaching zero form the next frontier; one action per round.
+    frontier with the cached edges, counts finished parents per child, and subtracts.
+    Tasks reaching zero form the next frontier; one action per round.  The edges are not
+    pre-partitioned on the parent: a small frontier is broadcast by AQE (edges stay put),
+    and for a large one AQE can still split a hub parent's partition (skew join).
     """
     spark = tasks.sparkSession
     ensure_checkpoint_dir(spark)
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = _edges(edges).repartition(nparts, "dag_id", "parent").persist()
+    e = _edges(edges).persist()
     nodes = tasks.select("dag_id", "task_id").distinct()
     indeg = e.groupBy("dag_id", F.col("child").alias("task_id")).agg(F.count(F.lit(1)).alias("remaining"))
     ready = nodes.join(indeg, ["dag_id", "task_id"], "left_anti").withColumn("level", F.lit(1))
