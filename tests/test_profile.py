@@ -78,3 +78,17 @@ def test_branch_scans_read_one_column(spark):
 def test_profile_many_keys_by_table(users, metrics):
     out = P.profile_many({"u": users, "m": metrics})
     assert sorted({r["table"] for r in out.collect()}) == ["m", "u"]
+
+
+def test_approx_profile_single_scan(spark, users):
+    p = by_col(P.profile(users, approx=True))
+    assert p["id"]["distinct_count"] == 8 and p["email"]["null_count"] == 2
+    assert [(t["value"], t["count"]) for t in p["status"]["top_values"]] == [("active", 5), ("inactive", 2), ("unknown", 1)]
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    df = P.profile(li, approx=True)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Scan parquet") == 1
+    tv = P.top_values(users, approx=True)
+    assert [(r["column_name"], r["rank"], r["value"]) for r in tv.filter("column_name = 'status'").orderBy("rank").collect()] == \
+        [("status", 1, "active"), ("status", 2, "inactive"), ("status", 3, "unknown")]

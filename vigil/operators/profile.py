@@ -59,12 +59,22 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def _stats(df: DataFrame, cols) -> DataFrame:
+_SKETCHABLE = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _stats(df: DataFrame, cols, sketches: int = 0) -> DataFrame:
     """One scan: row count plus, per column, nulls and numeric min / max / mean / castable.
 
-    Returns one row per column (long form) built from the single aggregate row.
+    With ``sketches`` = k > 0 the same aggregate also carries a HyperLogLog++ distinct
+    count and an approx_top_k(k) sketch per column (mergeable partial states, so still one
+    scan and no shuffle of values).  Returns one row per column (long form).
     """
     aggs = [F.count(F.lit(1)).alias("_rows")]
+    if sketches:
+        for i, c, dt in cols:
+            aggs += [F.approx_count_distinct(c).alias(f"_d{i}"),
+                     F.call_function("approx_top_k", F.col(c), F.lit(sketches)).alias(f"_k{i}")
+                     if isinstance(dt, _SKETCHABLE) else F.lit(None).alias(f"_k{i}")]
     for i, c, dt in cols:
         v = numeric_value(F.col(c), dt)
         aggs += [
@@ -75,12 +85,24 @@ def _stats(df: DataFrame, cols) -> DataFrame:
             F.avg(v).alias(f"_mu{i}"),
         ]
     wide = df.agg(*aggs)
+
+    def sketch_fields(i, dt):
+        if not sketches:
+            return []
+        if isinstance(dt, _SKETCHABLE):
+            keyed = F.sort_array(F.transform(f"_k{i}", lambda x: F.struct(
+                (-x["count"]).alias("n"), x["item"].cast("string").alias("value"))))
+            top = F.transform(keyed, lambda x: F.struct(x["value"].alias("value"), (-x["n"]).alias("count")))
+        else:
+            top = F.lit(None).cast("array<struct<value:string,count:bigint>>")
+        return [F.col(f"_d{i}").alias("distinct_approx"), top.alias("top_approx")]
+
     entries = [
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
                  F.col(f"_n{i}").alias("null_count"), F.col(f"_c{i}").alias("castable_count"),
                  F.col(f"_lo{i}").alias("min"), F.col(f"_hi{i}").alias("max"),
-                 F.col(f"_mu{i}").alias("mean_raw"))
-        for i, c, _ in cols
+                 F.col(f"_mu{i}").alias("mean_raw"), *sketch_fields(i, dt))
+        for i, c, dt in cols
     ]
     return (wide.select(F.col("_rows").alias("row_count"), F.explode(F.array(*entries)).alias("s"))
                 .select("row_count", "s.*"))
@@ -153,21 +175,19 @@ def profile(df: DataFrame, columns: list[str] | None = None, sample_size: int |
             # Sample once and persist so every statistic sees the same rows.
             total = n_rows
             data = sampled.persist()
-    stats = _stats(data, cols)
     if approx:
-        approx_row = data.agg(*[F.approx_count_distinct(c).alias(f"_d{i}") for i, c, _ in cols])
-        distinct = approx_row.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(f"_d{i}").alias("distinct_count"))
-            for i, c, _ in cols])).alias("d")).select("d.*")
-        _, top = _branches(data, cols, top_k, False, True, fingerprint_text)
+        # Single scan, no value shuffle: every statistic is a mergeable aggregate state.
+        out = (_stats(data, cols, sketches=top_k)
+               .withColumnRenamed("distinct_approx", "distinct_count").withColumnRenamed("top_approx", "_top"))
     else:
+        stats = _stats(data, cols)
         distinct, top = _branches(data, cols, top_k, True, True, fingerprint_text)
-    top_lists = (_ranked_top(top).groupBy("column_name")
-                 .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("_t"))
-                 .select("column_name",
-                         F.transform("_t", lambda x: F.struct(x["value"].alias("value"),
-                                                              x["count"].alias("count"))).alias("_top")))
-    out = stats.join(distinct, "column_name", "left").join(top_lists, "column_name", "left")
+        top_lists = (_ranked_top(top).groupBy("column_name")
+                     .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("_t"))
+                     .select("column_name",
+                             F.transform("_t", lambda x: F.struct(x["value"].alias("value"),
+                                                                  x["count"].alias("count"))).alias("_top")))
+        out = stats.join(distinct, "column_name", "left").join(top_lists, "column_name", "left")
     is_numeric = F.col("castable_count") > 0
     null_rate = F.when(F.col("row_count") > 0,
                        F.round(F.col("null_count") / F.col("row_count"), 4)).otherwise(F.lit(0.0))
@@ -225,14 +245,22 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_K,
-               only_categorical: bool = True, fingerprint_text: bool = False) -> DataFrame:
+               only_categorical: bool = True, fingerprint_text: bool = False,
+               approx: bool = False) -> DataFrame:
     """Tidy top-k rows (column_name, rank, value, count).
 
     With ``only_categorical`` the reference's gate applies: a column reports top values
-    when it is not numeric or has at most 20 distinct values.
+    when it is not numeric or has at most 20 distinct values.  ``approx`` reads the top-k
+    and distinct counts from sketches of one aggregate (single scan, estimated counts).
     """
     cols = _columns(df, columns)
     data = df.select(*[c for _, c, _ in cols])
+    if approx:
+        s = _stats(data, cols, sketches=k)
+        if only_categorical:
+            s = s.filter((F.col("castable_count") == 0) | (F.col("distinct_approx") <= TOP_DISTINCT_MAX))
+        return (s.select("column_name", F.posexplode("top_approx").alias("p", "t"))
+                 .select("column_name", (F.col("p") + 1).alias("rank"), "t.value", "t.count"))
     distinct, top = _branches(data, cols, k, only_categorical, True, fingerprint_text)
     ranked = _ranked_top(top)
     if not only_categorical:

@@ -998,3 +998,15 @@ def q_catalog_describe_columns(spark, sf):
     cols = SC.columns_of(part, "part")
     out = CA.describe_columns(cols, P.profile(part, table="part"))
     return out.select("table_name", "name", "null_count", "distinct_count", "min", "max", "mean")
+
+
+@register("dq_profile_approx")
+def q_profile_approx(spark, sf):
+    # Rows-only: distinct counts and top-k come from HyperLogLog++ / approx_top_k sketches.
+    return _rendered(P.profile(load(spark, sf, "lineitem"), table="lineitem", approx=True))
+
+
+@register("dq_top_values_approx")
+def q_top_values_approx(spark, sf):
+    # Rows-only: sketch-estimated counts.
+    return P.top_values(load(spark, sf, "orders"), approx=True)
