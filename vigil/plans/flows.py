@@ -1,8 +1,9 @@
 """Composite flows (W1-W3): several operators over one source, reported as one tidy
 long-form DataFrame (step, subject, metric, value).
 
-The source is persisted once because every step reads it; each step is still a lazy
-DataFrame, and the report is their union — one Spark job for the whole flow.
+Each step is a lazy DataFrame and the report is their union — one Spark job for the whole
+flow.  The source is deliberately not cached: every step reads only the columns it needs
+(column pruning), while a cache of a 100 TB table would spill it whole to executor disks.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def pii_scan(tables: dict[str, DataFrame], patterns: dict[str, str] | None = Non
 
 def validation_loop(df: DataFrame, table: str, baseline_columns: DataFrame, rules: list) -> DataFrame:
     """Profile -> drift against a baseline schema -> rules -> describe."""
-    src = df.persist()
+    src = df
     prof = P.profile(src, table=table)
     current = SC.columns_of(src, table)
     drift = SC.detect_drift(baseline_columns.withColumn("table_name", F.lit(table)), current)
@@ -78,7 +79,7 @@ def compliance_scan(df: DataFrame, table: str, pii_columns: list[str] | None = N
     """Sensitive columns (given, or found by ``pii_scan``) are profiled for nulls,
     tagged 'pii' / 'sensitive', linted with descriptions required, and the pipeline named
     after the table gets a health row when a run log is given."""
-    src = df.persist()
+    src = df
     meta = SC.columns_of(src, table)
     if pii_columns is None:
         flagged = (pii_scan({table: src}).filter(F.col("matches") > 0)
