@@ -956,9 +956,24 @@ def q_validation_loop(spark, sf):
     return FL.validation_loop(D.view(spark, sf, "dirty_customer"), "dirty_customer", base, CUSTOMER_RULES)
 
 
-@register("compliance_scan")
+_DOC_TEXT_COLS = ["text", "lang", "source"]  # the string columns of documents
+_FLAGGED = "\nUNION\n".join(
+    f"SELECT '{c}' AS name FROM documents WHERE regexp_matches({c}, '{rx}') HAVING count(*) > 0"
+    for c in _DOC_TEXT_COLS for rx in FL.PII_PATTERNS.values())
+
+
+@register("compliance_scan", f"""WITH flagged AS ({_FLAGGED}),
+nulls AS (""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS name, count(*) FILTER (WHERE {c} IS NULL) AS n,"
+    f" CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE {c} IS NULL) / count(*), 4) ELSE 0.0 END AS r"
+    f" FROM documents" for c in _DOC_TEXT_COLS) + """)
+SELECT 'profile' AS step, name AS subject, 'null_count' AS metric, CAST(n AS VARCHAR) AS value
+FROM nulls WHERE name IN (SELECT name FROM flagged)
+UNION ALL SELECT 'profile', name, 'null_rate', CAST(r AS VARCHAR) FROM nulls WHERE name IN (SELECT name FROM flagged)
+UNION ALL SELECT 'tag', 'documents.' || name, 'tags', 'pii,sensitive' FROM flagged
+UNION ALL SELECT 'lint', name, 'missing_description', 'info' FROM flagged
+UNION ALL SELECT 'lint', name, 'id_type', 'warning' FROM flagged WHERE contains(lower(name), 'id')""")
 def q_compliance_scan(spark, sf):
-    # Rows-only: composes pii_scan, dq_null_rates, tag_apply, lint_schema (each oracle-checked).
     return FL.compliance_scan(load(spark, sf, "documents"), "documents")
 
 
