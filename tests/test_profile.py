@@ -92,3 +92,15 @@ def test_approx_profile_single_scan(spark, users):
     tv = P.top_values(users, approx=True)
     assert [(r["column_name"], r["rank"], r["value"]) for r in tv.filter("column_name = 'status'").orderBy("rank").collect()] == \
         [("status", 1, "active"), ("status", 2, "inactive"), ("status", 3, "unknown")]
+
+
+def test_long_form_matches_branches(spark, users):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    for df in (users, li):
+        a = {r["column_name"]: (r["distinct_count"], r["top_values"]) for r in P.profile(df).collect()}
+        b = {r["column_name"]: (r["distinct_count"], r["top_values"]) for r in P.profile(df, long_form=True).collect()}
+        assert a == b
+    d = P.profile(li, long_form=True)
+    d.collect()
+    final = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Scan parquet") == 2 and "ReusedExchange" in final

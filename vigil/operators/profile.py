@@ -24,6 +24,9 @@ from vigil.functions.columns import fingerprint
 from vigil.functions.typegate import numeric_value
 
 TOP_K = 5
+# Above this many columns the per-column branches (one shuffle each) give way to one
+# long-form aggregate over (column, value text): a single shuffle whatever the width.
+WIDE_COLUMNS = 64
 # Fixed value: top values are reported for numeric columns only up to this many distincts.
 TOP_DISTINCT_MAX = 20
 
@@ -148,6 +151,25 @@ def _branches(df: DataFrame, cols, k: int, with_distinct: bool, with_top: bool,
     return union(distinct_parts), union(top_parts)
 
 
+def _branches_long(df: DataFrame, cols, k: int):
+    """Wide-table form: all columns stacked as (column_name, value text) and counted in one
+    ``groupBy``.  Distinct counts and top-k both read that aggregate unchanged (NULLs ranked
+    last and dropped after the group limit) so its shuffle is shared.  Values are compared
+    as text, which is exact for every type except -0.0 / 0.0 in floating columns."""
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for _, c, _ in cols
+    ])).alias("x")).select("x.*")
+    vc = stacked.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    distinct = vc.groupBy("column_name").agg(
+        F.count_if(F.col("value").isNotNull() & (F.col("cnt") > 0)).alias("distinct_count"))
+    w = Window.partitionBy("column_name").orderBy(F.col("value").isNull().asc(), F.col("cnt").desc(),
+                                                  F.col("value").asc())
+    top = (vc.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+             .filter(F.col("value").isNotNull())
+             .select("column_name", "value", F.col("cnt").alias("count")))
+    return distinct, top
+
+
 def _ranked_top(top: DataFrame) -> DataFrame:
     """Rank the <= k rows per column (bounded: k rows per column)."""
     w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
@@ -156,7 +178,7 @@ def _ranked_top(top: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, columns: list[str] | None = None, sample_size: int | None = None,
             table: str | None = None, approx: bool = False, top_k: int = TOP_K,
-            seed: int = 42, fingerprint_text: bool = False) -> DataFrame:
+            seed: int = 42, fingerprint_text: bool = False, long_form: bool | None = None) -> DataFrame:
     """D0 ``profile_data``: one row per profiled column.
 
     Columns: table, column_name, position, row_count (sample size when sampling),
@@ -164,6 +186,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, sample_size: int |
     ('numeric' when at least one value is a number), min, max, mean (round 2),
     top_values array<struct<value string, count bigint>> — present when the column is not
     numeric or has at most 20 distinct values; ordered by count desc, value asc.
+
+    Plans: per-column branches (default), one long-form aggregate for tables wider than
+    ``WIDE_COLUMNS`` (or ``long_form=True``), or a single scan of sketches (``approx``).
     """
     cols = _columns(df, columns)
     data = df.select(*[c for _, c, _ in cols])
@@ -181,7 +206,11 @@ def profile(df: DataFrame, columns: list[str] | None = None, sample_size: int |
                .withColumnRenamed("distinct_approx", "distinct_count").withColumnRenamed("top_approx", "_top"))
     else:
         stats = _stats(data, cols)
-        distinct, top = _branches(data, cols, top_k, True, True, fingerprint_text)
+        wide = len(cols) > WIDE_COLUMNS if long_form is None else long_form
+        if wide:
+            distinct, top = _branches_long(data, cols, top_k)
+        else:
+            distinct, top = _branches(data, cols, top_k, True, True, fingerprint_text)
         top_lists = (_ranked_top(top).groupBy("column_name")
                      .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("_t"))
                      .select("column_name",
