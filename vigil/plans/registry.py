@@ -1025,3 +1025,12 @@ def q_profile_approx(spark, sf):
 def q_top_values_approx(spark, sf):
     # Rows-only: sketch-estimated counts.
     return P.top_values(load(spark, sf, "orders"), approx=True)
+
+
+DOCUMENTS_KINDS = [("doc_id", N), ("text", T_), ("lang", T_), ("source", T_), ("n_chars", N)]
+
+
+@register("dq_profile_documents", OP.profile_sql("documents", "documents", DOCUMENTS_KINDS))
+def q_profile_documents(spark, sf):
+    # Whole texts are grouped on a 96-bit fingerprint of the complete value.
+    return _rendered(P.profile(load(spark, sf, "documents"), table="documents", fingerprint_text=True))
