@@ -124,6 +124,16 @@ def dag_resolution(levels: DataFrame) -> DataFrame:
         F.max("width").alias("max_width"), (F.max("width") > 1).alias("can_parallelize"))
 
 
+def topological_order(levels: DataFrame) -> DataFrame:
+    """A valid, deterministic linear order — tasks sorted by (dag_id, level, task_id).
+
+    A global ``orderBy`` is range-partitioned from a sample of the keys, so one very large
+    DAG is spread over many partitions (no per-DAG window that would put it in one task).
+    Every parent has a smaller level than its children, so the order is topological.
+    """
+    return levels.select("dag_id", "level", "task_id").orderBy("dag_id", "level", "task_id")
+
+
 def critical_path(levels: DataFrame) -> DataFrame:
     """Per DAG the longest chain (ties: smallest chain) and its length."""
     best = levels.groupBy("dag_id").agg(F.min(F.struct((-F.col("level")).alias("neg"), F.col("path"))).alias("b"))

@@ -1034,3 +1034,8 @@ DOCUMENTS_KINDS = [("doc_id", N), ("text", T_), ("lang", T_), ("source", T_), ("
 def q_profile_documents(spark, sf):
     # Whole texts are grouped on a 96-bit fingerprint of the complete value.
     return _rendered(P.profile(load(spark, sf, "documents"), table="documents", fingerprint_text=True))
+
+
+@register("deps_topo_order", _GRAPH_R + "\nSELECT dag_id, level, task_id FROM lv ORDER BY dag_id, level, task_id")
+def q_deps_topo_order(spark, sf):
+    return GR.topological_order(_levels(spark, sf))
