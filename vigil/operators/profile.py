@@ -290,15 +290,14 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_K,
             s = s.filter((F.col("castable_count") == 0) | (F.col("distinct_approx") <= TOP_DISTINCT_MAX))
         return (s.select("column_name", F.posexplode("top_approx").alias("p", "t"))
                  .select("column_name", (F.col("p") + 1).alias("rank"), "t.value", "t.count"))
-    distinct, top = _branches(data, cols, k, only_categorical, True, fingerprint_text)
-    ranked = _ranked_top(top)
     if not only_categorical:
-        return ranked.select("column_name", "rank", "value", "count")
-    castable = numeric_stats(data).select("column_name", "castable_count")
-    keep = (distinct.join(castable, "column_name")
-            .filter((F.col("castable_count") == 0) | (F.col("distinct_count") <= TOP_DISTINCT_MAX))
-            .select("column_name"))
-    return ranked.join(keep, "column_name", "left_semi").select("column_name", "rank", "value", "count")
+        _, top = _branches(data, cols, k, False, True, fingerprint_text)
+        return _ranked_top(top).select("column_name", "rank", "value", "count")
+    # The gate needs distinct and numeric counts: read them from the profile row, whose
+    # joins are equi-joins on the exploded column name, then flatten its top list.
+    prof = profile(data, top_k=k, fingerprint_text=fingerprint_text)
+    return (prof.select("column_name", F.posexplode("top_values").alias("p", "t"))
+                .select("column_name", (F.col("p") + 1).alias("rank"), "t.value", "t.count"))
 
 
 def profile_many(tables: dict[str, DataFrame], **kwargs) -> DataFrame:
