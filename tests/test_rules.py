@@ -66,3 +66,17 @@ def test_failed_rows_and_quarantine(users):
     assert fr == [(0, "NULL"), (0, "NULL"), (1, "150")]
     q = {r["id"]: r["failed_rules"] for r in RU.quarantine(users, rules + [RU.rule("unique", "status")]).collect()}
     assert q[3] == ["0:not_null", "2:unique"] and q[5] == ["1:max"]
+
+
+def test_custom_sql_keeps_other_braces(spark):
+    df = spark.createDataFrame([('{"k": 1}',), ("x",)], "j string")
+    r = result_map(RU.validate_rules(df, [RU.rule("custom_sql", sql="SELECT * FROM {{table}} WHERE j = '{\"k\": 1}'")]))[0]
+    assert r["error"] is None and r["failures"] == 1
+
+
+def test_columns_from_spark_catalog(spark, users):
+    from vigil.operators import catalog as CA
+    users.createOrReplaceTempView("vigil_users_view")
+    cols = CA.columns_from_catalog(spark).filter("table_name = 'vigil_users_view'")
+    assert [r["name"] for r in cols.orderBy("position").collect()] == ["id", "email", "age", "status"]
+    spark.catalog.dropTempView("vigil_users_view")

@@ -113,7 +113,9 @@ def _unique_result(df: DataFrame, i: int, r: Rule) -> DataFrame:
 
 def _custom_result(spark: SparkSession, df: DataFrame, i: int, r: Rule) -> DataFrame:
     try:
-        failing = spark.sql(r.sql.replace("{{table}}", "{t}"), t=df)
+        # Only the {{table}} placeholder is bound; any other brace in the user's SQL is literal.
+        parts = [x.replace("{", "{{").replace("}", "}}") for x in r.sql.split("{{table}}")]
+        failing = spark.sql("{t}".join(parts), t=df)
         counted = failing.agg(F.count(F.lit(1)).alias("failures"))
         return counted.select(F.lit(i).alias("rule_index"), F.lit(r.type).alias("rule_type"),
                               F.lit(r.column_label).alias("column"),
