@@ -85,3 +85,11 @@ def test_sync_and_content_search(spark, cat):
     docs = spark.createDataFrame([(1, "Data data DATA"), (2, "none")], "id long, text string")
     hits = CA.content_search({"docs": (docs, "id", "text")}, "data").collect()
     assert [(r["row_id"], r["occurrences"]) for r in hits] == [(1, 3)]
+
+
+def test_ancestors_of_requested_columns(spark):
+    e = spark.createDataFrame([("r", "a", "n", "a", None), ("n", "a", "c", "a", "direct"), ("c", "a", "o", "a", "x"),
+                               ("r", "a", "c", "a", "shortcut"), ("z", "q", "y", "q", None)], EDGE)
+    req = spark.createDataFrame([("o", "a"), ("nowhere", "a")], "table string, column string")
+    got = {(r["source_table"], r["hops"]) for r in LI.lineage_ancestors(e, req).collect()}
+    assert got == {("c", 1), ("r", 2), ("n", 2)}

@@ -1,8 +1,8 @@
 """Column lineage (S17-S19) over an edge DataFrame
 (source_table, source_column, target_table, target_column, transform).
 
-One hop is a join; the transitive closure is semi-naive iteration: each round joins only
-the pairs found in the previous round with the edges and keeps the new ones.  Lineage is
+One hop is a join; transitive lineage is semi-naive iteration: each round joins only the
+pairs found in the previous round with the edges and keeps the new ones.  Lineage is
 cut every few rounds with a reliable ``checkpoint()`` into ``spark.checkpoint.dir`` so a
 deep graph neither grows an unbounded plan nor depends on executor-local blocks.
 """
@@ -45,43 +45,57 @@ def lineage_downstream(edges: DataFrame, columns: DataFrame | None = None) -> Da
     return columns.select("table", "column").distinct().join(e, ["table", "column"], "left")
 
 
-def lineage_closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Every (ancestor, descendant) pair with the minimum hop count.
+def lineage_ancestors(edges: DataFrame, columns: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """S19 for requested columns: every upstream column of each requested (table, column)
+    with its minimum hop count.  Output: table, column, source_table, source_column, hops.
 
-    Output: source_table, source_column, target_table, target_column, hops.  The loop ends
-    when a round finds no new pair (``isEmpty`` is the only action per round).
+    Semi-naive breadth-first search upstream: a round extends only the pairs found in the
+    previous round by one edge and keeps those not seen before; ``count`` of the new pairs
+    is the only action per round.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    cols = ["source_table", "source_column", "target_table", "target_column"]
-    e = _edges(edges).select(*cols).distinct()
-    known = e.withColumn("hops", F.lit(1))
-    frontier = e
-    held = []
-    for rnd in range(2, max_rounds + 1):
+    key = ["table", "column", "source_table", "source_column"]
+    e = _edges(edges).select("source_table", "source_column", "target_table", "target_column").distinct().persist()
+    seeds = columns.select("table", "column").distinct()
+    first = (seeds.join(e, (F.col("table") == F.col("target_table")) & (F.col("column") == F.col("target_column")))
+                  .select(*key).distinct().withColumn("hops", F.lit(1)).persist())
+    held = [e, first]
+    known, frontier = first, first.select(*key)
+    n_new = first.count()
+    rnd = 1
+    while n_new and rnd < max_rounds:
+        rnd += 1
         step = (frontier.alias("f")
-                .join(e.alias("e"), (F.col("f.target_table") == F.col("e.source_table"))
-                      & (F.col("f.target_column") == F.col("e.source_column")))
-                .select(F.col("f.source_table"), F.col("f.source_column"),
-                        F.col("e.target_table"), F.col("e.target_column"))
+                .join(e.alias("e"), (F.col("f.source_table") == F.col("e.target_table"))
+                      & (F.col("f.source_column") == F.col("e.target_column")))
+                .select(F.col("f.table"), F.col("f.column"), F.col("e.source_table"), F.col("e.source_column"))
                 .distinct())
-        new = step.join(known.select(*cols), cols, "left_anti").withColumn("hops", F.lit(rnd))
-        # Each round's pairs are used three times (emptiness test, union, next join):
-        # keep them, and every few rounds write them to the reliable checkpoint folder.
-        new = new.persist()
+        new = step.join(known.select(*key), key, "left_anti").withColumn("hops", F.lit(rnd)).persist()
         held.append(new)
-        if rnd % CHECKPOINT_EVERY == 0:
-            new = new.checkpoint()  # written from the cache, not recomputed
-        if new.isEmpty():
+        n_new = new.count()
+        if not n_new:
             break
         known = known.unionByName(new)
         if rnd % CHECKPOINT_EVERY == 0:
+            # known and new are both read by the next round: cut the plan tree (see above)
             known = known.persist()
             held.append(known)
             known = known.checkpoint()
-        frontier = new.select(*cols)
+            new = new.checkpoint()
+        frontier = new.select(*key)
     # Materialise the result once in the reliable checkpoint folder, then free the rounds.
     result = known.checkpoint()
     for h in held:
         h.unpersist()
     return result
+
+
+def lineage_closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """S19 over the whole graph: every (ancestor, descendant) pair with the minimum hop
+    count — the upstream search seeded with every column that has a source.
+    Output: source_table, source_column, target_table, target_column, hops."""
+    targets = edges.select(F.col("target_table").alias("table"), F.col("target_column").alias("column"))
+    anc = lineage_ancestors(edges, targets, max_rounds)
+    return anc.select("source_table", "source_column", F.col("table").alias("target_table"),
+                      F.col("column").alias("target_column"), "hops")

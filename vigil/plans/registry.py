@@ -1039,3 +1039,26 @@ def q_profile_documents(spark, sf):
 @register("deps_topo_order", _GRAPH_R + "\nSELECT dag_id, level, task_id FROM lv ORDER BY dag_id, level, task_id")
 def q_deps_topo_order(spark, sf):
     return GR.topological_order(_levels(spark, sf))
+
+
+def _final_turns(spark, sf):
+    # The requested columns: the last turn of every conversation (its final output).
+    conv = load(spark, sf, "conversations")
+    last = conv.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    return last.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("table"),
+                       F.concat(F.lit("t"), F.col("turn").cast("string")).alias("column"))
+
+
+@register("lineage_ancestors", _LIN.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+req AS (SELECT 'c' || CAST(conv_id AS VARCHAR) AS "table", 't' || CAST(max(turn) AS VARCHAR) AS "column"
+        FROM conversations GROUP BY conv_id),
+a(tb, cl, st, sc, hops) AS (
+  SELECT DISTINCT r."table", r."column", e.source_table, e.source_column, 1
+  FROM req r JOIN lineage_edges e ON e.target_table = r."table" AND e.target_column = r."column"
+  UNION
+  SELECT a.tb, a.cl, e.source_table, e.source_column, a.hops + 1
+  FROM a JOIN lineage_edges e ON e.target_table = a.st AND e.target_column = a.sc)
+SELECT tb AS "table", cl AS "column", st AS source_table, sc AS source_column, min(hops) AS hops
+FROM a GROUP BY tb, cl, st, sc""")
+def q_lineage_ancestors(spark, sf):
+    return LI.lineage_ancestors(D.view(spark, sf, "lineage_edges"), _final_turns(spark, sf))
