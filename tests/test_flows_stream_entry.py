@@ -45,3 +45,18 @@ def test_entry_and_every_registered_query(spark):
         df = fn(spark, SF_SMALL)
         assert df.columns, name
         df.limit(1).collect()
+
+
+def test_rules_per_micro_batch(spark, tmp_path, users):
+    from vigil.operators import rules as RU
+    from vigil.streaming import rule_checks as RC
+    src = str(tmp_path / "users")
+    users.repartition(4).write.parquet(src)
+    rules = [RU.rule("not_null", "email"), RU.rule("max", "age", value=120)]
+    q = RC.validate_stream(spark.readStream.schema(users.schema).option("maxFilesPerTrigger", 1).parquet(src),
+                           rules, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination()
+    res = spark.read.parquet(str(tmp_path / "out"))
+    sc = {r["rule_type"]: (r["failures"], r["batches"]) for r in RC.stream_scorecard(res).collect()}
+    nfiles = len([f for f in __import__("os").listdir(src) if f.endswith(".parquet")])
+    assert sc == {"not_null": (2, nfiles), "max": (1, nfiles)}

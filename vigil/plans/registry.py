@@ -1062,3 +1062,15 @@ SELECT tb AS "table", cl AS "column", st AS source_table, sc AS source_column, m
 FROM a GROUP BY tb, cl, st, sc""")
 def q_lineage_ancestors(spark, sf):
     return LI.lineage_ancestors(D.view(spark, sf, "lineage_edges"), _final_turns(spark, sf))
+
+
+from vigil.streaming import rule_checks as RC  # noqa: E402
+
+_ROW_RULE_IDX = [0, 1, 3, 4, 5]   # the row-level rules: additive over micro-batches
+
+
+@register("dq_rules_stream", _DIRTY + "\nUNION ALL\n".join(
+    f"SELECT {pos} AS rule_index, rule_type, \"column\", failures FROM ({_RULE_SQL[i]})"
+    for pos, i in enumerate(_ROW_RULE_IDX)))
+def q_rules_stream(spark, sf):
+    return RC.rules_via_stream(D.view(spark, sf, "dirty_customer"), [CUSTOMER_RULES[i] for i in _ROW_RULE_IDX])
