@@ -60,3 +60,15 @@ def test_rules_per_micro_batch(spark, tmp_path, users):
     sc = {r["rule_type"]: (r["failures"], r["batches"]) for r in RC.stream_scorecard(res).collect()}
     nfiles = len([f for f in __import__("os").listdir(src) if f.endswith(".parquet")])
     assert sc == {"not_null": (2, nfiles), "max": (1, nfiles)}
+
+
+def test_stream_windows_ignore_session_time_zone(spark):
+    import __spark_entry__ as E
+    q = E.queries()["alert_windows_stream"]
+    utc = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        other = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc == other and utc

@@ -1,8 +1,10 @@
 """Windowed alert counts on a stream (O8) with Structured Streaming.
 
-Event time must be a ``timestamp`` for ``withWatermark`` (``timestamp_ntz`` is refused),
-so the stream casts it under the session time zone (UTC).  Append mode emits a window
-once the watermark passes its end; late rows beyond the watermark are dropped by Spark.
+Event time must be a ``timestamp`` for ``withWatermark`` (``timestamp_ntz`` is refused).
+The wall-clock ``timestamp_ntz`` values are read explicitly as UTC (whatever the session
+time zone), so windows start at UTC midnight and results do not depend on the session.
+Append mode emits a window once the watermark passes its end; late rows beyond the
+watermark are dropped by Spark.
 State is kept in the checkpoint location, so a restarted query resumes where it stopped.
 """
 
@@ -18,14 +20,25 @@ ALERT_SCHEMA = ("alert_id bigint, pipeline string, severity string, message stri
                 "ts timestamp_ntz, acknowledged boolean")
 
 
+def _utc_instant(ntz_col, session_tz: str):
+    # wall clock read as UTC -> instant (cast interprets in the session zone, so shift first)
+    return F.convert_timezone(F.lit("UTC"), F.lit(session_tz), ntz_col).cast("timestamp")
+
+
+def _utc_wall_clock(ts_col, session_tz: str):
+    # instant -> wall clock in UTC
+    return F.convert_timezone(F.lit(session_tz), F.lit("UTC"), ts_col.cast("timestamp_ntz"))
+
+
 def alert_window_counts(stream: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Streaming (or batch) counts per (window, severity) with a lateness bound."""
-    ev = stream.withColumn("event_time", F.col("ts").cast("timestamp"))
+    tz = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    ev = stream.withColumn("event_time", _utc_instant(F.col("ts"), tz))
     return (ev.withWatermark("event_time", watermark)
               .groupBy(F.window("event_time", window).alias("w"), "severity")
               .agg(F.count(F.lit(1)).alias("n"))
-              .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "severity", "n"))
+              .select(_utc_wall_clock(F.col("w.start"), tz).alias("window_start"),
+                      _utc_wall_clock(F.col("w.end"), tz).alias("window_end"), "severity", "n"))
 
 
 def run_alert_windows(spark: SparkSession, source_dir: str, output_dir: str, checkpoint_dir: str,
