@@ -25,6 +25,8 @@ PII_PATTERNS = {
     "phone": r"\+?[0-9][0-9 ().-]{7,}[0-9]",
 }
 PII_TAGS = ["pii", "sensitive"]
+# A literal every match must contain: tested first so the regex runs only on candidates.
+PII_GUARDS = {"email": "@"}
 
 _REPORT = "step string, subject string, metric string, value string"
 
@@ -45,7 +47,11 @@ def pii_scan(tables: dict[str, DataFrame], patterns: dict[str, str] | None = Non
         checks = [(c, p) for c in cols for p in patterns]
         if not checks:
             continue
-        wide = df.agg(*[F.count_if(F.col(c).rlike(patterns[p])).alias(f"_m{i}") for i, (c, p) in enumerate(checks)])
+        def hit(c, p):
+            test = F.col(c).rlike(patterns[p])
+            guard = PII_GUARDS.get(p) if patterns[p] == PII_PATTERNS.get(p) else None
+            return (F.col(c).contains(guard) & test) if guard else test
+        wide = df.agg(*[F.count_if(hit(c, p)).alias(f"_m{i}") for i, (c, p) in enumerate(checks)])
         parts.append(wide.select(F.explode(F.array(*[
             F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column"), F.lit(p).alias("pattern"),
                      F.col(f"_m{i}").alias("matches")) for i, (c, p) in enumerate(checks)])).alias("x")).select("x.*"))
