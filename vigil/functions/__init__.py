@@ -1,5 +1,5 @@
 from vigil.functions.typegate import NUMERIC_STRING_PATTERN, numeric_value, is_numeric_eligible
-from vigil.functions.columns import compact, fingerprint, one_row_broadcast
+from vigil.functions.columns import compact, fingerprint
 
 __all__ = ["NUMERIC_STRING_PATTERN", "numeric_value", "is_numeric_eligible",
-           "compact", "fingerprint", "one_row_broadcast"]
+           "compact", "fingerprint"]

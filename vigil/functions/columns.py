@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 
 def compact(*items: Column) -> Column:
@@ -22,12 +22,3 @@ def fingerprint(col: Column) -> Column:
     """
     return F.struct(F.xxhash64(col).alias("h64"), F.hash(col).alias("h32"),
                     F.length(col).alias("len"))
-
-
-def one_row_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a global (no grouping key) aggregate.
-
-    The size bound is structural: an ``agg`` without ``groupBy`` returns exactly one row,
-    so broadcasting it costs one row per executor whatever the input size.
-    """
-    return F.broadcast(df)

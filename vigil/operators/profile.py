@@ -41,7 +41,7 @@ def _columns(df: DataFrame, columns: list[str] | None) -> list[tuple[int, str, T
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, total: int | None = None) -> DataFrame:
-    """Exactly ``n`` random rows (D4), or ``df`` itself when ``n`` is 0 / None / >= rows.
+    """Exactly ``n`` random rows (the exact-size sample), or ``df`` itself when ``n`` is 0 / None / >= rows.
 
     A Bernoulli pre-sample with a safety margin shrinks the input before the exact
     ``orderBy(rand).limit(n)``, so only ~n rows reach the final top-n.  The row count is the

@@ -269,7 +269,7 @@ def q_run_stats(spark, sf):
     return RN.run_stats(D.view(spark, sf, "runs"))
 
 
-@register("pipeline_health", _RUNS_ALERTS + ", " + _LAST20 + f""",
+@register("run_health", _RUNS_ALERTS + ", " + _LAST20 + f""",
 s AS ({_STATS_SQL}),
 r10 AS (SELECT pipeline, count(*) AS recent_runs FROM r WHERE recency <= 10 GROUP BY pipeline),
 a AS (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY ts DESC, alert_id DESC) AS rr FROM alerts),
@@ -923,7 +923,7 @@ def q_step_deduplicate(spark, sf):
     return CL.deduplicate(D.view(spark, sf, "dirty_customer"), ["c_custkey"], ["c_version"])
 
 
-@register("clean_pipeline", _DIRTY + ", nn AS (SELECT * FROM dirty_customer WHERE c_mktsegment IS NOT NULL), dd AS ("
+@register("clean_table", _DIRTY + ", nn AS (SELECT * FROM dirty_customer WHERE c_mktsegment IS NOT NULL), dd AS ("
           + _DEDUP_SQL.format(src="nn") + ")\n" + _CAST_SELECT.replace("dirty_customer", "dd")
           + " WHERE c_nation_text IS NULL OR TRY_CAST(c_nation_text AS INTEGER) IS NOT NULL")
 def q_clean_pipeline(spark, sf):
