@@ -112,17 +112,13 @@ def _stats(df: DataFrame, cols, sketches: int = 0) -> DataFrame:
 
 
 def _value_counts(df: DataFrame, c: str, dt: T.DataType, fingerprint_text: bool) -> DataFrame:
-    """Per-value counts of one column: (v typed key, display string, cnt)."""
-    col = F.col(c)
+    """Per-value counts of one column: (_null flag, value as text, cnt)."""
+    v = F.col(c)
     if fingerprint_text and isinstance(dt, T.StringType):
-        return (df.select(col.alias("_v"))
-                  .groupBy(fingerprint(F.col("_v")).alias("_k"))
-                  .agg(F.count(F.lit(1)).alias("cnt"), F.any_value("_v").alias("_v"))
-                  .select(F.col("_v").isNull().alias("_null"),
-                          F.col("_v").cast("string").alias("value"), "cnt"))
-    return (df.select(col.alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("cnt"))
-              .select(F.col("_v").isNull().alias("_null"),
-                      F.col("_v").cast("string").alias("value"), "cnt"))
+        agg = df.groupBy(fingerprint(v).alias("_k")).agg(F.count(F.lit(1)).alias("cnt"), F.any_value(v).alias("_v"))
+    else:
+        agg = df.groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("cnt"))
+    return agg.select(F.col("_v").isNull().alias("_null"), F.col("_v").cast("string").alias("value"), "cnt")
 
 
 def _branches(df: DataFrame, cols, k: int, with_distinct: bool, with_top: bool,
@@ -137,9 +133,8 @@ def _branches(df: DataFrame, cols, k: int, with_distinct: bool, with_top: bool,
     for i, c, dt in cols:
         vc = _value_counts(df, c, dt, fingerprint_text)
         if with_distinct:
-            distinct_parts.append(
-                vc.agg(F.count_if(~F.col("_null") & (F.col("cnt") > 0)).alias("distinct_count"))
-                  .select(F.lit(c).alias("column_name"), "distinct_count"))
+            distinct_parts.append(vc.groupBy(F.lit(c).alias("column_name")).agg(
+                F.count_if(~F.col("_null") & (F.col("cnt") > 0)).alias("distinct_count")))
         if with_top:
             # NULL group sorts last and is dropped after the limit (filtering first would be
             # pushed below the aggregate and break the exchange reuse).
