@@ -133,8 +133,9 @@ def _branches(df: DataFrame, cols, k: int, with_distinct: bool, with_top: bool,
     for i, c, dt in cols:
         vc = _value_counts(df, c, dt, fingerprint_text)
         if with_distinct:
-            distinct_parts.append(vc.groupBy(F.lit(c).alias("column_name")).agg(
-                F.count_if(~F.col("_null") & (F.col("cnt") > 0)).alias("distinct_count")))
+            # a global aggregate (one row even for an empty table) carrying the column name
+            distinct_parts.append(vc.agg(F.lit(c).alias("column_name"),
+                                         F.count_if(~F.col("_null") & (F.col("cnt") > 0)).alias("distinct_count")))
         if with_top:
             # NULL group sorts last and is dropped after the limit (filtering first would be
             # pushed below the aggregate and break the exchange reuse).
