@@ -104,3 +104,11 @@ def test_long_form_matches_branches(spark, users):
     d.collect()
     final = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("Scan parquet") == 2 and "ReusedExchange" in final
+
+
+def test_distinct_and_top_share_each_column_shuffle(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    df = P.profile(li)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("ReusedExchange") == len(li.columns)
