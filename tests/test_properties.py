@@ -2,13 +2,14 @@
 
 import itertools
 
-from hypothesis import HealthCheck, given, settings, strategies as st
+from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 
 from vigil.operators import cleaning as CL
 from vigil.operators import graph as GR
 from vigil.operators import lineage as LI
 
-SETTINGS = dict(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = dict(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck),
+                phases=[Phase.explicit, Phase.reuse, Phase.generate])
 
 
 @st.composite
@@ -108,3 +109,51 @@ def test_deduplicate_matches_window_semantics(spark, rows):
         # greatest ver, then greatest remaining columns (NULL smallest), as documented
         want.append(max(grp, key=lambda r: (r[1], r[2] is not None, r[2] or "")))
     assert got == sorted(want)
+
+
+values = st.lists(st.tuples(st.one_of(st.none(), st.integers(-3, 3)),
+                            st.one_of(st.none(), st.sampled_from(["x", "y", "12", " 7 ", "n/a"]))),
+                  min_size=0, max_size=20)
+
+
+@settings(**SETTINGS)
+@given(values)
+def test_profile_against_python(spark, rows):
+    from vigil.operators import profile as P
+    df = spark.createDataFrame(rows, "a int, s string")
+    cols = {"a": [r[0] for r in rows], "s": [r[1] for r in rows]}
+    for mode in ({}, {"long_form": True}, {"approx": True}):
+        got = {r["column_name"]: r for r in P.profile(df, **mode).collect()}
+        for c, vals in cols.items():
+            nn = [v for v in vals if v is not None]
+            assert got[c]["null_count"] == len(vals) - len(nn)
+            assert got[c]["distinct_count"] == len(set(nn))          # HLL is exact at this size
+            nums = [float(v) for v in nn if c == "a" or v.strip().isdigit()]
+            assert got[c]["castable_count"] == len(nums)
+            if nums:
+                assert got[c]["min"] == min(nums) and got[c]["max"] == max(nums)
+            counts = {}
+            for v in nn:
+                counts[str(v)] = counts.get(str(v), 0) + 1
+            top = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:5]
+            if top and (not nums or len(counts) <= 20):
+                if mode.get("approx") and len(counts) > 5:
+                    continue      # sketch may keep any of the values tied at the 5th place
+                assert [(t["value"], t["count"]) for t in got[c]["top_values"]] == top
+            else:
+                assert got[c]["top_values"] is None
+
+
+@settings(**SETTINGS)
+@given(values)
+def test_rules_against_python(spark, rows):
+    from vigil.operators import rules as RU
+    df = spark.createDataFrame(rows, "a int, s string")
+    rules = [RU.rule("not_null", "s"), RU.rule("unique", "a"), RU.rule("min", "a", value=0),
+             RU.rule("max", "a", value=2), RU.rule("accepted_values", "s", values=["x", "y"])]
+    got = {r["rule_index"]: r["failures"] for r in RU.validate_rules(df, rules).collect()}
+    a = [r[0] for r in rows if r[0] is not None]
+    s = [r[1] for r in rows]
+    want = {0: sum(v is None for v in s), 1: len(a) - len(set(a)), 2: sum(v < 0 for v in a),
+            3: sum(v > 2 for v in a), 4: sum(v is not None and v not in ("x", "y") for v in s)}
+    assert got == want

@@ -75,8 +75,9 @@ def _stats(df: DataFrame, cols, sketches: int = 0) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_rows")]
     if sketches:
         for i, c, dt in cols:
+            # k + 1 items: NULL can take one slot and is dropped below
             aggs += [F.approx_count_distinct(c).alias(f"_d{i}"),
-                     F.call_function("approx_top_k", F.col(c), F.lit(sketches)).alias(f"_k{i}")
+                     F.call_function("approx_top_k", F.col(c), F.lit(sketches + 1)).alias(f"_k{i}")
                      if isinstance(dt, _SKETCHABLE) else F.lit(None).alias(f"_k{i}")]
     for i, c, dt in cols:
         v = numeric_value(F.col(c), dt)
@@ -93,9 +94,12 @@ def _stats(df: DataFrame, cols, sketches: int = 0) -> DataFrame:
         if not sketches:
             return []
         if isinstance(dt, _SKETCHABLE):
-            keyed = F.sort_array(F.transform(f"_k{i}", lambda x: F.struct(
+            # the sketch counts NULL as an item; top values are non-null values only
+            items = F.filter(f"_k{i}", lambda x: x["item"].isNotNull())
+            keyed = F.sort_array(F.transform(items, lambda x: F.struct(
                 (-x["count"]).alias("n"), x["item"].cast("string").alias("value"))))
-            top = F.transform(keyed, lambda x: F.struct(x["value"].alias("value"), (-x["n"]).alias("count")))
+            top = F.slice(F.transform(keyed, lambda x: F.struct(x["value"].alias("value"), (-x["n"]).alias("count"))),
+                          1, sketches)
         else:
             top = F.lit(None).cast("array<struct<value:string,count:bigint>>")
         return [F.col(f"_d{i}").alias("distinct_approx"), top.alias("top_approx")]
@@ -220,7 +224,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, sample_size: int |
         F.lit(table).cast("string").alias("table"),
         "column_name", "position", "row_count",
         (F.lit(total) if total is not None else F.col("row_count")).cast("bigint").alias("total_rows"),
-        "null_count", null_rate.alias("null_rate"), "distinct_count", "castable_count",
+        # (the long form has no group at all for an empty table: 0 distinct values)
+        "null_count", null_rate.alias("null_rate"),
+        F.coalesce(F.col("distinct_count"), F.lit(0).cast("bigint")).alias("distinct_count"), "castable_count",
         F.when(is_numeric, F.lit("numeric")).alias("type"),
         F.when(is_numeric, F.col("min")).alias("min"),
         F.when(is_numeric, F.col("max")).alias("max"),
