@@ -157,3 +157,77 @@ def test_rules_against_python(spark, rows):
     want = {0: sum(v is None for v in s), 1: len(a) - len(set(a)), 2: sum(v < 0 for v in a),
             3: sum(v > 2 for v in a), 4: sum(v is not None and v not in ("x", "y") for v in s)}
     assert got == want
+
+
+cols = st.dictionaries(st.sampled_from(["id", "ID", "name", "amt", "x y"]),
+                       st.tuples(st.sampled_from(["INT", "BIGINT", "VARCHAR"]), st.one_of(st.none(), st.booleans())),
+                       max_size=5)
+
+
+@settings(**SETTINGS)
+@given(cols, cols)
+def test_drift_against_python(spark, src, tgt):
+    from vigil.operators import schema as SC
+    meta = "table_name string, name string, type string, nullable boolean, description string"
+    s = spark.createDataFrame([("t", n, t, nl, "") for n, (t, nl) in src.items()], meta)
+    g = spark.createDataFrame([("t", n, t, nl, "") for n, (t, nl) in tgt.items()], meta)
+    got = {r["name"]: (r["change"], r["changes"]) for r in SC.detect_drift(s, g).collect()}
+    want = {}
+    for n in tgt.keys() - src.keys():
+        want[n] = ("added", [])
+    for n in src.keys() - tgt.keys():
+        want[n] = ("removed", [])
+    for n in src.keys() & tgt.keys():
+        (ta, na), (tb, nb) = src[n], tgt[n]
+        na, nb = True if na is None else na, True if nb is None else nb
+        ch = ([f"type: {ta} -> {tb}"] if ta != tb else []) + ([f"nullable: {na} -> {nb}"] if na != nb else [])
+        if ch:
+            want[n] = ("modified", ch)
+    assert got == want
+
+
+tagsets = st.lists(st.sampled_from(["a", "b", "c", "d"]), max_size=3)
+
+
+@settings(**SETTINGS)
+@given(st.dictionaries(st.sampled_from(["e1", "e2", "e3"]), tagsets, max_size=3),
+       st.lists(st.tuples(st.sampled_from(["e1", "e2", "e4"]), st.sampled_from(["add", "remove", "set"]), tagsets),
+                max_size=5))
+def test_tag_apply_against_python(spark, state, changes):
+    from vigil.operators import catalog as CA
+    st_df = spark.createDataFrame([("table", e, t) for e, t in state.items()],
+                                  "entity_type string, entity_name string, tags array<string>")
+    ch_df = spark.createDataFrame([("table", e, a, t) for e, a, t in changes],
+                                  "entity_type string, entity_name string, action string, tags array<string>")
+    got = {r["entity_name"]: r["tags"] for r in CA.tag_apply(st_df, ch_df).collect()}
+    want = {}
+    for e in set(state) | {c[0] for c in changes}:
+        mine = [c for c in changes if c[0] == e]
+        sets = [c for c in mine if c[1] == "set"]
+        base = set(t for c in sets for t in c[2]) if sets else set(state.get(e, []))
+        base |= {t for c in mine if c[1] == "add" for t in c[2]}
+        base -= {t for c in mine if c[1] == "remove" for t in c[2]}
+        want[e] = sorted(base)
+    assert got == want
+
+
+@settings(**SETTINGS)
+@given(st.dates(min_value=__import__("datetime").date(2024, 1, 1), max_value=__import__("datetime").date(2024, 12, 31)),
+       st.integers(0, 70), st.sampled_from(["@daily", "@hourly", "@weekly", "@monthly", None]))
+def test_backfill_intervals_against_python(spark, start, days, schedule):
+    import datetime as dt
+    from vigil.operators import backfill as BF
+    end = start + dt.timedelta(days=days)
+    if schedule == "@hourly" and days > 5:
+        end = start + dt.timedelta(days=5)
+    step = {"@daily": dt.timedelta(days=1), "@hourly": dt.timedelta(hours=1), "@weekly": dt.timedelta(weeks=1),
+            "@monthly": dt.timedelta(days=30)}.get(schedule, dt.timedelta(days=1))
+    want, cur = [], dt.datetime.combine(start, dt.time())
+    while cur <= dt.datetime.combine(end, dt.time()):
+        want.append(cur)
+        cur += step
+    dags = spark.createDataFrame([("d", schedule, str(start), str(end))],
+                                 "dag_id string, schedule string, start_date string, end_date string")
+    tasks = spark.createDataFrame([("d", "t")], "dag_id string, task_id string")
+    got = sorted(r["interval"] for r in BF.backfill_plan(dags, tasks).collect())
+    assert got == want
