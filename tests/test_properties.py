@@ -231,3 +231,45 @@ def test_backfill_intervals_against_python(spark, start, days, schedule):
     tasks = spark.createDataFrame([("d", "t")], "dag_id string, task_id string")
     got = sorted(r["interval"] for r in BF.backfill_plan(dags, tasks).collect())
     assert got == want
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["p", "q"]), st.booleans(), st.integers(1, 60), st.integers(0, 5)),
+                min_size=1, max_size=30))
+def test_run_stats_against_python(spark, runs):
+    import datetime as dt
+    from vigil.operators import runs as RN
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, p, "success" if ok else "failed", float(d), 0, t0 + dt.timedelta(hours=h))
+            for i, (p, ok, d, h) in enumerate(runs)]
+    df = spark.createDataFrame(rows, "run_id long, pipeline string, status string, duration_min double, "
+                                     "rows_processed long, ts timestamp_ntz")
+    got = {r["pipeline"]: (r["runs_counted"], r["success_rate"], r["last_status"]) for r in RN.run_stats(df).collect()}
+    want = {}
+    for p in {r[1] for r in rows}:
+        mine = sorted([r for r in rows if r[1] == p], key=lambda r: (r[5], r[0]), reverse=True)[:20]
+        ok = sum(r[2] == "success" for r in mine)
+        # Spark rounds the decimal rendering half-up
+        from decimal import Decimal, ROUND_HALF_UP
+        rate = float(Decimal(repr(ok / len(mine))).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+        want[p] = (len(mine), rate, mine[0][2])
+    assert got == want
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.one_of(st.none(), st.floats(-100, 100, allow_nan=False)), min_size=0, max_size=25),
+       st.sampled_from([1.0, 1.5, 2.0]))
+def test_anomalies_against_numpy(spark, vals, thr):
+    import numpy as np
+    from vigil.operators import anomalies as A
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "t int, v double")
+    got = sorted(r["timestamp"] for r in A.detect_anomalies(df, "t", "v", threshold=thr).collect())
+    x = np.array([v for v in vals if v is not None])
+    want = []
+    if len(x) > 1 and x.std(ddof=1) > 0:
+        mu, sd = x.mean(), x.std(ddof=1)
+        want = [i for i, v in enumerate(vals) if v is not None and abs((v - mu) / sd) > thr + 1e-12]
+        border = [i for i, v in enumerate(vals) if v is not None and abs(abs((v - mu) / sd) - thr) <= 1e-9]
+        got = [i for i in got if i not in border]
+        want = [i for i in want if i not in border]
+    assert got == want
