@@ -30,7 +30,7 @@ def cost_by_provider(costs: DataFrame, provider: str = "all") -> DataFrame:
     c = _select(costs, provider)
     grand = c.agg(F.sum("total").alias("g")).scalar()
     return c.select("provider", "compute", "storage", "total",
-                    F.round(F.col("total") / grand, 4).cast("double").alias("share"))
+                    F.round(F.try_divide(F.col("total"), grand), 4).cast("double").alias("share"))
 
 
 def cost_summary(costs: DataFrame, provider: str = "all") -> DataFrame:

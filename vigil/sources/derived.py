@@ -29,7 +29,7 @@ VIEWS["runs"] = """
 SELECT event_id AS run_id, concat('p', CAST(user_id AS STRING)) AS pipeline,
        CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
        value / 2 AS duration_min,
-       CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) * 250000 AS rows_processed, ts
+       TRY_CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) * 250000 AS rows_processed, ts
 FROM {events}
 """
 
