@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from vigil.functions.columns import compact
 from vigil.operators import profile as P
 from vigil.operators.schema import columns_of
 
@@ -47,7 +48,7 @@ def lint_schema(columns: DataFrame, naming_case: str | None = "snake_case",
                                  F.concat(q("' looks like an ID but is "), typ))))
     table = F.col("table_name") if "table_name" in columns.columns else F.lit(None).cast("string")
     return (columns.select(table.alias("table_name"), name.alias("column"),
-                           F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("i"))
+                           F.explode(compact(*items)).alias("i"))
                    .select("table_name", "column", "i.severity", "i.rule", "i.message"))
 
 

@@ -14,6 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from vigil.functions.columns import compact
+
 ROW_RULES = ("not_null", "min", "max", "accepted_values")
 RULE_TYPES = ROW_RULES + ("unique", "custom_sql")
 SAMPLE_ROWS = 5
@@ -198,5 +200,5 @@ def quarantine(df: DataFrame, rules: list[Rule]) -> DataFrame:
             out = out.join(dups, list(r.columns), "left")
             flags.append(F.when(F.col(marker), label))
     cols = [c for c in df.columns]
-    return out.select(*cols, F.filter(F.array(*flags), lambda x: x.isNotNull()).alias("failed_rules")
+    return out.select(*cols, compact(*flags).alias("failed_rules")
                       if flags else F.array().cast("array<string>").alias("failed_rules"))

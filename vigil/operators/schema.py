@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from vigil.functions.columns import compact
+
 META_SCHEMA = ("table_name string, name string, type string, nullable boolean, "
                "description string, position int")
 
@@ -47,7 +49,7 @@ def detect_drift(source: DataFrame, target: DataFrame, keys=("table_name", "name
         else:
             diffs.append(F.when(~a.eqNullSafe(b), F.concat(F.lit(f"{c}: "), F.coalesce(a.cast("string"), F.lit("None")),
                                                            F.lit(" -> "), F.coalesce(b.cast("string"), F.lit("None")))))
-    changes = F.filter(F.array(*diffs), lambda x: x.isNotNull())
+    changes = compact(*diffs)
     change = (F.when(F.col("_s").isNull(), "added").when(F.col("_t").isNull(), "removed")
                .when(F.size(changes) > 0, "modified"))
     return (j.select(*keys, change.alias("change"),
