@@ -273,3 +273,42 @@ def test_anomalies_against_numpy(spark, vals, thr):
         got = [i for i in got if i not in border]
         want = [i for i in want if i not in border]
     assert got == want
+
+
+json_values = st.one_of(st.integers(-5, 5), st.floats(-2, 2, allow_nan=False), st.text("ab", max_size=2),
+                        st.booleans(), st.none(), st.just({"n": 1}), st.just([1, 2]))
+json_docs = st.lists(st.tuples(st.sampled_from(["before", "after"]),
+                               st.dictionaries(st.sampled_from(["k", "m", "z"]), json_values, max_size=3)),
+                     max_size=8)
+
+
+@settings(**SETTINGS)
+@given(json_docs)
+def test_json_key_drift_against_python(spark, docs):
+    import json
+    from pyspark.sql import functions as F
+    from vigil.operators import schema as SC
+    df = spark.createDataFrame([(p, json.dumps(d)) for p, d in docs], "p string, j string")
+    got = {r["key"]: (r["types_before"], r["types_after"], r["change"])
+           for r in SC.json_key_drift(df, "j", F.col("p")).collect()}
+
+    def cls(v):
+        if v is None:
+            return "null"
+        if isinstance(v, bool):
+            return "boolean"
+        if isinstance(v, (int, float)):
+            return "number"
+        return {str: "string", dict: "object", list: "array"}[type(v)]
+    seen = {"before": {}, "after": {}}
+    for p, d in docs:
+        for k, v in d.items():
+            seen[p].setdefault(k, set()).add(cls(v))
+    want = {}
+    for k in set(seen["before"]) | set(seen["after"]):
+        b = "|".join(sorted(seen["before"][k])) if k in seen["before"] else None
+        a = "|".join(sorted(seen["after"][k])) if k in seen["after"] else None
+        change = "added" if b is None else "removed" if a is None else "modified" if a != b else None
+        if change:
+            want[k] = (b, a, change)
+    assert got == want

@@ -186,7 +186,8 @@ def json_type_class(variant_type: Column) -> Column:
     """Coarse JSON type of a ``schema_of_variant`` string."""
     t = F.upper(variant_type)
     return (F.when(t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), "number")
-             .when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "NULL", "null")
+             .when(t == "STRING", "string").when(t == "BOOLEAN", "boolean")
+             .when(t.isin("VOID", "NULL"), "null")  # a JSON null is a VOID variant
              .when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").otherwise("other"))
 
 
