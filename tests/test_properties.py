@@ -312,3 +312,43 @@ def test_json_key_drift_against_python(spark, docs):
         if change:
             want[k] = (b, a, change)
     assert got == want
+
+
+@settings(**SETTINGS)
+@given(cols, cols)
+def test_migration_plan_against_python(spark, src, tgt):
+    from vigil.operators import schema as SC
+    meta = "table_name string, name string, type string, nullable boolean, description string"
+    s = spark.createDataFrame([("t", n, t, nl, "") for n, (t, nl) in src.items()], meta)
+    g = spark.createDataFrame([("t", n, t, nl, "") for n, (t, nl) in tgt.items()], meta)
+    got = [r["statement"] for r in SC.migration_plan(s, g).orderBy("seq").collect()]
+    q = lambda x: "`" + x + "`"
+    nn = lambda v: True if v is None else v
+    want = []
+    if not src and tgt:
+        cols_sql = ", ".join(f"{q(n)} {t}{'' if nn(nl) else ' NOT NULL'}" for n, (t, nl) in sorted(tgt.items()))
+        want = [f"CREATE TABLE `t` ({cols_sql});"]
+    elif src:
+        want += [f"ALTER TABLE `t` DROP COLUMN IF EXISTS {q(n)};" for n in sorted(src) if n not in tgt]
+        want += [f"ALTER TABLE `t` ADD COLUMN {q(n)} {tgt[n][0]}{'' if nn(tgt[n][1]) else ' NOT NULL'};"
+                 for n in sorted(tgt) if n not in src]
+        for n in sorted(src):
+            if n in tgt:
+                if src[n][0] != tgt[n][0]:
+                    want.append(f"ALTER TABLE `t` ALTER COLUMN {q(n)} TYPE {tgt[n][0]};")
+                if nn(src[n][1]) != nn(tgt[n][1]):
+                    want.append(f"ALTER TABLE `t` ALTER COLUMN {q(n)} "
+                                + ("DROP NOT NULL;" if nn(tgt[n][1]) else "SET NOT NULL;"))
+    assert got == want
+
+
+@settings(**SETTINGS)
+@given(st.sets(st.integers(0, 40), min_size=1, max_size=15))
+def test_missing_intervals_against_python(spark, days):
+    import datetime as dt
+    from vigil.operators import backfill as BF
+    d0 = dt.date(2024, 1, 1)
+    df = spark.createDataFrame([(d0 + dt.timedelta(days=d),) for d in days], "dt date")
+    got = sorted(r["interval"] for r in BF.missing_intervals(df, "dt").collect())
+    want = [d0 + dt.timedelta(days=d) for d in range(min(days), max(days) + 1) if d not in days]
+    assert got == want
