@@ -352,3 +352,44 @@ def test_missing_intervals_against_python(spark, days):
     got = sorted(r["interval"] for r in BF.missing_intervals(df, "dt").collect())
     want = [d0 + dt.timedelta(days=d) for d in range(min(days), max(days) + 1) if d not in days]
     assert got == want
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.sampled_from(["1", "22", "x", " 3", "-4", "9999999999"])),
+                          st.one_of(st.none(), st.integers(-5, 5))), max_size=12))
+def test_conform_and_safety_against_python(spark, rows):
+    from vigil.operators import schema as SC
+    df = spark.createDataFrame(rows, "v string, w int")
+    target = [("v", "int"), ("w", "string", False), ("new", "double")]
+
+    def to_int(x):
+        try:
+            n = int(x.strip())
+        except (ValueError, AttributeError):
+            return None
+        return n if -2**31 <= n < 2**31 else None
+    got = sorted(((r["v"], r["w"], r["new"]) for r in SC.conform(df, target).collect()), key=repr)
+    want = sorted(((to_int(v) if v is not None else None, None if w is None else str(w), None) for v, w in rows),
+                  key=repr)
+    assert got == want
+    safety = {(r["column"], r["change"]): r["rows_affected"] for r in SC.migration_safety(df, target).collect()}
+    assert safety == {("v", "cast"): sum(v is not None and to_int(v) is None for v, _ in rows),
+                      ("w", "cast"): 0, ("w", "set_not_null"): sum(w is None for _, w in rows)}
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["Orders", "users", "o_items"]), st.sampled_from(["", "Order facts", "misc"]),
+                          st.lists(st.sampled_from(["pii", "Ord", "x"]), max_size=2, unique=True)),
+                max_size=4, unique_by=lambda r: r[0]),
+       st.sampled_from(["ord", "PII", "", "zz"]))
+def test_catalog_search_against_python(spark, tables, query):
+    from vigil.operators import catalog as CA
+    t = spark.createDataFrame(tables, "table_name string, description string, tags array<string>")
+    c = spark.createDataFrame([(n, "order_id", "INT", True, d) for n, d, _ in tables],
+                              "table_name string, name string, type string, nullable boolean, description string")
+    got = sorted((r["kind"], r["name"]) for r in CA.catalog_search(t, c, query).collect())
+    q = query.lower()
+    want = [("table", n) for n, d, _ in tables if q in n.lower() or q in d.lower()]
+    want += [("column", "order_id") for n, d, _ in tables if q in "order_id" or q in d.lower()]
+    want += [("tag", g) for g in {g for _, _, tags in tables for g in tags} if q in g.lower()]
+    assert got == sorted(want)
