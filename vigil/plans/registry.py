@@ -949,9 +949,34 @@ def q_pii_scan(spark, sf):
     return FL.pii_scan({t: load(spark, sf, t) for t in _PII_TABLES})
 
 
-@register("validation_loop")
+_SPARK_TYPE = ("CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' "
+               "WHEN 'DOUBLE' THEN 'double' ELSE lower(column_type) END")
+_VLOOP_SQL = _DIRTY + f""",
+prof AS ({OP.profile_sql("dirty_customer", "dirty_customer", DIRTY_KINDS, with_top=False)}),
+cur AS (SELECT column_name AS name, {_SPARK_TYPE} AS type FROM (DESCRIBE SELECT * FROM dirty_customer)),
+base AS (SELECT column_name AS name, {_SPARK_TYPE} AS type FROM (DESCRIBE SELECT * FROM customer)),
+rules AS ({_rules_sql(list(range(7))).replace(_DIRTY, '')})
+SELECT 'profile' AS step, column_name AS subject, 'null_count' AS metric, CAST(null_count AS VARCHAR) AS value FROM prof
+UNION ALL SELECT 'profile', column_name, 'distinct_count', CAST(distinct_count AS VARCHAR) FROM prof
+UNION ALL SELECT 'profile', column_name, 'type', type FROM prof
+UNION ALL SELECT 'drift', coalesce(c.name, b.name), 'change',
+       CASE WHEN b.name IS NULL THEN 'added: ' WHEN c.name IS NULL THEN 'removed: '
+            ELSE 'modified: type: ' || b.type || ' -> ' || c.type END
+  FROM cur c FULL OUTER JOIN base b ON c.name = b.name
+  WHERE b.name IS NULL OR c.name IS NULL OR b.type <> c.type
+UNION ALL SELECT 'describe', 'dirty_customer', 'column_count', CAST(count(*) AS VARCHAR) FROM cur
+UNION ALL SELECT 'describe', 'dirty_customer', 'nullable_columns',
+       CAST(count(*) FILTER (WHERE name IN ({", ".join(repr(c) for c in _NULLABLE_DIRTY)})) AS VARCHAR) FROM cur
+UNION ALL SELECT 'rules', CAST(rule_index AS VARCHAR) || ':' || rule_type || ':' || "column", 'passed',
+       CAST(passed AS VARCHAR) FROM rules
+UNION ALL SELECT 'rules', CAST(rule_index AS VARCHAR) || ':' || rule_type || ':' || "column", 'failures',
+       CAST(failures AS VARCHAR) FROM rules"""
+
+
+# The view's Spark nullability (c_version is a literal, hence NOT NULL) is stated in the
+# oracle through _NULLABLE_DIRTY, as for lint_with_data; everything else is computed.
+@register("validation_loop", _VLOOP_SQL)
 def q_validation_loop(spark, sf):
-    # Rows-only: composes dq_profile, schema_drift, dq_rules_all (each oracle-checked).
     base = SC.columns_of(load(spark, sf, "customer"), "dirty_customer")
     return FL.validation_loop(D.view(spark, sf, "dirty_customer"), "dirty_customer", base, CUSTOMER_RULES)
 
