@@ -393,3 +393,55 @@ def test_catalog_search_against_python(spark, tables, query):
     want += [("column", "order_id") for n, d, _ in tables if q in "order_id" or q in d.lower()]
     want += [("tag", g) for g in {g for _, _, tags in tables for g in tags} if q in g.lower()]
     assert got == sorted(want)
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["user_id", "userId", "Bad Name", "width", "paid", "x"]),
+                          st.sampled_from(["INTEGER", "VARCHAR", "text", "STRING"]),
+                          st.one_of(st.none(), st.booleans()), st.sampled_from(["", "d"])), max_size=6),
+       st.sampled_from(["snake_case", "camelCase", None]), st.booleans(), st.booleans())
+def test_lint_against_python(spark, columns, case, req_desc, req_nn):
+    from vigil.operators import lint as LT
+    df = spark.createDataFrame([("t", *c) for c in columns],
+                               "table_name string, name string, type string, nullable boolean, description string")
+    got = sorted((r["column"], r["rule"], r["severity"]) for r in
+                 LT.lint_schema(df, naming_case=case, require_descriptions=req_desc, require_not_null=req_nn).collect())
+    want = []
+    for name, typ, nullable, desc in columns:
+        if case == "snake_case":
+            if any(ch.isupper() for ch in name):
+                want.append((name, "naming_case", "warning"))
+            if " " in name:
+                want.append((name, "no_spaces", "error"))
+        elif case == "camelCase" and "_" in name:
+            want.append((name, "naming_case", "warning"))
+        if req_desc and not desc:
+            want.append((name, "missing_description", "info"))
+        if req_nn and (True if nullable is None else nullable):
+            want.append((name, "nullable_column", "warning"))
+        if typ.upper() in ("TEXT", "VARCHAR", "STRING") and "id" in name.lower():
+            want.append((name, "id_type", "warning"))
+    assert got == sorted(want)
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["p", "q", "r"]), st.sampled_from(["critical", "warning", "info", "other"]),
+                          st.integers(0, 72), st.booleans()), max_size=15))
+def test_alerts_against_python(spark, alerts):
+    import datetime as dt
+    from vigil.operators import runs as RN
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, p, sev, "m" * 70, t0 + dt.timedelta(hours=h), ack) for i, (p, sev, h, ack) in enumerate(alerts)]
+    df = spark.createDataFrame(rows, "alert_id long, pipeline string, severity string, message string, "
+                                     "ts timestamp_ntz, acknowledged boolean")
+    as_of = "2024-01-03 00:00:00"
+    win = [r for r in rows if t0 + dt.timedelta(hours=24) < r[4] <= t0 + dt.timedelta(hours=48)]
+    s = RN.alert_summary(df, as_of, 24).collect()[0]
+    assert (s["total_alerts"], s["critical"], s["warning"], s["info"], s["pipelines_affected"],
+            s["unacknowledged_count"]) == (len(win), sum(r[2] == "critical" for r in win),
+                                           sum(r[2] == "warning" for r in win), sum(r[2] == "info" for r in win),
+                                           len({r[1] for r in win}), sum(not r[5] for r in win))
+    rank = {"critical": 0, "warning": 1}
+    want = [r[0] for r in sorted(win, key=lambda r: (rank.get(r[2], 2), r[4], r[0]))[:5]]
+    got = RN.top_alerts(df, as_of, 24).collect()
+    assert [r["alert_id"] for r in got] == want and all(len(r["message"]) == 60 for r in got)
