@@ -445,3 +445,38 @@ def test_alerts_against_python(spark, alerts):
     want = [r[0] for r in sorted(win, key=lambda r: (rank.get(r[2], 2), r[4], r[0]))[:5]]
     got = RN.top_alerts(df, as_of, 24).collect()
     assert [r["alert_id"] for r in got] == want and all(len(r["message"]) == 60 for r in got)
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.sampled_from(["drop", "rename", "modify", "note"])),
+                max_size=4, unique_by=lambda r: r[0]),
+       st.lists(st.tuples(st.sampled_from(["j1", "j2", "j3"]), st.sampled_from(["a", "b", "c"])), max_size=6))
+def test_impact_against_python(spark, changes, usage):
+    from vigil.operators import catalog as CA
+    ch = spark.createDataFrame([("t", c, k) for c, k in changes], "table_name string, column string, change_type string")
+    us = spark.createDataFrame([("t", j, c) for j, c in usage], "table_name string, pipeline string, column_name string")
+    got = {r["column"]: (r["severity"], r["affected_pipelines"]) for r in CA.impact_analysis(ch, us).collect()}
+    sev = {"drop": "high", "rename": "medium", "modify": "medium"}
+    want = {c: (sev.get(k, "low"), len({j for j, col in usage if col == c})) for c, k in changes}
+    assert got == want
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.integers(0, 9000), st.integers(0, 3000)), min_size=1, max_size=5))
+def test_cost_recommendations_against_python(spark, amounts):
+    from decimal import Decimal, ROUND_HALF_UP
+    from vigil.operators import cost as CO
+    rows = [(f"p{i}", Decimal(c), Decimal(s), Decimal(c + s)) for i, (c, s) in enumerate(amounts)]
+    df = spark.createDataFrame(rows, "provider string, compute decimal(18,2), storage decimal(18,2), total decimal(18,2)")
+    got = {r["area"]: r["potential_savings"] for r in CO.cost_recommendations(df).collect()}
+    top = max(rows, key=lambda r: (r[3], r[0]))
+    r0 = lambda x: int(x.quantize(Decimal("1"), rounding=ROUND_HALF_UP))
+    want = {}
+    if top[1] > top[2] * 3:
+        want["compute_optimization"] = r0(top[1] * Decimal("0.15"))
+    tc, ts = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    if tc > 10000:
+        want["warehouse_sizing"] = r0(tc * Decimal("0.10"))
+    if ts > 2000:
+        want["storage_optimization"] = r0(ts * Decimal("0.20"))
+    assert got == want
