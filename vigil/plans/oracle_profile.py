@@ -84,7 +84,8 @@ def top_values_sql(source: str, columns: list[tuple[str, str]]) -> str:
     for c, kind in columns:
         parts.append(
             f"SELECT column_name, rank, value, count FROM ("
-            f"SELECT '{c}' AS column_name, row_number() OVER (ORDER BY cnt DESC, value ASC) AS rank, value, cnt AS count,"
+            f"SELECT '{c}' AS column_name, CAST(row_number() OVER (ORDER BY cnt DESC, value ASC) AS INTEGER) AS rank,"
+            f" value, cnt AS count,"
             f" (SELECT count(*) FROM (SELECT DISTINCT \"{c}\" FROM {source} WHERE \"{c}\" IS NOT NULL)) AS d,"
             f" (SELECT count({_num_expr(c, kind)}) FROM {source}) AS castable"
             f" FROM (SELECT CAST(\"{c}\" AS VARCHAR) AS value, count(*) AS cnt FROM {source}"
