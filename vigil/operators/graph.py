@@ -31,7 +31,8 @@ def missing_parents(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     return _edges(edges).join(t, ["dag_id", "parent"], "left_anti")
 
 
-def _kahn(tasks: DataFrame, edges: DataFrame, with_paths: bool, max_rounds: int = 100_000):
+def _kahn(tasks: DataFrame, edges: DataFrame, with_paths: bool, max_rounds: int = 100_000,
+          want_levels: bool = True, want_blocked: bool = True):
     """Kahn's algorithm as DataFrame rounds: (levels, blocked), both checkpointed.
 
     State per round: the frontier (tasks that became ready last round) and ``pending``
@@ -81,12 +82,15 @@ def _kahn(tasks: DataFrame, edges: DataFrame, with_paths: bool, max_rounds: int
         if n_ready:
             frames.append(nxt)
         ready = nxt
-    levels = frames[0]
-    for f in frames[1:]:
-        levels = levels.unionByName(f)
-    # Materialise both results once in the reliable checkpoint folder, then free the rounds.
-    levels = levels.checkpoint()
-    blocked = pending.select("dag_id", "task_id").checkpoint()
+    # Materialise the wanted results once in the reliable checkpoint folder, then free the rounds.
+    levels = blocked = None
+    if want_levels:
+        levels = frames[0]
+        for f in frames[1:]:
+            levels = levels.unionByName(f)
+        levels = levels.checkpoint()
+    if want_blocked:
+        blocked = pending.select("dag_id", "task_id").checkpoint()
     for h in held:
         h.unpersist()
     return levels, blocked
@@ -99,13 +103,13 @@ def dag_levels(tasks: DataFrame, edges: DataFrame, with_paths: bool = True) -> D
     cycle or waiting on a missing parent never become ready and are absent (see
     ``blocked_tasks``).  ``path`` is the smallest longest chain ending at the task.
     """
-    return _kahn(tasks, edges, with_paths)[0]
+    return _kahn(tasks, edges, with_paths, want_blocked=False)[0]
 
 
 def blocked_tasks(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """Tasks that can never run — on a cycle, downstream of one, or waiting on a
     missing parent (what the Kahn rounds leave pending)."""
-    return _kahn(tasks, edges, with_paths=False)[1]
+    return _kahn(tasks, edges, with_paths=False, want_levels=False)[1]
 
 
 def level_widths(levels: DataFrame) -> DataFrame:
