@@ -480,3 +480,35 @@ def test_cost_recommendations_against_python(spark, amounts):
     if ts > 2000:
         want["storage_optimization"] = r0(ts * Decimal("0.20"))
     assert got == want
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["p", "q"]), st.integers(0, 4)), min_size=1, max_size=14))
+def test_recent_runs_against_python(spark, runs):
+    import datetime as dt
+    from vigil.operators import runs as RN
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, p, "success", float(i), 0, t0 + dt.timedelta(hours=h)) for i, (p, h) in enumerate(runs)]
+    df = spark.createDataFrame(rows, "run_id long, pipeline string, status string, duration_min double, "
+                                     "rows_processed long, ts timestamp_ntz")
+    got = sorted((r["pipeline"], r["pos"], r["run_id"]) for r in RN.recent_runs(df, 3).collect())
+    want = []
+    for p in {r[1] for r in rows}:
+        last = sorted([r for r in rows if r[1] == p], key=lambda r: (r[5], r[0]), reverse=True)[:3]
+        want += [(p, pos + 1, r[0]) for pos, r in enumerate(reversed(last))]
+    assert got == sorted(want)
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-9, 9)), st.one_of(st.none(), st.sampled_from(["a", "b"]))),
+                max_size=20))
+def test_failed_rows_against_python(spark, rows):
+    from vigil.operators import rules as RU
+    df = spark.createDataFrame(rows, "n int, s string")
+    rules = [RU.rule("not_null", "s"), RU.rule("max", "n", value=3), RU.rule("unique", "s")]
+    got = sorted((r["rule_index"], r["rank"], r["value"]) for r in RU.failed_rows(df, rules, k=3).collect())
+    fails = {0: ["NULL" for _, s in rows if s is None],
+             1: [str(n) for n, _ in rows if n is not None and n > 3],
+             2: sorted({s for _, s in rows if s is not None and sum(x == s for _, x in rows) > 1})}
+    want = [(i, k + 1, v) for i, vals in fails.items() for k, v in enumerate(sorted(vals)[:3])]
+    assert got == sorted(want)
