@@ -512,3 +512,27 @@ def test_failed_rows_against_python(spark, rows):
              2: sorted({s for _, s in rows if s is not None and sum(x == s for _, x in rows) > 1})}
     want = [(i, k + 1, v) for i, vals in fails.items() for k, v in enumerate(sorted(vals)[:3])]
     assert got == sorted(want)
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["d1", "d2"]), st.sampled_from(["a", "b", "c"])), max_size=6),
+       st.integers(0, 10), st.sampled_from(["@daily", "@weekly"]))
+def test_backfill_counts_and_history(spark, tasks, days, schedule):
+    import datetime as dt
+    from vigil.operators import backfill as BF
+    t = spark.createDataFrame(tasks or [("d1", "a")], "dag_id string, task_id string")
+    tasks = tasks or [("d1", "a")]
+    start = dt.date(2024, 3, 1)
+    dags = spark.createDataFrame([(d, schedule, str(start), str(start + dt.timedelta(days=days))) for d in ("d1", "d2")],
+                                 "dag_id string, schedule string, start_date string, end_date string")
+    n_iv = days // (7 if schedule == "@weekly" else 1) + 1
+    got = {r["dag_id"]: (r["total_intervals"], r["tasks_per_run"], r["total_task_runs"])
+           for r in BF.backfill_counts(dags, t).collect()}
+    want = {}
+    for d in ("d1", "d2"):
+        k = len({x for dd, x in tasks if dd == d})
+        want[d] = (n_iv, k, n_iv * k)
+    assert got == want
+    hist = BF.run_history(BF.backfill_plan(dags, t)).collect()
+    assert all(r["tasks"] == r["queued"] == want[r["dag_id"]][1] for r in hist)
+    assert len(hist) == sum(n_iv for d in ("d1", "d2") if want[d][1])
