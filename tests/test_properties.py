@@ -536,3 +536,15 @@ def test_backfill_counts_and_history(spark, tasks, days, schedule):
     hist = BF.run_history(BF.backfill_plan(dags, t)).collect()
     assert all(r["tasks"] == r["queued"] == want[r["dag_id"]][1] for r in hist)
     assert len(hist) == sum(n_iv for d in ("d1", "d2") if want[d][1])
+
+
+@settings(**SETTINGS)
+@given(st.integers(0, 60), st.integers(0, 70))
+def test_exact_sample(spark, n_rows, n):
+    from vigil.operators import profile as P
+    df = spark.range(n_rows).toDF("id")
+    s = P.sample_rows(df, n, seed=7)
+    got = [r["id"] for r in s.collect()]
+    assert len(got) == (min(n, n_rows) if n > 0 else n_rows)
+    assert len(set(got)) == len(got) and set(got) <= set(range(n_rows))
+    assert sorted(got) == sorted(r["id"] for r in P.sample_rows(df, n, seed=7).collect())
