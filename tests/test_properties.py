@@ -548,3 +548,24 @@ def test_exact_sample(spark, n_rows, n):
     assert len(got) == (min(n, n_rows) if n > 0 else n_rows)
     assert len(set(got)) == len(got) and set(got) <= set(range(n_rows))
     assert sorted(got) == sorted(r["id"] for r in P.sample_rows(df, n, seed=7).collect())
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["t1", "t2", "t3"]), st.lists(st.sampled_from(["pii", "x"]), max_size=2,
+                                                                          unique=True)), max_size=3, unique_by=lambda r: r[0]),
+       st.lists(st.tuples(st.sampled_from(["t1", "t2", "t4"]), st.sampled_from(["c1", "c2"])), max_size=6, unique=True),
+       st.lists(st.tuples(st.sampled_from(["t1", "t2"]), st.sampled_from(["j1", "j2"]), st.sampled_from(["c1", "c2"])),
+                max_size=6))
+def test_describe_and_tag_counts_against_python(spark, tables, columns, usage):
+    from vigil.operators import catalog as CA
+    t = spark.createDataFrame([(n, "", tags) for n, tags in tables], "table_name string, description string, tags array<string>")
+    c = spark.createDataFrame([(n, col, "INT", True, "") for n, col in columns],
+                              "table_name string, name string, type string, nullable boolean, description string")
+    u = spark.createDataFrame(usage, "table_name string, pipeline string, column_name string")
+    got = {r["table_name"]: (r["column_count"], r["downstream_pipelines"], r["columns_read"])
+           for r in CA.catalog_describe(t, c, u).collect()}
+    want = {n: (sum(1 for tn, _ in columns if tn == n), len({j for tn, j, _ in usage if tn == n}),
+                len({col for tn, _, col in usage if tn == n})) for n, _ in tables}
+    assert got == want
+    counts = {r["tag"]: r["table_count"] for r in CA.tag_counts(t).collect()}
+    assert counts == {g: sum(g in tags for _, tags in tables) for g in {g for _, tags in tables for g in tags}}
