@@ -21,6 +21,9 @@ carried along.  Further columns stay untouched.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -35,26 +38,66 @@ LENGTH = 2048
 GRID = 16
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-CACHED_WORDS = 500_000
+CACHED_WORDS = 700_000
 _CACHES: dict[str, "_Words"] = {}
 
 
+# a word and the ASCII punctuation behind it: the tokenizer always separates the two
+_TAIL = re.compile(rb"(.*[a-z0-9])([!-/:-@\[-`{-~]+)", re.DOTALL)
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The tokenizer's character for each byte: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
 class _Words(dict):
-    """Ids (as little-endian 32-bit bytes) of words between ASCII white space, which no token crosses."""
+    """Ids (as little-endian 32-bit bytes) of words between ASCII white space, which no token crosses.
+
+    Words of letters alone go straight to the tokenizer's merges, all others through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode, tokenizer.model
+        self.alphabet = _byte_alphabet()
+        with open(path, encoding="utf-8") as f:
+            layout = json.load(f)
+        steps = [x["type"] for x in layout["normalizer"]["normalizers"]] if layout.get("normalizer") else []
+        self.plain = steps == ["NFC", "Replace", "Lowercase"]  # what the short cut relies on
+
+    def ids(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if self.plain and text.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
+            low = text.lower()
+            if low.isalpha():
+                mapped = low.encode().decode("latin-1").translate(self.alphabet)
+                return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        tail = _TAIL.fullmatch(word) if self.plain and b"<|" not in word else None
+        ids = self[tail[1]] + self[tail[2]] if tail else self.ids(word)
         if len(word) <= 64:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
+    def of(self, segment: bytes) -> np.ndarray:
+        """Ids of a text, or of a part that ends before white space."""
+        if not self.plain:
+            words = segment.split()
+        elif b"<|" in segment:  # a special token may be there, and those are case-sensitive
+            words = [w if b"<|" in w else w.lower() for w in segment.split()]
+        else:
+            words = segment.lower().split()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+
 
 def _words(path: str | None) -> _Words:
     if path is None:
@@ -84,7 +127,7 @@ def pieces_of(text: np.ndarray, words: _Words, length: int = LENGTH):
     """Token ids of the pieces of one text (bytes)."""
     held = np.zeros(0, "<u4")
     for segment in _segments(text):
-        ids = np.frombuffer(b"".join(map(words.__getitem__, segment.split())), "<u4")
+        ids = words.of(segment)
         held = np.concatenate([held, ids]) if len(held) else ids
         while len(held) > length:
             yield held[:length]

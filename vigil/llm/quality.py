@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return sum(np.frombuffer(r["w"], np.float32) * (r["n"] / total) for r in shards).astype(np.float32)
 
 
-def score(df: DataFrame, weights: np.ndarray, id_col: str | None, text_col: str, keep: list[str]) -> DataFrame:
+def score(df: DataFrame, weights: np.ndarray, text_col: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of every row with ``score`` (probability of label 1)."""
     model = df.sparkSession.sparkContext.broadcast(weights)
     plain = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import decontam, packing, quality, simhash, toxicity
+from vigil.llm import common, decontam, packing, quality, sharding, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +25,25 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), "page_id", "url", "html", path)
+    revisit = F.col("record_type") == "revisit"
+    return warc.read(spark, path).select(
+        F.col("key").alias("page_id"), F.when(revisit, F.col("stated_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("stated_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", "refers_to")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", ["doc_id"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), "doc_id", "text", ["doc_id"])
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
@@ -50,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_simhash, op7_packing, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_warc, op4_simhash, op5_sharding, op7_packing, op9_quality, op10_decontamination)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,4 +94,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE = {"op10_decontamination": OP10_SQL}
+OP3_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (h)
+"""
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
+                  CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
+l AS (SELECT d.*, k AS depth, h >> (60 - k) AS bucket FROM d, range(0, 61) t(k)),
+s AS (SELECT depth, bucket, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM l GROUP BY ALL
+      HAVING sum(n_bytes) <= {sharding.LIMIT} OR min(h) = max(h)),
+leaf AS (SELECT doc_id, min(depth) AS depth, arg_min(shard_bytes, depth) AS shard_bytes FROM l JOIN s USING (depth, bucket) GROUP BY 1)
+SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth,
+       substr(lpad(bin(h), 60, '0'), 1, CAST(depth AS INTEGER)) AS shard, CAST(0 AS BIGINT) AS part, shard_bytes
+FROM d JOIN leaf USING (doc_id)
+"""
+
+ORACLE = {"op3_warc": OP3_SQL, "op5_sharding": OP5_SQL, "op10_decontamination": OP10_SQL}
