@@ -152,8 +152,7 @@ def write(pages: DataFrame, key: str, url: str, payload: str, path: str) -> None
     marked = rows.join(equal, "digest", "left")
     is_revisit = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     marked = marked.select("key", "url", "digest", is_revisit.alias("revisit"),
-                           F.when(is_revisit, F.col("first")).alias("refers_to"),
-                           F.when(is_revisit & F.col("first").isNull(), None).otherwise(F.col("payload")).alias("payload"))
+                           F.when(is_revisit, F.col("first")).alias("refers_to"), "payload")
     files = C.map_arrow(marked, _pack, "file binary")
     (files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1)
      .option("encoding", "ISO-8859-1").option("lineSep", struct.pack("<I", _SEEKABLE_MAGIC).decode("latin-1")).text(path))
