@@ -215,6 +215,43 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(total)
 
 
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Which leading ``bits`` bits occur among the longs of ``column``: 2**bits flags, packed.
+
+    The result has a fixed size; a full one merely filters less.
+    """
+    slots = df.select(F.shiftrightunsigned(column, 64 - bits).cast("int").alias("slot")).distinct()
+    blocks = slots.groupBy(F.shiftright("slot", 12).alias("block")).agg(F.collect_list("slot").alias("slots"))
+    flags = np.zeros(1 << bits, bool)
+    for row in blocks.toLocalIterator():
+        flags[np.array(row["slots"], np.int64)] = True
+    return np.packbits(flags)
+
+
+class Flags:
+    """A broadcast bitmap, unpacked once per task."""
+
+    def __init__(self, spark: SparkSession, packed: np.ndarray):
+        self.shared = spark.sparkContext.broadcast(packed)
+
+    @property
+    def value(self) -> np.ndarray:
+        return np.unpackbits(self.shared.value).astype(bool)
+
+
+def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Union of the pairs (i, j): afterwards ``label`` gives every node its component's smallest node."""
+    while True:
+        x, y = label[i], label[j]
+        on = x != y
+        if not on.any():
+            return
+        i, j = i[on], j[on]
+        np.minimum.at(label, np.maximum(x[on], y[on]), np.minimum(x[on], y[on]))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 # ---------------------------------------------------------------- connected components
 
 def components(edges: DataFrame) -> DataFrame:

@@ -165,17 +165,12 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, it
     texts = classes.groupBy("item").agg(F.first("text").alias("text"))
     prints = C.materialise(C.map_arrow(texts, _item_pass, "item binary, ifp long, iaround binary, n int"), "items")
     # both are of fixed size: at most 2**BITMAP_BITS slots, at most SPAN - 1 lengths
-    slots = prints.select(F.shiftrightunsigned("ifp", int(_SHIFT)).cast("int").alias("slot")).distinct()
-    blocks = slots.groupBy(F.shiftright("slot", 12).alias("block")).agg(F.collect_list("slot").alias("slots"))
-    bitmap = np.zeros(1 << BITMAP_BITS, bool)
-    for row in blocks.toLocalIterator():
-        bitmap[np.array(row["slots"], np.int64)] = True
+    bitmap = C.Flags(spark, C.bitmap(prints, "ifp", BITMAP_BITS))
     lengths = [r["n"] for r in prints.select("n").distinct().collect() if r["n"] < SPAN]
 
     source = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     layout = C.with_columns(source, keep, "__n_words long, __hits array<struct<fp:long,at:int,around:binary>>")
-    shared = spark.sparkContext.broadcast(np.packbits(bitmap))
-    passed = C.map_arrow(source, _document_pass(keep, lengths, _Unpacked(shared)), layout)
+    passed = C.map_arrow(source, _document_pass(keep, lengths, bitmap), layout)
     base = C.materialise(passed.withColumn("__rid", F.monotonically_increasing_id()), "documents")
     hits = base.select(F.col("__rid").alias("rid"), F.explode("__hits").alias("h")).select("rid", "h.*")
     met = hits.join(prints, F.col("fp") == F.col("ifp")).select("rid", "at", "around", "item", "iaround", "n")
@@ -199,13 +194,3 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, it
         F.coalesce("spans", F.expr("cast(array() as array<struct<fresh:long,finish:long>>)")).alias("spans"))
     return out
 
-
-class _Unpacked:
-    """The broadcast bitmap, unpacked once per task."""
-
-    def __init__(self, shared):
-        self.shared = shared
-
-    @property
-    def value(self) -> np.ndarray:
-        return np.unpackbits(self.shared.value).astype(bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import common, decontam, packing, quality, sharding, simhash, toxicity, vectors, warc
+from vigil.llm import common, decontam, lines, packing, quality, sharding, simhash, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), "doc_id", "text", ["doc_id"])
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(_table(spark, sf_dir, "documents"), "doc_id", "text", ["doc_id"])
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("new_text", 256).alias("text_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
@@ -68,7 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_vectors, op3_warc, op4_simhash, op5_sharding, op7_packing, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_vectors, op3_warc, op4_simhash, op5_sharding, op6_lines, op7_packing, op9_quality, op10_decontamination)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -296,23 +296,9 @@ def _forest(a: np.ndarray, b: np.ndarray, threshold: int) -> tuple[np.ndarray, n
     pa_, pb = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
     label = np.arange(len(nodes))
 
-    def merge(i, j):
-        while True:
-            x, y = label[i], label[j]
-            on = x != y
-            if not on.any():
-                return
-            i, j, x, y = i[on], j[on], x[on], y[on]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while True:  # point every node at its root
-                up = label[label]
-                if (up == label).all():
-                    break
-                label[:] = up
-
     pairs = _near if len(a) * len(b) <= 8 * _PAIRS else _near_large
     for i, j in pairs(a, b, threshold):
-        merge(pa_[i], pb[j])
+        C.merge_labels(label, pa_[i], pb[j])
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[moved], nodes[label[moved]]
 

@@ -180,22 +180,10 @@ def _group(rows: dict, threshold: float):
                     p, q = member[p[first]], member[q[first]]
                     np.add.at(counts, p, weight[q])
                     np.add.at(counts, q, weight[p])
-                    _merge(label, p, q)
+                    C.merge_labels(label, p, q)
     return counts, label
 
 
-def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    while True:
-        x, y = label[i], label[j]
-        on = x != y
-        if not on.any():
-            return
-        i, j = i[on], j[on]
-        np.minimum.at(label, np.maximum(x[on], y[on]), np.minimum(x[on], y[on]))
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
 def _compare(threshold: float):
     """Rows arrive sorted by (cell, table, i, j); a group may span batches, and is bounded by two chunks."""
     def run(batches):
