@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import common, decontam, lines, packing, quality, sharding, simhash, toxicity, vectors, warc
+from vigil.llm import common, decontam, lines, packing, quality, sharding, simhash, suffixes, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     weights = quality.train(docs, labels.where(_remainder(4) != 2), "doc_id", "text", "quality")
@@ -73,7 +77,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_vectors, op3_warc, op4_simhash, op5_sharding, op6_lines, op7_packing, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_vectors, op3_warc, op4_simhash, op5_sharding, op6_lines, op7_packing, op8_suffixes, op9_quality, op10_decontamination)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
