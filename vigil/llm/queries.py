@@ -61,12 +61,19 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+ACCEPTED_QUALITY = 0.7
+
+
+def quality_weights(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Weights learned from the labelled documents outside the held-out fold."""
+    return quality.train(docs, _table(spark, sf_dir, "labels").where(_remainder(4) != 2), "doc_id", "text", "quality")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    weights = quality.train(docs, labels.where(_remainder(4) != 2), "doc_id", "text", "quality")
-    scored = quality.score(docs, weights, "text", ["doc_id"])
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_weights(spark, docs, sf_dir), "text", ["doc_id"])
     return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score",
-                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+                         (F.col("score") >= ACCEPTED_QUALITY).cast("int").alias("predicted"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
