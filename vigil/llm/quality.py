@@ -3,8 +3,8 @@
 Features of a text: its words (anything between ASCII white space, case kept) and word bigrams, a
 bigram that repeats its word also as one shared feature, each hashed to one of ``2**BITS`` slots;
 a slot's value is ln(1 + count), the vector has length 1.  Training runs follow-the-regularised-
-leader (per-coordinate rates, L1 and L2) over a bounded, documented sample of labelled rows in
-``SHARDS`` independent passes whose weights are averaged, so no task holds more than a shard and
+leader (per-coordinate rates, L1 and L2) over a bounded, documented sample of labelled rows, cut into
+shards of about ``SHARD_ROWS`` whose weights are averaged, so no task holds more than a shard and
 the model has a fixed size.  Scoring is one narrow pass: no shuffle, the weights are broadcast.
 
 Defined results: null and empty texts have no features and score the bias alone; null labels are
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from vigil.llm import common as C
 
 BITS = 18
-SHARDS = 8
+SHARD_ROWS = 2048
 MAX_TRAINING_ROWS = 16_384
 EPOCHS = 4
 DAMP = 20.0  # added to the squared length: the few words of a short text say less
@@ -106,13 +106,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
               .orderBy(F.xxhash64("id"), "id").limit(max_rows))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # the sample is bounded by max_rows, so the broadcast is too
-    picked = C.map_arrow(rows.join(F.broadcast(chosen), "id"), _featurise("y", SHARDS),
+    shards = -(-chosen.count() // SHARD_ROWS) or 1
+    picked = C.map_arrow(rows.join(F.broadcast(chosen), "id"), _featurise("y", shards),
                          "shard int, id long, y int, slots binary, values binary")
-    shards = C.group_arrow(picked, ["shard"], _fit_shard, "n long, w binary").collect()
-    if not shards:
+    fitted = C.group_arrow(picked, ["shard"], _fit_shard, "n long, w binary").collect()
+    if not fitted:
         return np.zeros((1 << BITS) + 1, np.float32)
-    total = sum(r["n"] for r in shards)
-    return sum(np.frombuffer(r["w"], np.float32) * (r["n"] / total) for r in shards).astype(np.float32)
+    total = sum(r["n"] for r in fitted)
+    return sum(np.frombuffer(r["w"], np.float32) * (r["n"] / total) for r in fitted).astype(np.float32)
 
 
 def score(df: DataFrame, weights: np.ndarray, text_col: str, keep: list[str]) -> DataFrame:

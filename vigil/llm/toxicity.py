@@ -39,6 +39,7 @@ PRIOR = 4.0          # pseudo-tokens behind each word, divided as its stem's rat
 STEM_PRIOR = 8.0     # pseudo-tokens per class behind each stem
 SIGNIFICANT = 0.5
 MAX_TRAINING_ROWS = 50_000
+FOLDS = 4
 BLOCKS = 64           # slices of the slot table while counting
 
 
@@ -53,13 +54,17 @@ class Model:
 
 
 def _tokens(batch: pa.RecordBatch, column: str):
-    """Yield (first row, last row + 1, word slots, stem slots, first word of each row)."""
+    """Yield (first row, last row + 1, word slots, stem slots, repeats its neighbour?, first word of each row)."""
     for lo, hi, buf, bounds in C.text_groups(batch, column):
         low = C.LOWER[buf]
         starts, ends = C.word_spans(low, C.ALNUM, bounds)
         words = C.span_hashes(low, starts, ends) >> C.U64(64 - BITS)
         stems = C.span_hashes(low, starts, np.minimum(ends, starts + STEM)) >> C.U64(64 - STEM_BITS)
-        yield lo, hi, words.astype(np.int64), stems.astype(np.int64), C.row_of(starts, bounds)
+        words, first = words.astype(np.int64), C.row_of(starts, bounds)
+        again = np.zeros(len(words), bool)  # a word right after itself says nothing new
+        again[1:] = words[1:] == words[:-1]
+        again[first[:-1][np.diff(first) > 0]] = False
+        yield lo, hi, words, stems.astype(np.int64), again, first
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -89,16 +94,26 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, right - left) for s, e, left, right in held]
 
 
-def _row_scores(model: Model, words: np.ndarray, stems: np.ndarray) -> np.ndarray:
+def _row_scores(model: Model, words: np.ndarray, stems: np.ndarray, again: np.ndarray) -> np.ndarray:
     """Log-odds of each token under its word's counts and its stem's prior, less the drift."""
     odds = (model.counts[1][words] + PRIOR * model.stems[stems]) / (model.counts[0][words] + PRIOR)
-    return np.clip(np.log(odds) - DRIFT, -CEILING, CEILING)
+    return np.where(again, -DRIFT, np.clip(np.log(odds) - DRIFT, -CEILING, CEILING))
+
+
+def _log_e(model: Model, n: int, score: float) -> float:
+    """ln E: expected number of segments of ``score`` or more in n clean tokens."""
+    return model.log_k + np.log(max(n, 1)) - model.lam * score
+
+
+def _evidence(model: Model, n: int, scores) -> float:
+    """Summed -ln E of the significant segments."""
+    logs = (_log_e(model, n, v) for v in scores)
+    return sum(-x for x in logs if x < np.log(SIGNIFICANT))
 
 
 def evidence(model: Model, scores: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
     """Summed -ln E of the significant segments, and those segments with their E."""
-    base = model.log_k + np.log(max(len(scores), 1))
-    found = [(s, e, base - model.lam * v) for s, e, v in segments(scores)]
+    found = [(s, e, _log_e(model, len(scores), v)) for s, e, v in segments(scores)]
     found = [(s, e, x) for s, e, x in found if x < np.log(SIGNIFICANT)]
     return sum(-x for _, _, x in found), [(s, e, float(np.exp(x))) for s, e, x in found]
 
@@ -106,25 +121,29 @@ def evidence(model: Model, scores: np.ndarray) -> tuple[float, list[tuple[int, i
 # ---------------------------------------------------------------- learning
 
 def _count(batches):
-    """Per task: (block, kind, counts) of labelled tokens; kind 0 clean, 1 toxic."""
-    words = np.zeros((2, 1 << BITS), np.uint32)
-    stems = np.zeros((2, 1 << STEM_BITS), np.uint32)
-    any_rows = False
+    """Per task: (fold, block, kind, counts) of labelled tokens; kind 0 clean, 1 toxic."""
+    words = np.zeros((FOLDS, 2, 1 << BITS), np.uint32)
+    stems = np.zeros((FOLDS, 2, 1 << STEM_BITS), np.uint32)
+    seen = set()
     for batch in batches:
-        labels = batch.column("y").to_numpy(zero_copy_only=False)
-        for lo, hi, w, s, first in _tokens(batch, "text"):
-            any_rows = True
-            y = np.repeat(labels[lo:hi], np.diff(first))
-            for k in (0, 1):
-                np.add.at(words[k], w[y == k], 1)
-                np.add.at(stems[k], s[y == k], 1)
-    if any_rows:
-        width = (1 << BITS) // BLOCKS
-        for k in (0, 1):
-            yield pa.RecordBatch.from_pydict({
-                "block": pa.array([*range(BLOCKS), -1], pa.int32()), "kind": pa.array([k] * (BLOCKS + 1), pa.int32()),
-                "counts": pa.array([*(words[k][b * width: (b + 1) * width].tobytes() for b in range(BLOCKS)),
-                                    stems[k].tobytes()], pa.binary())})
+        labels, folds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "fold"))
+        for lo, hi, w, s, again, first in _tokens(batch, "text"):
+            sizes = np.diff(first)
+            y, f = np.repeat(labels[lo:hi], sizes)[~again], np.repeat(folds[lo:hi], sizes)[~again]
+            w, s = w[~again], s[~again]
+            for k in set(zip(folds[lo:hi].tolist(), labels[lo:hi].tolist())):
+                seen.add(k)
+                on = (f == k[0]) & (y == k[1])
+                np.add.at(words[k], w[on], 1)
+                np.add.at(stems[k], s[on], 1)
+    width = (1 << BITS) // BLOCKS
+    for fold, kind in sorted(seen):
+        own = words[fold, kind]
+        yield pa.RecordBatch.from_pydict({
+            "fold": pa.array([fold] * (BLOCKS + 1), pa.int32()), "block": pa.array([*range(BLOCKS), -1], pa.int32()),
+            "kind": pa.array([kind] * (BLOCKS + 1), pa.int32()),
+            "counts": pa.array([*(own[b * width: (b + 1) * width].tobytes() for b in range(BLOCKS)),
+                                stems[fold, kind].tobytes()], pa.binary())})
 
 
 def _add(key, table):
@@ -132,8 +151,8 @@ def _add(key, table):
     for blob in table["counts"].to_pylist():
         part = np.frombuffer(blob, np.uint32).astype(np.float64)
         total = part if total is None else total + part
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "kind": pa.array([key[1].as_py()], pa.int32()),
-                     "counts": pa.array([total.tobytes()], pa.binary())})
+    fold, block, kind = (pa.array([k.as_py()], pa.int32()) for k in key)
+    return pa.table({"fold": fold, "block": block, "kind": kind, "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
 def _model(words: np.ndarray, stems: np.ndarray) -> Model:
@@ -147,26 +166,24 @@ def _model(words: np.ndarray, stems: np.ndarray) -> Model:
 GRID = np.arange(-CEILING, CEILING + 0.25, 0.25)  # bin centres of the score histogram
 
 
-def _statistics(model_of, final: bool):
-    """Per labelled text: label, tokens, largest segment score (finally: evidence), score histogram."""
+def _statistics(models):
+    """Per labelled text, under the model that did not see it: tokens, segment scores, score histogram."""
     def run(batches):
-        model = model_of.value
+        held_out = models.value
         for batch in batches:
-            size = batch.num_rows
-            n, top, bins = [0] * size, [0.0] * size, [b""] * size
-            for lo, hi, w, s, first in _tokens(batch, "text"):
-                scores = _row_scores(model, w, s)
+            size, folds = batch.num_rows, batch.column("fold").to_pylist()
+            n, found, bins = [0] * size, [[] for _ in range(size)], [b""] * size
+            for lo, hi, w, s, again, first in _tokens(batch, "text"):
                 for r in range(hi - lo):
-                    own = scores[first[r]: first[r + 1]]
+                    at = slice(first[r], first[r + 1])
+                    own = _row_scores(held_out[folds[lo + r]], w[at], s[at], again[at])
                     n[lo + r] = len(own)
-                    if final:
-                        top[lo + r] = evidence(model, own)[0]
-                    else:
-                        top[lo + r] = max((v for _, _, v in segments(own)), default=0.0)
-                        place = np.rint((own + CEILING) / 0.25).astype(np.int64)
-                        bins[lo + r] = np.bincount(place, minlength=len(GRID)).astype(np.uint32).tobytes()
-            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "n": pa.array(n, pa.int64()),
-                                              "top": pa.array(top, pa.float64()), "bins": pa.array(bins, pa.binary())})
+                    found[lo + r] = [v for _, _, v in segments(own)]
+                    place = np.rint((own + CEILING) / 0.25).astype(np.int64)
+                    bins[lo + r] = np.bincount(place, minlength=len(GRID)).astype(np.uint32).tobytes()
+            yield pa.RecordBatch.from_pydict({
+                "y": batch.column("y"), "n": pa.array(n, pa.int64()), "found": pa.array(found, pa.list_(pa.float64())),
+                "bins": pa.array(bins, pa.binary())})
     return run
 
 
@@ -186,13 +203,13 @@ def _lambda(scores: np.ndarray, weights: np.ndarray) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton steps with a small ridge."""
-    a, b = 0.0, float(np.log((y.sum() + 1.0) / ((1 - y).sum() + 1.0)))
+    """Slope and offset by Newton steps; a weak prior holds the slope near 1 while labels are few."""
+    a, b = 1.0, float(np.log((y.sum() + 1.0) / ((1 - y).sum() + 1.0)))
     design = np.stack([x, np.ones_like(x)])
-    for _ in range(50):
+    for _ in range(100):
         p = 1.0 / (1.0 + np.exp(-np.clip(a * x + b, -30, 30)))
-        grad = design @ (p - y) + np.array([1e-3 * a, 1e-3 * b])
-        hess = (design * (p * (1 - p))) @ design.T + 1e-3 * np.eye(2)
+        grad = design @ (p - y) + np.array([a - 1.0, 1e-3 * b])
+        hess = (design * (p * (1 - p))) @ design.T + np.diag([1.0, 1e-3])
         step = np.linalg.solve(hess, grad)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
         a, b = a - step[0], b - step[1]
@@ -205,39 +222,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
           max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """Model from at most ``max_rows`` labelled rows (those whose id hashes lowest).
 
-    Three quarters of the sample give the token scores, the last quarter calibrates them.
+    All of the sample gives the token counts; what calibrates them is each text's result under the
+    counts of the other folds.
     """
     spark = docs.sparkSession
-    chosen = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    chosen = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
               .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
               .orderBy(F.xxhash64("id"), "id").limit(max_rows))
+    chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS)).cast("int"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # the sample is bounded by max_rows, so the broadcast is too
     sample = C.materialise(rows.join(F.broadcast(chosen), "id"), "labelled")
-    fit = sample.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) != 0)
-    rest = sample.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0)
-    words, stems = np.zeros((2, 1 << BITS)), np.zeros((2, 1 << STEM_BITS))
+    words, stems = np.zeros((FOLDS, 2, 1 << BITS), np.float32), np.zeros((FOLDS, 2, 1 << STEM_BITS), np.float32)
     width = (1 << BITS) // BLOCKS
-    layout = "block int, kind int, counts binary"
-    for r in C.group_arrow(C.map_arrow(fit, _count, layout), ["block", "kind"], _add, layout).collect():
-        part = np.frombuffer(r["counts"], np.float64)
+    layout = "fold int, block int, kind int, counts binary"
+    for r in C.group_arrow(C.map_arrow(sample, _count, layout), ["fold", "block", "kind"], _add, layout).toLocalIterator():
+        part = np.frombuffer(r["counts"], np.float32)
         if r["block"] < 0:
-            stems[r["kind"]] = part
+            stems[r["fold"], r["kind"]] = part
         else:
-            words[r["kind"]][r["block"] * width: (r["block"] + 1) * width] = part
-    model = _model(words, stems)
-    kinds = "y int, n long, top double, bins binary"
+            words[r["fold"], r["kind"], r["block"] * width: (r["block"] + 1) * width] = part
+    all_words, all_stems = words.sum(axis=0), stems.sum(axis=0)
+    model = _model(all_words, all_stems)
+    others = spark.sparkContext.broadcast([_model(all_words - words[f], all_stems - stems[f]) for f in range(FOLDS)])
     # one small row for each row of the bounded sample
-    tops = C.map_arrow(rest, _statistics(spark.sparkContext.broadcast(model), False), kinds).toPandas()
-    clean = tops[(tops.y == 0) & (tops.n > 0)]
+    seen = C.map_arrow(sample, _statistics(others), "y int, n long, found array<double>, bins binary").toPandas()
+    C.discard(spark, sample)
+    others.destroy()
+    clean = seen[(seen.y == 0) & (seen.n > 0)]
     if len(clean):
         model.lam = _lambda(GRID, sum(np.frombuffer(x, np.uint32).astype(np.float64) for x in clean.bins))
-        reduced = model.lam * clean.top.to_numpy() - np.log(clean.n.to_numpy())
-        model.log_k = float(np.quantile(reduced, 0.95) + np.log(-np.log(0.95)))
-    found = C.map_arrow(rest, _statistics(spark.sparkContext.broadcast(model), True), kinds).toPandas()
-    x, y = np.log1p(found.top.to_numpy(dtype=float)), found.y.to_numpy(dtype=float)
-    model.slope, model.offset = _logistic(x, y) if len(y) else (0.0, 0.0)
-    C.discard(spark, sample)
+        top = np.array([max(x, default=0.0) for x in clean.found])
+        model.log_k = float(np.quantile(model.lam * top - np.log(clean.n.to_numpy()), 0.95) + np.log(-np.log(0.95)))
+    x = np.array([_evidence(model, n, found) for n, found in zip(seen.n, seen.found)], float)
+    if len(seen):
+        model.slope, model.offset = _logistic(np.log1p(x), seen.y.to_numpy(dtype=float))
     return model
 
 
@@ -253,8 +272,8 @@ def score(df: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFr
         m = shared.value
         for batch in batches:
             out, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-            for lo, hi, w, s, first in _tokens(batch, "__text"):
-                scores = _row_scores(m, w, s)
+            for lo, hi, w, s, again, first in _tokens(batch, "__text"):
+                scores = _row_scores(m, w, s, again)
                 busy = np.add.reduceat(np.append(scores > 0, False).astype(np.int32), first[:-1]) if len(scores) else []
                 for r in range(hi - lo) if len(scores) else ():
                     if first[r] == first[r + 1] or not busy[r]:
