@@ -27,7 +27,7 @@ def test_diamond_and_critical_path(spark):
     t, e = dag(spark, {"start": [], "branch_a": ["start"], "branch_b": ["start"], "join": ["branch_a", "branch_b"]})
     lv = GR.dag_levels(t, e)
     assert {r["task_id"]: r["level"] for r in lv.collect()}["join"] == 3
-    cp = GR.critical_path(lv).collect()[0]
+    cp = GR.critical_path(lv, e).collect()[0]
     assert cp["critical_path"] == "start>branch_a>join" and cp["critical_path_length"] == 3
     assert GR.dag_resolution(lv).collect()[0]["can_parallelize"] is True
     adj = {r["task_id"]: (r["n_parents"], r["n_children"]) for r in GR.adjacency(t, e).collect()}

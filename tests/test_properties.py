@@ -61,7 +61,7 @@ def test_levels_and_critical_path(spark, g):
     lv = GR.dag_levels(tasks, e)
     want, _ = brute_levels(n, edges)
     assert {r["task_id"]: r["level"] for r in lv.collect()} == {f"t{i}": l for i, l in want.items()}
-    cp = GR.critical_path(lv).collect()[0]
+    cp = GR.critical_path(lv, e).collect()[0]
     path, length = brute_critical(n, edges)
     assert cp["critical_path"] == ">".join(path) and cp["critical_path_length"] == length
 

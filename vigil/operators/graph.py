@@ -1,23 +1,20 @@
 """Task-dependency analytics (G1-G7) over tasks (dag_id, task_id) and
 edges (dag_id, child, parent).
 
-Levels come from an iterative Kahn loop written as DataFrame joins: each round marks the
-tasks whose parents are all done.  The loop also carries the critical-path dynamic
-programme: a task's best chain is the smallest (lexicographic) chain among its parents
-one level up, plus itself — so the deepest chain per DAG is deterministic.  Rounds equal
-the DAG depth; every few rounds the state is written to the reliable checkpoint folder.
+Levels come from Kahn's algorithm in DataFrame rounds.  A round joins the edges with the tasks
+that became ready in the round before, and touches nothing else: finished parents are counted per
+touched child and carried until the count reaches the child's number of parents.  Every round is
+written to the shared checkpoint folder (``session.Rounds``), the levels are those rows; only
+the edges are cached.  Rounds end by themselves when no task became ready.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import Rounds
 
-# Lineage cut: every round reads the previous round's state twice, and a logical plan is a
-# tree, so an uncut plan doubles per round (persist() does not shorten it).  A reliable
-# checkpoint every 2 rounds bounds it at 4 copies.
-CHECKPOINT_EVERY = 2
+KEY = ["dag_id", "task_id"]
 
 
 def _edges(edges: DataFrame) -> DataFrame:
@@ -31,85 +28,102 @@ def missing_parents(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     return _edges(edges).join(t, ["dag_id", "parent"], "left_anti")
 
 
-def _kahn(tasks: DataFrame, edges: DataFrame, with_paths: bool, max_rounds: int = 100_000,
-          want_levels: bool = True, want_blocked: bool = True):
-    """Kahn's algorithm as DataFrame rounds: (levels, blocked), both checkpointed.
+def dag_levels(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(dag_id, task_id, level) for every task that can run; runs its rounds when called.
 
-    State per round: the frontier (tasks that became ready last round) and ``pending``
-    (tasks still waiting, with their count of unfinished parents).  A round joins the
-    frontier with the cached edges, counts finished parents per child, and subtracts.
-    Tasks reaching zero form the next frontier; one action per round.  The edges are not
-    pre-partitioned on the parent: a small frontier is broadcast by AQE (edges stay put),
-    and for a large one AQE can still split a hub parent's partition (skew join).
+    level 1 = no parents; level k = 1 + the deepest parent.  Tasks on a cycle, below a
+    cycle or waiting on a missing parent never become ready and are absent (see
+    ``blocked_tasks``).
     """
     spark = tasks.sparkSession
-    ensure_checkpoint_dir(spark)
+    state = Rounds(spark, "levels")
     e = _edges(edges).persist()
-    nodes = tasks.select("dag_id", "task_id").distinct()
-    indeg = e.groupBy("dag_id", F.col("child").alias("task_id")).agg(F.count(F.lit(1)).alias("remaining"))
-    ready = nodes.join(indeg, ["dag_id", "task_id"], "left_anti").withColumn("level", F.lit(1))
-    if with_paths:
-        ready = ready.withColumn("path", F.array("task_id"))
-    ready = ready.persist()
-    # tasks with a parent: everything in indeg that is a task (a missing parent still counts)
-    pending = indeg.join(nodes, ["dag_id", "task_id"], "left_semi").persist()
-    held = [e, ready, pending]
-    frames = [ready]
+    nodes = tasks.select(*KEY).distinct()
+    # a missing parent still counts, so its child never completes
+    need = e.groupBy("dag_id", F.col("child").alias("task_id")).agg(F.count(F.lit(1)).alias("need"))
+    none = F.lit(0).cast("bigint")
+    now = state.write(1, nodes.join(need, KEY, "left_anti").select(*KEY, none.alias("done"), none.alias("need")))
+    need = need.join(nodes, KEY, "left_semi").persist()
     level = 1
-    n_ready = ready.count()
-    while n_ready > 0 and level < max_rounds:
+    while True:
+        ready = now.where("done = need").select("dag_id", F.col("task_id").alias("parent"))
+        if ready.isEmpty():
+            break
         level += 1
-        front = ready.select("dag_id", F.col("task_id").alias("parent"), *(["path"] if with_paths else []))
-        hits = e.join(front, ["dag_id", "parent"])
-        aggs = [F.count(F.lit(1)).alias("done_now")]
-        if with_paths:
-            # parents finishing last round are the deepest ones; keep the smallest chain
-            aggs.append(F.min("path").alias("ppath"))
-        dec = hits.groupBy("dag_id", F.col("child").alias("task_id")).agg(*aggs)
-        upd = (pending.join(dec, ["dag_id", "task_id"], "left")
-                      .withColumn("remaining", F.col("remaining") - F.coalesce("done_now", F.lit(0))))
-        upd = upd.persist()
-        held.append(upd)
-        if level % CHECKPOINT_EVERY == 0:
-            upd = upd.checkpoint()  # written from the cache, not recomputed
-        nxt = upd.filter((F.col("remaining") == 0) & F.col("done_now").isNotNull()).withColumn("level", F.lit(level))
-        if with_paths:
-            nxt = nxt.withColumn("path", F.concat("ppath", F.array("task_id")))
-        nxt = nxt.select("dag_id", "task_id", "level", *(["path"] if with_paths else [])).persist()
-        held.append(nxt)
-        n_ready = nxt.count()
-        pending = upd.filter(F.col("remaining") > 0).select("dag_id", "task_id", "remaining")
-        if n_ready:
-            frames.append(nxt)
-        ready = nxt
-    # Materialise the wanted results once in the reliable checkpoint folder, then free the rounds.
-    levels = blocked = None
-    if want_levels:
-        levels = frames[0]
-        for f in frames[1:]:
-            levels = levels.unionByName(f)
-        levels = levels.checkpoint()
-    if want_blocked:
-        blocked = pending.select("dag_id", "task_id").checkpoint()
-    for h in held:
-        h.unpersist()
-    return levels, blocked
-
-
-def dag_levels(tasks: DataFrame, edges: DataFrame, with_paths: bool = True) -> DataFrame:
-    """G4 (+G5 state): (dag_id, task_id, level[, path]) for every task that can run.
+        hits = (e.join(ready, ["dag_id", "parent"]).groupBy("dag_id", F.col("child").alias("task_id"))
+                 .agg(F.count(F.lit(1)).alias("done")))
+        waiting = now.where("done < need").select(*KEY, "done")
+        touched = hits.unionByName(waiting).groupBy(*KEY).agg(F.sum("done").alias("done"))
+        now = state.write(level, touched.join(need, KEY).select(*KEY, "done", "need"))
+    e.unpersist()
+    need.unpersist()
+    return state.all().where("done = need").select(*KEY, F.col("round").alias("level"))
 
-    level 1 = no parents; level k = 1 + the deepest parent.  Tasks on a cycle, below a
-    cycle or waiting on a missing parent never become ready and are absent (see
-    ``blocked_tasks``).  ``path`` is the smallest longest chain ending at the task.
-    """
-    return _kahn(tasks, edges, with_paths, want_blocked=False)[0]
 
+def blocked_tasks(tasks: DataFrame, edges: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """Tasks that can never run: on a cycle, downstream of one, or waiting on a missing
+    parent (what the rounds never reach)."""
+    levels = dag_levels(tasks, edges) if levels is None else levels
+    return tasks.select(*KEY).distinct().join(levels, KEY, "left_anti")
 
-def blocked_tasks(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Tasks that can never run — on a cycle, downstream of one, or waiting on a
-    missing parent (what the Kahn rounds leave pending)."""
-    return _kahn(tasks, edges, with_paths=False, want_levels=False)[1]
+
+def _spread(edges: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(dag_id, task_id, label): the smallest task that reaches each task along ``edges`` (a -> b).
+
+    Only labels that improved in a round travel in the next; all are kept as rounds.
+    """
+    state = Rounds(tasks.sparkSession, "labels")
+    now, k = state.write(0, tasks.select(*KEY, F.col("task_id").alias("label"))), 0
+    while not now.isEmpty():
+        k += 1
+        reached = (edges.join(now.withColumnRenamed("task_id", "a"), ["dag_id", "a"])
+                   .groupBy("dag_id", F.col("b").alias("task_id")).agg(F.min("label").alias("label")))
+        best = state.all().groupBy(*KEY).agg(F.min("label").alias("best"))
+        now = state.write(k, reached.join(best, KEY).where("label < best").select(*KEY, "label"))
+    return state.all().groupBy(*KEY).agg(F.min("label").alias("label"))
+
+
+def cycle_members(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(dag_id, cycle, task_id) for every task that reaches itself; ``cycle`` is the smallest
+    task of its strongly connected group.  Runs its rounds when called.
+
+    Tasks without a cyclic past (levels) and without a cyclic future (levels of the reversed
+    rest) are stripped.  In what is left, a task whose smallest reaching task and smallest
+    reached task are the same one lies on a cycle with it; those groups leave and the rest is
+    stripped again, until nothing is left.
+    """
+    spark = tasks.sparkSession
+    nodes = tasks.select(*KEY).distinct()
+    own = nodes.withColumnRenamed("task_id", "parent")
+    inner = _edges(edges).join(own, ["dag_id", "parent"], "left_semi")
+    inner = inner.join(nodes.withColumnRenamed("task_id", "child"), ["dag_id", "child"], "left_semi")
+    out, left, k = Rounds(spark, "cycles"), Rounds(spark, "rest"), 0
+    rest = left.write(0, nodes)
+    found = out.write(0, nodes.where("false").select("dag_id", F.col("task_id").alias("cycle"), "task_id"))
+
+    def among(kept):
+        a = inner.join(kept.withColumnRenamed("task_id", "parent"), ["dag_id", "parent"], "left_semi")
+        return a.join(kept.withColumnRenamed("task_id", "child"), ["dag_id", "child"], "left_semi")
+
+    while True:
+        past = blocked_tasks(rest, among(rest))
+        flipped = among(past).select("dag_id", F.col("parent").alias("child"), F.col("child").alias("parent"))
+        k += 1
+        rest = left.write(2 * k - 1, blocked_tasks(past, flipped))
+        if rest.isEmpty():
+            return out.all().drop("round")
+        e = among(rest).persist()
+        down = _spread(e.select("dag_id", F.col("parent").alias("a"), F.col("child").alias("b")), rest)
+        up = _spread(e.select("dag_id", F.col("child").alias("a"), F.col("parent").alias("b")), rest)
+        both = down.join(up.withColumnRenamed("label", "reached"), KEY)
+        loops = e.where("parent = child").select("dag_id", F.col("child").alias("task_id"), F.lit(True).alias("loop")).distinct()
+        group = both.where("label = reached").join(loops, KEY, "left")
+        several = group.groupBy("dag_id", F.col("label").alias("cycle")).agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.coalesce("loop", F.lit(False))).alias("loop")).where("n > 1 OR loop")
+        found = out.write(k, group.select("dag_id", F.col("label").alias("cycle"), "task_id")
+                          .join(several, ["dag_id", "cycle"], "left_semi"))
+        rest = left.write(2 * k, rest.join(group, KEY, "left_anti"))
+        e.unpersist()
 
 
 def level_widths(levels: DataFrame) -> DataFrame:
@@ -138,11 +152,35 @@ def topological_order(levels: DataFrame) -> DataFrame:
     return levels.select("dag_id", "level", "task_id").orderBy("dag_id", "level", "task_id")
 
 
-def critical_path(levels: DataFrame) -> DataFrame:
-    """Per DAG the longest chain (ties: smallest chain) and its length."""
-    best = levels.groupBy("dag_id").agg(F.min(F.struct((-F.col("level")).alias("neg"), F.col("path"))).alias("b"))
-    return best.select("dag_id", F.array_join("b.path", ">").alias("critical_path"),
-                       (-F.col("b.neg")).alias("critical_path_length"))
+def critical_path(levels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per DAG the longest chain (ties: smallest chain) and its length; runs its rounds when called.
+
+    Edges between neighbouring levels are kept, backwards from the deepest tasks, as long as they lead
+    there; then the smallest task of level 1 on such a chain is followed by its smallest kept
+    child, one task per DAG and level.  No task carries its chain.
+    """
+    spark = levels.sparkSession
+    up = levels.select("dag_id", F.col("task_id").alias("parent"), F.col("level").alias("above"))
+    tight = Rounds(spark, "tight").write(0, (
+        _edges(edges).join(levels.withColumnRenamed("task_id", "child"), ["dag_id", "child"])
+        .join(up, ["dag_id", "parent"]).where("above = level - 1").select("dag_id", "parent", "child", "level")))
+    deepest = levels.groupBy("dag_id").agg(F.max("level").alias("depth"))
+    ends = Rounds(spark, "ends").write(0, levels.join(deepest, "dag_id").where("level = depth").select(*KEY, "level"))
+    depth = ends.agg(F.max("level")).first()[0] or 0
+    kept, leads, on_path = Rounds(spark, "kept"), {}, ends.where(F.col("level") == depth).select(*KEY)
+    for k in range(depth, 1, -1):
+        leads[k] = kept.write(k, tight.where(F.col("level") == k).join(
+            on_path.withColumnRenamed("task_id", "child"), ["dag_id", "child"], "left_semi").select("dag_id", "parent", "child"))
+        on_path = (leads[k].select("dag_id", F.col("parent").alias("task_id")).distinct()
+                   .union(ends.where(F.col("level") == k - 1).select(*KEY)))
+    chain = Rounds(spark, "chain")
+    chosen = chain.write(1, on_path.groupBy("dag_id").agg(F.min("task_id").alias("task_id")))
+    for k in range(2, depth + 1):
+        chosen = chain.write(k, leads[k].join(chosen.withColumnRenamed("task_id", "parent"), ["dag_id", "parent"])
+                             .groupBy("dag_id").agg(F.min("child").alias("task_id")))
+    steps = chain.all().groupBy("dag_id").agg(F.sort_array(F.collect_list(F.struct("round", "task_id"))).alias("steps"))
+    return steps.select("dag_id", F.array_join("steps.task_id", ">").alias("critical_path"),
+                        F.size("steps").alias("critical_path_length"))
 
 
 def adjacency(tasks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -156,6 +194,23 @@ def adjacency(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("dag_id", "task_id", z("n_parents"), z("n_children"))
 
 
+def dependency_tree(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """G6 tree: (dag_id, root, task_id, depth) for everything that depends on the requested
+    ``roots`` (dag_id, root), with the smallest number of steps; runs its rounds when called.
+    A root on a cycle is not listed under itself."""
+    state = Rounds(edges.sparkSession, "tree")
+    e = _edges(edges).persist()
+    now = state.write(0, roots.select("dag_id", "root", F.col("root").alias("task_id")).distinct())
+    k = 0
+    while not now.isEmpty():
+        k += 1
+        step = (now.withColumnRenamed("task_id", "parent").join(e, ["dag_id", "parent"])
+                .select("dag_id", "root", F.col("child").alias("task_id")).distinct())
+        now = state.write(k, step.join(state.all().drop("round"), ["dag_id", "root", "task_id"], "left_anti"))
+    e.unpersist()
+    return state.all().where("round > 0").withColumnRenamed("round", "depth")
+
+
 def children(edges: DataFrame) -> DataFrame:
     """G6 detail: (dag_id, parent, child) rows — the depended_by lists in tidy form."""
     return _edges(edges).select("dag_id", "parent", "child")

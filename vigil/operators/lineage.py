@@ -2,21 +2,15 @@
 (source_table, source_column, target_table, target_column, transform).
 
 One hop is a join; transitive lineage is semi-naive iteration: each round joins only the
-pairs found in the previous round with the edges and keeps the new ones.  Lineage is
-cut every few rounds with a reliable ``checkpoint()`` into ``spark.checkpoint.dir`` so a
-deep graph neither grows an unbounded plan nor depends on executor-local blocks.
+pairs found in the previous round with the edges, keeps the new ones and writes them to the
+shared checkpoint folder (``session.Rounds``).  Rounds end when no new pair is found.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from vigil.session import ensure_checkpoint_dir
-
-# Lineage cut: every round reads the previous round's state twice, and a logical plan is a
-# tree, so an uncut plan doubles per round (persist() does not shorten it).  A reliable
-# checkpoint every 2 rounds bounds it at 4 copies.
-CHECKPOINT_EVERY = 2
+from vigil.session import Rounds
 
 
 def _edges(edges: DataFrame) -> DataFrame:
@@ -45,57 +39,35 @@ def lineage_downstream(edges: DataFrame, columns: DataFrame | None = None) -> Da
     return columns.select("table", "column").distinct().join(e, ["table", "column"], "left")
 
 
-def lineage_ancestors(edges: DataFrame, columns: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def lineage_ancestors(edges: DataFrame, columns: DataFrame) -> DataFrame:
     """S19 for requested columns: every upstream column of each requested (table, column)
     with its minimum hop count.  Output: table, column, source_table, source_column, hops.
-
-    Semi-naive breadth-first search upstream: a round extends only the pairs found in the
-    previous round by one edge and keeps those not seen before; ``count`` of the new pairs
-    is the only action per round.
-    """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
+    Runs its rounds when called; the edges are the only thing cached meanwhile."""
     key = ["table", "column", "source_table", "source_column"]
     e = _edges(edges).select("source_table", "source_column", "target_table", "target_column").distinct().persist()
     seeds = columns.select("table", "column").distinct()
-    first = (seeds.join(e, (F.col("table") == F.col("target_table")) & (F.col("column") == F.col("target_column")))
-                  .select(*key).distinct().withColumn("hops", F.lit(1)).persist())
-    held = [e, first]
-    known, frontier = first, first.select(*key)
-    n_new = first.count()
-    rnd = 1
-    while n_new and rnd < max_rounds:
-        rnd += 1
-        step = (frontier.alias("f")
+    state, k = Rounds(edges.sparkSession, "lineage"), 1
+    now = state.write(1, seeds.join(e, (F.col("table") == F.col("target_table")) & (F.col("column") == F.col("target_column")))
+                      .select(*key).distinct())
+    while not now.isEmpty():
+        k += 1
+        step = (now.alias("f")
                 .join(e.alias("e"), (F.col("f.source_table") == F.col("e.target_table"))
                       & (F.col("f.source_column") == F.col("e.target_column")))
                 .select(F.col("f.table"), F.col("f.column"), F.col("e.source_table"), F.col("e.source_column"))
                 .distinct())
-        new = step.join(known.select(*key), key, "left_anti").withColumn("hops", F.lit(rnd)).persist()
-        held.append(new)
-        n_new = new.count()
-        if not n_new:
-            break
-        known = known.unionByName(new)
-        if rnd % CHECKPOINT_EVERY == 0:
-            # known and new are both read by the next round: cut the plan tree (see above)
-            known = known.persist()
-            held.append(known)
-            known = known.checkpoint()
-            new = new.checkpoint()
-        frontier = new.select(*key)
-    # Materialise the result once in the reliable checkpoint folder, then free the rounds.
-    result = known.checkpoint()
-    for h in held:
-        h.unpersist()
-    return result
+        now = state.write(k, step.join(state.all().drop("round"), key, "left_anti"))
+    e.unpersist()
+    return state.all().withColumnRenamed("round", "hops")
 
 
-def lineage_closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def lineage_closure(edges: DataFrame) -> DataFrame:
     """S19 over the whole graph: every (ancestor, descendant) pair with the minimum hop
-    count — the upstream search seeded with every column that has a source.
+    count — the upstream search seeded with every column that has a source.  The result is
+    quadratic in the depth of the graph by definition; ask ``lineage_ancestors`` for the columns
+    of interest instead where that is possible.
     Output: source_table, source_column, target_table, target_column, hops."""
     targets = edges.select(F.col("target_table").alias("table"), F.col("target_column").alias("column"))
-    anc = lineage_ancestors(edges, targets, max_rounds)
+    anc = lineage_ancestors(edges, targets)
     return anc.select("source_table", "source_column", F.col("table").alias("target_table"),
                       F.col("column").alias("target_column"), "hops")

@@ -756,7 +756,22 @@ def q_deps_missing(spark, sf):
     return GR.missing_parents(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges_faulty"))
 
 
-@register("deps_cycles", _FAULTY.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+# every task that reaches itself, with the smallest task it shares a cycle with
+_REACH = _FAULTY.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+e AS (SELECT DISTINCT dag_id, child, parent FROM task_edges_faulty
+      WHERE (dag_id, parent) IN (SELECT dag_id, task_id FROM tasks) AND (dag_id, child) IN (SELECT dag_id, task_id FROM tasks)),
+reach(dag_id, a, b) AS (SELECT dag_id, parent, child FROM e
+                        UNION SELECT r.dag_id, r.a, e.child FROM reach r JOIN e ON r.dag_id = e.dag_id AND r.b = e.parent)"""
+
+
+@register("deps_cycles", _REACH + """
+SELECT x.dag_id, min(x.b) AS cycle, x.a AS task_id
+FROM reach x JOIN reach y ON x.dag_id = y.dag_id AND x.a = y.b AND x.b = y.a GROUP BY x.dag_id, x.a""")
+def q_deps_cycles(spark, sf):
+    return GR.cycle_members(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges_faulty"))
+
+
+@register("deps_blocked", _FAULTY.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 e AS (SELECT DISTINCT dag_id, child, parent FROM task_edges_faulty),
 reach(dag_id, a, b) AS (SELECT dag_id, parent, child FROM e
                         UNION SELECT r.dag_id, r.a, e.child FROM reach r JOIN e ON r.dag_id = e.dag_id AND r.b = e.parent),
@@ -767,7 +782,7 @@ bad0 AS (SELECT * FROM cyc UNION SELECT * FROM miss)
 SELECT dag_id, task_id FROM bad0
 UNION
 SELECT r.dag_id, r.b FROM reach r JOIN bad0 ON r.dag_id = bad0.dag_id AND r.a = bad0.task_id""")
-def q_deps_cycles(spark, sf):
+def q_deps_blocked(spark, sf):
     return GR.blocked_tasks(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges_faulty"))
 
 
@@ -782,8 +797,15 @@ lv AS (SELECT dag_id, task_id, max(depth) AS level FROM p GROUP BY dag_id, task_
 _GRAPH_R = _GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _PATHS
 
 
-def _levels(spark, sf, with_paths=False):
-    return GR.dag_levels(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges"), with_paths=with_paths)
+_LEVELS: dict = {}
+
+
+def _levels(spark, sf):
+    """Levels of the task graph, made once per application: several queries read them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LEVELS:
+        _LEVELS[key] = GR.dag_levels(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges"))
+    return _LEVELS[key]
 
 
 @register("deps_levels", _GRAPH_R + "\nSELECT dag_id, task_id, level FROM lv")
@@ -809,7 +831,7 @@ best AS (SELECT dag_id, max(depth) AS len FROM p GROUP BY dag_id)
 SELECT p.dag_id, array_to_string(min(p.path), '>') AS critical_path, p.depth AS critical_path_length
 FROM p JOIN best ON p.dag_id = best.dag_id AND p.depth = best.len GROUP BY p.dag_id, p.depth""")
 def q_deps_critical_path(spark, sf):
-    return GR.critical_path(_levels(spark, sf, with_paths=True))
+    return GR.critical_path(_levels(spark, sf), D.view(spark, sf, "task_edges"))
 
 
 _ADJ = """e AS (SELECT DISTINCT dag_id, child, parent FROM task_edges),
@@ -826,6 +848,21 @@ def q_deps_children(spark, sf):
     return GR.adjacency(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges"))
 
 
+@register("deps_tree", _GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+e AS (SELECT DISTINCT dag_id, child, parent FROM task_edges),
+roots AS (SELECT DISTINCT dag_id, task_id AS root FROM tasks
+          WHERE (dag_id, task_id) NOT IN (SELECT dag_id, child FROM e)),
+walk(dag_id, root, task_id, depth) AS (
+  SELECT dag_id, root, root, 0 FROM roots
+  UNION SELECT w.dag_id, w.root, e.child, w.depth + 1 FROM walk w JOIN e ON w.dag_id = e.dag_id AND w.task_id = e.parent)
+SELECT dag_id, root, task_id, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE depth > 0 GROUP BY dag_id, root, task_id""")
+def q_deps_tree(spark, sf):
+    tasks, edges = D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges")
+    roots = tasks.select("dag_id", F.col("task_id").alias("root")).distinct().join(
+        edges.select("dag_id", F.col("child").alias("root")), ["dag_id", "root"], "left_anti")
+    return GR.dependency_tree(edges, roots)
+
+
 @register("dag_summary", _GRAPH + ", " + _ADJ + """
 SELECT dag_id, count(*) AS task_count, CAST(sum(n_parents) AS BIGINT) AS edge_count,
        count(*) FILTER (WHERE n_parents = 0) AS root_count, count(*) FILTER (WHERE n_children = 0) AS leaf_count

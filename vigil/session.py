@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # Settings every vigil job wants: UTC wall clock (timestamp_ntz fixtures compare with
 # DuckDB), adaptive execution for partition coalescing and skew splitting, no UI.
@@ -52,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, configuring one only when none is set.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS / object store) and is
-    used as is.  Only when it is unset (local tests) do we create a scratch folder.
+    used as is.  Only a local master may fall back to a scratch folder of this machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +61,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="vigil-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+class Rounds:
+    """The state of an iterative operator: one Parquet folder per round in the shared folder.
+
+    A round writes only the rows it made, so nothing stays cached, no plan grows with the number
+    of rounds, and a lost executor costs the running round at most.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.schema = None
+
+    def write(self, k: int, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.path}/round={k}")
+        self.schema = df.schema
+        return self.read(k)
+
+    def read(self, k: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/round={k}")
+
+    def all(self) -> DataFrame:
+        """Rows of all rounds, with ``round``."""
+        full = StructType(self.schema.fields + [StructField("round", IntegerType())])
+        return self.spark.read.schema(full).parquet(self.path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

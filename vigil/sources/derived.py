@@ -51,13 +51,22 @@ SELECT p.p_brand AS provider,
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey GROUP BY p.p_brand
 """
 
+# Which turns of a conversation a turn follows: an equi-join on (conversation, turn), so even a
+# very long conversation is dealt by turn.
+VIEWS["turn_edges"] = """
+SELECT w.conv_id, w.turn, w.pturn
+FROM (SELECT conv_id, turn, turn - 1 AS pturn FROM {conversations}
+      UNION ALL
+      SELECT conv_id, turn, turn - 2 AS pturn FROM {conversations} WHERE turn % 3 = 0) w
+JOIN {conversations} b ON b.conv_id = w.conv_id AND b.turn = w.pturn
+"""
+
 # Task graph: every conversation is a DAG, each turn a task depending on the previous turn
 # and, every third turn, also on the turn before that (diamonds).
 VIEWS["task_edges"] = """
-SELECT a.conv_id AS dag_id, concat(CAST(a.conv_id AS STRING), '-', CAST(a.turn AS STRING)) AS child,
-       concat(CAST(b.conv_id AS STRING), '-', CAST(b.turn AS STRING)) AS parent
-FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id
- AND (b.turn = a.turn - 1 OR (a.turn % 3 = 0 AND b.turn = a.turn - 2))
+SELECT conv_id AS dag_id, concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS child,
+       concat(CAST(conv_id AS STRING), '-', CAST(pturn AS STRING)) AS parent
+FROM {turn_edges}
 """
 
 VIEWS["tasks"] = """
@@ -145,9 +154,7 @@ VIEWS["lineage_edges"] = """
 SELECT concat('c', CAST(conv_id AS STRING)) AS source_table, concat('t', CAST(pturn AS STRING)) AS source_column,
        concat('c', CAST(conv_id AS STRING)) AS target_table, concat('t', CAST(turn AS STRING)) AS target_column,
        CASE WHEN turn - pturn = 2 THEN 'skip' ELSE 'direct' END AS transform
-FROM (SELECT a.conv_id, a.turn, b.turn AS pturn
-      FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id
-       AND (b.turn = a.turn - 1 OR (a.turn % 3 = 0 AND b.turn = a.turn - 2))) e
+FROM {turn_edges}
 """
 
 # Tag state of documents and a batch of tag changes derived from their content.
