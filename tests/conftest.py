@@ -18,18 +18,20 @@ def spark():
 
 @pytest.fixture
 def users(spark):
-    # The reference's 8-row quality fixture.
-    rows = [(1, "alice@email.com", 30, "active"), (2, "bob@email.com", 25, "active"),
-            (3, None, 35, "active"), (4, "dave@email.com", -5, "inactive"),
-            (5, "eve@email.com", 150, "unknown"), (6, "frank@email.com", None, "active"),
-            (7, None, 28, "active"), (8, "grace@email.com", 42, "inactive")]
+    # two missing addresses, one missing age, two ages out of range, one rare status
+    rows = [(1, "ines@post.example", 41, "open"), (2, "jaro@post.example", 33, "open"),
+            (3, None, 58, "open"), (4, "kofi@post.example", -3, "closed"),
+            (5, "lena@post.example", 140, "lost"), (6, "mio@post.example", None, "open"),
+            (7, None, 22, "open"), (8, "nour@post.example", 64, "closed")]
     return spark.createDataFrame(rows, "id int, email string, age int, status string")
 
 
+METRIC = [20.0, 21.5, 19.0, 20.5, 90.0, 19.5, 21.0, 20.5]
+
+
 @pytest.fixture
 def metrics(spark):
-    vals = [100.0, 102.0, 98.0, 101.0, 500.0, 99.0, 103.0, 97.0]
-    rows = [(f"2024-01-0{i + 1}", v) for i, v in enumerate(vals)]
+    rows = [(f"2025-03-{i + 11}", v) for i, v in enumerate(METRIC)]
     return spark.createDataFrame(rows, "dt string, val double")
 
 

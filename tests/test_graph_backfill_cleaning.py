@@ -41,6 +41,38 @@ def test_cycle_and_missing(spark):
     assert [r["parent"] for r in GR.missing_parents(t, e).collect()] == ["ghost"]
 
 
+def test_cycle_members_are_only_the_tasks_on_cycles(spark):
+    t, e = dag(spark, {"a": ["c"], "b": ["a"], "c": ["b"], "after": ["c"], "x": ["after", "y"], "y": ["x"], "own": ["own"],
+                       "m": ["ghost"], "below": ["m"], "ok": [], "bridge": ["c", "ok"], "z": ["bridge", "w"], "w": ["z"]})
+    got = sorted((r["cycle"], r["task_id"]) for r in GR.cycle_members(t, e).collect())
+    assert got == [("a", "a"), ("a", "b"), ("a", "c"), ("own", "own"), ("w", "w"), ("w", "z"), ("x", "x"), ("x", "y")]
+    t, e = dag(spark, {"a": ["missing"], "b": ["a"]})
+    assert GR.cycle_members(t, e).count() == 0
+    assert sorted(r["task_id"] for r in GR.blocked_tasks(t, e).collect()) == ["a", "b"]
+
+
+def test_long_chain_keeps_no_round_in_memory(spark):
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = held()
+    n = 24
+    t, e = dag(spark, {f"t{i:02d}": [f"t{i - 1:02d}"] if i else [] for i in range(n)})
+    lv = GR.dag_levels(t, e)
+    assert held() == before
+    assert {r["task_id"]: r["level"] for r in lv.collect()} == {f"t{i:02d}": i + 1 for i in range(n)}
+    cp = GR.critical_path(lv, e).collect()[0]
+    assert cp["critical_path_length"] == n and cp["critical_path"].startswith("t00>t01>") and held() == before
+    tree = GR.dependency_tree(e, spark.createDataFrame([(t.first()["dag_id"], "t20")], "dag_id string, root string"))
+    assert sorted((r["task_id"], r["depth"]) for r in tree.collect()) == [("t21", 1), ("t22", 2), ("t23", 3)] and held() == before
+
+
+def test_monthly_backfill_follows_the_calendar(spark):
+    dags = spark.createDataFrame([("d", "@monthly", "2024-01-05", "2024-04-04")], "dag_id string, schedule string, start_date string, end_date string")
+    tasks = spark.createDataFrame([("d", "t")], "dag_id string, task_id string")
+    days = lambda **k: [str(r["interval"])[:10] for r in BF.backfill_plan(dags, tasks, **k).orderBy("interval").collect()]
+    assert days() == ["2024-01-05", "2024-02-05", "2024-03-05"]
+    assert days(monthly="30 days") == ["2024-01-05", "2024-02-04", "2024-03-05", "2024-04-04"]
+
+
 def test_backfill_plan_daily_and_hourly(spark):
     tasks = spark.createDataFrame([("etl", "extract"), ("etl", "load")], "dag_id string, task_id string")
     dags = spark.createDataFrame([("etl", "@daily", "2024-01-01", "2024-01-03")],

@@ -25,41 +25,45 @@ def test_closure_chain_and_diamond(spark):
 
 @pytest.fixture
 def cat(spark):
-    tables = spark.createDataFrame([("orders", "Customer order records", ["pii", "production"]),
-                                    ("customers", "Customer master data", ["pii"])],
+    tables = spark.createDataFrame([("parcels", "Every parcel that a carrier took over", ["internal", "daily"]),
+                                    ("carriers", "Master data of carriers", ["internal"])],
                                    "table_name string, description string, tags array<string>")
-    cols = spark.createDataFrame([("orders", "id", "INTEGER", False, "Order ID"),
-                                  ("orders", "customer_id", "INTEGER", False, "Customer FK"),
-                                  ("orders", "total", "FLOAT", True, "Order total"),
-                                  ("orders", "status", "VARCHAR", True, "")],
+    cols = spark.createDataFrame([("parcels", "parcel_no", "INTEGER", False, "Number on the label"),
+                                  ("parcels", "carrier_no", "INTEGER", False, "Who moves it"),
+                                  ("parcels", "weight", "FLOAT", True, "Kilograms"),
+                                  ("parcels", "place", "VARCHAR", True, "")],
                                  "table_name string, name string, type string, nullable boolean, description string")
-    usage = spark.createDataFrame([("orders", "daily_revenue", "total"), ("orders", "daily_revenue", "status")],
+    usage = spark.createDataFrame([("parcels", "load_plan", "weight"), ("parcels", "load_plan", "place"), ("parcels", "billing", "weight")],
                                   "table_name string, pipeline string, column_name string")
     return tables, cols, usage
 
 
 def test_search_and_tags(cat):
     tables, cols, _ = cat
-    hits = sorted((r["kind"], r["name"]) for r in CA.catalog_search(tables, cols, "customer").collect())
-    assert hits == [("column", "customer_id"), ("table", "customers"), ("table", "orders")]
-    assert CA.catalog_search(tables, cols, "pii", scope="tags").collect()[0]["description"] == "2 tables"
-    assert {r["tag"]: r["table_count"] for r in CA.tag_counts(tables).collect()} == {"pii": 2, "production": 1}
+    hits = sorted((r["kind"], r["name"]) for r in CA.catalog_search(tables, cols, "carrier").collect())
+    assert hits == [("column", "carrier_no"), ("table", "carriers"), ("table", "parcels")]
+    assert CA.catalog_search(tables, cols, "internal", scope="tags").collect()[0]["description"] == "2 tables"
+    assert {r["tag"]: r["table_count"] for r in CA.tag_counts(tables).collect()} == {"internal": 2, "daily": 1}
 
 
 def test_describe_and_impact(spark, cat):
     tables, cols, usage = cat
-    d = {r["table_name"]: r for r in CA.catalog_describe(tables, cols, usage).collect()}
-    assert d["orders"]["column_count"] == 4 and d["orders"]["downstream_pipelines"] == 1
-    assert d["customers"]["column_count"] == 0
-    changes = spark.createDataFrame([("orders", "total", "drop", None), ("orders", "status", "rename", "state"),
-                                     ("orders", "id", "modify", None), ("orders", "x", "note", None)],
+    upstream = spark.createDataFrame([("parcels", "scanner"), ("parcels", "depot"), ("parcels", "scanner")], "table_name string, source string")
+    queries = spark.createDataFrame([("parcels",)] * 3, "table_name string")
+    d = {r["table_name"]: r for r in CA.catalog_describe(tables, cols, usage, upstream, queries).collect()}
+    assert d["parcels"]["column_count"] == 4 and d["parcels"]["downstream_pipelines"] == 2
+    assert d["parcels"]["upstream_sources"] == ["depot", "scanner"] and d["parcels"]["query_count"] == 3
+    assert (d["carriers"]["column_count"], d["carriers"]["upstream_sources"], d["carriers"]["query_count"]) == (0, [], 0)
+    changes = spark.createDataFrame([("parcels", "weight", "drop", None), ("parcels", "place", "rename", "stop"),
+                                     ("parcels", "parcel_no", "modify", None), ("parcels", "x", "note", None)],
                                     "table_name string, column string, change_type string, new_name string")
     imp = {r["column"]: r for r in CA.impact_analysis(changes, usage).collect()}
-    assert imp["total"]["severity"] == "high" and imp["total"]["affected_pipelines"] == 1
-    assert imp["status"]["severity"] == "medium" and imp["x"]["severity"] == "low"
+    assert imp["weight"]["severity"] == "high" and imp["weight"]["pipelines"] == ["billing", "load_plan"]
+    assert imp["place"]["severity"] == "medium" and "from place to stop" in imp["place"]["recommendation"]
+    assert imp["x"]["severity"] == "low" and imp["x"]["pipelines"] == []
     s = CA.impact_summary(CA.impact_analysis(changes, usage)).collect()[0]
     assert (s["high_severity"], s["medium_severity"], s["low_severity"]) == (1, 2, 1)
-    assert [r["pipeline"] for r in CA.impact_pipelines(changes, usage).filter("column = 'total'").collect()] == ["daily_revenue"]
+    assert {r["pipeline"] for r in CA.impact_pipelines(changes, usage).filter("column = 'weight'").collect()} == {"load_plan", "billing"}
 
 
 def test_tag_apply(spark):
@@ -81,7 +85,7 @@ def test_tag_apply(spark):
 def test_sync_and_content_search(spark, cat):
     _, cols, _ = cat
     s = CA.catalog_sync(cols).collect()[0]
-    assert s["description"] == "Imported from public.orders" and s["column_count"] == 4 and s["nullable_columns"] == 2
+    assert s["description"] == "Imported from public.parcels" and s["column_count"] == 4 and s["nullable_columns"] == 2
     docs = spark.createDataFrame([(1, "Data data DATA"), (2, "none")], "id long, text string")
     hits = CA.content_search({"docs": (docs, "id", "text")}, "data").collect()
     assert [(r["row_id"], r["occurrences"]) for r in hits] == [(1, 3)]

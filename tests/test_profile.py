@@ -9,15 +9,15 @@ def by_col(df):
 
 
 def test_profile_goldens(users):
-    p = by_col(P.profile(users, table="test_users"))
+    p = by_col(P.profile(users, table="people"))
     assert p["email"]["null_count"] == 2 and p["email"]["null_rate"] == 0.25
-    assert p["age"]["min"] == -5 and p["age"]["max"] == 150 and p["age"]["null_count"] == 1
+    assert p["age"]["min"] == -3 and p["age"]["max"] == 140 and p["age"]["null_count"] == 1
     assert p["id"]["distinct_count"] == 8
-    assert p["id"]["row_count"] == 8 and p["id"]["table"] == "test_users"
+    assert p["id"]["row_count"] == 8 and p["id"]["table"] == "people"
     # numeric with few distincts still gets top values; text never gets numeric stats
     assert p["status"]["type"] is None and p["status"]["min"] is None
     top = [(t["value"], t["count"]) for t in p["status"]["top_values"]]
-    assert top == [("active", 5), ("inactive", 2), ("unknown", 1)]
+    assert top == [("open", 5), ("closed", 2), ("lost", 1)]
 
 
 def test_profile_columns_in_order(users):
@@ -31,6 +31,22 @@ def test_sample_is_exact_and_consistent(users):
     assert P.sample_rows(users, 0) is users and P.sample_rows(users, 100) is users
 
 
+def test_sample_takes_distinct_rows_and_exactly_n(spark):
+    df = spark.range(0, 50_000, 1, 8)
+    for n in (1, 777, 49_999):
+        rows = [r["id"] for r in P.sample_rows(df, n).collect()]
+        assert len(rows) == len(set(rows)) == n
+    assert abs(sum(r["id"] for r in P.sample_rows(df, 20_000).collect()) / 20_000 - 25_000) < 500
+
+
+def test_wide_tables_get_the_same_answers(spark):
+    wide = spark.createDataFrame([(0.0, "b"), (-0.0, "b"), (float("nan"), None), (None, "")], "x double, t string").select(
+        *[F.col("x").alias(f"x{i}") for i in range(40)], *[F.col("t").alias(f"t{i}") for i in range(30)])
+    plain, long = by_col(P.profile(wide)), by_col(P.profile(wide, long_form=True))
+    assert plain == long and plain["x39"]["distinct_count"] == 2
+    assert by_col(P.profile(wide, long_form=True, fingerprint_text=True)) == long
+
+
 def test_empty_and_all_null(spark):
     empty = spark.createDataFrame([], "a int, b string")
     p = by_col(P.profile(empty))
@@ -83,7 +99,7 @@ def test_profile_many_keys_by_table(users, metrics):
 def test_approx_profile_single_scan(spark, users):
     p = by_col(P.profile(users, approx=True))
     assert p["id"]["distinct_count"] == 8 and p["email"]["null_count"] == 2
-    assert [(t["value"], t["count"]) for t in p["status"]["top_values"]] == [("active", 5), ("inactive", 2), ("unknown", 1)]
+    assert [(t["value"], t["count"]) for t in p["status"]["top_values"]] == [("open", 5), ("closed", 2), ("lost", 1)]
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     df = P.profile(li, approx=True)
     df.collect()
@@ -91,7 +107,7 @@ def test_approx_profile_single_scan(spark, users):
     assert final.count("Scan parquet") == 1
     tv = P.top_values(users, approx=True)
     assert [(r["column_name"], r["rank"], r["value"]) for r in tv.filter("column_name = 'status'").orderBy("rank").collect()] == \
-        [("status", 1, "active"), ("status", 2, "inactive"), ("status", 3, "unknown")]
+        [("status", 1, "open"), ("status", 2, "closed"), ("status", 3, "lost")]
 
 
 def test_long_form_matches_branches(spark, users):

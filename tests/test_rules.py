@@ -26,7 +26,7 @@ def test_multiple_and_scorecard(users):
 
 
 def test_accepted_values(users):
-    r = result_map(RU.validate_rules(users, [RU.rule("accepted_values", "status", values=["active", "inactive"])]))[0]
+    r = result_map(RU.validate_rules(users, [RU.rule("accepted_values", "status", values=["open", "closed"])]))[0]
     assert r["passed"] is False and r["failures"] == 1
     typed = result_map(RU.validate_rules(users, [RU.rule("accepted_values", "id", values=["1", "2", "abc"])]))[0]
     assert typed["failures"] == 6
@@ -55,6 +55,21 @@ def test_custom_sql_and_error(users):
     assert res[0]["failures"] == 1 and res[1]["error"] and res[1]["passed"] is False
 
 
+def test_custom_sql_that_fails_on_the_data_leaves_other_rules_alone(users):
+    res = result_map(RU.validate_rules(users, [
+        RU.rule("not_null", "email"), RU.rule("custom_sql", sql="SELECT * FROM {{table}} WHERE 1 DIV (id - 3) > 5"),
+        RU.rule("custom_sql", sql="SELECT * FROM {{table}} WHERE age > 100")]))
+    assert res[0]["failures"] == 2 and res[2]["failures"] == 1
+    assert "DIVIDE_BY_ZERO" in res[1]["error"] and (res[1]["passed"], res[1]["failures"]) == (False, 0)
+
+
+def test_failed_rows_read_the_table_once_for_all_row_rules(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    df = RU.failed_rows(li, [RU.rule("max", "l_quantity", value=40), RU.rule("not_null", "l_shipdate"), RU.rule("min", "l_tax", value=0.01)])
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Scan parquet") == 1
+
+
 def test_unique_counts_surplus_rows(spark):
     df = spark.createDataFrame([(1,), (1,), (1,), (2,), (2,), (None,), (None,)], "k int")
     assert result_map(RU.validate_rules(df, [RU.rule("unique", "k")]))[0]["failures"] == 3
@@ -63,7 +78,7 @@ def test_unique_counts_surplus_rows(spark):
 def test_failed_rows_and_quarantine(users):
     rules = [RU.rule("not_null", "email"), RU.rule("max", "age", value=120)]
     fr = sorted((r["rule_index"], r["value"]) for r in RU.failed_rows(users, rules).collect())
-    assert fr == [(0, "NULL"), (0, "NULL"), (1, "150")]
+    assert fr == [(0, "NULL"), (0, "NULL"), (1, "140")]
     q = {r["id"]: r["failed_rules"] for r in RU.quarantine(users, rules + [RU.rule("unique", "status")]).collect()}
     assert q[3] == ["0:not_null", "2:unique"] and q[5] == ["1:max"]
 

@@ -7,16 +7,16 @@ a DAG with very many tasks is spread over the tasks' partitions instead of one t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigil.sources.tables import write_partitions
 
-# Schedule presets; the reference approximates a month as 30 days.
-SCHEDULE_STEPS = {"@hourly": "1 hour", "@daily": "1 day", "@weekly": "7 days", "@monthly": "30 days"}
+# Schedule presets.  Months are calendar months; "30 days" is the other choice.
+SCHEDULE_STEPS = {"@hourly": "1 hour", "@daily": "1 day", "@weekly": "7 days", "@monthly": "1 month"}
 DEFAULT_STEP = "1 day"
 
 
-def schedule_step(schedule: Column, monthly: str = "30 days") -> Column:
+def schedule_step(schedule: Column, monthly: str = "calendar") -> Column:
     """Interval step of a schedule preset (unknown / NULL schedule → one day)."""
     expr = F.when(schedule == "@hourly", F.expr("INTERVAL 1 HOUR"))
     expr = expr.when(schedule == "@weekly", F.expr("INTERVAL 7 DAYS"))
@@ -27,30 +27,33 @@ def schedule_step(schedule: Column, monthly: str = "30 days") -> Column:
     return expr.otherwise(F.expr("INTERVAL 1 DAY"))
 
 
-def _intervals(dags: DataFrame, monthly: str) -> DataFrame:
-    start = F.col("start_date").cast("timestamp_ntz")
-    end = F.col("end_date").cast("timestamp_ntz")
-    if monthly == "calendar":
-        seq = F.when(F.col("schedule") == "@monthly", F.sequence(start, end, F.expr("INTERVAL 1 MONTH"))) \
-               .otherwise(F.sequence(start, end, schedule_step(F.col("schedule"))))
-    else:
-        seq = F.sequence(start, end, schedule_step(F.col("schedule"), monthly))
-    return dags.filter(end >= start).select("dag_id", "schedule", seq.alias("_iv"))
+def _sequence(monthly: str) -> Column:
+    """All intervals of a (schedule, start_date, end_date) row."""
+    start, end = F.col("start_date").cast("timestamp_ntz"), F.col("end_date").cast("timestamp_ntz")
+    if monthly != "calendar":
+        return F.sequence(start, end, schedule_step(F.col("schedule"), monthly))
+    return F.when(F.col("schedule") == "@monthly", F.sequence(start, end, F.expr("INTERVAL 1 MONTH"))) \
+            .otherwise(F.sequence(start, end, schedule_step(F.col("schedule"), "30 days")))
+
 
+def _scheduled(dags: DataFrame) -> DataFrame:
+    return dags.where(F.col("end_date").cast("timestamp_ntz") >= F.col("start_date").cast("timestamp_ntz")) \
+               .select("dag_id", "schedule", "start_date", "end_date")
 
-def backfill_plan(dags: DataFrame, tasks: DataFrame, monthly: str = "30 days") -> DataFrame:
+
+def backfill_plan(dags: DataFrame, tasks: DataFrame, monthly: str = "calendar") -> DataFrame:
     """One 'queued' run per (interval, task): dag_id, task_id, interval, status.
 
     ``dags``: dag_id, schedule, start_date, end_date (inclusive at both ends).
     """
     t = tasks.select("dag_id", "task_id").distinct()
-    return (t.join(_intervals(dags, monthly), "dag_id")
-             .select("dag_id", "task_id", F.explode("_iv").alias("interval"), F.lit("queued").alias("status")))
+    return (t.join(_scheduled(dags), "dag_id")
+             .select("dag_id", "task_id", F.explode(_sequence(monthly)).alias("interval"), F.lit("queued").alias("status")))
 
 
-def backfill_counts(dags: DataFrame, tasks: DataFrame, monthly: str = "30 days") -> DataFrame:
+def backfill_counts(dags: DataFrame, tasks: DataFrame, monthly: str = "calendar") -> DataFrame:
     """G8 dry-run counts per DAG: total_intervals, tasks_per_run, total_task_runs."""
-    iv = _intervals(dags, monthly).select("dag_id", F.size("_iv").cast("bigint").alias("total_intervals"))
+    iv = _scheduled(dags).select("dag_id", F.size(_sequence(monthly)).cast("bigint").alias("total_intervals"))
     nt = tasks.groupBy("dag_id").agg(F.count_distinct("task_id").alias("tasks_per_run"))
     j = iv.join(nt, "dag_id", "left")
     return j.select("dag_id", "total_intervals", F.coalesce("tasks_per_run", F.lit(0)).alias("tasks_per_run"),
@@ -63,6 +66,14 @@ def run_history(runs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("status") == "queued").alias("queued"))
 
 
+def recent_task_runs(runs: DataFrame, k: int = 5) -> DataFrame:
+    """The last ``k`` recorded runs per DAG (ts, then run_id), ``pos`` 1 = oldest of them."""
+    w = Window.partitionBy("dag_id").orderBy(F.col("ts").desc(), F.col("run_id").desc())
+    last = runs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    n = F.count(F.lit(1)).over(Window.partitionBy("dag_id"))
+    return last.select("dag_id", (n - F.col("_r") + 1).cast("int").alias("pos"), "task_id", "interval", "status")
+
+
 def intervals_covered(runs: DataFrame) -> DataFrame:
     """G11 per DAG: total_runs, intervals_covered."""
     return runs.groupBy("dag_id").agg(F.count(F.lit(1)).alias("total_runs"),

@@ -102,9 +102,11 @@ def content_hits(hits: DataFrame) -> DataFrame:
                                       F.sum("occurrences").cast("bigint").alias("occurrences"))
 
 
-def catalog_describe(tables: DataFrame, columns: DataFrame, usage: DataFrame | None = None) -> DataFrame:
+def catalog_describe(tables: DataFrame, columns: DataFrame, usage: DataFrame | None = None,
+                     upstream: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
     """One documentation row per table: table_name, description, tags, column_count,
-    downstream_pipelines, columns_read (distinct columns read downstream)."""
+    downstream_pipelines, columns_read (distinct columns read downstream), upstream_sources (sorted
+    names; ``upstream``: table_name, source) and query_count (rows of ``queries``: table_name)."""
     ncol = columns.groupBy("table_name").agg(F.count(F.lit(1)).alias("column_count"))
     out = tables.join(ncol, "table_name", "left")
     if usage is not None:
@@ -113,9 +115,19 @@ def catalog_describe(tables: DataFrame, columns: DataFrame, usage: DataFrame | N
         out = out.join(u, "table_name", "left")
     else:
         out = out.withColumn("downstream_pipelines", F.lit(0)).withColumn("columns_read", F.lit(0))
+    none = F.array().cast("array<string>")
+    if upstream is not None:
+        out = out.join(upstream.groupBy("table_name").agg(F.sort_array(F.collect_set("source")).alias("upstream_sources")),
+                       "table_name", "left")
+    else:
+        out = out.withColumn("upstream_sources", none)
+    if queries is not None:
+        out = out.join(queries.groupBy("table_name").agg(F.count(F.lit(1)).alias("query_count")), "table_name", "left")
+    else:
+        out = out.withColumn("query_count", F.lit(0))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return out.select("table_name", "description", "tags", z("column_count"), z("downstream_pipelines"),
-                      z("columns_read"))
+                      z("columns_read"), F.coalesce("upstream_sources", none).alias("upstream_sources"), z("query_count"))
 
 
 def describe_columns(columns: DataFrame, profile: DataFrame | None = None) -> DataFrame:
@@ -136,13 +148,15 @@ def _severity(change_type):
 
 def impact_analysis(changes: DataFrame, usage: DataFrame) -> DataFrame:
     """Per change (table_name, column, change_type[, new_name]): severity,
-    affected_pipelines (distinct downstream readers of that column), recommendation."""
+    affected_pipelines (distinct downstream readers of that column), recommendation, and the
+    sorted names of those pipelines (readers of one column)."""
     if "new_name" not in changes.columns:
         changes = changes.withColumn("new_name", F.lit(""))
     reads = usage.select("table_name", F.col("column_name").alias("column"), "pipeline").distinct()
     n = (changes.select("table_name", "column").distinct()
                 .join(reads, ["table_name", "column"])
-                .groupBy("table_name", "column").agg(F.count(F.lit(1)).alias("affected_pipelines")))
+                .groupBy("table_name", "column").agg(F.count(F.lit(1)).alias("affected_pipelines"),
+                                                     F.sort_array(F.collect_set("pipeline")).alias("pipelines")))
     j = changes.join(n, ["table_name", "column"], "left")
     k = F.coalesce(F.col("affected_pipelines"), F.lit(0)).cast("bigint")
     ct = F.col("change_type")
@@ -155,7 +169,8 @@ def impact_analysis(changes: DataFrame, usage: DataFrame) -> DataFrame:
                 "Verify type compatibility for %s across %d downstream pipeline(s).", F.col("column"), k))
             .otherwise(F.lit("")))
     return j.select("table_name", "column", "change_type", _severity(ct).alias("severity"),
-                    k.alias("affected_pipelines"), rec.alias("recommendation"))
+                    k.alias("affected_pipelines"), rec.alias("recommendation"),
+                    F.coalesce("pipelines", F.array().cast("array<string>")).alias("pipelines"))
 
 
 def impact_pipelines(changes: DataFrame, usage: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def cost_summary(costs: DataFrame, provider: str = "all") -> DataFrame:
 
 
 def cost_recommendations(costs: DataFrame, provider: str = "all") -> DataFrame:
-    """O10 rows: area, potential_savings (whole units), suggestion."""
+    """O10 rows: area, potential_savings (whole units), suggestion, total_potential_savings (of all rows)."""
     c = _select(costs, provider)
     one = c.agg(
         F.max_by(F.struct("provider", "compute", "storage"), F.struct("total", "provider")).alias("top"),
@@ -64,4 +64,7 @@ def cost_recommendations(costs: DataFrame, provider: str = "all") -> DataFrame:
                rec("storage_optimization", F.col("all_storage") * F.lit(STORAGE_SHARE),
                    F.lit("Implement data lifecycle policy: auto-archive data not accessed in 90+ days"))),
     )
-    return one.select(F.explode(F.filter(items, lambda x: x.isNotNull())).alias("r")).select("r.*")
+    found = F.filter(items, lambda x: x.isNotNull())
+    total = F.aggregate(found, F.lit(0).cast("bigint"), lambda t, x: t + x["potential_savings"])
+    return (one.select(found.alias("f"), total.alias("total_potential_savings"))
+               .select(F.explode("f").alias("r"), "total_potential_savings").select("r.*", "total_potential_savings"))

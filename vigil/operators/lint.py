@@ -69,8 +69,7 @@ def lint_with_data(df: DataFrame, table: str | None = None) -> DataFrame:
     'numeric_text' (warning): a text column whose non-null values all read as numbers.
     """
     meta = columns_of(df, table).select("name", "type", "nullable")
-    stats = P.null_rates(df).select(F.col("column_name").alias("name"), "row_count", "null_count").join(
-        P.numeric_stats(df).select(F.col("column_name").alias("name"), "castable_count"), "name")
+    stats = P.column_stats(df).select(F.col("column_name").alias("name"), "row_count", "null_count", "castable_count")
     j = meta.join(stats, "name")
     items = F.array(
         F.when(F.col("nullable") & (F.col("null_count") == 0) & (F.col("row_count") > 0),

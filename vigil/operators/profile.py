@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from vigil.functions.columns import fingerprint
 from vigil.functions.typegate import numeric_value
+from vigil.session import Rounds
 
 TOP_K = 5
-# Above this many columns the per-column branches (one shuffle each) give way to one
-# long-form aggregate over (column, value text): a single shuffle whatever the width.
-WIDE_COLUMNS = 64
 # Fixed value: top values are reported for numeric columns only up to this many distincts.
 TOP_DISTINCT_MAX = 20
+# Of the exact-size sample: rows that share a range of draws small enough to rank in one task.
+SAMPLE_TIES = 10_000
 
 
 def _columns(df: DataFrame, columns: list[str] | None) -> list[tuple[int, str, T.DataType]]:
@@ -43,18 +43,34 @@ def _columns(df: DataFrame, columns: list[str] | None) -> list[tuple[int, str, T
 def sample_rows(df: DataFrame, n: int, seed: int = 42, total: int | None = None) -> DataFrame:
     """Exactly ``n`` random rows (the exact-size sample), or ``df`` itself when ``n`` is 0 / None / >= rows.
 
-    A Bernoulli pre-sample with a safety margin shrinks the input before the exact
-    ``orderBy(rand).limit(n)``, so only ~n rows reach the final top-n.  The row count is the
-    one action here (answered from Parquet footers for a plain scan).
+    Rows are drawn by a random number; the n-th smallest number is found from counts of the numbers'
+    leading bits (at most 2**16 counts), and only the rows of the one count that straddles n are
+    ranked among themselves, so no task holds the sample.  The count is an action.
     """
     if not n or n <= 0:
         return df
     total = df.count() if total is None else total
     if n >= total:
         return df
-    fraction = min(1.0, (n * 1.2 + 100) / total)
-    pre = df.sample(withReplacement=False, fraction=fraction, seed=seed)
-    return pre.orderBy(F.rand(seed)).limit(n)
+    spark = df.sparkSession
+    # written once: the random numbers must not be drawn again
+    drawn = Rounds(spark, "sample").write(0, df.withColumn("_draw", F.floor(F.rand(seed) * 2.0**52).cast("bigint")))
+    cut, below, shift = 0, 0, 52
+    while shift > 0:  # narrow the range that holds the n-th smallest draw, 16 bits at a time
+        step = min(16, shift)
+        inside = drawn.where((F.col("_draw") >= cut) & (F.col("_draw") < cut + (1 << shift)))
+        shift -= step
+        counts = inside.groupBy(F.shiftright(F.col("_draw") - cut, shift).alias("b")).count().orderBy("b").collect()
+        for r in counts:
+            if below + r["count"] >= n:
+                cut += r["b"] << shift
+                break
+            below += r["count"]
+        if r["count"] <= SAMPLE_TIES:
+            break
+    sure = drawn.where(F.col("_draw") < cut).drop("_draw")
+    edge = drawn.where((F.col("_draw") >= cut) & (F.col("_draw") < cut + (1 << shift)))
+    return sure.union(edge.orderBy("_draw").limit(n - below).drop("_draw"))
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -151,15 +167,18 @@ def _branches(df: DataFrame, cols, k: int, with_distinct: bool, with_top: bool,
     return union(distinct_parts), union(top_parts)
 
 
-def _branches_long(df: DataFrame, cols, k: int):
-    """Wide-table form: all columns stacked as (column_name, value text) and counted in one
-    ``groupBy``.  Distinct counts and top-k both read that aggregate unchanged (NULLs ranked
-    last and dropped after the group limit) so its shuffle is shared.  Values are compared
-    as text, which is exact for every type except -0.0 / 0.0 in floating columns."""
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for _, c, _ in cols
-    ])).alias("x")).select("x.*")
-    vc = stacked.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+def _branches_long(df: DataFrame, cols, k: int, fingerprint_text: bool):
+    """All columns stacked as (column_name, value text) and counted in one ``groupBy``.  Distinct
+    counts and top-k both read that aggregate unchanged (NULLs ranked last and dropped after the
+    group limit) so its shuffle is shared.  Adding 0.0 makes -0.0 the 0.0 that it equals."""
+    def entry(c, dt):
+        v = F.col(c) + F.lit(0.0).cast(dt) if isinstance(dt, T.FractionalType) and not isinstance(dt, T.DecimalType) else F.col(c)
+        text = v.cast("string")
+        key = fingerprint(F.col(c)) if fingerprint_text and isinstance(dt, T.StringType) else text
+        return F.struct(F.lit(c).alias("column_name"), key.cast("string").alias("key"), text.alias("value"))
+
+    stacked = df.select(F.explode(F.array(*[entry(c, dt) for _, c, dt in cols])).alias("x")).select("x.*")
+    vc = stacked.groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("cnt"), F.any_value("value").alias("value"))
     distinct = vc.groupBy("column_name").agg(
         F.count_if(F.col("value").isNotNull() & (F.col("cnt") > 0)).alias("distinct_count"))
     w = Window.partitionBy("column_name").orderBy(F.col("value").isNull().asc(), F.col("cnt").desc(),
@@ -178,7 +197,7 @@ def _ranked_top(top: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, columns: list[str] | None = None, sample_size: int | None = None,
             table: str | None = None, approx: bool = False, top_k: int = TOP_K,
-            seed: int = 42, fingerprint_text: bool = False, long_form: bool | None = None) -> DataFrame:
+            seed: int = 42, fingerprint_text: bool = False, long_form: bool = False) -> DataFrame:
     """D0 ``profile_data``: one row per profiled column.
 
     Columns: table, column_name, position, row_count (sample size when sampling),
@@ -187,8 +206,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, sample_size: int |
     top_values array<struct<value string, count bigint>> — present when the column is not
     numeric or has at most 20 distinct values; ordered by count desc, value asc.
 
-    Plans: per-column branches (default), one long-form aggregate for tables wider than
-    ``WIDE_COLUMNS`` (or ``long_form=True``), or a single scan of sketches (``approx``).
+    Plans: per-column branches (default), one long-form aggregate with a single value shuffle
+    (``long_form``, same answers, for tables of very many columns), or a single scan of
+    sketches (``approx``).
     """
     cols = _columns(df, columns)
     data = df.select(*[c for _, c, _ in cols])
@@ -197,18 +217,17 @@ def profile(df: DataFrame, columns: list[str] | None = None, sample_size: int |
         n_rows = data.count()
         sampled = sample_rows(data, sample_size, seed, total=n_rows)
         if sampled is not data:
-            # Sample once and persist so every statistic sees the same rows.
+            # the sample is drawn from a written table, so every statistic sees the same rows
             total = n_rows
-            data = sampled.persist()
+            data = sampled
     if approx:
         # Single scan, no value shuffle: every statistic is a mergeable aggregate state.
         out = (_stats(data, cols, sketches=top_k)
                .withColumnRenamed("distinct_approx", "distinct_count").withColumnRenamed("top_approx", "_top"))
     else:
         stats = _stats(data, cols)
-        wide = len(cols) > WIDE_COLUMNS if long_form is None else long_form
-        if wide:
-            distinct, top = _branches_long(data, cols, top_k)
+        if long_form:
+            distinct, top = _branches_long(data, cols, top_k, fingerprint_text)
         else:
             distinct, top = _branches(data, cols, top_k, True, True, fingerprint_text)
         top_lists = (_ranked_top(top).groupBy("column_name")
@@ -236,6 +255,11 @@ def profile(df: DataFrame, columns: list[str] | None = None, sample_size: int |
     )
 
 
+def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Per column, from one scan: row_count, null_count, castable_count, min, max, mean_raw."""
+    return _stats(df, _columns(df, columns))
+
+
 def null_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, position, row_count, null_count, null_rate) from one scan."""
     cols = _columns(df, columns)
@@ -295,11 +319,16 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_K,
     if not only_categorical:
         _, top = _branches(data, cols, k, False, True, fingerprint_text)
         return _ranked_top(top).select("column_name", "rank", "value", "count")
-    # The gate needs distinct and numeric counts: read them from the profile row, whose
-    # joins are equi-joins on the exploded column name, then flatten its top list.
-    prof = profile(data, top_k=k, fingerprint_text=fingerprint_text)
-    return (prof.select("column_name", F.posexplode("top_values").alias("p", "t"))
-                .select("column_name", (F.col("p") + 1).alias("rank"), "t.value", "t.count"))
+    # The gate needs castable counts (one aggregate row) and each column's distinct count, which comes
+    # from the same value counts as its top-k; both enter the branch as scalar subqueries.
+    castable = data.agg(F.struct(*[F.count(numeric_value(F.col(c), dt)).alias(f"c{i}") for i, c, dt in cols])).scalar()
+    parts = []
+    for i, c, dt in cols:
+        _, top = _branches(data, [(i, c, dt)], k, False, True, fingerprint_text)
+        vc = _value_counts(data, c, dt, fingerprint_text)
+        distinct = vc.agg(F.count_if(~F.col("_null") & (F.col("cnt") > 0))).scalar()
+        parts.append(top.where((castable.getField(f"c{i}") == 0) | (distinct <= TOP_DISTINCT_MAX)))
+    return _ranked_top(reduce(DataFrame.unionByName, parts)).select("column_name", "rank", "value", "count")
 
 
 def profile_many(tables: dict[str, DataFrame], **kwargs) -> DataFrame:

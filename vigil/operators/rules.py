@@ -114,22 +114,21 @@ def _unique_result(df: DataFrame, i: int, r: Rule) -> DataFrame:
 
 
 def _custom_result(spark: SparkSession, df: DataFrame, i: int, r: Rule) -> DataFrame:
+    """The rule's own query, run on its own: an error in it, found while planning or while
+    reading the data, becomes this rule's row and leaves the other rules alone."""
     try:
         # Only the {{table}} placeholder is bound; any other brace in the user's SQL is literal.
         parts = [x.replace("{", "{{").replace("}", "}}") for x in r.sql.split("{{table}}")]
-        failing = spark.sql("{t}".join(parts), t=df)
-        counted = failing.agg(F.count(F.lit(1)).alias("failures"))
-        return counted.select(F.lit(i).alias("rule_index"), F.lit(r.type).alias("rule_type"),
-                              F.lit(r.column_label).alias("column"),
-                              (F.col("failures") == 0).alias("passed"), "failures",
-                              F.lit(None).cast("string").alias("error"))
+        failures = spark.sql("{t}".join(parts), t=df).count()
+        row = (i, r.type, r.column_label, failures == 0, failures, None)
     except Exception as e:  # noqa: BLE001 — a broken custom rule is reported, others go on
-        return spark.createDataFrame([(i, r.type, r.column_label, False, 0, str(e)[:500])],
-                                     _RESULT_SCHEMA)
+        row = (i, r.type, r.column_label, False, 0, str(e))
+    return spark.createDataFrame([row], _RESULT_SCHEMA)
 
 
 def validate_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """D19 per-rule results: rule_index, rule_type, column, passed, failures, error."""
+    """D19 per-rule results: rule_index, rule_type, column, passed, failures, error.  Custom SQL rules
+    run when this is called, all others when the result is read."""
     _validate(df, rules)
     spark = df.sparkSession
     if not rules:
@@ -163,17 +162,19 @@ def failed_rows(df: DataFrame, rules: list[Rule], k: int = SAMPLE_ROWS) -> DataF
     group limit before the shuffle.
     """
     _validate(df, rules)
-    parts = []
+    parts, entries = [], []
     for i, r in enumerate(rules):
         if r.type in ROW_RULES:
             c = F.col(r.columns[0])
-            parts.append(df.filter(failure_condition(df, r)).select(
+            entries.append(F.when(failure_condition(df, r), F.struct(
                 F.lit(i).alias("rule_index"), F.lit(r.type).alias("rule_type"),
-                F.coalesce(c.cast("string"), F.lit("NULL")).alias("value")))
+                F.coalesce(c.cast("string"), F.lit("NULL")).alias("value"))))
         elif r.type == "unique":
             key = F.concat_ws(",", *[F.col(c).cast("string") for c in r.columns])
             parts.append(duplicate_groups(df, r.columns).select(
                 F.lit(i).alias("rule_index"), F.lit(r.type).alias("rule_type"), key.alias("value")))
+    if entries:  # all row rules in one scan
+        parts.insert(0, df.select(F.explode(compact(*entries)).alias("x")).select("x.*"))
     if not parts:
         return df.sparkSession.createDataFrame([], "rule_index int, rule_type string, value string, rank int")
     union = reduce(DataFrame.unionByName, parts)

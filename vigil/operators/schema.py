@@ -83,11 +83,15 @@ def migration_plan(source: DataFrame, target: DataFrame) -> DataFrame:
     """Ordered DDL per table: table_name, seq, kind, statement.
 
     A table only in ``target`` gets one CREATE TABLE; otherwise drops (source order), adds
-    (target order), then type and null changes (source order).  Column order comes from
-    ``position`` when present, else from the name.
+    (target order), then type and null changes (source order).  Both inputs need ``position``,
+    the place of a column in its table.
     """
+    for df in (source, target):
+        if "position" not in df.columns:
+            raise ValueError("migration_plan needs the column 'position'")
+
     def pos(df):
-        return F.col("position") if "position" in df.columns else F.lit(0)
+        return F.col("position")
     s = source.select("table_name", "name", "type", F.coalesce("nullable", F.lit(True)).alias("nullable"),
                       pos(source).alias("pos"), F.lit(True).alias("_s"))
     t = target.select("table_name", "name", "type", F.coalesce("nullable", F.lit(True)).alias("nullable"),

@@ -218,6 +218,25 @@ def q_rule_unique(spark, sf):
     return RU.validate_rules(load(spark, sf, "lineitem"), [RU.rule("unique", ["l_orderkey", "l_linenumber"])])
 
 
+BROKEN_RULES = [RU.rule("not_null", "c_name"),
+                RU.rule("custom_sql", sql="SELECT * FROM {{table}} WHERE 1 DIV (c_version - 1) > 0"),
+                RU.rule("custom_sql", sql="SELECT * FROM {{table}} WHERE no_such_column = 1"),
+                RU.rule("custom_sql", sql="SELECT * FROM {{table}} WHERE c_acctbal < 0")]
+
+
+# A rule whose SQL fails while reading the data (division by zero) and one that fails to plan each
+# give an error row; the rules around them go on.
+@register("dq_rules_broken", _DIRTY + """
+SELECT 0 AS rule_index, 'not_null' AS rule_type, count(*) = 0 AS passed, count(*) AS failures, false AS has_error
+FROM dirty_customer WHERE c_name IS NULL
+UNION ALL SELECT 1, 'custom_sql', false, 0, true
+UNION ALL SELECT 2, 'custom_sql', false, 0, true
+UNION ALL SELECT 3, 'custom_sql', count(*) = 0, count(*), false FROM dirty_customer WHERE c_acctbal < 0""")
+def q_rules_broken(spark, sf):
+    out = RU.validate_rules(D.view(spark, sf, "dirty_customer"), BROKEN_RULES)
+    return out.select("rule_index", "rule_type", "passed", "failures", F.col("error").isNotNull().alias("has_error"))
+
+
 @register("dq_scorecard", _DIRTY + f"""
 , r AS ({_rules_sql(list(range(7))).replace(_DIRTY, '')})
 SELECT count(*) AS total_rules, count(*) FILTER (WHERE passed) AS passed,
@@ -300,10 +319,11 @@ SELECT {HOURS} AS time_window_hours, count(*) AS total_alerts,
        count(*) FILTER (WHERE severity = 'warning') AS warning,
        count(*) FILTER (WHERE severity = 'info') AS info,
        count(DISTINCT pipeline) AS pipelines_affected,
-       count(*) FILTER (WHERE NOT acknowledged) AS unacknowledged_count
+       count(*) FILTER (WHERE NOT acknowledged) AS unacknowledged_count,
+       coalesce(string_agg(DISTINCT pipeline, ',' ORDER BY pipeline), '') AS pipelines
 FROM alerts WHERE {_ALERT_WIN}""")
 def q_alert_summary(spark, sf):
-    return RN.alert_summary(D.view(spark, sf, "alerts"), AS_OF, HOURS)
+    return RN.alert_summary(D.view(spark, sf, "alerts"), AS_OF, HOURS).withColumn("pipelines", F.array_join("pipelines", ","))
 
 
 @register("top_alerts", _ALERTS + f"""
@@ -322,31 +342,36 @@ def q_alert_windows(spark, sf):
     return RN.alert_windows(D.view(spark, sf, "alerts"), "1 day")
 
 
+# condition and finding of each category; the other texts are RN.ADVICE
 _SUGGEST = [
-    ("performance", "high", "Consider incremental processing instead of full refresh", "avg_duration > 30"),
-    ("reliability", "high", "Add retry logic with exponential backoff for transient failures", "success_rate < 0.9"),
-    ("efficiency", "medium", "Review partitioning strategy and add predicate pushdown", "avg_rows > 10000000"),
-    ("monitoring", "low", "Add row count logging to monitor data volume trends", "avg_rows = 0"),
-    ("consistency", "medium",
-     "Investigate root cause of runtime variance: data skew, resource contention, or queuing",
-     "n >= 5 AND max_d > min_d * 3"),
+    ("performance", "avg_duration > 30", "'Pipeline averages ' || CAST(avg_duration AS VARCHAR) || 'min runtime'"),
+    ("reliability", "success_rate < 0.9", "'Success rate is ' || CAST(CAST(round(success_rate * 100) AS BIGINT) AS VARCHAR) || '%'"),
+    ("efficiency", "avg_rows > 10000000",
+     "'Pipeline processes ' || format('{:,}', CAST(round(avg_rows) AS BIGINT)) || ' rows on average'"),
+    ("monitoring", "avg_rows = 0", "'Row count not being tracked'"),
+    ("consistency", "n >= 5 AND max_d > min_d * 3",
+     "'Runtime varies from ' || CAST(CAST(round(min_d) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(round(max_d) AS BIGINT) AS VARCHAR)"
+     " || 'min (' || CASE WHEN min_d = 0 THEN 'inf' ELSE CAST(CAST(round(max_d / min_d) AS BIGINT) AS VARCHAR) END || 'x)'"),
 ]
 
 
+def _advice(category):
+    severity, suggestion, impact = RN.ADVICE[category]
+    return f"'{category}' AS category, '{severity}' AS severity, '{suggestion}' AS suggestion, '{impact}' AS estimated_impact"
+
+
 @register("suggest_optimizations", _RUNS + ", " + _LAST20 + """,
 s AS (SELECT pipeline, count(*) AS n, round(avg(duration_min), 1) AS avg_duration,
              round(count(*) FILTER (WHERE status = 'success') / count(*), 2) AS success_rate,
              avg(coalesce(rows_processed, 0)) AS avg_rows, min(duration_min) AS min_d, max(duration_min) AS max_d
       FROM r WHERE recency <= 20 GROUP BY pipeline),
 f AS (""" + "\nUNION ALL\n".join(
-    f"SELECT pipeline, '{c}' AS category, '{sv}' AS severity, '{sg}' AS suggestion FROM s WHERE {cond}"
-    for c, sv, sg, cond in _SUGGEST) + """)
+    f"SELECT pipeline, {_advice(c)}, {text} AS finding FROM s WHERE {cond}" for c, cond, text in _SUGGEST) + f""")
 SELECT * FROM f
 UNION ALL
-SELECT pipeline, 'info', 'low', 'Continue monitoring; pipeline appears healthy' FROM s
-WHERE pipeline NOT IN (SELECT pipeline FROM f)""")
+SELECT pipeline, {_advice('info')}, 'No optimizations identified' AS finding FROM s WHERE pipeline NOT IN (SELECT pipeline FROM f)""")
 def q_suggest(spark, sf):
-    return RN.suggest_optimizations(D.view(spark, sf, "runs")).drop("finding")
+    return RN.suggest_optimizations(D.view(spark, sf, "runs"))
 
 
 _COSTS = D.oracle_with("costs")
@@ -370,7 +395,8 @@ def q_cost_summary(spark, sf):
 
 @register("cost_recommendations", _COSTS + """,
 t AS (SELECT provider, compute, storage FROM costs ORDER BY total DESC, provider DESC LIMIT 1),
-a AS (SELECT sum(compute) AS c, sum(storage) AS s FROM costs)
+a AS (SELECT sum(compute) AS c, sum(storage) AS s FROM costs),
+rec AS (
 SELECT 'compute_optimization' AS area, CAST(round(t.compute * 0.15, 0) AS BIGINT) AS potential_savings,
        t.provider || ': Consider auto-scaling or spot instances for non-production workloads' AS suggestion
 FROM t WHERE t.compute > t.storage * 3
@@ -379,7 +405,8 @@ SELECT 'warehouse_sizing', CAST(round(c * 0.10, 0) AS BIGINT),
        'Review warehouse sizing: consider multi-cluster warehouses for concurrent workloads' FROM a WHERE c > 10000
 UNION ALL
 SELECT 'storage_optimization', CAST(round(s * 0.20, 0) AS BIGINT),
-       'Implement data lifecycle policy: auto-archive data not accessed in 90+ days' FROM a WHERE s > 2000""")
+       'Implement data lifecycle policy: auto-archive data not accessed in 90+ days' FROM a WHERE s > 2000)
+SELECT *, CAST((SELECT sum(potential_savings) FROM rec) AS BIGINT) AS total_potential_savings FROM rec""")
 def q_cost_recommendations(spark, sf):
     return CO.cost_recommendations(D.view(spark, sf, "costs"))
 
@@ -467,31 +494,32 @@ def _qid(x):
 src_t AS (SELECT DISTINCT table_name FROM source_columns),
 j AS (SELECT coalesce(s.table_name, t.table_name) AS table_name, coalesce(s.name, t.name) AS name,
              s.name IS NOT NULL AS has_s, t.name IS NOT NULL AS has_t, s.type AS s_type, t.type AS t_type,
-             coalesce(s.nullable, true) AS s_null, coalesce(t.nullable, true) AS t_null
+             coalesce(s.nullable, true) AS s_null, coalesce(t.nullable, true) AS t_null,
+             s.position AS s_pos, t.position AS t_pos
       FROM source_columns s FULL OUTER JOIN target_columns t ON s.table_name = t.table_name AND s.name = t.name),
 st AS (
-  SELECT table_name, name, 1 AS phase, 0 AS sub, 'drop' AS kind,
+  SELECT table_name, name, 1 AS phase, s_pos AS pos, 0 AS sub, 'drop' AS kind,
          'ALTER TABLE ' || {_qid('table_name')} || ' DROP COLUMN IF EXISTS ' || {_qid('name')} || ';' AS statement
   FROM j WHERE NOT has_t AND table_name IN (SELECT table_name FROM src_t)
   UNION ALL
-  SELECT table_name, name, 2, 0, 'add', 'ALTER TABLE ' || {_qid('table_name')} || ' ADD COLUMN ' || {_qid('name')}
+  SELECT table_name, name, 2, t_pos, 0, 'add', 'ALTER TABLE ' || {_qid('table_name')} || ' ADD COLUMN ' || {_qid('name')}
          || ' ' || t_type || CASE WHEN t_null THEN '' ELSE ' NOT NULL' END || ';'
   FROM j WHERE NOT has_s AND table_name IN (SELECT table_name FROM src_t)
   UNION ALL
-  SELECT table_name, name, 3, 0, 'alter_type', 'ALTER TABLE ' || {_qid('table_name')} || ' ALTER COLUMN '
+  SELECT table_name, name, 3, s_pos, 0, 'alter_type', 'ALTER TABLE ' || {_qid('table_name')} || ' ALTER COLUMN '
          || {_qid('name')} || ' TYPE ' || t_type || ';'
   FROM j WHERE has_s AND has_t AND s_type IS DISTINCT FROM t_type
   UNION ALL
-  SELECT table_name, name, 3, 1, CASE WHEN t_null THEN 'drop_not_null' ELSE 'set_not_null' END,
+  SELECT table_name, name, 3, s_pos, 1, CASE WHEN t_null THEN 'drop_not_null' ELSE 'set_not_null' END,
          'ALTER TABLE ' || {_qid('table_name')} || ' ALTER COLUMN ' || {_qid('name')}
          || CASE WHEN t_null THEN ' DROP NOT NULL;' ELSE ' SET NOT NULL;' END
   FROM j WHERE has_s AND has_t AND s_null <> t_null
   UNION ALL
-  SELECT table_name, '', 0, 0, 'create', 'CREATE TABLE ' || {_qid('table_name')} || ' ('
+  SELECT table_name, '', 0, 0, 0, 'create', 'CREATE TABLE ' || {_qid('table_name')} || ' ('
          || string_agg({_qid('name')} || ' ' || type || CASE WHEN coalesce(nullable, true) THEN '' ELSE ' NOT NULL' END,
-                       ', ' ORDER BY name) || ');'
+                       ', ' ORDER BY position, name) || ');'
   FROM target_columns WHERE table_name NOT IN (SELECT table_name FROM src_t) GROUP BY table_name)
-SELECT table_name, CAST(row_number() OVER (PARTITION BY table_name ORDER BY phase, name, sub) AS INTEGER) AS seq,
+SELECT table_name, CAST(row_number() OVER (PARTITION BY table_name ORDER BY phase, pos, name, sub) AS INTEGER) AS seq,
        kind, statement FROM st""")
 def q_migration_plan(spark, sf):
     return SC.migration_plan(D.view(spark, sf, "source_columns"), D.view(spark, sf, "target_columns"))
@@ -523,37 +551,54 @@ def q_migration_safety(spark, sf):
 
 
 # ---------------------------------------------------------------- S9-S16 lint
-_TGT = D.oracle_with("target_columns")
+_ALL_COLUMNS = D.oracle_with("all_columns")
 _LINT_SQL = """SELECT table_name, name AS "column", 'warning' AS severity, 'naming_case' AS rule,
-       'Column ''' || name || ''' should use snake_case' AS message FROM target_columns WHERE name <> lower(name)
+       'Column ''' || name || ''' should use snake_case' AS message FROM all_columns WHERE name <> lower(name)
 UNION ALL SELECT table_name, name, 'error', 'no_spaces', 'Column ''' || name || ''' contains spaces'
-  FROM target_columns WHERE contains(name, ' ')
+  FROM all_columns WHERE contains(name, ' ')
 UNION ALL SELECT table_name, name, 'info', 'missing_description', 'Column ''' || name || ''' is missing a description'
-  FROM target_columns WHERE coalesce(description, '') = ''
+  FROM all_columns WHERE coalesce(description, '') = ''
 UNION ALL SELECT table_name, name, 'warning', 'nullable_column', 'Column ''' || name || ''' is nullable but should be NOT NULL'
-  FROM target_columns WHERE coalesce(nullable, true)
+  FROM all_columns WHERE coalesce(nullable, true)
 UNION ALL SELECT table_name, name, 'warning', 'id_type', 'Column ''' || name || ''' looks like an ID but is ' || coalesce(type, '')
-  FROM target_columns WHERE upper(coalesce(type, '')) IN ('TEXT', 'VARCHAR', 'STRING') AND contains(lower(name), 'id')"""
+  FROM all_columns WHERE upper(coalesce(type, '')) IN ('TEXT', 'VARCHAR', 'STRING') AND contains(lower(name), 'id')"""
 
 
 def _lint(spark, sf):
-    return LT.lint_schema(D.view(spark, sf, "target_columns"), naming_case="snake_case",
+    return LT.lint_schema(D.view(spark, sf, "all_columns"), naming_case="snake_case",
                           require_descriptions=True, require_not_null=True)
 
 
-@register("lint_schema", _TGT + _LINT_SQL)
+@register("lint_schema", _ALL_COLUMNS + _LINT_SQL)
 def q_lint_schema(spark, sf):
     return _lint(spark, sf)
 
 
-@register("lint_summary", _TGT + f""", i AS ({_LINT_SQL}),
-c AS (SELECT table_name, count(*) AS columns_checked FROM target_columns GROUP BY table_name),
+@register("lint_summary", _ALL_COLUMNS + f""", i AS ({_LINT_SQL}),
+c AS (SELECT table_name, count(*) AS columns_checked FROM all_columns GROUP BY table_name),
 n AS (SELECT table_name, count(*) AS issue_count FROM i GROUP BY table_name)
 SELECT c.table_name, c.columns_checked, coalesce(n.issue_count, 0) AS issue_count,
        coalesce(n.issue_count, 0) > 0 AS has_issues
 FROM c LEFT JOIN n ON c.table_name = n.table_name""")
 def q_lint_summary(spark, sf):
-    return LT.lint_summary(D.view(spark, sf, "target_columns"), _lint(spark, sf))
+    return LT.lint_summary(D.view(spark, sf, "all_columns"), _lint(spark, sf))
+
+
+@register("lint_camel_case", _ALL_COLUMNS + """
+SELECT table_name, name AS "column", 'warning' AS severity, 'naming_case' AS rule,
+       'Column ''' || name || ''' should use camelCase' AS message FROM all_columns WHERE contains(name, '_')
+UNION ALL SELECT table_name, name, 'warning', 'id_type', 'Column ''' || name || ''' looks like an ID but is ' || type
+  FROM all_columns WHERE upper(type) IN ('TEXT', 'VARCHAR', 'STRING') AND contains(lower(name), 'id')""")
+def q_lint_camel_case(spark, sf):
+    return LT.lint_schema(D.view(spark, sf, "all_columns"), naming_case="camelCase")
+
+
+@register("lint_numeric_text", D.oracle_with("event_keys") + """
+SELECT CAST(NULL AS VARCHAR) AS table_name, 'key_text' AS "column", 'warning' AS severity, 'numeric_text' AS rule,
+       'Column ''key_text'' is text but every value is a number' AS message
+FROM event_keys HAVING count(key_text) > 0 AND count(TRY_CAST(key_text AS DOUBLE)) = count(key_text)""")
+def q_lint_numeric_text(spark, sf):
+    return LT.lint_with_data(D.view(spark, sf, "event_keys"))
 
 
 # Spark's schema of the view marks c_version (a literal) NOT NULL; every other column is nullable.
@@ -599,22 +644,22 @@ def q_lineage_closure(spark, sf):
 
 
 # ---------------------------------------------------------------- C1-C7 catalog
-_CAT = D.oracle_with("catalog_tables", "target_columns", "usage_edges")
+_CAT = D.oracle_with("catalog_tables", "all_columns", "usage_edges", "upstream_edges", "dataset_queries")
 
 
-@register("catalog_sync", _TGT + """
+@register("catalog_sync", _ALL_COLUMNS + """
 SELECT table_name, 'Imported from public.' || table_name AS description, count(*) AS column_count,
        count(*) FILTER (WHERE coalesce(nullable, true)) AS nullable_columns
-FROM target_columns GROUP BY table_name""")
+FROM all_columns GROUP BY table_name""")
 def q_catalog_sync(spark, sf):
-    return CA.catalog_sync(D.view(spark, sf, "target_columns"))
+    return CA.catalog_sync(D.view(spark, sf, "all_columns"))
 
 
-@register("catalog_sync_totals", _TGT + """
+@register("catalog_sync_totals", _ALL_COLUMNS + """
 SELECT count(*) AS tables_added, CAST(sum(n) AS BIGINT) AS columns_added
-FROM (SELECT table_name, count(*) AS n FROM target_columns GROUP BY table_name)""")
+FROM (SELECT table_name, count(*) AS n FROM all_columns GROUP BY table_name)""")
 def q_catalog_sync_totals(spark, sf):
-    return CA.sync_totals(CA.catalog_sync(D.view(spark, sf, "target_columns")))
+    return CA.sync_totals(CA.catalog_sync(D.view(spark, sf, "all_columns")))
 
 
 SEARCH = "purchase"
@@ -624,13 +669,13 @@ SEARCH = "purchase"
 SELECT 'table' AS kind, table_name, CAST(NULL AS VARCHAR) AS column_name, table_name AS name, description
 FROM catalog_tables WHERE contains(lower(table_name), '{SEARCH}') OR contains(lower(coalesce(description, '')), '{SEARCH}')
 UNION ALL
-SELECT 'column', table_name, name, name, description FROM target_columns
+SELECT 'column', table_name, name, name, description FROM all_columns
 WHERE contains(lower(name), '{SEARCH}') OR contains(lower(coalesce(description, '')), '{SEARCH}')
 UNION ALL
 SELECT 'tag', NULL, NULL, tag, CAST(count(DISTINCT table_name) AS VARCHAR) || ' tables'
 FROM (SELECT table_name, unnest(tags) AS tag FROM catalog_tables) WHERE contains(lower(tag), '{SEARCH}') GROUP BY tag""")
 def q_catalog_search(spark, sf):
-    return CA.catalog_search(D.view(spark, sf, "catalog_tables"), D.view(spark, sf, "target_columns"), SEARCH)
+    return CA.catalog_search(D.view(spark, sf, "catalog_tables"), D.view(spark, sf, "all_columns"), SEARCH)
 
 
 @register("tag_counts", D.oracle_with("catalog_tables") + """
@@ -641,7 +686,7 @@ def q_tag_counts(spark, sf):
 
 
 CONTENT_QUERY = "data"
-_CONTENT_SOURCES = [("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("benchmark", "item_id", "text")]
+_CONTENT_SOURCES = [("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("benchmark", "item_id", "text"), ("conversations", "conv_id", "text")]
 
 
 def _content(spark, sf):
@@ -666,17 +711,22 @@ def q_content_hits(spark, sf):
 
 
 @register("catalog_describe", _CAT + """,
-nc AS (SELECT table_name, count(*) AS column_count FROM target_columns GROUP BY table_name),
+nc AS (SELECT table_name, count(*) AS column_count FROM all_columns GROUP BY table_name),
 u AS (SELECT table_name, count(DISTINCT pipeline) AS downstream_pipelines, count(DISTINCT column_name) AS columns_read
-      FROM usage_edges GROUP BY table_name)
+      FROM usage_edges GROUP BY table_name),
+up AS (SELECT table_name, string_agg(DISTINCT source, ',' ORDER BY source) AS upstream_sources FROM upstream_edges GROUP BY table_name),
+q AS (SELECT table_name, count(*) AS query_count FROM dataset_queries GROUP BY table_name)
 SELECT t.table_name, t.description, coalesce(array_to_string(t.tags, ','), '') AS tags,
        coalesce(nc.column_count, 0) AS column_count, coalesce(u.downstream_pipelines, 0) AS downstream_pipelines,
-       coalesce(u.columns_read, 0) AS columns_read
-FROM catalog_tables t LEFT JOIN nc ON t.table_name = nc.table_name LEFT JOIN u ON t.table_name = u.table_name""")
+       coalesce(u.columns_read, 0) AS columns_read, coalesce(upstream_sources, '') AS upstream_sources,
+       coalesce(query_count, 0) AS query_count
+FROM catalog_tables t LEFT JOIN nc ON t.table_name = nc.table_name LEFT JOIN u ON t.table_name = u.table_name
+LEFT JOIN up ON t.table_name = up.table_name LEFT JOIN q ON t.table_name = q.table_name""")
 def q_catalog_describe(spark, sf):
-    out = CA.catalog_describe(D.view(spark, sf, "catalog_tables"), D.view(spark, sf, "target_columns"),
-                              D.view(spark, sf, "usage_edges"))
-    return out.withColumn("tags", F.coalesce(F.array_join("tags", ","), F.lit("")))
+    v = lambda name: D.view(spark, sf, name)
+    out = CA.catalog_describe(v("catalog_tables"), v("all_columns"), v("usage_edges"), v("upstream_edges"), v("dataset_queries"))
+    return (out.withColumn("tags", F.coalesce(F.array_join("tags", ","), F.lit("")))
+               .withColumn("upstream_sources", F.array_join("upstream_sources", ",")))
 
 
 def _changes(spark, sf):
@@ -689,7 +739,8 @@ def _changes(spark, sf):
 _IMPACT_SQL = f"""d AS ({_DRIFT_SQL}),
 ch AS (SELECT table_name, name AS "column",
               CASE change WHEN 'removed' THEN 'drop' WHEN 'modified' THEN 'modify' ELSE 'add' END AS change_type FROM d),
-k AS (SELECT u.table_name, u.column_name AS "column", count(DISTINCT u.pipeline) AS n
+k AS (SELECT u.table_name, u.column_name AS "column", count(DISTINCT u.pipeline) AS n,
+             string_agg(DISTINCT u.pipeline, ',' ORDER BY u.pipeline) AS pipelines
       FROM usage_edges u GROUP BY u.table_name, u.column_name),
 im AS (SELECT ch.table_name, ch."column", ch.change_type,
        CASE WHEN change_type = 'drop' THEN 'high' WHEN change_type IN ('rename', 'modify') THEN 'medium' ELSE 'low' END AS severity,
@@ -699,14 +750,15 @@ im AS (SELECT ch.table_name, ch."column", ch.change_type,
                           || CAST(coalesce(k.n, 0) AS VARCHAR) || ' pipeline(s).'
          WHEN 'modify' THEN 'Verify type compatibility for ' || ch."column" || ' across '
                           || CAST(coalesce(k.n, 0) AS VARCHAR) || ' downstream pipeline(s).'
-         ELSE '' END AS recommendation
+         ELSE '' END AS recommendation, coalesce(k.pipelines, '') AS pipelines
 FROM ch LEFT JOIN k ON ch.table_name = k.table_name AND ch."column" = k."column")"""
 _IMPACT_PREFIX = D.oracle_with("source_columns", "target_columns", "usage_edges")
 
 
 @register("impact_analysis", _IMPACT_PREFIX + ", " + _IMPACT_SQL + "\nSELECT * FROM im")
 def q_impact_analysis(spark, sf):
-    return CA.impact_analysis(_changes(spark, sf), D.view(spark, sf, "usage_edges"))
+    return CA.impact_analysis(_changes(spark, sf), D.view(spark, sf, "usage_edges")).withColumn(
+        "pipelines", F.array_join("pipelines", ","))
 
 
 @register("impact_summary", _IMPACT_PREFIX + ", " + _IMPACT_SQL + """
@@ -876,7 +928,7 @@ _BF = D.oracle_with("dags", "tasks")
 _PLAN_SQL = """SELECT t.dag_id, t.task_id,
        unnest(generate_series(CAST(d.start_date AS TIMESTAMP), CAST(d.end_date AS TIMESTAMP),
               CASE d.schedule WHEN '@hourly' THEN INTERVAL 1 HOUR WHEN '@weekly' THEN INTERVAL 7 DAY
-                              WHEN '@monthly' THEN INTERVAL 30 DAY ELSE INTERVAL 1 DAY END)) AS "interval",
+                              WHEN '@monthly' THEN INTERVAL 1 MONTH ELSE INTERVAL 1 DAY END)) AS "interval",
        'queued' AS status
 FROM (SELECT DISTINCT dag_id, task_id FROM tasks) t JOIN dags d ON t.dag_id = d.dag_id
 WHERE d.end_date >= d.start_date"""
@@ -894,7 +946,7 @@ def q_backfill_plan(spark, sf):
 @register("backfill_counts", _BF + """,
 iv AS (SELECT dag_id, CAST(len(generate_series(CAST(start_date AS TIMESTAMP), CAST(end_date AS TIMESTAMP),
               CASE schedule WHEN '@hourly' THEN INTERVAL 1 HOUR WHEN '@weekly' THEN INTERVAL 7 DAY
-                            WHEN '@monthly' THEN INTERVAL 30 DAY ELSE INTERVAL 1 DAY END)) AS BIGINT) AS total_intervals
+                            WHEN '@monthly' THEN INTERVAL 1 MONTH ELSE INTERVAL 1 DAY END)) AS BIGINT) AS total_intervals
        FROM dags WHERE end_date >= start_date),
 nt AS (SELECT dag_id, count(DISTINCT task_id) AS tasks_per_run FROM tasks GROUP BY dag_id)
 SELECT iv.dag_id, total_intervals, coalesce(tasks_per_run, 0) AS tasks_per_run,
@@ -904,17 +956,31 @@ def q_backfill_counts(spark, sf):
     return BF.backfill_counts(D.view(spark, sf, "dags"), D.view(spark, sf, "tasks"))
 
 
-@register("run_history", _BF + f""", pl AS ({_PLAN_SQL})
-SELECT dag_id, "interval", count(*) AS tasks, count(*) FILTER (WHERE status = 'queued') AS queued
-FROM pl GROUP BY dag_id, "interval" """)
+_TASK_RUNS = D.oracle_with("task_runs")
+
+
+def _task_runs(spark, sf):
+    return D.view(spark, sf, "task_runs").withColumnRenamed("run_interval", "interval")
+
+
+@register("run_history", _TASK_RUNS + """
+SELECT dag_id, run_interval AS "interval", count(*) AS tasks, count(*) FILTER (WHERE status = 'queued') AS queued
+FROM task_runs GROUP BY dag_id, run_interval""")
 def q_run_history(spark, sf):
-    return BF.run_history(_plan(spark, sf))
+    return BF.run_history(_task_runs(spark, sf))
+
+
+@register("run_history_recent", _TASK_RUNS + """
+SELECT dag_id, CAST(count(*) OVER (PARTITION BY dag_id) - r + 1 AS INTEGER) AS pos, task_id, run_interval AS "interval", status
+FROM (SELECT *, row_number() OVER (PARTITION BY dag_id ORDER BY ts DESC, run_id DESC) AS r FROM task_runs) x WHERE r <= 5""")
+def q_run_history_recent(spark, sf):
+    return BF.recent_task_runs(_task_runs(spark, sf))
 
 
-@register("intervals_covered", _BF + f""", pl AS ({_PLAN_SQL})
-SELECT dag_id, count(*) AS total_runs, count(DISTINCT "interval") AS intervals_covered FROM pl GROUP BY dag_id""")
+@register("intervals_covered", _TASK_RUNS + """
+SELECT dag_id, count(*) AS total_runs, count(DISTINCT run_interval) AS intervals_covered FROM task_runs GROUP BY dag_id""")
 def q_intervals_covered(spark, sf):
-    return BF.intervals_covered(_plan(spark, sf))
+    return BF.intervals_covered(_task_runs(spark, sf))
 
 
 @register("backfill_gaps", D.oracle_with("daily_metric") + """,

@@ -24,12 +24,15 @@ PERIOD_SPLIT = "2024-01-16 00:00:00"
 
 VIEWS: dict[str, str] = {}
 
-# Pipeline run log: one run per event.
+# Pipeline run log: one run per event.  Pipelines whose number ends in 3 do not record their row
+# counts; those ending in 7 are small, steady and never fail.
 VIEWS["runs"] = """
 SELECT event_id AS run_id, concat('p', CAST(user_id AS STRING)) AS pipeline,
-       CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
-       value / 2 AS duration_min,
-       TRY_CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) * 250000 AS rows_processed, ts
+       CASE WHEN event_type = 'error' AND user_id % 10 <> 7 THEN 'failed' ELSE 'success' END AS status,
+       CASE WHEN user_id % 10 = 7 THEN 10 + value / 1000 ELSE value / 2 END AS duration_min,
+       CASE WHEN user_id % 10 = 3 THEN NULL
+            ELSE TRY_CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) * CASE WHEN user_id % 10 = 7 THEN 1000 ELSE 250000 END
+            END AS rows_processed, ts
 FROM {events}
 """
 
@@ -42,11 +45,12 @@ SELECT event_id AS alert_id, concat('p', CAST(user_id AS STRING)) AS pipeline,
 FROM {events} WHERE value > 100
 """
 
-# Cost records per provider (brand): returned lines are "storage", the rest "compute".
+# Cost records per provider (brand): returned lines after the first of an order are "storage",
+# the rest "compute".
 VIEWS["costs"] = """
 SELECT p.p_brand AS provider,
-       CAST(SUM(CASE WHEN l.l_returnflag <> 'R' THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DECIMAL(38,2)) AS compute,
-       CAST(SUM(CASE WHEN l.l_returnflag = 'R' THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DECIMAL(38,2)) AS storage,
+       CAST(SUM(CASE WHEN l.l_returnflag <> 'R' OR l.l_linenumber = 1 THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DECIMAL(38,2)) AS compute,
+       CAST(SUM(CASE WHEN l.l_returnflag = 'R' AND l.l_linenumber <> 1 THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DECIMAL(38,2)) AS storage,
        CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey GROUP BY p.p_brand
 """
@@ -111,42 +115,67 @@ SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1 AS c_acctbal,
 FROM {customer} WHERE c_custkey % 10 = 0
 """
 
-# Observed schema of each pipeline's output dataset: one column per event type, its type
-# widened by the values seen, nullable when sentinel values (< 1) appear, and a description
-# only once the column has been seen three times.  {where} selects the observation period.
-_OBSERVED = """
-SELECT concat('p', CAST(user_id AS STRING)) AS table_name,
-       CASE event_type WHEN 'signup' THEN 'signupId' WHEN 'click' THEN 'click_id'
-                       ELSE concat(event_type, '_value') END AS name,
-       CASE WHEN event_type IN ('signup', 'click')
-            THEN CASE WHEN max(value) >= 100 THEN 'VARCHAR' ELSE 'BIGINT' END
-            WHEN max(value) >= 100 THEN 'DOUBLE' ELSE 'FLOAT' END AS type,
-       min(value) < 1 AS nullable,
-       CASE WHEN count(*) >= 3 THEN concat(event_type, ' measure') ELSE '' END AS description
-FROM {{events}} WHERE {where}
-GROUP BY user_id, event_type
+# Name of the column that an event feeds: one per event type and quarter of the day.  Signup, click
+# and error columns break the naming rules of the linter.
+_COLUMN = """concat(CASE event_type WHEN 'signup' THEN 'signupId' WHEN 'click' THEN 'click_id' WHEN 'error' THEN 'error value '
+                             ELSE concat(event_type, '_value') END, CAST(CAST(FLOOR(extract(hour FROM ts) / 6) AS INTEGER) AS STRING))"""
+
+# Table that an event feeds: its pipeline's output, or a separate one for the last hour of the day
+# (few events, so some of those tables exist in one period only).
+_TABLE = "concat('p', CAST(user_id AS STRING), CASE WHEN extract(hour FROM ts) = 23 THEN '_late' ELSE '' END)"
+
+# Observed schema of each output dataset: a column's type is widened by the values seen, it is
+# nullable when sentinel values (< 1) appear, described once it has been seen three times, and
+# stands where it was first seen.  {where} selects the observation period, if any.
+_OBSERVED = f"""
+SELECT table_name, name, type, nullable, description,
+       CAST(row_number() OVER (PARTITION BY table_name ORDER BY first_seen, name) AS INTEGER) AS position
+FROM (SELECT {_TABLE} AS table_name, {_COLUMN} AS name,
+             CASE WHEN event_type IN ('signup', 'click')
+                  THEN CASE WHEN max(value) >= 100 THEN 'VARCHAR' ELSE 'BIGINT' END
+                  WHEN max(value) >= 100 THEN 'DOUBLE' ELSE 'FLOAT' END AS type,
+             min(value) < 1 AS nullable, min(ts) AS first_seen,
+             CASE WHEN count(*) >= 3 THEN concat(event_type, ' measure') ELSE '' END AS description
+      FROM {{{{events}}}} WHERE {{where}}
+      GROUP BY {_TABLE}, {_COLUMN}, event_type) o
 """
 
 # Plain range predicates on the event time, so Parquet row-group statistics prune each period.
 VIEWS["source_columns"] = _OBSERVED.format(where=f"ts < TIMESTAMP '{PERIOD_SPLIT}'")
 VIEWS["target_columns"] = _OBSERVED.format(where=f"ts >= TIMESTAMP '{PERIOD_SPLIT}'")
+VIEWS["all_columns"] = _OBSERVED.format(where="true")
 
 # Catalog entries: one table per pipeline; tags are the event types that raised alerts.
 VIEWS["catalog_tables"] = """
 SELECT concat('p', CAST(user_id AS STRING)) AS table_name,
-       concat('Output of pipeline p', CAST(user_id AS STRING)) AS description,
+       concat('Output of pipeline p', CAST(user_id AS STRING), ', last fed by ', max_by(event_type, event_id)) AS description,
        array_sort(array_agg(DISTINCT event_type) FILTER (WHERE value > 100)) AS tags
 FROM {events} GROUP BY user_id
 """
 
-# Downstream usage: report_<type> jobs read the <type> column of every dataset that fed
-# them a value above 50 in the first period.
+# Downstream usage: report_<type> jobs read every <type> column; audit jobs read what errors fed.
 VIEWS["usage_edges"] = f"""
-SELECT DISTINCT concat('p', CAST(user_id AS STRING)) AS table_name,
-       concat('report_', event_type) AS pipeline,
-       CASE event_type WHEN 'signup' THEN 'signupId' WHEN 'click' THEN 'click_id'
-                       ELSE concat(event_type, '_value') END AS column_name
-FROM {{events}} WHERE value > 50 AND ts < TIMESTAMP '{PERIOD_SPLIT}'
+SELECT DISTINCT {_TABLE} AS table_name, concat('report_', event_type) AS pipeline, {_COLUMN} AS column_name FROM {{events}}
+UNION ALL
+SELECT DISTINCT {_TABLE} AS table_name, 'audit' AS pipeline, {_COLUMN} AS column_name FROM {{events}} WHERE event_type = 'error'
+"""
+
+# Where a dataset comes from: the first key of every event's properties names a feed.
+VIEWS["upstream_edges"] = f"""
+SELECT DISTINCT {_TABLE} AS table_name, concat('feed_', CAST(event_id % 4 AS STRING)) AS source FROM {{events}}
+"""
+
+# Queries against a dataset: its click and view events.
+VIEWS["dataset_queries"] = f"""
+SELECT {_TABLE} AS table_name, event_id FROM {{events}} WHERE event_type IN ('click', 'view')
+"""
+
+# Recorded task runs of each DAG: one per event of the user whose number is the DAG's, in several states.
+VIEWS["task_runs"] = """
+SELECT e.event_id AS run_id, e.user_id AS dag_id, concat(CAST(e.user_id AS STRING), '-', CAST(e.event_id % 5 AS STRING)) AS task_id,
+       CAST(e.ts AS DATE) AS run_interval, e.ts,
+       CASE e.event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'queued' WHEN 'view' THEN 'running' ELSE 'success' END AS status
+FROM {events} e
 """
 
 # Column lineage inside each conversation: turn t is computed from the turns it depends on.
@@ -172,20 +201,31 @@ UNION ALL
 SELECT 'table' AS entity_type, concat('doc', CAST(doc_id AS STRING)) AS entity_name,
        'remove' AS action, array(source) AS tags
 FROM {documents} WHERE n_chars < 100
+UNION ALL
+SELECT 'table' AS entity_type, concat('doc', CAST(doc_id AS STRING)) AS entity_name,
+       'set' AS action, array('long', lang) AS tags
+FROM {documents} WHERE n_chars > 5000
 """
 
-# Semi-structured drift source: after the split, purchases carry an extra numeric key and
-# errors carry their key as a string.
+# Semi-structured drift source: after the split, purchases carry an extra numeric key, errors
+# carry their key as a string and views have lost a key that they carried before.
 VIEWS["events_v2"] = f"""
 SELECT event_id, ts, user_id, event_type, value,
        CASE WHEN ts >= TIMESTAMP '{PERIOD_SPLIT}' AND event_type = 'purchase'
             THEN concat('{{{{"k": ', regexp_extract(props, '[0-9]+', 0), ', "amount": ', CAST(value AS STRING), '}}}}')
             WHEN ts >= TIMESTAMP '{PERIOD_SPLIT}' AND event_type = 'error'
             THEN concat('{{{{"k": "', regexp_extract(props, '[0-9]+', 0), '"}}}}')
+            WHEN ts < TIMESTAMP '{PERIOD_SPLIT}' AND event_type = 'view'
+            THEN concat('{{{{"k": ', regexp_extract(props, '[0-9]+', 0), ', "referrer": "r"}}}}')
             ELSE props END AS props
 FROM {{events}}
 """
 
+# The number in every event's properties, as text and missing for errors.
+VIEWS["event_keys"] = """
+SELECT CASE WHEN event_type <> 'error' THEN regexp_extract(props, '[0-9]+', 0) END AS key_text FROM {events}
+"""
+
 # DAG schedules for backfill: one DAG per conversation, schedule preset by id, a start date
 # spread over a week and a range as long as the conversation.
 VIEWS["dags"] = """

@@ -34,17 +34,21 @@ def stream_scorecard(results: DataFrame) -> DataFrame:
         F.sum("failures").cast("bigint").alias("failures"), F.count_distinct("batch_id").alias("batches"))
 
 
-def rules_via_stream(df: DataFrame, rules: list, files: int = 4) -> DataFrame:
-    """Stage ``df`` as ``files`` files in the shared checkpoint folder, validate it as a
-    stream one file per micro-batch, and return the summed per-rule failures."""
+def rules_via_stream(df: DataFrame, rules: list, files_per_batch: int | None = None) -> DataFrame:
+    """Stage ``df`` in the shared checkpoint folder with its own partitioning, validate it as a
+    stream (all files at once, or ``files_per_batch`` per micro-batch), and return the summed
+    per-rule failures.  Runs when called; the staged copy is deleted afterwards."""
     import uuid
 
-    from vigil.session import ensure_checkpoint_dir
+    from vigil.session import drop_folder, ensure_checkpoint_dir
 
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/rule-stream-{uuid.uuid4().hex}"
-    df.repartition(files).write.mode("overwrite").parquet(f"{base}/input")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/input")
-    validate_stream(stream, rules, f"{base}/output", f"{base}/state").awaitTermination()
-    results = spark.read.parquet(f"{base}/output")
-    return stream_scorecard(results).drop("batches")
+    df.write.parquet(f"{base}/input")
+    reader = spark.readStream.schema(df.schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    validate_stream(reader.parquet(f"{base}/input"), rules, f"{base}/output", f"{base}/state").awaitTermination()
+    drop_folder(spark, f"{base}/input")
+    drop_folder(spark, f"{base}/state")
+    return stream_scorecard(spark.read.parquet(f"{base}/output")).drop("batches")
