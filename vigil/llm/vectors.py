@@ -1,7 +1,7 @@
 """Embedding near-dedup by lattice hashing.
 
 A vector is scaled to length 1, projected onto 8 random orthonormal directions per table and
-decoded to the nearest point of the E8 lattice (scaled by ``CELL``): its cell.  It also probes the
+decoded to the nearest point of the E8 lattice (scaled by ``CELL`` over the root of the dimension): its cell.  It also probes the
 ``PROBES`` neighbouring lattice points that are nearest to it.  Vectors of one label that meet in a
 cell, as residents or one as a visitor, are compared by cosine in double precision.
 
@@ -30,9 +30,9 @@ from vigil.llm import common as C
 
 TABLES = 3
 PROBES = 8
-CELL = 0.14
+CELL = 1.12  # side of a cell for vectors of length 1, times the square root of their dimension
 THRESHOLD = 0.98
-BLOCK = 4096
+BLOCK = 1024
 SEED = 8
 
 
@@ -84,7 +84,7 @@ def _names(points: np.ndarray, table: int, dim: int) -> np.ndarray:
 
 def cells(unit: np.ndarray, table: int, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
     """Own cell (n) and probed cells (n, probes) of unit vectors in one table."""
-    y = unit @ _directions(unit.shape[1], table) / CELL
+    y = unit @ _directions(unit.shape[1], table) * (np.sqrt(max(unit.shape[1], 8)) / CELL)
     own = nearest_point(y)
     far = ((y - own)[:, None, :] - _OFFSETS[None]) ** 2
     best = np.argsort(far.sum(axis=2), axis=1, kind="stable")[:, :probes]
@@ -130,18 +130,16 @@ def _deal(batches):
 _DEALT = "cell long, table int, home boolean, node long, label string, weight long, vector binary"
 
 
-def _meetings(unit_a, unit_b, table: int, cell: int) -> np.ndarray:
-    """Whether ``cell`` of ``table`` is the first place where the pairs (rows) meet."""
-    first = np.ones(len(unit_a), bool)
-    for t in range(table + 1):
-        own_a, near_a = cells(unit_a, t)
-        own_b, near_b = cells(unit_b, t)
-        at_b = (own_a == own_b) | (near_a == own_b[:, None]).any(axis=1)   # a comes to b's cell
-        at_a = (own_a == own_b) | (near_b == own_a[:, None]).any(axis=1)
-        if t < table:
+def _meetings(codes: list, a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarray:
+    """Whether ``cell`` of the last table in ``codes`` is the first place where the pairs (a, b) meet."""
+    first = np.ones(len(a), bool)
+    for t, (own, near) in enumerate(codes):
+        at_b = (own[a] == own[b]) | (near[a] == own[b][:, None]).any(axis=1)   # a comes to b's cell
+        at_a = (own[a] == own[b]) | (near[b] == own[a][:, None]).any(axis=1)
+        if t < len(codes) - 1:
             first &= ~(at_a | at_b)
         else:
-            here = np.where(at_a & at_b, np.minimum(own_a, own_b), np.where(at_b, own_b, own_a))
+            here = np.where(at_a & at_b, np.minimum(own[a], own[b]), np.where(at_b, own[b], own[a]))
             first &= (at_a | at_b) & (here == cell)
     return first
 
@@ -159,7 +157,7 @@ def _group(rows: dict, threshold: float):
     whole = rows["i"] == rows["j"]
     for dim in np.unique(dims):
         member = np.flatnonzero(dims == dim)
-        unit = unit_rows(np.array([raw[k] for k in member]))
+        unit, codes = unit_rows(np.array([raw[k] for k in member])), None
         for lo in range(0, len(member), _SIDE):
             a = np.arange(lo, min(lo + _SIDE, len(member)))
             for lo2 in range(lo, len(member), _SIDE):
@@ -172,11 +170,14 @@ def _group(rows: dict, threshold: float):
                 if lo == lo2:
                     near = np.triu(near, 1)
                 x, y = np.nonzero(near)
-                for k in range(0, len(x), 4096):
-                    p, q = a[x[k: k + 4096]], b[y[k: k + 4096]]
+                if len(x) and codes is None:  # cells of every vector here, in this and the earlier tables
+                    parts = [[cells(unit[k: k + 512], t) for k in range(0, len(unit), 512)] for t in range(int(rows["table"]) + 1)]
+                    codes = [tuple(np.concatenate(z) for z in zip(*part)) for part in parts]
+                for k in range(0, len(x), 1 << 16):
+                    p, q = a[x[k: k + (1 << 16)]], b[y[k: k + (1 << 16)]]
                     same = rows["label"][member[p]] == rows["label"][member[q]]
                     p, q = p[same], q[same]
-                    first = _meetings(unit[p], unit[q], int(rows["table"]), int(rows["cell"]))
+                    first = _meetings(codes, p, q, int(rows["cell"]))
                     p, q = member[p[first]], member[q[first]]
                     np.add.at(counts, p, weight[q])
                     np.add.at(counts, q, weight[p])
