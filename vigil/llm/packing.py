@@ -25,6 +25,7 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ LENGTH = 2048
 GRID = 16
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_000_000  # about 200 MB in a Python worker
 _CACHES: dict[str, "_Words"] = {}
 
 
@@ -71,16 +72,19 @@ class _Words(dict):
         self.plain = steps == ["NFC", "Replace", "Lowercase"]  # what the short cut relies on
 
     def ids(self, word: bytes) -> bytes:
+        if self.plain and word.isalpha() and word.islower():  # ASCII letters: their own alphabet
+            return array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
         text = word.decode("utf-8", "replace")
         if self.plain and text.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
             low = text.lower()
             if low.isalpha():
                 mapped = low.encode().decode("latin-1").translate(self.alphabet)
-                return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        tail = _TAIL.fullmatch(word) if self.plain and b"<|" not in word else None
+        # only a word that ends in ASCII punctuation has a tail to cut off
+        tail = _TAIL.fullmatch(word) if self.plain and word[-1] < 97 and b"<|" not in word else None
         ids = self[tail[1]] + self[tail[2]] if tail else self.ids(word)
         if len(word) <= 64:
             if len(self) >= CACHED_WORDS:
