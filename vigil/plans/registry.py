@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigil.operators import profile as P
@@ -1090,7 +1092,9 @@ _FLAGGED = "\nUNION\n".join(
     for c in _DOC_TEXT_COLS for rx in FL.PII_PATTERNS.values())
 
 
-@register("compliance_scan", f"""WITH flagged AS ({_FLAGGED}),
+@register("compliance_scan", _RUNS + ", " + _LAST20 + f""",
+s AS ({_STATS_SQL}),
+flagged AS ({_FLAGGED}),
 nulls AS (""" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS name, count(*) FILTER (WHERE {c} IS NULL) AS n,"
     f" CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE {c} IS NULL) / count(*), 4) ELSE 0.0 END AS r"
@@ -1100,9 +1104,14 @@ FROM nulls WHERE name IN (SELECT name FROM flagged)
 UNION ALL SELECT 'profile', name, 'null_rate', CAST(r AS VARCHAR) FROM nulls WHERE name IN (SELECT name FROM flagged)
 UNION ALL SELECT 'tag', 'documents.' || name, 'tags', 'pii,sensitive' FROM flagged
 UNION ALL SELECT 'lint', name, 'missing_description', 'info' FROM flagged
-UNION ALL SELECT 'lint', name, 'id_type', 'warning' FROM flagged WHERE contains(lower(name), 'id')""")
+UNION ALL SELECT 'lint', name, 'id_type', 'warning' FROM flagged WHERE contains(lower(name), 'id')
+UNION ALL SELECT 'health', 'documents', 'health', CASE WHEN success_rate >= 0.95 THEN 'healthy' WHEN success_rate >= 0.80 THEN 'degraded'
+                                                       ELSE 'unhealthy' END FROM s WHERE pipeline = 'p1'
+UNION ALL SELECT 'health', 'documents', 'success_rate', CAST(success_rate AS VARCHAR) FROM s WHERE pipeline = 'p1'""")
 def q_compliance_scan(spark, sf):
-    return FL.compliance_scan(load(spark, sf, "documents"), "documents")
+    # the run log of one pipeline stands for the runs that load the table
+    runs = D.view(spark, sf, "runs").where("pipeline = 'p1'").withColumn("pipeline", F.lit("documents"))
+    return FL.compliance_scan(load(spark, sf, "documents"), "documents", runs=runs)
 
 
 @register("alert_windows_stream", _ALERTS + """,
@@ -1202,3 +1211,108 @@ _ROW_RULE_IDX = [0, 1, 3, 4, 5]   # the row-level rules: additive over micro-bat
     for pos, i in enumerate(_ROW_RULE_IDX)))
 def q_rules_stream(spark, sf):
     return RC.rules_via_stream(D.view(spark, sf, "dirty_customer"), [CUSTOMER_RULES[i] for i in _ROW_RULE_IDX])
+
+
+# ---------------------------------------------------------------- forms that write, and invariants of estimates
+from vigil.session import ensure_checkpoint_dir  # noqa: E402
+from vigil.sources import logs as LG  # noqa: E402
+
+
+def _scratch(spark, name):
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_QUARANTINE = [(0, "not_null", "c_mktsegment IS NULL"), (3, "min", "c_acctbal < 0"), (4, "max", "c_acctbal > 9000"),
+               (5, "accepted_values", f"c_mktsegment IS NOT NULL AND c_mktsegment NOT IN ({_SEG_SQL})")]
+
+
+@register("dq_quarantine", _DIRTY + """
+SELECT c_custkey, c_version, concat_ws(',', """ + ", ".join(
+    f"CASE WHEN {cond} THEN '{n}:{kind}' END" for n, (_, kind, cond) in enumerate(_QUARANTINE)) + """,
+       CASE WHEN count(*) OVER (PARTITION BY c_custkey) > 1 AND c_custkey IS NOT NULL THEN '4:unique' END) AS failed_rules
+FROM dirty_customer""")
+def q_quarantine(spark, sf):
+    out = RU.quarantine(D.view(spark, sf, "dirty_customer"), [CUSTOMER_RULES[i] for i, _, _ in _QUARANTINE] + [CUSTOMER_RULES[2]])
+    return out.select("c_custkey", "c_version", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+# Every fourth month is missing from the written totals; only those are computed anew, twice.
+@register("backfill_recompute", """
+SELECT CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS month, count(*) AS n_orders,
+       sum(CAST(o_totalprice AS DECIMAL(18,2))) AS revenue FROM orders GROUP BY 1""")
+def q_backfill_recompute(spark, sf):
+    path = _scratch(spark, "monthly")
+    orders = load(spark, sf, "orders").withColumn("month", F.trunc(F.col("o_orderdate").cast("date"), "month"))
+
+    def totals(df):
+        return df.groupBy("month").agg(F.count(F.lit(1)).alias("n_orders"),
+                                       F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("revenue"))
+
+    missing = orders.where(F.month("month") % 4 == 0).select(F.col("month").alias("interval")).distinct()
+    totals(orders.where(F.month("month") % 4 != 0)).repartition("month").write.partitionBy("month").parquet(path)
+    for _ in range(2):
+        BF.recompute(orders, missing, "month", totals, path, "month")
+    return spark.read.parquet(path).select(F.col("month").cast("date").alias("month"), "n_orders", "revenue")
+
+
+@register("record_runs", _RUNS + "SELECT run_id, pipeline, status, duration_min, rows_processed, ts FROM runs")
+def q_record_runs(spark, sf):
+    path, runs = _scratch(spark, "runs"), D.view(spark, sf, "runs")
+    for kind in ("success", "failed"):
+        LG.record_runs(runs.where(F.col("status") == kind), path)
+    return spark.read.parquet(path)
+
+
+@register("record_alerts", _ALERTS + """
+SELECT alert_id, pipeline, severity, message, ts, CASE WHEN severity = 'critical' THEN acknowledged ELSE false END AS acknowledged FROM alerts""")
+def q_record_alerts(spark, sf):
+    path, alerts = _scratch(spark, "alerts"), D.view(spark, sf, "alerts")
+    LG.record_alerts(alerts.where("severity = 'critical'"), path)
+    LG.record_alerts(alerts.where("severity <> 'critical'").drop("acknowledged"), path)
+    return spark.read.parquet(path)
+
+
+# The tables as the Spark catalog lists them (metadata: one row per column).
+@register("catalog_columns", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, column_name AS name, CAST(row_number() OVER () - 1 AS INTEGER) AS position FROM (DESCRIBE {t})"
+    for t in ("customer", "orders", "events")))
+def q_catalog_columns(spark, sf):
+    for t in ("customer", "orders", "events"):
+        load(spark, sf, t).createOrReplaceTempView(f"vigil_{t}")
+    cols = CA.columns_from_catalog(spark).where(F.col("table_name").isin("vigil_customer", "vigil_orders", "vigil_events"))
+    return cols.select(F.substring("table_name", 7, 100).alias("table_name"), "name", "position")
+
+
+# The sample has exactly the asked size, holds no row twice and only rows of the table.
+@register("dq_sample_exact", "SELECT 1000 AS n_rows, 1000 AS n_distinct, 1000 AS n_known WHERE (SELECT count(*) FROM orders) >= 1000")
+def q_sample_exact(spark, sf):
+    orders = load(spark, sf, "orders")
+    keys = P.sample_rows(orders, 1000).select("o_orderkey")
+    known = keys.join(orders.select("o_orderkey"), "o_orderkey", "left_semi")
+    return keys.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_orderkey").alias("n_distinct")).withColumn(
+        "n_known", known.agg(F.count(F.lit(1))).scalar()).select(*[F.col(c).cast("int").alias(c) for c in ("n_rows", "n_distinct", "n_known")])
+
+
+# HyperLogLog++ distinct counts within four times their standard error, all else exact.
+@register("dq_approx_within_bounds", "SELECT column_name, true AS distinct_ok, true AS rest_equal FROM (DESCRIBE lineitem)")
+def q_approx_within_bounds(spark, sf):
+    table = load(spark, sf, "lineitem")
+    facts = ["row_count", "null_count", "castable_count", "min", "max", "mean"]
+    exact = P.profile(table).select("column_name", F.col("distinct_count").alias("d"), F.struct(*facts).alias("f"))
+    near = P.profile(table, approx=True).select("column_name", F.col("distinct_count").alias("a"), F.struct(*facts).alias("g"))
+    return exact.join(near, "column_name").select(
+        "column_name", (F.abs(F.col("a") - F.col("d")) <= 0.2 * F.col("d") + 1).alias("distinct_ok"), F.col("f").eqNullSafe(F.col("g")).alias("rest_equal"))
+
+
+# approx_top_k overestimates by a bounded error: each value it reports exists, with about the stated count.
+@register("dq_top_approx_within_bounds", "SELECT true AS all_ok")
+def q_top_approx_within_bounds(spark, sf):
+    orders = load(spark, sf, "orders")
+    top = P.top_values(orders, approx=True)
+    counts = reduce(DataFrame.unionByName, [
+        orders.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("column_name", F.lit(c))
+        for c in orders.columns])
+    checked = top.join(counts, ["column_name", "value"], "left")
+    return checked.agg(F.coalesce(F.bool_and(F.col("n").isNotNull() & (F.abs(F.col("count") - F.col("n")) <= 0.05 * F.col("n") + 1)),
+                                  F.lit(True)).alias("all_ok"))
