@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vigil.llm import decontam, lines, packing, simhash, suffixes
 
@@ -319,3 +320,25 @@ def test_decontamination(spark, docs, no_docs):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_hits(docs, nothing, "text", "item_id", "text", ["doc_id"]).where("n_hit > 0").count() == 0
     assert decontam.find_hits(no_docs, bench, "text", "item_id", "text", ["doc_id"]).count() == 0
+
+
+# ---------------------------------------------------------------- columns with the operators' names
+
+def test_kept_columns_with_clashing_names(spark):
+    from vigil.llm import quality, sharding, toxicity, vectors
+    clash = ["rid", "row", "at", "label", "node", "h1", "m", "b0", "cell", "weight", "id", "text", "fine", "key"]
+    rows = [(i, _prose(30), [float(i), 1.0], 1) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, body string, vector array<float>, y int").select(
+        "*", *[F.lit(c).alias(c) for c in clash], F.lit("x").alias("score"), F.lit("x").alias("kept"), F.lit("x").alias("n_hit"),
+        F.lit("x").alias("length"), F.lit("x").alias("shard"), F.lit("x").alias("n_lines"), F.lit("x").alias("fp"))
+    keep = [c for c in df.columns if c != "vector"]
+    bench = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    model = toxicity.train(df, df.select("doc_id", "y"), "doc_id", "body", "y")
+    made = [simhash.near_duplicates(df, "doc_id", "body", keep), lines.dedup(df, "doc_id", "body", keep), packing.pack(df, "body", keep),
+            decontam.find_hits(df, bench, "body", "item_id", "text", keep), sharding.shard(df, "doc_id", "body", keep, 100),
+            vectors.near_duplicates(df, "doc_id", "vector", "y", keep), toxicity.score(df, model, "body", keep),
+            quality.score(df, quality.train(df, df.select("doc_id", "y"), "doc_id", "body", "y"), "body", keep)]
+    for out in made:
+        got = out.collect()
+        assert len({c.lower() for c in out.columns}) == len(out.columns) and {r.doc_id for r in got} == set(range(6))
+        assert all(r[c] == c for r in got for c in clash)

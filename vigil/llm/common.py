@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="vigil-llm-")
     spark.sparkContext.setCheckpointDir(made)
@@ -87,6 +87,15 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def apart(keep: list[str], made: tuple[str, ...]) -> list[str]:
+    """Columns to carry along: one with the name of a result gives way to the result.
+
+    Names that begin with two underscores are the operators' own.
+    """
+    names = {m.lower() for m in made}
+    return [c for c in keep if c.lower() not in names]
+
+
 def with_columns(df: DataFrame, keep: list[str], ddl: str) -> StructType:
     """Schema of ``keep`` columns of ``df`` followed by the columns of ``ddl``."""
     return StructType([df.schema[c] for c in keep] + StructType.fromDDL(ddl).fields)
@@ -146,7 +155,7 @@ _STEP_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, SEGMENT + 1)
         for key, step in (("up", _STEP), ("down", _STEP_INVERSE)):
@@ -190,7 +199,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SEGMENT, "right")))
         base, top = int(starts[lo]), int(ends[hi - 1])
-        up, down = _powers(top - base)
+        up, down = powers(top - base)
         sums = np.zeros(top - base + 1, np.uint64)
         np.cumsum(_BYTE[buf[base:top]] * up[: top - base], out=sums[1:])
         s = starts[lo:hi] - base

@@ -158,6 +158,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, it
               keep: list[str]) -> DataFrame:
     """``keep`` columns of every document row with ``n_words``, ``n_hit``, ``n_items``, ``item_ids``
     (sorted strings) and ``spans`` (disjoint hit ranges of words, end exclusive)."""
+    keep = C.apart(keep, ("n_words", "n_hit", "n_items", "item_ids", "spans"))
     spark = docs.sparkSession
     plain = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"))
     classes = plain.where("text IS NOT NULL").select(
@@ -187,10 +188,11 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, it
               .groupBy("rid").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")))
     facts = ranges.join(listed, "rid", "left")
     none = F.expr("cast(array() as array<string>)")
-    out = base.join(facts, F.col("__rid") == F.col("rid"), "left").select(
-        *keep, F.col("__n_words").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("item_ids", none).alias("item_ids"),
-        F.coalesce("spans", F.expr("cast(array() as array<struct<fresh:long,finish:long>>)")).alias("spans"))
+    facts = facts.withColumnsRenamed({c: f"__{c}" for c in ("n_hit", "item_ids", "spans")}).withColumnRenamed("rid", "__of")
+    out = base.join(facts, F.col("__rid") == F.col("__of"), "left").select(
+        *keep, F.col("__n_words").alias("n_words"), F.coalesce("__n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.size("__item_ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("__item_ids", none).alias("item_ids"),
+        F.coalesce("__spans", F.expr("cast(array() as array<struct<fresh:long,finish:long>>)")).alias("spans"))
     return out
 

@@ -141,12 +141,14 @@ def pieces_of(text: np.ndarray, words: _Words, length: int = LENGTH):
         yield held[lo: lo + length]
 
 
-_PIECE = "__task int, piece int, start long, length int, ids_crc32 long, __rank long"
+MADE = ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
+_PIECE = "__task int, piece int, start long, length long, ids_crc32 long, __rank long"
 
 
 def pieces(df: DataFrame, text_col: str, keep: list[str], tokenizer: str | None = None,
            with_ids: bool = False) -> DataFrame:
     """One row per piece: ``keep`` columns, place in the document, CRC-32 (and ids if asked for)."""
+    keep = C.apart(keep, MADE)
     source = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
 
     def run(batches):
@@ -166,7 +168,7 @@ def pieces(df: DataFrame, text_col: str, keep: list[str], tokenizer: str | None
                         start += len(own)
                 task_, piece, start, length, crc, rank = (np.array(x) for x in zip(*out))
                 made = [pa.array(task_, pa.int32()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                        pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(rank, pa.int64())]
+                        pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(rank, pa.int64())]
                 if with_ids:
                     made.append(pa.array([x.tolist() for x in ids], pa.list_(pa.int64())))
                 names = ["__task", "piece", "start", "length", "ids_crc32", "__rank"] + ["ids"] * with_ids
@@ -294,7 +296,7 @@ def placements(planned: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 def pack(df: DataFrame, text_col: str, keep: list[str], tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of every row with ``sequence_id`` and ``offset``; sequences are gapless from 0."""
-    spark = df.sparkSession
+    spark, keep = df.sparkSession, C.apart(keep, MADE)
     base = C.materialise(pieces(df, text_col, keep, tokenizer, with_ids), "pieces")
     per_task = base.groupBy("__task", "length").agg(F.count("*").alias("n"))
     counts = np.zeros(LENGTH + 1, np.int64)

@@ -118,6 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
 def score(df: DataFrame, weights: np.ndarray, text_col: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of every row with ``score`` (probability of label 1)."""
+    keep = C.apart(keep, ("score",))
     model = df.sparkSession.sparkContext.broadcast(weights)
     plain = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
 

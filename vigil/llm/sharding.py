@@ -70,6 +70,7 @@ def directory(sized: DataFrame, limit: int) -> list[DataFrame]:
 def shard(df: DataFrame, key: str, payload: str, keep: list[str], limit: int = LIMIT) -> DataFrame:
     """``keep`` columns of every row with ``n_bytes``, ``depth``, ``shard`` (its hash bits), ``part``
     (within a bucket of one key) and ``shard_bytes`` (of the whole bucket)."""
+    keep = C.apart(keep, ("n_bytes", "depth", "shard", "part", "shard_bytes"))
     size = F.coalesce(F.octet_length(F.col(payload)), F.lit(0)).cast("long")
     base = df.select(*[F.col(c) for c in keep], size.alias("__bytes"), key_hash(F.col(key)).alias("__hash"))
     base = C.materialise(base.withColumn("__row", F.monotonically_increasing_id())
@@ -89,14 +90,14 @@ def shard(df: DataFrame, key: str, payload: str, keep: list[str], limit: int = L
     within = Window.partitionBy("__hash", "__task").orderBy("__row")
     before = Window.partitionBy("__hash").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     tasks = stuck.groupBy("__hash", "__task").agg(F.sum("__bytes").alias("b"), F.count("*").alias("n"), F.max("__bytes").alias("m"))
-    tasks = tasks.select("__hash", "__task", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"),
-                         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
-                         F.max("m").over(Window.partitionBy("__hash")).alias("m"))
-    placed = (stuck.withColumn("b1", F.sum("__bytes").over(within) - F.col("__bytes"))
-              .withColumn("n1", F.row_number().over(within) - 1).join(tasks, ["__hash", "__task"]))
+    tasks = tasks.select("__hash", "__task", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("__b0"),
+                         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n0"),
+                         F.max("m").over(Window.partitionBy("__hash")).alias("__m"))
+    placed = (stuck.withColumn("__b1", F.sum("__bytes").over(within) - F.col("__bytes"))
+              .withColumn("__n1", F.row_number().over(within) - 1).join(tasks, ["__hash", "__task"]))
     # a part takes the rows that start within limit - m bytes; rows above half the limit stay alone
-    part = F.when(2 * F.col("m") > limit, F.col("n0") + F.col("n1")).otherwise(
-        F.floor((F.col("b0") + F.col("b1")) / (limit - F.col("m"))))
+    part = F.when(2 * F.col("__m") > limit, F.col("__n0") + F.col("__n1")).otherwise(
+        F.floor((F.col("__b0") + F.col("__b1")) / (limit - F.col("__m"))))
     cut = placed.withColumn("part", part.cast("long"))
 
     def final(x: DataFrame) -> DataFrame:

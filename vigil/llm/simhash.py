@@ -136,7 +136,7 @@ def _shingle_hashes(buf: np.ndarray, bounds: np.ndarray, size: int):
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
 
-def _majority(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """Per row, the bits set in over half of its hashes."""
     out = np.zeros(len(cut) - 1, np.uint64)
     full = np.flatnonzero(np.diff(cut))
@@ -156,7 +156,7 @@ def fingerprints(batch: pa.RecordBatch, column: str, size: int = SHINGLE) -> np.
     out = np.zeros(batch.num_rows, np.uint64)
     for lo, hi, buf, bounds in C.text_groups(batch, column):
         hashes, cut = _shingle_hashes(buf, bounds, size)
-        out[lo:hi] = _majority(hashes, cut)
+        out[lo:hi] = majority(hashes, cut)
     return out
 
 
@@ -352,6 +352,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, keep: list[str],
                     size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """``keep`` columns of every row, ``fp``, ``component_id`` (smallest id reachable) and ``kept``
     (one row of each component: the smallest id, the first row of several with it)."""
+    keep = C.apart(keep, ("fp", "component_id", "kept"))
     source = df.select(*[F.col(c) for c in keep], F.col(id_col).alias("__id"), F.col(text_col).alias("__body"))
     marked = with_fingerprints(source, "__body", [*keep, "__id"], size)
     base = C.materialise(marked.withColumn("__row", F.monotonically_increasing_id()), "fingerprints")

@@ -104,7 +104,7 @@ class Suffixes:
         row = np.searchsorted(bounds, at + base, "right") - 1
         before = np.minimum(at + base - bounds[row], REACH)
         after = np.minimum(bounds[row + 1] - at - base, SPAN)
-        up, down = C._powers(n + 1)
+        up, down = C.powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(C._BYTE[buf] * up[:n], out=sums[1:])
         lead = C.mix64((sums[at + GRAM] - sums[at]) * down[at])

@@ -264,6 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
 def score(df: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of every row, ``score``, and the toxic spans found: tokens and E-value."""
+    keep = C.apart(keep, ("score", "spans"))
     shared = df.sparkSession.sparkContext.broadcast(model)
     plain = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     span = pa.struct([("first_token", pa.int32()), ("last_token", pa.int32()), ("e_value", pa.float64())])

@@ -231,6 +231,7 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, label_col: str,
                     threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``keep`` columns of every row with ``n_links`` (other rows linked directly), ``component_id``
     (smallest id reachable) and ``kept`` (the id is the component's)."""
+    keep = C.apart(keep, ("n_links", "component_id", "kept"))
     base = C.materialise(df.select(
         *[F.col(c) for c in keep], F.col(id_col).alias("__id"), F.col(vector_col).alias("__vector"),
         F.col(label_col).cast("string").alias("__label")).withColumn("__row", F.monotonically_increasing_id()), "vectors")
