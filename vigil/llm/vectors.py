@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from vigil.llm import common as C
 
@@ -99,32 +100,39 @@ def unit_rows(raw: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- dealing vectors to cells
 
-def _deal(batches):
-    for batch in batches:
-        lists = batch.column("vector")
-        sizes = np.array([len(x) for x in lists])
-        for dim in np.unique(sizes):
-            rows = np.flatnonzero(sizes == dim)
-            for lo in range(0, len(rows), 512):
-                own_rows = rows[lo: lo + 512]
-                raw = np.array([lists[int(i)].as_py() for i in own_rows], np.float64)
-                unit = unit_rows(raw)
-                index, cell, table_of, home = [], [], [], []
-                for t in range(TABLES):
-                    own, near = cells(unit, t)
-                    for names, at_home in ((own[:, None], True), (near, False)):
-                        index.append(np.repeat(np.arange(len(unit)), names.shape[1]))
-                        cell.append(names.ravel())
-                        table_of.append(np.full(names.size, t, np.int32))
-                        home.append(np.full(names.size, at_home))
-                index = np.concatenate(index)
-                take = pa.array(own_rows[index])
-                blobs = pa.array([r.tobytes() for r in raw], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(cell)), pa.array(np.concatenate(table_of)), pa.array(np.concatenate(home)),
-                     batch.column("node").take(take), batch.column("label").take(take), batch.column("weight").take(take),
-                     blobs.take(pa.array(index))],
-                    names=["cell", "table", "home", "node", "label", "weight", "vector"])
+def _deal(kind: str):
+    """A row per vector and cell, the vector as it came (``kind``: its number type)."""
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("vector")
+            sizes = np.array([len(x) for x in lists])
+            for dim in np.unique(sizes):
+                rows = np.flatnonzero(sizes == dim)
+                for lo in range(0, len(rows), 512):
+                    yield _dealt_rows(batch, rows[lo: lo + 512], kind)
+    return run
+
+
+def _dealt_rows(batch: pa.RecordBatch, own_rows: np.ndarray, kind: str) -> pa.RecordBatch:
+    lists = batch.column("vector")
+    raw = np.array([lists[int(i)].as_py() for i in own_rows], kind)
+    unit = unit_rows(raw.astype(np.float64))
+    index, cell, table_of, home = [], [], [], []
+    for t in range(TABLES):
+        own, near = cells(unit, t)
+        for names, at_home in ((own[:, None], True), (near, False)):
+            index.append(np.repeat(np.arange(len(unit)), names.shape[1]))
+            cell.append(names.ravel())
+            table_of.append(np.full(names.size, t, np.int32))
+            home.append(np.full(names.size, at_home))
+    index = np.concatenate(index)
+    take = pa.array(own_rows[index])
+    blobs = pa.array([r.tobytes() for r in raw], pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(cell)), pa.array(np.concatenate(table_of)), pa.array(np.concatenate(home)),
+         batch.column("node").take(take), batch.column("label").take(take), batch.column("weight").take(take),
+         blobs.take(pa.array(index))],
+        names=["cell", "table", "home", "node", "label", "weight", "vector"])
 
 
 _DEALT = "cell long, table int, home boolean, node long, label string, weight long, vector binary"
@@ -147,10 +155,10 @@ def _meetings(codes: list, a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarra
 _SIDE = 1024
 
 
-def _group(rows: dict, threshold: float):
+def _group(rows: dict, threshold: float, kind: str):
     """Counts and forest of one group: residents against residents and visitors, cross chunks only."""
     node, home, part, weight = rows["node"], rows["home"], rows["part"], rows["weight"]
-    raw = [np.frombuffer(v, np.float64) for v in rows["vector"]]
+    raw = [np.frombuffer(v, kind).astype(np.float64) for v in rows["vector"]]
     dims = np.array([len(r) for r in raw])
     counts = np.zeros(len(node), np.int64)
     label = np.arange(len(node))
@@ -185,15 +193,15 @@ def _group(rows: dict, threshold: float):
     return counts, label
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     """Rows arrive sorted by (cell, table, i, j); a group may span batches, and is bounded by two chunks."""
     def run(batches):
         held = None
 
         def solve(table: pa.Table):
-            cell, kind = table["cell"].to_numpy(), table["table"].to_numpy()
+            cell, grid = table["cell"].to_numpy(), table["table"].to_numpy()
             i, j = table["i"].to_numpy(), table["j"].to_numpy()
-            edge = np.flatnonzero((np.diff(cell) != 0) | (np.diff(kind) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            edge = np.flatnonzero((np.diff(cell) != 0) | (np.diff(grid) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             cut = np.concatenate([[0], edge, [len(cell)]])
             home = table["home"].to_numpy(zero_copy_only=False)
             residents = np.add.reduceat(home.astype(np.int64), cut[:-1])
@@ -203,8 +211,8 @@ def _compare(threshold: float):
                 own = table.slice(lo, hi - lo)
                 rows = {"node": own["node"].to_numpy(), "home": home[lo:hi], "part": own["part"].to_numpy(),
                         "weight": own["weight"].to_numpy(), "label": np.array(own["label"].to_pylist(), object),
-                        "vector": own["vector"].to_pylist(), "cell": cell[lo], "table": kind[lo], "i": i[lo], "j": j[lo]}
-                counts, label = _group(rows, threshold)
+                        "vector": own["vector"].to_pylist(), "cell": cell[lo], "table": grid[lo], "i": i[lo], "j": j[lo]}
+                counts, label = _group(rows, threshold, kind)
                 on = np.flatnonzero(counts)
                 a += rows["node"][on].tolist()
                 b += rows["node"][label[on]].tolist()
@@ -244,17 +252,20 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, label_col: str,
     classes = C.materialise(marked.groupBy("__digest").agg(
         F.min("__row").alias("node"), F.count("*").alias("weight"), F.min("__id").alias("least"),
         F.first(F.when(usable, F.col("__vector"))).alias("vector"), F.first("__label").alias("label")), "classes")
+    kind = "<f4" if isinstance(base.schema["__vector"].dataType.elementType, FloatType) else "<f8"
     vectors = classes.where("vector IS NOT NULL").select(
-        "node", "weight", "label", F.col("vector").cast("array<double>").alias("vector"))
-    dealt = C.materialise(C.map_arrow(vectors, _deal, _DEALT), "dealt")
-    hot = dealt.groupBy("cell", "table").count().where(F.col("count") > block).select(
-        "cell", "table", F.ceil(F.col("count") / block).cast("int").alias("chunks"))
-    chunked = (dealt.join(hot, ["cell", "table"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        "node", "weight", "label", F.col("vector").cast("array<float>" if kind == "<f4" else "array<double>").alias("vector"))
+    dealt = C.materialise(C.map_arrow(vectors, _deal(kind), _DEALT), "dealt")
+    hot = C.materialise(dealt.groupBy("cell", "table").count().where(F.col("count") > block).select(
+        "cell", "table", F.ceil(F.col("count") / block).cast("int").alias("chunks")), "hot")
+    # the join moves every row, so it is there only if some cell is cut at all
+    cut = dealt.withColumn("chunks", F.lit(1)) if hot.isEmpty() else dealt.join(hot, ["cell", "table"], "left")
+    chunked = (cut.withColumn("chunks", F.coalesce("chunks", F.lit(1)))
                .withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
                .withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("chunks", "other"))
     sort = ["cell", "table", "i", "j"]
-    met = C.materialise(C.map_arrow(chunked.repartition(*sort).sortWithinPartitions(*sort), _compare(threshold),
+    met = C.materialise(C.map_arrow(chunked.repartition(*sort).sortWithinPartitions(*sort), _compare(threshold, kind),
                                     "a long, b long, n long"), "links")
     C.discard(df.sparkSession, dealt)
     linked = met.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "linked")
