@@ -39,7 +39,7 @@ LENGTH = 2048
 GRID = 16
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-CACHED_WORDS = 1_000_000  # about 200 MB in a Python worker
+CACHED_WORDS = 300_000  # about 60 MB in a Python worker
 _CACHES: dict[str, "_Words"] = {}
 
 
