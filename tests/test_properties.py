@@ -318,21 +318,21 @@ def test_json_key_drift_against_python(spark, docs):
 @given(cols, cols)
 def test_migration_plan_against_python(spark, src, tgt):
     from vigil.operators import schema as SC
-    meta = "table_name string, name string, type string, nullable boolean, description string"
-    s = spark.createDataFrame([("t", n, t, nl, "") for n, (t, nl) in src.items()], meta)
-    g = spark.createDataFrame([("t", n, t, nl, "") for n, (t, nl) in tgt.items()], meta)
+    meta = "table_name string, name string, type string, nullable boolean, description string, position int"
+    s = spark.createDataFrame([("t", n, t, nl, "", i) for i, (n, (t, nl)) in enumerate(src.items())], meta)
+    g = spark.createDataFrame([("t", n, t, nl, "", i) for i, (n, (t, nl)) in enumerate(tgt.items())], meta)
     got = [r["statement"] for r in SC.migration_plan(s, g).orderBy("seq").collect()]
     q = lambda x: "`" + x + "`"
     nn = lambda v: True if v is None else v
     want = []
     if not src and tgt:
-        cols_sql = ", ".join(f"{q(n)} {t}{'' if nn(nl) else ' NOT NULL'}" for n, (t, nl) in sorted(tgt.items()))
+        cols_sql = ", ".join(f"{q(n)} {t}{'' if nn(nl) else ' NOT NULL'}" for n, (t, nl) in tgt.items())
         want = [f"CREATE TABLE `t` ({cols_sql});"]
     elif src:
-        want += [f"ALTER TABLE `t` DROP COLUMN IF EXISTS {q(n)};" for n in sorted(src) if n not in tgt]
+        want += [f"ALTER TABLE `t` DROP COLUMN IF EXISTS {q(n)};" for n in list(src) if n not in tgt]
         want += [f"ALTER TABLE `t` ADD COLUMN {q(n)} {tgt[n][0]}{'' if nn(tgt[n][1]) else ' NOT NULL'};"
-                 for n in sorted(tgt) if n not in src]
-        for n in sorted(src):
+                 for n in list(tgt) if n not in src]
+        for n in list(src):
             if n in tgt:
                 if src[n][0] != tgt[n][0]:
                     want.append(f"ALTER TABLE `t` ALTER COLUMN {q(n)} TYPE {tgt[n][0]};")

@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 from vigil.operators import lint as LT
 from vigil.operators import schema as SC
 
-META = "table_name string, name string, type string, nullable boolean, description string"
+META = "table_name string, name string, type string, nullable boolean, description string, position int"
 
 
 def meta(spark, cols, table="t"):
-    return spark.createDataFrame([(table, *c) for c in cols], META)
+    return spark.createDataFrame([(table, *c, i) for i, c in enumerate(cols)], META)
 
 
 def test_drift_goldens(spark):
@@ -40,6 +40,10 @@ def test_migration_plan(spark):
                     "ALTER TABLE `t` ADD COLUMN `email` VARCHAR;",
                     "ALTER TABLE `t` ALTER COLUMN `id` SET NOT NULL;",
                     "ALTER TABLE `t` ALTER COLUMN `n` TYPE BIGINT;"]
+    # source order, not name order
+    drops = SC.migration_plan(meta(spark, [("zeta", "INT", True, ""), ("alpha", "INT", True, ""), ("id", "INT", True, "")]),
+                              meta(spark, [("id", "INT", True, "")])).orderBy("seq").collect()
+    assert [r["statement"].split("`")[3] for r in drops] == ["zeta", "alpha"]
     create = SC.migration_plan(meta(spark, [("a", "INT", True, "")], "other"),
                                meta(spark, [("id", "INTEGER", False, ""), ("name", "VARCHAR", True, "")], "new"))
     stm = {r["table_name"]: r["statement"] for r in create.collect()}

@@ -173,12 +173,17 @@ def _branches_long(df: DataFrame, cols, k: int, fingerprint_text: bool):
     group limit) so its shuffle is shared.  Adding 0.0 makes -0.0 the 0.0 that it equals."""
     def entry(c, dt):
         v = F.col(c) + F.lit(0.0).cast(dt) if isinstance(dt, T.FractionalType) and not isinstance(dt, T.DecimalType) else F.col(c)
-        text = v.cast("string")
-        key = fingerprint(F.col(c)) if fingerprint_text and isinstance(dt, T.StringType) else text
-        return F.struct(F.lit(c).alias("column_name"), key.cast("string").alias("key"), text.alias("value"))
+        fields = [F.lit(c).alias("column_name"), v.cast("string").alias("value")]
+        if fingerprint_text:
+            key = fingerprint(F.col(c)) if isinstance(dt, T.StringType) else v
+            fields.append(key.cast("string").alias("key"))
+        return F.struct(*fields)
 
     stacked = df.select(F.explode(F.array(*[entry(c, dt) for _, c, dt in cols])).alias("x")).select("x.*")
-    vc = stacked.groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("cnt"), F.any_value("value").alias("value"))
+    if fingerprint_text:
+        vc = stacked.groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("cnt"), F.max("value").alias("value"))
+    else:
+        vc = stacked.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
     distinct = vc.groupBy("column_name").agg(
         F.count_if(F.col("value").isNotNull() & (F.col("cnt") > 0)).alias("distinct_count"))
     w = Window.partitionBy("column_name").orderBy(F.col("value").isNull().asc(), F.col("cnt").desc(),
