@@ -97,7 +97,8 @@ def cycle_members(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     own = nodes.withColumnRenamed("task_id", "parent")
     inner = _edges(edges).join(own, ["dag_id", "parent"], "left_semi")
     inner = inner.join(nodes.withColumnRenamed("task_id", "child"), ["dag_id", "child"], "left_semi")
-    out, left, k = Rounds(spark, "cycles"), Rounds(spark, "rest"), 0
+    inner = Rounds(spark, "inner").write(0, inner)
+    out, left, late, k = Rounds(spark, "cycles"), Rounds(spark, "rest"), Rounds(spark, "late"), 0
     rest = left.write(0, nodes)
     found = out.write(0, nodes.where("false").select("dag_id", F.col("task_id").alias("cycle"), "task_id"))
 
@@ -106,13 +107,13 @@ def cycle_members(tasks: DataFrame, edges: DataFrame) -> DataFrame:
         return a.join(kept.withColumnRenamed("task_id", "child"), ["dag_id", "child"], "left_semi")
 
     while True:
-        past = blocked_tasks(rest, among(rest))
+        past = late.write(k, blocked_tasks(rest, among(rest)))
         flipped = among(past).select("dag_id", F.col("parent").alias("child"), F.col("child").alias("parent"))
         k += 1
         rest = left.write(2 * k - 1, blocked_tasks(past, flipped))
         if rest.isEmpty():
             return out.all().drop("round")
-        e = among(rest).persist()
+        e = among(rest).persist()  # read in every round of the two spreads
         down = _spread(e.select("dag_id", F.col("parent").alias("a"), F.col("child").alias("b")), rest)
         up = _spread(e.select("dag_id", F.col("child").alias("a"), F.col("parent").alias("b")), rest)
         both = down.join(up.withColumnRenamed("label", "reached"), KEY)
@@ -124,6 +125,8 @@ def cycle_members(tasks: DataFrame, edges: DataFrame) -> DataFrame:
                           .join(several, ["dag_id", "cycle"], "left_semi"))
         rest = left.write(2 * k, rest.join(group, KEY, "left_anti"))
         e.unpersist()
+        if rest.isEmpty():
+            return out.all().drop("round")
 
 
 def level_widths(levels: DataFrame) -> DataFrame:
