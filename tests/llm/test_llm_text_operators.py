@@ -102,6 +102,37 @@ def test_large_anchor_groups_find_the_same_links():
     assert {(int(i), int(j)) for a, b in simhash._near_large(fp, fp, 2) for i, j in zip(a, b)} == plain
 
 
+def test_links_of_close_pairs_that_share_a_home(spark):
+    rng = np.random.default_rng(8)
+    one = np.uint64(1)
+    x = rng.integers(0, 2**63, 600, dtype=np.uint64)
+    first, second = rng.integers(0, 64, 600), rng.integers(0, 64, 600)
+    first[400:], second[400:] = rng.integers(53, 64, 200), rng.integers(53, 64, 200)  # outside the code: one home
+    y = x ^ (one << first.astype(np.uint64))
+    y[::2] ^= np.where(first == second, 0, one << second.astype(np.uint64)).astype(np.uint64)[::2]
+    fp = np.unique(np.concatenate([x, y]))
+    df = spark.createDataFrame([(int(v),) for v in fp.astype(np.int64)], "fp long")
+    place = {int(v): i for i, v in enumerate(fp.astype(np.int64))}
+    got, want = np.arange(len(fp)), np.arange(len(fp))
+    found = [(place[r.a], place[r.b]) for r in simhash.links(df).collect()]
+    lines.C.merge_labels(got, *np.array(found).T)
+    brute = np.concatenate([np.stack(p) for p in simhash._near(fp, fp, 2)], axis=1)
+    lines.C.merge_labels(want, *brute)
+    assert len(set(want)) == 600 and got.tolist() == want.tolist()
+
+
+def test_near_duplicates_of_lightly_changed_documents(spark):
+    rng, texts = random.Random(9), []
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(500)]
+        texts += [" ".join(words), " ".join([*words[:-1], "changed"])]
+    rows = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", ["doc_id"]).collect()
+    fps = [simhash_of(t) for t in texts]
+    group = groups_of(len(fps), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 2)
+    assert len(set(group)) < 100
+    assert {r.doc_id: r.component_id for r in rows} == {i: min(k for k in range(len(group)) if group[k] == group[i]) for i in range(len(group))}
+
+
 # ---------------------------------------------------------------- fuzzy lines
 
 def test_edit_similarity():

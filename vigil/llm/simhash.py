@@ -8,8 +8,8 @@ Anchors are the words of a covering code of the 64-bit space: two binary Golay [
 radius is 11), 2**28 anchors in all.  The anchor nearest to a fingerprint is its home.  A fingerprint also
 goes to every anchor within covering radius plus threshold that may be the home of a fingerprint
 within the threshold, that is where the distances beyond each part's radius sum to the threshold
-or less: 92 on average.  Then each anchor's residents meet its visitors; every pair within the
-threshold meets at the home of either.  An anchor's links leave it as a forest, never as all pairs.
+or less: 92 on average.  Then each anchor's residents meet each other and its visitors; every pair within
+the threshold meets at the home of either, which may be the same anchor.  An anchor's links leave it as a forest, never as all pairs.
 
 Only distinct fingerprints are replicated, so copies of one text count once.  Rows are dealt by anchor
 and sorted within partitions (Spark spills); one anchor's fingerprints are buffered at 16
@@ -291,7 +291,7 @@ def _near_large(a: np.ndarray, b: np.ndarray, threshold: int):
 
 
 def _forest(a: np.ndarray, b: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between residents a and visitors b, reduced to (node, smallest node of its component)."""
+    """Links between residents a and all of the anchor's fingerprints b, reduced to (node, smallest node of its component)."""
     nodes = np.union1d(a, b)
     pa_, pb = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
     label = np.arange(len(nodes))
@@ -307,7 +307,7 @@ def _compare(threshold: int):
     """Rows arrive sorted by anchor; an anchor may span batches."""
     def links(fp, home):
         fp, home = fp.astype(np.uint64), home.astype(bool)
-        return _forest(fp[home], fp, threshold) if home.any() and len(fp) > home.sum() else (fp[:0], fp[:0])
+        return _forest(fp[home], fp, threshold) if home.any() and len(fp) > 1 else (fp[:0], fp[:0])
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
