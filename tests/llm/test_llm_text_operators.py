@@ -200,6 +200,13 @@ def test_fuzzy_lines(spark, no_docs):
     assert lines.dedup(no_docs, "doc_id", "text", ["doc_id"]).count() == 0
 
 
+def test_repeated_short_lines_and_scripts_without_spaces(spark):
+    body = "All rights reserved.\n日本語の段落は一語として数えられる。\n--\n\nMenu\n"
+    rows = [(1, body), (2, body + "only here"), (3, "menu")]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", ["doc_id"]).collect()
+    assert {r.doc_id: (r.new_text, r.n_removed) for r in got} == {1: (body, 0), 2: ("--\n\nonly here", 3), 3: ("", 1)}
+
+
 # ---------------------------------------------------------------- packing
 
 def test_packing_is_exact_and_gapless(docs, no_docs):
