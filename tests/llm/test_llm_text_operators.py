@@ -207,6 +207,22 @@ def test_repeated_short_lines_and_scripts_without_spaces(spark):
     assert {r.doc_id: (r.new_text, r.n_removed) for r in got} == {1: (body, 0), 2: ("--\n\nonly here", 3), 3: ("", 1)}
 
 
+def test_fuzzy_lines_of_all_lengths_against_edit_similarity(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    texts = []
+    for n in (2, 3, 5, 8, 12, 20, 40) * 20:
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for at in rng.sample(range(n), max(1, n // 8)):  # other words, or a letter of one
+            b[at] = word() if n > 3 else b[at][:-1] + "é"
+        texts += [" ".join(a), " ".join(b)]
+    rows = lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", ["doc_id"]).collect()
+    group = groups_of(len(texts), lambda i, j: lines.similar(texts[i], texts[j]))
+    linked = len(texts) - len(set(group))
+    assert linked > 100 and 0.97 * linked <= sum(r.n_removed for r in rows) <= linked
+
+
 # ---------------------------------------------------------------- packing
 
 def test_packing_is_exact_and_gapless(docs, no_docs):
