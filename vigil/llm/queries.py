@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import common, decontam, lines, packing, quality, sharding, simhash, suffixes, toxicity, vectors, warc
+from vigil.llm import bpe, common, decontam, lines, packing, quality, sharding, simhash, suffixes, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +84,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_vectors, op3_warc, op4_simhash, op5_sharding, op6_lines, op7_packing, op8_suffixes, op9_quality, op10_decontamination)}
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    found = bpe.decode(encoded, "ids", ["doc_id", "ids"])
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_vectors, op3_warc, op4_simhash, op5_sharding, op6_lines, op7_packing, op8_suffixes, op9_quality, op10_decontamination, op12_bpe)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
