@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, common, decontam, lines, packing, quality, sharding, simhash, suffixes, toxicity, vectors, warc
+from vigil.llm import bpe, common, conversations, decontam, lines, packing, quality, sharding, simhash, suffixes, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,7 +92,12 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_vectors, op3_warc, op4_simhash, op5_sharding, op6_lines, op7_packing, op8_suffixes, op9_quality, op10_decontamination, op12_bpe)}
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return conversations.reports(damaged, "conv", "turn", "role", "text", "present").withColumnRenamed("conv", "conv_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_vectors, op3_warc, op4_simhash, op5_sharding, op6_lines, op7_packing, op8_suffixes, op9_quality, op10_decontamination, op12_bpe, op13_conversations)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -157,4 +162,66 @@ SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth,
 FROM d JOIN leaf USING (doc_id)
 """
 
-ORACLE = {"op2_vectors": OP2_SQL, "op3_warc": OP3_SQL, "op5_sharding": OP5_SQL, "op10_decontamination": OP10_SQL}
+
+
+def _op13_sql() -> str:
+    """The edit lattice row by row: per state the least (cost, audit); inserts are closed under after each row."""
+    def step(label, cost, letter):
+        return f"CASE WHEN {label} IS NOT NULL THEN {{'c': {label}.c + {cost}, 'a': {label}.a || '{letter}'}} END"
+
+    def least(*labels):
+        return f"list_min([{', '.join(labels)}])"
+
+    extra = "CASE WHEN fault = 3 THEN 5 ELSE 0 END"
+
+    def kept(label, initial):
+        return f"CASE WHEN fault IN (0, 3) THEN CASE WHEN ini = '{initial}' THEN {step(label, extra, 'K')} ELSE {step(label, f'1 + {extra}', 'R')} END END"
+
+    keep_system = f"CASE WHEN fault IN (0, 3) AND ini = 's' THEN {step('b0', extra, 'K')} END"
+    return f"""
+WITH RECURSIVE ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+keyed AS (SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(t.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations t JOIN ids ON t.conv_id IS NOT DISTINCT FROM ids.conv_id),
+drawn AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * length(k)),
+    lambda i: CASE WHEN i % 8 = 0 THEN CAST(ascii(k[CAST(i // 8 AS INTEGER) + 1]) AS BIGINT) ELSE 0 END)),
+    lambda h, b: xor(xor(h, b) >> 1, CASE WHEN xor(h, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 20 AS draw FROM keyed),
+rows_ AS (SELECT c, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN draw = 3 THEN 2 ELSE 1 END)) AS copy FROM drawn WHERE draw <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) AS nth, substr(role, 1, 1) AS ini,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM rows_),
+faulted AS (SELECT *, CASE WHEN body = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault,
+    lag(ini) OVER (PARTITION BY c ORDER BY i) AS ini_before FROM placed),
+counts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (i > 1 AND ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM faulted GROUP BY c),
+dp AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS b0, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR)) AS b1,
+         {{'c': CAST(5 AS BIGINT), 'a': 'I'}} AS b2, {{'c': CAST(10 AS BIGINT), 'a': 'II'}} AS b3 FROM ids
+  UNION ALL
+  SELECT c, i, n0, n1, m2, {least('n3', step('m2', 5, 'I'))} FROM (
+    SELECT *, {least('n2', step('n0', 5, 'I'), step('n1', 5, 'I'), step('n3', 5, 'I'))} AS m2 FROM (
+      SELECT c, f.i, {step('b0', 2, 'D')} AS n0, {least(step('b1', 2, 'D'), keep_system)} AS n1,
+             {least(step('b2', 2, 'D'), kept('b0', 'u'), kept('b1', 'u'), kept('b3', 'u'))} AS n2,
+             {least(step('b3', 2, 'D'), kept('b2', 'a'))} AS n3
+      FROM dp JOIN faulted f USING (c) WHERE f.i = dp.i + 1))),
+best AS (SELECT c, {least('b0', 'b3')} AS b FROM dp LEFT JOIN counts USING (c) WHERE dp.i = coalesce(n, 0)),
+letters AS (SELECT c, unnest(range(1, length(b.a) + 1)) AS p, b.a AS a FROM best),
+used AS (SELECT c, p, a[p] AS e, length(replace(a[1:p], 'I', '')) AS i FROM letters WHERE a[p] <> 'D'),
+led AS (SELECT u.*, f.role, f.text, f.ini, row_number() OVER w - 1 AS k,
+    first_value(CASE WHEN e = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER w AS lead_s
+  FROM used u LEFT JOIN faulted f ON u.c = f.c AND u.i = f.i AND u.e <> 'I' WINDOW w AS (PARTITION BY u.c ORDER BY p)),
+done AS (SELECT c, string_agg(CASE WHEN e = 'K' THEN role WHEN (k - lead_s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':'
+    || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS whole FROM led GROUP BY c)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.c AS cost, b.a AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM ids JOIN best USING (c) LEFT JOIN counts USING (c) LEFT JOIN done USING (c)
+"""
+
+
+OP13_SQL = _op13_sql()
+
+ORACLE = {"op2_vectors": OP2_SQL, "op3_warc": OP3_SQL, "op5_sharding": OP5_SQL, "op10_decontamination": OP10_SQL,
+          "op13_conversations": OP13_SQL}
