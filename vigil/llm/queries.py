@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, common, conversations, decontam, lines, packing, quality, sharding, simhash, suffixes, toxicity, vectors, warc
+from vigil.llm import bpe, common, conversations, decontam, divergence, lines, packing, quality, sharding, simhash, suffixes, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.ranked(divergence.Audit(_table(spark, sf_dir, "documents"), "text", "lang", "source"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
     found = bpe.decode(encoded, "ids", ["doc_id", "ids"])
@@ -97,7 +101,7 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.reports(damaged, "conv", "turn", "role", "text", "present").withColumnRenamed("conv", "conv_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_vectors, op3_warc, op4_simhash, op5_sharding, op6_lines, op7_packing, op8_suffixes, op9_quality, op10_decontamination, op12_bpe, op13_conversations)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_vectors, op3_warc, op4_simhash, op5_sharding, op6_lines, op7_packing, op8_suffixes, op9_quality, op10_decontamination, op11_divergence, op12_bpe, op13_conversations)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -164,6 +168,30 @@ FROM d JOIN leaf USING (doc_id)
 
 
 
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             unnest(list_prepend(NULL, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\\x{{80}}-\\x{{10FFFF}}]+'))) AS term
+           FROM documents),
+g AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM d GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS in_lang FROM g WHERE term IS NOT NULL GROUP BY ALL HAVING sum(docs) >= {divergence.MIN_DOCUMENTS}),
+langs AS (SELECT lang, count(term) AS v, coalesce(sum(in_lang), 0) AS of_lang FROM (SELECT DISTINCT lang FROM g) LEFT JOIN kept USING (lang) GROUP BY 1),
+groups_ AS (SELECT g.lang, source, coalesce(sum(n) FILTER (kept.term IS NOT NULL), 0) AS of_group
+            FROM g LEFT JOIN kept ON g.lang = kept.lang AND g.term = kept.term GROUP BY ALL),
+p AS (SELECT lang, source, kept.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (of_group + 5 * v) AS p,
+             1 + (1000000000::HUGEINT * (in_lang + 5)) // (of_lang + 5 * v) AS q
+      FROM groups_ JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN g USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+          FROM groups_ a JOIN groups_ b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+          GROUP BY ALL),
+rows_ AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows_)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
 def _op13_sql() -> str:
     """The edit lattice row by row: per state the least (cost, audit); inserts are closed under after each row."""
     def step(label, cost, letter):
@@ -223,5 +251,5 @@ FROM ids JOIN best USING (c) LEFT JOIN counts USING (c) LEFT JOIN done USING (c)
 
 OP13_SQL = _op13_sql()
 
-ORACLE = {"op2_vectors": OP2_SQL, "op3_warc": OP3_SQL, "op5_sharding": OP5_SQL, "op10_decontamination": OP10_SQL,
+ORACLE = {"op2_vectors": OP2_SQL, "op3_warc": OP3_SQL, "op5_sharding": OP5_SQL, "op10_decontamination": OP10_SQL, "op11_divergence": OP11_SQL,
           "op13_conversations": OP13_SQL}
