@@ -1,7 +1,6 @@
 """BPE encoding and decoding: prefix-sharing trie traversal.
 
-A text is cut at ASCII white space, which no token crosses; each distinct piece is normalised and split into
-words once.  The distinct new words of a batch go through one trie:
+A text becomes lower-case words, and the distinct new words of a batch of texts go through one trie:
 
 * a state is the last token of the encoding of a prefix.  The encoding of a longer prefix ends in the one token
   that is a suffix of it and stays apart from the last token before it; dropping last tokens one by one
@@ -13,7 +12,10 @@ Two tokens stay apart if no merge ever crosses their seam: the tokens at the sea
 the later-made one first, and a merge of the two would have to come before the one that its left token
 took part in (or not after the one of the right token: of equal merges the left one goes first).
 
-No shuffle: a task keeps a bounded table of pieces, and a very long text is encoded in segments.  Defined results:
+Composed Latin text is split into words here.  Any other text is cut at ASCII white space, which no token crosses, and
+each distinct piece goes through the library's normaliser and splitter.
+
+No shuffle: a task keeps a bounded table of words, and a very long text is encoded in segments.  Defined results:
 null and empty texts have no tokens; repeated rows are encoded row by row; special tokens in a text give their
 ids, as the library does; an empty table stays empty; further columns are carried along, and one named like a
 result gives way to it.  Models whose merges do not each make a token of their own are refused.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 
 import numpy as np
@@ -33,18 +36,21 @@ from pyspark.sql import functions as F
 from vigil.llm import common as C
 
 TOKENIZER = "word_bpe_49k.json"
-CACHED_PIECES = CACHED_WORDS = 300_000  # about 60 and 40 MB in a Python worker
-CACHED_PAIRS = 1_000_000
-SEGMENT = 1 << 22  # bytes of text that share a trie
-_SPACE = re.compile(rb"[\x09-\x0D\x20]")
+CACHED_WORDS = 400_000  # about 80 MB in a Python worker
+CACHED_PIECES = 50_000
+CACHED_PAIRS = 300_000
+SEGMENT = 1 << 23  # bytes of text that share a trie
+_SPACE = re.compile(r"[\x09-\x0D\x20]")
+_PIECE = re.compile(r"[^\x09-\x0D\x20]+")
 _NEVER = 1 << 62
 
-# Fixed values of the tokenizer's file: its steps, and its pattern for ASCII (lower case, no white space)
+# Fixed values of the tokenizer's file: its steps and its pattern
 _STEPS = ["NFC", "Replace", "Lowercase"]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-# lower-case Latin letters, and the ASCII punctuation behind them
-_LATIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+# The same pattern where a text holds nothing but ASCII, Latin-1, Latin Extended-A and General Punctuation
+_OTHER = re.compile("[^\x00-\u017f\u2010-\u2027\u2030-\u205e\u20ac]")
+_L, _N, _S = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\x09-\x0d\x20\x85\xa0"
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -57,6 +63,10 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_alphabet()
 
 
+def _mapped(word: str) -> str:
+    return word.encode().decode("latin-1").translate(_ALPHABET)
+
+
 class Merges:
     """The merges of a BPE model, by token id."""
 
@@ -88,7 +98,7 @@ class Merges:
         self.inner = {s: i for s, i in vocab.items() if i in alive and not closed[i]}
         self.last = {s[: len(s) - len(self.end)]: i for s, i in vocab.items() if i in alive and closed[i]} if self.end else self.inner
         self.inner_lengths, self.last_lengths = self._by_tail(self.inner), self._by_tail(self.last)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # left token x 2^32 + right token
 
     def _crossed(self, x: int, y: int, inside: bool = False) -> bool:
         """Whether a merge crosses the seam of two tokens; ``inside``: before they are merged themselves."""
@@ -109,7 +119,7 @@ class Merges:
     def apart(self, x: int, y: int) -> bool:
         if len(self.pairs) >= CACHED_PAIRS:
             self.pairs.clear()
-        found = self.pairs[x, y] = not self._crossed(x, y)
+        found = self.pairs[x << 32 | y] = not self._crossed(x, y)
         return found
 
     def _by_tail(self, tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
@@ -128,14 +138,14 @@ class Merges:
                 if n <= end and (token := tokens.get(word[end - n: end])) is not None:
                     if n == end:
                         return token
-                    found = pairs.get((before := path[end - n - 1], token))
+                    found = pairs.get((before := path[end - n - 1]) << 32 | token)
                     if self.apart(before, token) if found is None else found:
                         return token
         for n in (3, 2):
             if n <= end and (token := tokens.get(word[end - n: end])) is not None:
                 if n == end:
                     return token
-                found = pairs.get((before := path[end - n - 1], token))
+                found = pairs.get((before := path[end - n - 1]) << 32 | token)
                 if self.apart(before, token) if found is None else found:
                     return token
         if (token := tokens.get(word[end - 1])) is None:
@@ -188,74 +198,58 @@ class Codec:
             raise ValueError("unknown normaliser or splitter: its pieces may cross white space")
         vocab = layout["model"]["vocab"]
         self.token = {**{i: s.encode() for s, i in vocab.items()}, **{i: s.encode() for s, i in self.special.items()}}
-        self.known: dict[bytes, bytes] = {}  # pieces
-        self.seen: dict[str, bytes] = {}  # words
-
-    def words(self, piece: bytes) -> list[str | int]:
-        """Words of a piece in the model's alphabet, and the ids of special tokens."""
-        out = []
-        text = piece.decode("utf-8", "replace")
-        for part in self.special_in.split(text) if self.special_in else [text]:
+        self.known: dict[str, list[str | int]] = {}  # words of pieces
+        self.seen: dict[str | int, bytes] = {}  # ids of words
+
+    def words(self, piece: str) -> list[str | int]:
+        """Words of a piece by the library, back in their own characters, and the ids of special tokens."""
+        out: list[str | int] = []
+        for part in self.special_in.split(piece) if self.special_in else [piece]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                out += [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
+                part = self.normalizer.normalize_str(part)
+                out += [part[lo:hi] for _, (lo, hi) in self.splitter.pre_tokenize_str(part)]
         return out
 
-    def split(self, pieces: set[bytes]) -> dict[bytes, list[str | int]]:
-        """Words of distinct pieces.  Plain ones are split here, the rest by the library."""
-        out, wide = {}, []
-        for piece in pieces:
-            if piece.isalpha():  # ASCII letters
-                out[piece] = [piece.decode().lower()]
-            elif b"<|" in piece:
-                out[piece] = self.words(piece)
-            elif piece.isascii():
-                text = piece.decode().lower()
-                out[piece] = _ASCII.findall(text) if text.isprintable() else self.words(piece)
-            else:
-                wide.append(piece)
-        # one call normalises all: nothing composes across a line feed, which becomes a blank
-        texts = [piece.decode("utf-8", "replace") for piece in wide]
-        whole = [k for k, text in enumerate(texts) if len(text.split()) == 1 and not text[0].isspace() and not text[-1].isspace()]
-        normal = self.normalizer.normalize_str("\n".join([texts[k] for k in whole])).split(" ") if whole else []
-        if len(normal) != len(whole):
-            raise ValueError("the normaliser joins or splits pieces")
-        for k, text in zip(whole, normal):
-            found = _LATIN.fullmatch(text)
-            if found:
-                out[wide[k]] = [found[1].encode().decode("latin-1").translate(_ALPHABET), *([found[2]] if found[2] else [])]
-            else:
-                out[wide[k]] = [w for w, _ in self.splitter.pre_tokenize_str(text)]
-        for piece in wide:
-            if piece not in out:
-                out[piece] = self.words(piece)
+    def split(self, text: str) -> list[str | int]:
+        """Lower-case words of a text, and the ids of special tokens."""
+        if "<|" not in text and not _OTHER.search(text) and unicodedata.is_normalized("NFC", text):
+            return _LATIN.findall(text.lower())
+        out: list[str | int] = []
+        known = self.known
+        for piece in _PIECE.findall(text):
+            words = known.get(piece)
+            if words is None:
+                words = self.words(piece)
+                if len(piece) <= 64:
+                    if len(known) >= CACHED_PIECES:
+                        known.clear()
+                    known[piece] = words
+            out += words
         return out
 
-    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """Ids (little-endian, 32 bits) of new pieces; those of usual length are kept."""
-        split = self.split(pieces)
-        ids = dict.fromkeys(w for words in split.values() for w in words if isinstance(w, str))
-        new = [w for w in ids if w not in self.seen]
-        ids = {w: self.seen.get(w) for w in ids}
-        ids.update((w, array("I", v).tobytes()) for w, v in self.merges.encode(new).items())
-        if len(self.seen) + len(new) > CACHED_WORDS:
-            self.seen.clear()
-        self.seen.update((w, ids[w]) for w in new if len(w) <= 64)
-        done = {p: b"".join([ids[w] if isinstance(w, str) else array("I", (w,)).tobytes() for w in words]) for p, words in split.items()}
-        if len(self.known) + len(done) > CACHED_PIECES:
-            self.known.clear()
-        self.known.update((p, v) for p, v in done.items() if len(p) <= 64)
-        return done
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text: all texts of the list share one trie."""
-        split = [t.split() for t in texts]
-        distinct = set().union(*split)
-        known = self.known
-        ids = {p: known[p] for p in distinct if p in known}
-        ids.update(self.learn(distinct.difference(ids)))
-        return [b"".join([ids[p] for p in pieces]) for pieces in split]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of each text: new words of all texts share one trie."""
+        split = [self.split(t) for t in texts]
+        seen = self.seen
+        new = set().union(*split).difference(seen)
+        if len(seen) + len(new) > CACHED_WORDS:
+            seen.clear()
+            new = set().union(*split)
+        mapped = {}
+        for word in new:
+            if isinstance(word, int):
+                seen[word] = array("I", (word,)).tobytes()
+            else:
+                mapped[word] = word if word.isascii() and word.isprintable() else _mapped(word)
+        ids = self.merges.encode(set(mapped.values()))
+        seen.update((word, array("I", ids[own]).tobytes()) for word, own in mapped.items())
+        out = [b"".join([seen[w] for w in words]) for words in split]
+        for word in mapped:
+            if len(word) > 64:
+                del seen[word]
+        return out
 
     def decode(self, ids) -> bytes:
         """Tokens joined by one space; unknown ids are skipped."""
@@ -275,7 +269,7 @@ def codec(path: str | None = None) -> Codec:
     return _CODECS[path]
 
 
-def _segments(text: bytes):
+def _segments(text: str):
     """A text in parts that end before white space."""
     lo = 0
     while lo < len(text):
@@ -285,26 +279,29 @@ def _segments(text: bytes):
         lo = hi
 
 
-def encode(df: DataFrame, text_col: str, keep: list[str], tokenizer: str | None = None) -> DataFrame:
-    """``keep`` columns of every row with ``ids``."""
-    keep = C.apart(keep, ("ids",))
-    source = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+def encode(df: DataFrame, text_col: str, keep: list[str], tokenizer: str | None = None, with_decoded: bool = False) -> DataFrame:
+    """``keep`` columns of every row with ``ids`` and, if asked for, the text that they decode to."""
+    made = ("ids", "decoded")[: 1 + with_decoded]
+    keep = C.apart(keep, made)
+    source = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
 
     def run(batches):
         own = codec(tokenizer)
         for batch in batches:
             for lo, hi, buf, bounds in C.text_groups(batch, "__text", SEGMENT):
+                texts = [buf[bounds[r]: bounds[r + 1]].tobytes().decode("utf-8", "replace") for r in range(hi - lo)]
                 if len(buf) > SEGMENT and hi - lo == 1:
-                    ids = [b"".join(own.encode([part])[0] for part in _segments(buf.tobytes()))]
+                    ids = [b"".join(own.encode([part])[0] for part in _segments(texts[0]))]
                 else:
-                    ids = own.encode([buf[bounds[r]: bounds[r + 1]].tobytes() for r in range(hi - lo)])
+                    ids = own.encode(texts)
                 cut = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(lo, hi - lo) for c in keep] + [pa.ListArray.from_arrays(pa.array(cut), values)],
-                    names=[*keep, "ids"])
+                columns = [batch.column(c).slice(lo, hi - lo) for c in keep] + [pa.ListArray.from_arrays(pa.array(cut), values)]
+                if with_decoded:
+                    columns.append(pa.array([own.decode(memoryview(x).cast("I")) for x in ids], pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
 
-    return C.map_arrow(source, run, C.with_columns(source, keep, "ids array<int>"))
+    return C.map_arrow(source, run, C.with_columns(source, keep, ", ".join(("ids array<int>", "decoded string")[: len(made)])))
 
 
 def decode(df: DataFrame, ids_col: str, keep: list[str], tokenizer: str | None = None) -> DataFrame:
@@ -315,10 +312,8 @@ def decode(df: DataFrame, ids_col: str, keep: list[str], tokenizer: str | None =
     def run(batches):
         own = codec(tokenizer)
         for batch in batches:
-            column = batch.column("__ids")
             out = []
-            for r in range(batch.num_rows):  # one row's ids at a time
-                ids = column[r]
+            for ids in batch.column("__ids"):  # one row's ids at a time
                 out.append(own.decode(ids.values.to_pylist()).decode() if ids.is_valid else None)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(out, pa.string())], names=[*keep, "decoded"])
 

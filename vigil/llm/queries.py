@@ -89,8 +89,7 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
-    found = bpe.decode(encoded, "ids", ["doc_id", "ids"])
+    found = bpe.encode(_table(spark, sf_dir, "documents"), "text", ["doc_id"], with_decoded=True)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
