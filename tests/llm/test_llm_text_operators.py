@@ -168,22 +168,14 @@ def test_fuzzy_lines(spark, no_docs):
     def words(line):
         return re.findall(rb"[0-9a-z\x80-\xff]+", bytes(lines._FOLD[c] for c in line.encode()))
 
-    def fingerprint(ws):
-        ends = np.cumsum([len(w) for w in ws])
-        h = lines.C.span_hashes(np.frombuffer(b"".join(ws), np.uint8), ends - [len(w) for w in ws], ends)
-        h = lines.C.mix64(np.unique(h >> np.uint64(20)))
-        return sum(1 << k for k in range(64) if 2 * sum(int(x) >> k & 1 for x in h) > len(h))
-
     at = {}
     for row, (i, text) in enumerate(rows):
         for n, line in enumerate(lines.split_lines(text) if text else []):
             ws = words(line)
-            if len(ws) >= lines.MIN_WORDS:
+            if ws:
                 at.setdefault(b" ".join(ws), []).append((i is None, i if i is not None else 0, row, n))
     names = list(at)
-    fps = [fingerprint(w.split()) for w in names]
-    group = groups_of(len(names), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= lines.MAX_BITS
-                      and lines.similar(names[i].decode(), names[j].decode()))
+    group = groups_of(len(names), lambda i, j: lines.similar(names[i].decode(), names[j].decode()))
     gone = {}
     for g in set(group):
         for _, _, row, n in sorted(x for k, v in enumerate(names) if group[k] == g for x in at[v])[1:]:
@@ -223,6 +215,64 @@ def test_fuzzy_lines_of_all_lengths_against_edit_similarity(spark):
     assert linked > 100 and 0.97 * linked <= sum(r.n_removed for r in rows) <= linked
 
 
+def test_long_lines_and_large_groups(spark):
+    """Lines above 400 characters and above the segment, and groups that are split into pairs of chunks."""
+    rng = random.Random(13)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    texts = []
+    for n in (80, 120, 300) * 8:  # 500 to 2,000 characters; a tenth of the words are others
+        a = [word() for _ in range(n)]
+        b = [word() if rng.random() < 0.1 else w for w in a]
+        texts += [" ".join(a), " ".join(b)]
+    a = [word() for _ in range(lines.C.SEGMENT // 5)]
+    texts += [" ".join(a), " ".join(w if k % 50 else "x" for k, w in enumerate(a))]
+    assert len(texts[-1]) > lines.C.SEGMENT
+    assert all(lines.similar(x, y) for x, y in zip(texts[:48:2], texts[1:48:2]))
+    for n in (4, 12, 40):  # many light variations of one line
+        a = [word() for _ in range(n)]
+        for k in range(60):
+            b = list(a)
+            b[rng.randrange(n)] += rng.choice("abcdefghij")
+            texts.append(" ".join(b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (lines.CHUNK, 8):
+        rows = {r.doc_id: r.n_removed for r in lines.dedup(df, "doc_id", "text", ["doc_id"], chunk=chunk).collect()}
+        assert sum(rows[k] for k in range(1, 50, 2)) >= 24 and not any(rows[k] for k in range(0, 50, 2))
+        assert sum(rows[k] for k in range(50, len(texts))) >= 0.97 * 177
+
+
+def _brute_links(texts, seeds):
+    """All links of the seed lines by edit similarity; only exact bounds (length, letter counts) leave a check out."""
+    counts = np.array([[t.count(c) for c in " abcdefghijklmnopqrstuvwxyz0"] + [len(t)] for t in texts])
+    for k in seeds:
+        longer = np.maximum(counts[:, -1], counts[k, -1])
+        allowed = (0.2 * longer + 1e-9).astype(int)
+        apart = np.abs(counts[:, -1] - counts[k, -1])
+        over = np.maximum(np.clip(counts[:, :-1] - counts[k, :-1], 0, None).sum(axis=1), np.clip(counts[k, :-1] - counts[:, :-1], 0, None).sum(axis=1))
+        for m in np.flatnonzero((apart <= allowed) & (over <= allowed)).tolist():
+            if m != k and lines.similar(texts[k], texts[m]):
+                yield k, m
+
+
+def test_recall_against_edit_similarity_by_length(spark):
+    """Of the links that brute force finds for sampled lines of sf0.01, at least nine in ten end up in one group."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    texts = sorted({n for r in documents for x in (r.text or "").split("\n") if (n := lines.normalise(x.encode()))})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {r.doc_id: r.n_removed for r in lines.dedup(df, "doc_id", "text", ["doc_id"]).collect()}
+    rng, found = random.Random(3), {}
+    for low, high, n in ((1, 30, 300), (30, 100, 150), (100, 250, 60), (250, 500, 30)):
+        pool = [k for k, t in enumerate(texts) if low <= len(t) < high]
+        for k, m in _brute_links(texts, rng.sample(pool, n)):
+            # of two linked lines the later one goes: it is not the first of its group
+            found.setdefault((low, high), []).append(groups[max(k, m)] == 1)
+    for length, hits in found.items():
+        assert sum(hits) >= 0.9 * len(hits), (length, sum(hits), len(hits))
+    assert sum(map(len, found.values())) > 20
+
+
 # ---------------------------------------------------------------- packing
 
 def test_packing_is_exact_and_gapless(docs, no_docs):

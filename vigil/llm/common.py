@@ -39,11 +39,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives executors."""
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, name: str, compression: str = "zstd", free: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives executors.
+
+    ``free`` deletes the write's shuffle files as soon as it has ended.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    try:
+        if free:
+            spark.conf.set(_FREE_SHUFFLES, "true")
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if free:
+            spark.conf.set(_FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
