@@ -1,6 +1,10 @@
 import datetime as dt
+import os
+import subprocess
+import sys
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from vigil.plans import flows as FL
@@ -8,8 +12,11 @@ from vigil.operators import runs as RN
 from vigil.operators import rules as RU
 from vigil.operators import schema as SC
 from vigil.streaming import alert_windows as AW
+from vigil.streaming.rule_checks import validate_stream
 from conftest import SF_SMALL
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def test_pii_scan_and_flows(spark, users):
     m = {(r["column"], r["pattern"]): r["matches"] for r in FL.pii_scan({"u": users}).collect()}
@@ -72,3 +79,30 @@ def test_stream_windows_ignore_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert utc == other and utc
+
+
+@pytest.mark.parametrize("missing", ["zstandard", "xxhash", "tokenizers", "vigil.llm", "corpus_pipeline"])
+def test_core_queries_load_without(missing):
+    """One missing package or folder of the training-data part leaves every other query in place."""
+    from vigil.plans.registry import ORACLE, QUERIES
+    code = (f"import sys; sys.path.insert(0, {ROOT!r}); sys.modules[{missing!r}] = None\n"
+            "import __spark_entry__ as E\nprint(len([k for k in E.queries() if not k.startswith('op') and k != 'pipeline']), len(E.oracle_sql()))")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == len(QUERIES) and int(out[1]) >= len(ORACLE)
+
+
+def test_rules_on_a_stream_retry_a_failed_batch(spark, tmp_path):
+    """A batch that fails for another reason than a rule is not committed; the restarted query has it again."""
+    path = f"{tmp_path}/in"
+    spark.range(10).withColumn("v", F.col("id") * 2).write.parquet(path)
+    rules = [RU.rule("not_null", "v"), RU.rule("custom_sql", sql="SELECT * FROM {{table}} WHERE vigil_flaky(v) < 0")]
+    stream = spark.readStream.schema("id long, v long").parquet(path)
+
+    def dies(x):
+        raise RuntimeError("executor lost")
+    spark.udf.register("vigil_flaky", dies, "long")
+    with pytest.raises(Exception, match="executor lost"):
+        validate_stream(stream, rules, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    spark.udf.register("vigil_flaky", lambda x: x, "long")
+    validate_stream(stream, rules, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("rule_index", "passed", "batch_id").collect()) == [(0, True, 0), (1, True, 0)]

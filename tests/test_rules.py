@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 
 from vigil.operators import rules as RU
 
@@ -95,3 +96,21 @@ def test_columns_from_spark_catalog(spark, users):
     cols = CA.columns_from_catalog(spark).filter("table_name = 'vigil_users_view'")
     assert [r["name"] for r in cols.orderBy("position").collect()] == ["id", "email", "age", "status"]
     spark.catalog.dropTempView("vigil_users_view")
+
+
+def test_errors_beside_the_rule_fail_the_validation(spark, users, monkeypatch):
+    """Only errors of the query or its values become rows; what the cluster does wrong is not a verdict."""
+    def lost(*_, **__):
+        raise PySparkException("executor lost")
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "sql", lost)
+        with pytest.raises(PySparkException, match="executor lost"):
+            RU.validate_rules(users, [RU.rule("custom_sql", sql="SELECT * FROM {{table}} WHERE age < 0")])
+
+    def dies(x):
+        raise RuntimeError("disk full")
+    spark.udf.register("vigil_dies", dies, "int")
+    with pytest.raises(PySparkException):
+        RU.validate_rules(users, [RU.rule("custom_sql", sql="SELECT * FROM {{table}} WHERE vigil_dies(age) > 1")]).collect()
+    failed = result_map(RU.validate_rules(users, [RU.rule("custom_sql", sql="SELECT * FROM {{table}} WHERE raise_error('mine') IS NULL")]))[0]
+    assert not failed["passed"] and "mine" in failed["error"]

@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vigil.functions.columns import compact
@@ -113,15 +114,23 @@ def _unique_result(df: DataFrame, i: int, r: Rule) -> DataFrame:
                           "failures", F.lit(None).cast("string").alias("error"))
 
 
+# SQLSTATE classes of errors that lie in a query or in the values it meets: cardinality, data, syntax and names,
+# and errors that the query raises itself.  A lost executor or a full disk has none of these.
+_RULE_ERRORS = ("21", "22", "42", "P0")
+
+
 def _custom_result(spark: SparkSession, df: DataFrame, i: int, r: Rule) -> DataFrame:
-    """The rule's own query, run on its own: an error in it, found while planning or while
-    reading the data, becomes this rule's row and leaves the other rules alone."""
+    """The rule's own query, run on its own: an error in it, found while planning or while reading the data,
+    becomes this rule's row and leaves the other rules alone.  Every other error fails the whole validation, so
+    that a micro-batch is retried instead of committed."""
     try:
         # Only the {{table}} placeholder is bound; any other brace in the user's SQL is literal.
         parts = [x.replace("{", "{{").replace("}", "}}") for x in r.sql.split("{{table}}")]
         failures = spark.sql("{t}".join(parts), t=df).count()
         row = (i, r.type, r.column_label, failures == 0, failures, None)
-    except Exception as e:  # noqa: BLE001 — a broken custom rule is reported, others go on
+    except PySparkException as e:
+        if (e.getSqlState() or "")[:2] not in _RULE_ERRORS:
+            raise
         row = (i, r.type, r.column_label, False, 0, str(e))
     return spark.createDataFrame([row], _RESULT_SCHEMA)
 
