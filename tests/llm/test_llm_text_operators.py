@@ -237,7 +237,7 @@ def test_long_lines_and_large_groups(spark):
             b[rng.randrange(n)] += rng.choice("abcdefghij")
             texts.append(" ".join(b))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for chunk in (lines.CHUNK, 8):
+    for chunk in (lines.CHUNK, 16):
         rows = {r.doc_id: r.n_removed for r in lines.dedup(df, "doc_id", "text", ["doc_id"], chunk=chunk).collect()}
         assert sum(rows[k] for k in range(1, 50, 2)) >= 24 and not any(rows[k] for k in range(0, 50, 2))
         assert sum(rows[k] for k in range(50, len(texts))) >= 0.97 * 177
