@@ -1316,3 +1316,71 @@ def q_top_approx_within_bounds(spark, sf):
     checked = top.join(counts, ["column_name", "value"], "left")
     return checked.agg(F.coalesce(F.bool_and(F.col("n").isNotNull() & (F.abs(F.col("count") - F.col("n")) <= 0.05 * F.col("n") + 1)),
                                   F.lit(True)).alias("all_ok"))
+
+
+# ---------------------------------------------------------------- versions, and joins in time
+from vigil.operators import reconcile as RC  # noqa: E402
+from vigil.operators import temporal as TM  # noqa: E402
+from vigil.session import drop_folder  # noqa: E402
+
+_O = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+_VERSIONS = D.oracle_with("orders_v2") + f""", minus AS (SELECT {_O} FROM orders EXCEPT ALL SELECT {_O} FROM orders_v2),
+plus AS (SELECT {_O} FROM orders_v2 EXCEPT ALL SELECT {_O} FROM orders),
+both_ AS (SELECT *, 'before' AS side FROM minus UNION ALL SELECT *, 'after' FROM plus),
+changes AS (SELECT {_O}, side, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM minus) AND o_orderkey IN (SELECT o_orderkey FROM plus)
+                   THEN 'changed' WHEN side = 'after' THEN 'added' ELSE 'removed' END AS change, count(*) AS copies
+            FROM both_ GROUP BY ALL)
+"""
+
+
+def _reconciled(spark, sf):
+    """Both versions written with their digests, the differing leaves compared; only the changes are kept."""
+    path = _scratch(spark, "versions")
+    RC.write_version(load(spark, sf, "orders"), ["o_orderkey"], f"{path}/before")
+    RC.write_version(D.view(spark, sf, "orders_v2"), ["o_orderkey"], f"{path}/after")
+    kept = _scratch(spark, "changes")
+    RC.reconcile(spark, f"{path}/before", f"{path}/after", ["o_orderkey"]).write.parquet(kept)
+    drop_folder(spark, path)
+    return spark.read.parquet(kept)
+
+
+@register("reconcile_rows", _VERSIONS + f"SELECT {_O}, side, change, copies FROM changes")
+def q_reconcile_rows(spark, sf):
+    return _reconciled(spark, sf)
+
+
+@register("reconcile_summary", _VERSIONS + """
+SELECT change, side, count(*) AS distinct_rows, CAST(sum(copies) AS BIGINT) AS copies FROM changes GROUP BY 1, 2""")
+def q_reconcile_summary(spark, sf):
+    orders = load(spark, sf, "orders")
+    return RC.change_summary(RC.compare(orders, D.view(spark, sf, "orders_v2"), ["o_orderkey"]))
+
+
+_LAST_GOOD = """, good AS (SELECT pipeline, ts AS run_ts, max(run_id) AS last_run_id, arg_max(duration_min, run_id) AS last_duration
+  FROM runs WHERE status = 'success' GROUP BY pipeline, ts)
+"""
+
+
+@register("alert_last_run", _RUNS_ALERTS + _LAST_GOOD + """
+SELECT alert_id, a.pipeline, a.ts, last_run_id, run_ts AS last_run_ts, last_duration
+FROM alerts a ASOF LEFT JOIN good g ON a.pipeline = g.pipeline AND a.ts >= g.run_ts""")
+def q_alert_last_run(spark, sf):
+    good = D.view(spark, sf, "runs").where("status = 'success'").select(
+        "pipeline", F.col("ts").alias("last_run_ts"), F.col("run_id").alias("last_run_id"), F.col("duration_min").alias("last_duration"))
+    alerts = D.view(spark, sf, "alerts").select("alert_id", "pipeline", "ts")
+    return TM.asof_join(alerts, good, ["pipeline"], "ts", "last_run_ts", ["last_run_id", "last_run_ts", "last_duration"], ["last_run_id"])
+
+
+_SPANS = "spans AS (SELECT run_id, pipeline, ts AS started, ts + INTERVAL 1 SECOND * CAST(round(duration_min * 60) AS BIGINT) AS ended FROM runs)"
+
+
+@register("overlapping_runs", _RUNS + ", " + _SPANS + """
+SELECT a.pipeline, a.run_id AS run_a, b.run_id AS run_b, greatest(a.started, b.started) AS overlap_start, least(a.ended, b.ended) AS overlap_end
+FROM spans a JOIN spans b ON a.pipeline = b.pipeline AND a.run_id < b.run_id AND a.started < b.ended AND b.started < a.ended
+WHERE a.started < a.ended AND b.started < b.ended""")
+def q_overlapping_runs(spark, sf):
+    seconds = F.round(F.col("duration_min") * 60).cast("bigint")
+    spans = D.view(spark, sf, "runs").select("run_id", "pipeline", F.col("ts").alias("started"), (F.col("ts") + F.make_interval(secs=seconds)).alias("ended"))
+    pairs = TM.interval_join(spans, spans, ["pipeline"], ("started", "ended"), ("started", "ended"))
+    return pairs.where("l.run_id < r.run_id").select(
+        F.col("l.pipeline").alias("pipeline"), F.col("l.run_id").alias("run_a"), F.col("r.run_id").alias("run_b"), "overlap_start", "overlap_end")

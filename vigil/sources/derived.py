@@ -237,6 +237,17 @@ SELECT conv_id AS dag_id,
 FROM {conversations} GROUP BY conv_id
 """
 
+# A later version of the orders: some are gone, repriced, delivered twice or new.
+VIEWS["orders_v2"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus,
+       CASE WHEN o_orderkey % 401 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
+FROM {orders} WHERE o_orderkey % 499 <> 7
+UNION ALL
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {orders} WHERE o_orderkey % 599 = 5
+UNION ALL
+SELECT -o_orderkey AS o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {orders} WHERE o_orderkey % 701 = 9
+"""
+
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 
