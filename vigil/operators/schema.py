@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from vigil.functions.columns import compact
+from vigil.session import Rounds, drop_folder
 
 META_SCHEMA = ("table_name string, name string, type string, nullable boolean, "
                "description string, position int")
@@ -222,3 +223,82 @@ def json_key_drift(df: DataFrame, json_col: str, period: Column) -> DataFrame:
     change = (F.when(F.col("types_before").isNull(), "added").when(F.col("types_after").isNull(), "removed")
                .when(F.col("types_before") != F.col("types_after"), "modified"))
     return j.select("key", "types_before", "types_after", change.alias("change")).filter(F.col("change").isNotNull())
+
+
+# ---------------------------------------------------------------- nested documents
+
+def json_value_type(v: Column) -> Column:
+    """Type of one variant value: integer, number, string, boolean, null, object, array or other."""
+    t = F.upper(F.schema_of_variant(v))
+    return (F.when(t.rlike("^(BIGINT|INT|SMALLINT|TINYINT)"), "integer").when(t.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number")
+             .otherwise(json_type_class(t)))
+
+
+def json_malformed(df: DataFrame, json_col: str, period: Column) -> DataFrame:
+    """(period, n_rows, n_null, n_malformed): texts that are no JSON are counted, not lost."""
+    text = F.col(f"`{json_col}`")
+    return df.select(period.alias("period"), text.alias("t"), F.try_parse_json(text).alias("v")).groupBy("period").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("t").isNull()).alias("n_null"),
+        F.count_if(F.col("t").isNotNull() & F.col("v").isNull()).alias("n_malformed"))
+
+
+def json_path_types(df: DataFrame, json_col: str, by: dict[str, Column]) -> DataFrame:
+    """(by..., path, type, n) for every path of a JSON text column, at any depth; runs its rounds when called.
+
+    ``$`` is the document, ``.key`` a member of an object and ``[]`` all elements of an array.  Round k explodes the
+    containers k steps deep (``variant_explode``) and is written; rounds end with the deepest document.  Each
+    round's paths and types are counted map-side.
+    """
+    spark, names = df.sparkSession, list(by)
+    rounds, k = Rounds(spark, "paths"), 0
+    documents = df.select(*[c.alias(n) for n, c in by.items()], F.lit("$").alias("path"), F.try_parse_json(F.col(f"`{json_col}`")).alias("v"))
+    counted = Rounds(spark, "path_types")
+    values = documents.where(F.col("v").isNotNull())
+    while True:
+        typed = values.withColumn("type", json_value_type(F.col("v")))
+        # null members are variant nulls: they have a type and are counted
+        now = rounds.write(k, typed.where(F.col("type").isin("object", "array")))
+        counted.write(k, typed.groupBy(*names, "path", "type").agg(F.count(F.lit(1)).alias("n")))
+        if now.isEmpty():
+            break
+        step = "CASE WHEN m.key IS NULL THEN '[]' ELSE concat('.', m.key) END"
+        values = spark.sql(f"SELECT {''.join(f'`{n}`, ' for n in names)} concat(path, {step}) AS path, m.value AS v "
+                           "FROM {now}, LATERAL variant_explode(v) AS m", now=now)
+        k += 1
+    drop_folder(spark, rounds.path)
+    return counted.all().drop("round").groupBy(*names, "path", "type").agg(F.sum("n").alias("n"))
+
+
+def lattice_type(types: Column) -> Column:
+    """Least type above a sorted set of types: null lies below all, integer below number, mixed above all."""
+    known = F.array_remove(types, "null")
+    return (F.when(F.size(known) == 0, "null").when(F.size(known) == 1, known[0])
+             .when(known == F.array(F.lit("integer"), F.lit("number")), "number").otherwise("mixed"))
+
+
+def json_path_drift(df: DataFrame, json_col: str, period: Column) -> DataFrame:
+    """S5 at any depth: per path its type, nullability and count before and after, and the change
+    (added, removed, widened, narrowed, changed or same).  ``period`` gives 'before' or 'after'.
+
+    A type is widened if all its earlier values still fit (integer to number, anything to mixed, a null now and
+    then), narrowed the other way round, else changed.
+    """
+    found = json_path_types(df, json_col, {"period": period})
+
+    def side(name):
+        here = F.col("period") == name
+        types = F.array_sort(F.collect_set(F.when(here, F.col("type"))))
+        return [types.alias(f"t_{name}"), F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias(f"n_{name}")]
+
+    wide = found.groupBy("path").agg(*side("before"), *side("after"))
+    for name in ("before", "after"):
+        seen = F.size(f"t_{name}") > 0
+        wide = (wide.withColumn(f"type_{name}", F.when(seen, lattice_type(F.col(f"t_{name}"))))
+                .withColumn(f"nullable_{name}", F.when(seen, F.array_contains(f"t_{name}", "null"))))
+    b, a = F.col("type_before"), F.col("type_after")
+    nb, na = F.col("nullable_before"), F.col("nullable_after")
+    change = (F.when(b.isNull(), "added").when(a.isNull(), "removed")
+               .when(b == a, F.when(nb == na, "same").when(na, "widened").otherwise("narrowed"))
+               .when((b == "null") | (a == "mixed") | ((b == "integer") & (a == "number")), "widened")
+               .when((a == "null") | (b == "mixed") | ((b == "number") & (a == "integer")), "narrowed").otherwise("changed"))
+    return wide.select("path", "type_before", "type_after", "nullable_before", "nullable_after", "n_before", "n_after", change.alias("change"))

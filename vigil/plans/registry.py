@@ -851,15 +851,8 @@ lv AS (SELECT dag_id, task_id, max(depth) AS level FROM p GROUP BY dag_id, task_
 _GRAPH_R = _GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _PATHS
 
 
-_LEVELS: dict = {}
-
-
 def _levels(spark, sf):
-    """Levels of the task graph, made once per application: several queries read them."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LEVELS:
-        _LEVELS[key] = GR.dag_levels(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges"))
-    return _LEVELS[key]
+    return GR.dag_levels(D.view(spark, sf, "tasks"), D.view(spark, sf, "task_edges"))
 
 
 @register("deps_levels", _GRAPH_R + "\nSELECT dag_id, task_id, level FROM lv")
@@ -1319,7 +1312,7 @@ def q_top_approx_within_bounds(spark, sf):
 
 
 # ---------------------------------------------------------------- versions, and joins in time
-from vigil.operators import reconcile as RC  # noqa: E402
+from vigil.operators import reconcile as RX  # noqa: E402
 from vigil.operators import temporal as TM  # noqa: E402
 from vigil.session import drop_folder  # noqa: E402
 
@@ -1336,10 +1329,10 @@ changes AS (SELECT {_O}, side, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM m
 def _reconciled(spark, sf):
     """Both versions written with their digests, the differing leaves compared; only the changes are kept."""
     path = _scratch(spark, "versions")
-    RC.write_version(load(spark, sf, "orders"), ["o_orderkey"], f"{path}/before")
-    RC.write_version(D.view(spark, sf, "orders_v2"), ["o_orderkey"], f"{path}/after")
+    RX.write_version(load(spark, sf, "orders"), ["o_orderkey"], f"{path}/before")
+    RX.write_version(D.view(spark, sf, "orders_v2"), ["o_orderkey"], f"{path}/after")
     kept = _scratch(spark, "changes")
-    RC.reconcile(spark, f"{path}/before", f"{path}/after", ["o_orderkey"]).write.parquet(kept)
+    RX.reconcile(spark, f"{path}/before", f"{path}/after", ["o_orderkey"]).write.parquet(kept)
     drop_folder(spark, path)
     return spark.read.parquet(kept)
 
@@ -1353,7 +1346,7 @@ def q_reconcile_rows(spark, sf):
 SELECT change, side, count(*) AS distinct_rows, CAST(sum(copies) AS BIGINT) AS copies FROM changes GROUP BY 1, 2""")
 def q_reconcile_summary(spark, sf):
     orders = load(spark, sf, "orders")
-    return RC.change_summary(RC.compare(orders, D.view(spark, sf, "orders_v2"), ["o_orderkey"]))
+    return RX.change_summary(RX.compare(orders, D.view(spark, sf, "orders_v2"), ["o_orderkey"]))
 
 
 _LAST_GOOD = """, good AS (SELECT pipeline, ts AS run_ts, max(run_id) AS last_run_id, arg_max(duration_min, run_id) AS last_duration
@@ -1384,3 +1377,38 @@ def q_overlapping_runs(spark, sf):
     pairs = TM.interval_join(spans, spans, ["pipeline"], ("started", "ended"), ("started", "ended"))
     return pairs.where("l.run_id < r.run_id").select(
         F.col("l.pipeline").alias("pipeline"), F.col("l.run_id").alias("run_a"), F.col("r.run_id").alias("run_b"), "overlap_start", "overlap_end")
+
+
+# ---------------------------------------------------------------- nested drift
+_SHAPES = D.oracle_with("nested_events") + f""",
+parsed AS (SELECT CASE WHEN ts < TIMESTAMP '{_SPLIT}' THEN 'before' ELSE 'after' END AS period, body,
+             CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS v FROM nested_events),
+walk AS (SELECT period, regexp_replace(j.fullkey, '\\[\\d+\\]', '[]', 'g') AS path, j.type AS jt FROM parsed, json_tree(parsed.v) j WHERE parsed.v IS NOT NULL),
+typed AS (SELECT period, path, CASE WHEN jt IN ('BIGINT', 'UBIGINT') THEN 'integer' WHEN jt = 'DOUBLE' THEN 'number'
+            WHEN jt = 'VARCHAR' THEN 'string' ELSE lower(jt) END AS t FROM walk),
+merged AS (SELECT path, period, count(*) AS n, list_sort(list(DISTINCT t) FILTER (t <> 'null')) AS ts, bool_or(t = 'null') AS nullable FROM typed GROUP BY 1, 2),
+lattice AS (SELECT path, period, n, coalesce(CASE WHEN len(ts) = 1 THEN ts[1] WHEN ts = ['integer', 'number'] THEN 'number'
+              WHEN len(ts) > 1 THEN 'mixed' END, 'null') AS type, nullable FROM merged),
+sides AS (SELECT coalesce(b.path, a.path) AS path, b.type AS type_before, a.type AS type_after, b.nullable AS nullable_before, a.nullable AS nullable_after,
+            coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after
+          FROM (SELECT * FROM lattice WHERE period = 'before') b FULL JOIN (SELECT * FROM lattice WHERE period = 'after') a ON a.path = b.path)
+"""
+
+
+@register("json_path_drift", _SHAPES + """
+SELECT *, CASE WHEN type_before IS NULL THEN 'added' WHEN type_after IS NULL THEN 'removed'
+  WHEN type_before = type_after THEN CASE WHEN nullable_before = nullable_after THEN 'same' WHEN nullable_after THEN 'widened' ELSE 'narrowed' END
+  WHEN type_before = 'null' OR type_after = 'mixed' OR (type_before = 'integer' AND type_after = 'number') THEN 'widened'
+  WHEN type_after = 'null' OR type_before = 'mixed' OR (type_before = 'number' AND type_after = 'integer') THEN 'narrowed'
+  ELSE 'changed' END AS change FROM sides""")
+def q_json_path_drift(spark, sf):
+    events = D.view(spark, sf, "nested_events")
+    return SC.json_path_drift(events, "body", F.when(F.col("ts") < F.lit(_SPLIT).cast("timestamp"), "before").otherwise("after"))
+
+
+@register("json_malformed", _SHAPES + """
+SELECT period, count(*) AS n_rows, count(*) FILTER (body IS NULL) AS n_null, count(*) FILTER (body IS NOT NULL AND v IS NULL) AS n_malformed
+FROM parsed GROUP BY period""")
+def q_json_malformed(spark, sf):
+    events = D.view(spark, sf, "nested_events")
+    return SC.json_malformed(events, "body", F.when(F.col("ts") < F.lit(_SPLIT).cast("timestamp"), "before").otherwise("after"))

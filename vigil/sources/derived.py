@@ -237,6 +237,20 @@ SELECT conv_id AS dag_id,
 FROM {conversations} GROUP BY conv_id
 """
 
+# Events with a nested body.  After the split a number becomes a fraction, a list of objects loses a key and gains
+# another, an object turns into text for errors, and some bodies are cut off.
+VIEWS["nested_events"] = f"""
+SELECT event_id, ts, CASE
+  WHEN event_id % 97 = 0 THEN NULL
+  WHEN event_id % 89 = 0 THEN substr(props, 1, 5)
+  WHEN ts < TIMESTAMP '{PERIOD_SPLIT}' THEN concat('{{{{"user": {{{{"id": ', CAST(user_id AS STRING), ', "plan": null}}}}, "items": [{{{{"sku": "', event_type,
+       '", "n": ', CAST(event_id % 7 AS STRING), '}}}}, {{{{"sku": 5}}}}], "marks": [[1, 2], [', CAST(event_id % 3 AS STRING), ']], "ok": true}}}}')
+  WHEN event_type = 'error' THEN concat('{{{{"user": "u', CAST(user_id AS STRING), '", "items": [], "ok": "no"}}}}')
+  ELSE concat('{{{{"user": {{{{"id": ', CAST(user_id AS STRING), '.5, "plan": "', event_type, '"}}}}, "items": [{{{{"sku": "', event_type,
+       '", "price": 2.25}}}}], "marks": [[1], 3], "ok": false}}}}') END AS body
+FROM {{events}}
+"""
+
 # A later version of the orders: some are gone, repriced, delivered twice or new.
 VIEWS["orders_v2"] = """
 SELECT o_orderkey, o_custkey, o_orderstatus,
