@@ -1412,3 +1412,50 @@ FROM parsed GROUP BY period""")
 def q_json_malformed(spark, sf):
     events = D.view(spark, sf, "nested_events")
     return SC.json_malformed(events, "body", F.when(F.col("ts") < F.lit(_SPLIT).cast("timestamp"), "before").otherwise("after"))
+
+
+# ---------------------------------------------------------------- incremental profile
+from vigil.operators import profile_state as PS  # noqa: E402
+
+_MONTHLY = """WITH t AS (SELECT * FROM orders WHERE strftime(CAST(o_orderdate AS DATE), '%Y-%m') <> '1996-02'
+  UNION ALL SELECT * FROM orders WHERE strftime(CAST(o_orderdate AS DATE), '%Y-%m') = '1995-01')
+"""
+_ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+# One month is delivered again, another is taken away: only the first is read anew, the second is retracted.  Estimates are
+# compared with the table itself: distinct counts and ranks within their bounds, every value of a twentieth of all rows found.
+@register("profile_incremental", _MONTHLY + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, "
+    + (f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max" if k == N else "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max")
+    + ", true AS distinct_ok, true AS quantiles_ok, true AS top_ok, 1 AS n_read, 1 AS n_retracted FROM t" for c, k in ORDERS_KINDS))
+def q_profile_incremental(spark, sf):
+    base = _scratch(spark, "monthly-orders")
+    table, state, done = f"{base}/orders", f"{base}/state", _scratch(spark, "profile")
+    monthly = load(spark, sf, "orders").withColumn("month", F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM"))
+    monthly.repartition("month").write.partitionBy("month").parquet(table)
+    PS.update(spark, table, "month", state)
+    monthly.where("month = '1995-01'").write.mode("append").partitionBy("month").parquet(table)
+    drop_folder(spark, f"{table}/month=1996-02")
+    touched = PS.update(spark, table, "month", state)
+    rows = spark.read.option("basePath", table).parquet(table).drop("month")
+    found = PS.profile(spark, state)
+
+    values = reduce(DataFrame.union, [rows.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+                                      .select(F.lit(c).alias("of"), "value", "n", F.lit(c in _ORDER_NUMBERS).alias("number")) for c in rows.columns])
+    total, reported = F.col("row_count"), F.map_from_entries(F.transform("top_values", lambda x: F.struct(x["item"], x["count"])))
+    heavy = F.col("n") >= total / 20
+    number = F.when(F.col("number"), F.col("value").cast("double"))
+    ranks = [(F.sum(F.when(number < F.col("quantiles")[i], F.col("n")).otherwise(0)) <= (q + PS.RANK_ERROR) * F.first("row_count"))
+             & (F.sum(F.when(number <= F.col("quantiles")[i], F.col("n")).otherwise(0)) >= (q - PS.RANK_ERROR) * F.first("row_count"))
+             for i, q in enumerate((0.25, 0.5, 0.75))]
+    held = F.abs(F.coalesce(F.element_at("reported", F.col("value")), F.lit(0)) - F.col("n")) <= total / PS.TRACKED * 2
+    checks = (found.withColumn("reported", reported).join(values, F.col("column_name") == F.col("of"))
+              .groupBy("column_name").agg(
+                  F.first("row_count").alias("row_count"), F.first("null_count").alias("null_count"), F.first("min").alias("min"), F.first("max").alias("max"),
+                  (F.abs(F.first("distinct_estimate") - F.count("value")) <= PS.DISTINCT_ERROR * F.count("value") + 1).alias("distinct_ok"),
+                  (F.first("quantiles").isNull() | (ranks[0] & ranks[1] & ranks[2])).alias("quantiles_ok"),
+                  (F.count_if(heavy) == F.count_if(heavy & held)).alias("top_ok")))
+    (checks.withColumn("n_read", F.lit(len(touched["read"]))).withColumn("n_retracted", F.lit(len(touched["retracted"]))).write.parquet(done))
+    drop_folder(spark, base)
+    return spark.read.parquet(done)
