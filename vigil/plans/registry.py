@@ -1459,3 +1459,35 @@ def q_profile_incremental(spark, sf):
     (checks.withColumn("n_read", F.lit(len(touched["read"]))).withColumn("n_retracted", F.lit(len(touched["retracted"]))).write.parquet(done))
     drop_folder(spark, base)
     return spark.read.parquet(done)
+
+
+# ---------------------------------------------------------------- ranked search
+from vigil.operators import search_index as SX  # noqa: E402
+
+_QUERY = "rigths reserved"  # with a typo: the closest term is searched
+_RANKED = f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM t),
+tf AS (SELECT doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL),
+vocabulary AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (SELECT unnest(string_split('{_QUERY}', ' ')) AS asked),
+chosen AS (SELECT asked, arg_min(term, {{'d': levenshtein(term, asked), 'r': -df, 't': term}}) AS term
+           FROM asked, vocabulary WHERE levenshtein(term, asked) <= {SX.MAX_TYPOS} GROUP BY asked),
+terms AS (SELECT DISTINCT term, df FROM chosen JOIN vocabulary USING (term)),
+n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM t),
+scored AS (SELECT doc_id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {SX.K1 + 1} / (tf + {SX.K1} * (1 - {SX.B} + {SX.B} * length / mean))) AS score,
+             string_agg(term, ' ' ORDER BY term) AS matched
+           FROM tf JOIN terms USING (term), n GROUP BY doc_id)
+"""
+
+
+@register("content_rank", _RANKED + "SELECT id, round(score, 6) AS score, matched FROM scored ORDER BY score DESC, id LIMIT 20")
+def q_content_rank(spark, sf):
+    path, kept = _scratch(spark, "index"), _scratch(spark, "ranked")
+    docs = load(spark, sf, "documents")
+    # two batches, as they would arrive
+    for part in (F.col("lang") == "en", F.coalesce(F.col("lang") != "en", F.lit(True))):
+        SX.add(docs.where(part), "doc_id", "text", path)
+    found = SX.search(spark, path, _QUERY, 20)
+    found.select("id", F.round("score", 6).alias("score"), F.array_join("matched", " ").alias("matched")).write.parquet(kept)
+    drop_folder(spark, path)
+    return spark.read.parquet(kept)
