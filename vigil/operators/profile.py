@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from vigil.functions.columns import fingerprint
 from vigil.functions.typegate import numeric_value
-from vigil.session import Rounds
+from vigil.session import ensure_checkpoint_dir
 
 TOP_K = 5
 # Fixed value: top values are reported for numeric columns only up to this many distincts.
@@ -43,18 +43,26 @@ def _columns(df: DataFrame, columns: list[str] | None) -> list[tuple[int, str, T
 def sample_rows(df: DataFrame, n: int, seed: int = 42, total: int | None = None) -> DataFrame:
     """Exactly ``n`` random rows (the exact-size sample), or ``df`` itself when ``n`` is 0 / None / >= rows.
 
-    Rows are drawn by a random number; the n-th smallest number is found from counts of the numbers'
-    leading bits (at most 2**16 counts), and only the rows of the one count that straddles n are
-    ranked among themselves, so no task holds the sample.  The count is an action.
+    Every row draws a random number; the rows of the n smallest numbers are the sample.  One scan checkpoints the rows
+    below a limit that a little more than n rows fall under (twice the limit if too few did), so about n rows are
+    written, whatever the table's size, and Spark deletes them with the DataFrame (``cleanCheckpoints``).  The
+    n-th smallest number is found from counts of the numbers' leading bits (at most 2**16 counts), and only the
+    rows of the one count that straddles n are ranked among themselves, so no task holds the sample.  The
+    count is an action.
     """
     if not n or n <= 0:
         return df
     total = df.count() if total is None else total
     if n >= total:
         return df
-    spark = df.sparkSession
-    # written once: the random numbers must not be drawn again
-    drawn = Rounds(spark, "sample").write(0, df.withColumn("_draw", F.floor(F.rand(seed) * 2.0**52).cast("bigint")))
+    ensure_checkpoint_dir(df.sparkSession)
+    share = (n + 6 * n**0.5 + 20) / total
+    while True:  # written once: the random numbers must not be drawn again
+        drawn = df.withColumn("_draw", F.floor(F.rand(seed) * 2.0**52).cast("bigint"))
+        drawn = drawn.where(F.col("_draw") < int(min(share, 1.0) * 2**52)).checkpoint()
+        if share >= 1 or drawn.count() >= n:
+            break
+        share *= 2
     cut, below, shift = 0, 0, 52
     while shift > 0:  # narrow the range that holds the n-th smallest draw, 16 bits at a time
         step = min(16, shift)

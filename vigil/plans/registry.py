@@ -1266,15 +1266,30 @@ def q_record_alerts(spark, sf):
     return spark.read.parquet(path)
 
 
-# The tables as the Spark catalog lists them (metadata: one row per column).
+_CATALOGUED = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "orders": [c for c, _ in ORDERS_KINDS],
+               "events": ["event_id", "ts", "user_id", "event_type", "value", "props"]}
+
+
+# Every column that the Spark catalog lists, with the rows and nulls of its table.
 @register("catalog_columns", "\nUNION ALL\n".join(
-    f"SELECT '{t}' AS table_name, column_name AS name, CAST(row_number() OVER () - 1 AS INTEGER) AS position FROM (DESCRIBE {t})"
-    for t in ("customer", "orders", "events")))
+    f"SELECT '{t}' AS table_name, '{c}' AS name, {i} AS position, count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM {t}"
+    for t, columns in _CATALOGUED.items() for i, c in enumerate(columns)))
 def q_catalog_columns(spark, sf):
-    for t in ("customer", "orders", "events"):
-        load(spark, sf, t).createOrReplaceTempView(f"vigil_{t}")
-    cols = CA.columns_from_catalog(spark).where(F.col("table_name").isin("vigil_customer", "vigil_orders", "vigil_events"))
-    return cols.select(F.substring("table_name", 7, 100).alias("table_name"), "name", "position")
+    views = {t: f"vigil_{t}" for t in _CATALOGUED}
+    for t, name in views.items():
+        load(spark, sf, t).createOrReplaceTempView(name)
+    listed = CA.columns_from_catalog(spark).where(F.col("table_name").isin(list(views.values())))
+    for name in views.values():
+        spark.catalog.dropTempView(name)
+    counted = []
+    for t in _CATALOGUED:
+        table = load(spark, sf, t)
+        nulls = [F.struct(F.lit(c).alias("counted"), F.count_if(F.col(c).isNull()).alias("n_nulls")) for c in table.columns]
+        counted.append(table.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*nulls).alias("nulls"))
+                       .select(F.lit(t).alias("of"), "n_rows", F.explode("nulls").alias("x")).select("of", "n_rows", "x.*"))
+    name = F.substring("table_name", 7, 100)
+    return (listed.join(reduce(DataFrame.union, counted), (name == F.col("of")) & (F.col("name") == F.col("counted")))
+            .select(name.alias("table_name"), "name", "position", "n_rows", "n_nulls"))
 
 
 # The sample has exactly the asked size, holds no row twice and only rows of the table.
@@ -1287,7 +1302,7 @@ def q_sample_exact(spark, sf):
         "n_known", known.agg(F.count(F.lit(1))).scalar()).select(*[F.col(c).cast("int").alias(c) for c in ("n_rows", "n_distinct", "n_known")])
 
 
-# HyperLogLog++ distinct counts within four times their standard error, all else exact.
+# HyperLogLog++ distinct counts within twice their standard error (5 %), all else exact.
 @register("dq_approx_within_bounds", "SELECT column_name, true AS distinct_ok, true AS rest_equal FROM (DESCRIBE lineitem)")
 def q_approx_within_bounds(spark, sf):
     table = load(spark, sf, "lineitem")
@@ -1295,20 +1310,25 @@ def q_approx_within_bounds(spark, sf):
     exact = P.profile(table).select("column_name", F.col("distinct_count").alias("d"), F.struct(*facts).alias("f"))
     near = P.profile(table, approx=True).select("column_name", F.col("distinct_count").alias("a"), F.struct(*facts).alias("g"))
     return exact.join(near, "column_name").select(
-        "column_name", (F.abs(F.col("a") - F.col("d")) <= 0.2 * F.col("d") + 1).alias("distinct_ok"), F.col("f").eqNullSafe(F.col("g")).alias("rest_equal"))
+        "column_name", (F.abs(F.col("a") - F.col("d")) <= 0.1 * F.col("d") + 1).alias("distinct_ok"), F.col("f").eqNullSafe(F.col("g")).alias("rest_equal"))
 
 
-# approx_top_k overestimates by a bounded error: each value it reports exists, with about the stated count.
-@register("dq_top_approx_within_bounds", "SELECT true AS all_ok")
+# approx_top_k overestimates by a bounded error: each value it reports exists, with about the stated count, and no value
+# more frequent than the least one reported is missing.  Columns whose values are all rare have nothing to report.
+@register("dq_top_approx_within_bounds", "SELECT 'o_orderstatus' AS column_name, true AS counts_ok, true AS none_missing UNION ALL SELECT 'o_orderpriority', true, true")
 def q_top_approx_within_bounds(spark, sf):
-    orders = load(spark, sf, "orders")
-    top = P.top_values(orders, approx=True)
+    orders, columns = load(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"]
+    top = P.top_values(orders, columns, approx=True).select("column_name", "value", "count")
     counts = reduce(DataFrame.unionByName, [
         orders.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("column_name", F.lit(c))
-        for c in orders.columns])
-    checked = top.join(counts, ["column_name", "value"], "left")
-    return checked.agg(F.coalesce(F.bool_and(F.col("n").isNotNull() & (F.abs(F.col("count") - F.col("n")) <= 0.05 * F.col("n") + 1)),
-                                  F.lit(True)).alias("all_ok"))
+        for c in columns])
+    both = top.join(counts, ["column_name", "value"], "full_outer")
+    near = F.col("n").isNotNull() & (F.abs(F.col("count") - F.col("n")) <= 0.05 * F.col("n") + 1)
+    missed = F.max(F.when(F.col("count").isNull(), F.col("n")))
+    return both.groupBy("column_name").agg(
+        (F.count("count") > 0).alias("any"), F.bool_and(F.col("count").isNull() | near).alias("near"),
+        F.coalesce(missed <= 1.05 * F.min("count") + 1, F.lit(True)).alias("none_missing")).select(
+            "column_name", (F.col("any") & F.col("near")).alias("counts_ok"), (F.col("any") & F.col("none_missing")).alias("none_missing"))
 
 
 # ---------------------------------------------------------------- versions, and joins in time
