@@ -1511,3 +1511,36 @@ def q_content_rank(spark, sf):
     found.select("id", F.round("score", 6).alias("score"), F.array_join("matched", " ").alias("matched")).write.parquet(kept)
     drop_folder(spark, path)
     return spark.read.parquet(kept)
+
+
+# ---------------------------------------------------------------- sessions of alerts
+from vigil.streaming import sessions as SS  # noqa: E402
+
+_GAP, _DELAY = 6 * 3600, 3600
+
+
+def _islands(source):
+    return f"""steps AS (SELECT pipeline, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL {_GAP} SECOND THEN 0 ELSE 1 END AS fresh
+  FROM {source} WINDOW w AS (PARTITION BY pipeline ORDER BY ts)),
+runs_ AS (SELECT pipeline, ts, sum(fresh) OVER (PARTITION BY pipeline ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM steps),
+s AS (SELECT pipeline, min(ts) AS session_start, max(ts) + INTERVAL {_GAP} SECOND AS session_end, count(*) AS n FROM runs_ GROUP BY pipeline, nr)"""
+
+
+@register("alert_sessions", _ALERTS + ", " + _islands("alerts") + "\nSELECT pipeline, session_start, session_end, n FROM s")
+def q_alert_sessions(spark, sf):
+    return SS.sessions(D.view(spark, sf, "alerts"), ["pipeline"], "ts", _GAP)
+
+
+# Alerts arrive in two deliveries; every fiftieth of the first half comes with the second one, mostly too late.
+_ARRIVED = f"""arrived AS (SELECT *, ts < TIMESTAMP '{_SPLIT}' AND alert_id % 50 <> 0 AS first_half FROM alerts),
+taken AS (SELECT * FROM arrived WHERE first_half OR ts >= (SELECT max(ts) FROM arrived WHERE first_half) - INTERVAL {_DELAY} SECOND)"""
+
+
+@register("alert_sessions_stream", _ALERTS + f", {_ARRIVED}, " + _islands("taken") + f"""
+SELECT pipeline, session_start, session_end, n, (SELECT count(*) FROM arrived) - (SELECT count(*) FROM taken) AS late_rows
+FROM s WHERE session_end <= (SELECT max(ts) FROM alerts) - INTERVAL {_DELAY} SECOND""")
+def q_alert_sessions_stream(spark, sf):
+    alerts = D.view(spark, sf, "alerts").select("alert_id", "pipeline", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    first = (F.col("ts") < F.lit(_SPLIT).cast("timestamp_ntz")) & (F.col("alert_id") % 50 != 0)
+    closed, late = SS.sessions_via_stream([alerts.where(first), alerts.where(~first)], ["pipeline"], "ts", _GAP, _DELAY)
+    return closed.withColumn("late_rows", F.lit(late.count()))
