@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from vigil.operators import backfill as BF
 from vigil.operators import cleaning as CL
 from vigil.operators import graph as GR
+from vigil.session import Rounds, ensure_checkpoint_dir
 
 
 def dag(spark, deps):
@@ -112,3 +115,22 @@ def test_cleaning_steps(spark):
     assert sorted(tuple(r) for r in p.run(df).collect()) == [(1, 11, 2)]
     with pytest.raises(ValueError):
         CL.Pipeline(["bogus"])
+
+
+def test_rounds_of_deep_chains_and_rings(spark, monkeypatch):
+    """A chain, a ladder of diamonds and a ring of 1,000 tasks each take a number of rounds logarithmic in their depth."""
+    n = 1000
+    chain = [("c", f"{k:04}", f"{k - 1:04}") for k in range(1, n)]
+    ladder = [("l", f"{k:04}", f"{p:04}") for k in range(1, n) for p in ([k - 1, k - 2] if k % 3 == 0 else [k - 1])]
+    ring = [("r", f"{k:04}", f"{(k - 1) % n:04}") for k in range(n)] + [("r", "tail", "0005")]
+    edges = spark.createDataFrame(chain + ladder + ring, "dag_id string, child string, parent string")
+    tasks = edges.selectExpr("dag_id", "child AS task_id").union(edges.selectExpr("dag_id", "parent")).distinct()
+    written = []
+    plain = Rounds.write
+    monkeypatch.setattr(Rounds, "write", lambda self, k, df: written.append(k) or plain(self, k, df))
+    got = {(r.dag_id, r.task_id): r.level for r in GR.dag_levels(tasks, edges).collect()}
+    assert got == {(d, f"{k:04}"): k + 1 for d in "cl" for k in range(n)}
+    assert len(written) <= 60
+    folder = ensure_checkpoint_dir(spark).replace("file:", "")
+    assert not [x for x in os.listdir(folder) if x.startswith(("pointers-", "settled-", "edges-")) and os.path.isdir(f"{folder}/{x}")
+                and any(os.scandir(f"{folder}/{x}"))]

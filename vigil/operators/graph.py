@@ -1,16 +1,19 @@
 """Task-dependency analytics (G1-G7) over tasks (dag_id, task_id) and
 edges (dag_id, child, parent).
 
-Levels come from Kahn's algorithm in DataFrame rounds.  A round joins the edges with the tasks
-that became ready in the round before, and touches nothing else: finished parents are counted per
-touched child and carried until the count reaches the child's number of parents.  Every round is
-written to the shared checkpoint folder (``session.Rounds``), the levels are those rows; only
-the edges are cached.  Rounds end by themselves when no task became ready.
+Levels come from contraction and Kahn steps in turn, over weighted edges (how many levels the child lies
+below the parent at least).  A task with one parent hangs on it: such tasks form a forest, pointer doubling
+brings each to the foot of its tree in a number of rounds logarithmic in the tree's depth, and its own edges move there.
+Parallel edges that this makes become one, so ladders of diamonds collapse as chains do.  A Kahn step then
+settles the tasks whose parents all are settled.  What is left shrinks with every pass; contracted tasks get
+their levels from their feet at the end.  Edge sets only shrink: no pair of tasks is ever made that was not
+an edge or a pointer.  Every state is written to the shared checkpoint folder (``session.Rounds``); folders that
+nothing reads any more are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigil.session import Rounds
 
@@ -28,6 +31,29 @@ def missing_parents(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     return _edges(edges).join(t, ["dag_id", "parent"], "left_anti")
 
 
+def _hanging(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, DataFrame | None, Rounds, int]:
+    """Tasks with one parent, brought to the foot of their tree by pointer doubling.
+
+    Returns (resolved pointers, pointers that lead into a ring or None, their folder, rounds): (dag_id, task_id, foot, down).
+    """
+    state = Rounds(spark, "pointers")
+    single = (edges.groupBy("dag_id", "child").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("foot"), F.first("down").alias("down"))
+              .where("n = 1 AND foot <> child").select("dag_id", F.col("child").alias("task_id"), "foot", "down"))
+    now, k = state.write(0, single), 0
+    count = now.count()
+    while count:
+        onward = now.select("dag_id", F.col("task_id").alias("foot"), F.col("foot").alias("next"), F.col("down").alias("more"))
+        moving = now.join(onward, ["dag_id", "foot"], "left")
+        if moving.where("next IS NOT NULL").isEmpty():
+            return now, None, state, k
+        if 1 << k > count:  # longer than any tree: what still moves goes round
+            return moving.where("next IS NULL").drop("next", "more"), moving.where("next IS NOT NULL").drop("next", "more"), state, k
+        k += 1
+        now = state.write(k, moving.select(*KEY, F.coalesce("next", "foot").alias("foot"), (F.col("down") + F.coalesce("more", F.lit(0))).alias("down")))
+        state.drop(k - 2)
+    return now, None, state, k
+
+
 def dag_levels(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """(dag_id, task_id, level) for every task that can run; runs its rounds when called.
 
@@ -36,28 +62,51 @@ def dag_levels(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     ``blocked_tasks``).
     """
     spark = tasks.sparkSession
-    state = Rounds(spark, "levels")
-    e = _edges(edges).persist()
     nodes = tasks.select(*KEY).distinct()
-    # a missing parent still counts, so its child never completes
-    need = e.groupBy("dag_id", F.col("child").alias("task_id")).agg(F.count(F.lit(1)).alias("need"))
-    none = F.lit(0).cast("bigint")
-    now = state.write(1, nodes.join(need, KEY, "left_anti").select(*KEY, none.alias("done"), none.alias("need")))
-    need = need.join(nodes, KEY, "left_semi").persist()
-    level = 1
-    while True:
-        ready = now.where("done = need").select("dag_id", F.col("task_id").alias("parent"))
-        if ready.isEmpty():
+    own = nodes.select("dag_id", F.col("task_id").alias("child"))
+    up = nodes.select("dag_id", F.col("task_id").alias("parent"), F.lit(True).alias("here"))
+    left, settled, levels = Rounds(spark, "edges"), Rounds(spark, "settled"), Rounds(spark, "levels")
+    # a task that waits for a missing parent waits for itself: it never settles
+    known = _edges(edges).join(own, ["dag_id", "child"], "left_semi").join(up, ["dag_id", "parent"], "left")
+    e = left.write(0, known.select("dag_id", F.when(F.col("here"), F.col("parent")).otherwise(F.col("child")).alias("parent"), "child",
+                                   F.lit(1).alias("down")).distinct())
+    roots = nodes.join(e.select("dag_id", F.col("child").alias("task_id")).distinct(), KEY, "left_anti")
+    settled.write(0, roots.select(*KEY, F.lit(1).alias("level")))
+    contracted, k = [], 0
+    while not e.isEmpty():
+        k += 1
+        hang, rings, state, _ = _hanging(spark, e)
+        contracted.append((hang, state))
+        foot = hang.select("dag_id", F.col("task_id").alias("parent"), "foot", F.col("down").alias("more"))
+        rest = e.join(hang.select("dag_id", F.col("task_id").alias("child")), ["dag_id", "child"], "left_anti")
+        moved = rest.join(foot, ["dag_id", "parent"], "left").select(
+            "dag_id", F.coalesce("foot", "parent").alias("parent"), "child", (F.col("down") + F.coalesce("more", F.lit(0))).alias("down"))
+        if rings is not None:  # rings and what hangs on them wait for themselves
+            stuck = rings.select("dag_id", F.col("task_id").alias("child"), F.lit(True).alias("stuck"))
+            moved = moved.join(stuck, ["dag_id", "child"], "left").select(
+                "dag_id", F.when(F.col("stuck"), F.col("child")).otherwise(F.col("parent")).alias("parent"), "child", "down")
+        e = left.write(2 * k - 1, moved.groupBy("dag_id", "parent", "child").agg(F.max("down").alias("down")))
+        # a Kahn step: parents that are settled are counted per child
+        done = settled.all().drop("round").withColumnRenamed("task_id", "parent")
+        ready = (e.join(done, ["dag_id", "parent"], "left").groupBy("dag_id", F.col("child").alias("task_id"))
+                 .agg(F.max(F.col("level") + F.col("down")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("all"))
+                 .where("all").select(*KEY, "level"))
+        new = settled.write(k, ready)
+        shrunk = hang.isEmpty()
+        e = left.write(2 * k, e.join(new.select("dag_id", F.col("task_id").alias("child")), ["dag_id", "child"], "left_anti"))
+        left.drop(2 * k - 2, 2 * k - 1)
+        if shrunk and new.isEmpty():
             break
-        level += 1
-        hits = (e.join(ready, ["dag_id", "parent"]).groupBy("dag_id", F.col("child").alias("task_id"))
-                 .agg(F.count(F.lit(1)).alias("done")))
-        waiting = now.where("done < need").select(*KEY, "done")
-        touched = hits.unionByName(waiting).groupBy(*KEY).agg(F.sum("done").alias("done"))
-        now = state.write(level, touched.join(need, KEY).select(*KEY, "done", "need"))
-    e.unpersist()
-    need.unpersist()
-    return state.all().where("done = need").select(*KEY, F.col("round").alias("level"))
+    now = levels.write(0, settled.all().drop("round"))
+    for n, (hang, state) in enumerate(reversed(contracted), 1):
+        at_foot = now.select("dag_id", F.col("task_id").alias("foot"), F.col("level").alias("above"))
+        below = hang.join(at_foot, ["dag_id", "foot"]).select(*KEY, (F.col("above") + F.col("down")).alias("level"))
+        now = levels.write(n, now.union(below))
+        levels.drop(n - 1)
+        state.drop_all()
+    left.drop_all()
+    settled.drop_all()
+    return now.select(*KEY, F.col("level").cast("int").alias("level"))
 
 
 def blocked_tasks(tasks: DataFrame, edges: DataFrame, levels: DataFrame | None = None) -> DataFrame:

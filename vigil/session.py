@@ -88,6 +88,14 @@ class Rounds:
     def read(self, k: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/round={k}")
 
+    def drop(self, *rounds: int) -> None:
+        """Delete rounds that nothing reads any more."""
+        for k in rounds:
+            drop_folder(self.spark, f"{self.path}/round={k}")
+
+    def drop_all(self) -> None:
+        drop_folder(self.spark, self.path)
+
     def all(self) -> DataFrame:
         """Rows of all rounds, with ``round``."""
         full = StructType(self.schema.fields + [StructField("round", IntegerType())])
