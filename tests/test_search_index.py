@@ -69,3 +69,16 @@ def test_a_query_reads_its_terms_only(spark, tmp_path):
     SX.add(spark.createDataFrame(_documents(3, 0, 50), "doc long, body string"), "doc", "body", path)
     plan = SX._matches(spark, path, ["drift", "42"])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term, [42,drift])]" in plan
+
+
+def test_postings_are_grouped_where_the_document_is_read(spark, monkeypatch):
+    """No shuffle before the postings are ranged; documents in parts of any size, null and repeated ids, no terms at all."""
+    rng, words = random.Random(4), ["b", "a", "été", "a1", "the"]
+    rows = [(rng.choice([None, 7, k]), [rng.choice(words) for _ in range(rng.choice([0, 1, 30]))]) for k in range(80)]
+    want = sorted((t, str(i), x.count(t), len(x), [p for p, y in enumerate(x) if y == t]) for i, x in rows for t in set(x))
+    base = spark.createDataFrame(rows, "id long, terms array<string>").coalesce(1)
+    for part in (1, 50, 1 << 20):
+        monkeypatch.setattr(SX, "PART", part)
+        made = SX.postings(base)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.term, str(r.id), r.tf, r.length, r.positions) for r in made.collect()) == want

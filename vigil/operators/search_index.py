@@ -2,8 +2,8 @@
 
 ``add`` indexes a batch of documents as a segment of its own: postings (term, id, tf, length, positions) ranged and
 sorted by term, so a query reads the row groups of its terms only, and the segment's statistics.  Earlier segments
-are not touched.  Postings are counted per (term, document) before they are ranged, so a term that every
-document holds is spread by document and, in the files, by ranges of (term, document).
+are not touched.  Postings are grouped per (term, document) where the document is read and cross the network once, to be
+ranged, so a term that every document holds is spread by ranges of (term, document).
 
 ``search`` scores the postings of the query's terms: document frequencies and the mean length are those of the whole
 index; the k best come from per-partition top-k.  A query term that no document holds is replaced by the closest
@@ -16,6 +16,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 K1, B = 1.2, 0.75
 MAX_TYPOS = 2
@@ -33,14 +34,60 @@ def trigrams(term: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
 
 
+PART = 1 << 20  # terms of documents that are grouped at once
+
+
+def _grouping():
+    """Rows of (id, terms) in, postings out: of each document one row per term, equal terms side by side.
+
+    A closure, so that it travels to the executors by value and they need no copy of this package.
+    """
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+            total, lo = np.concatenate([[0], np.cumsum(sizes)]), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PART, "right")) - 1)
+                here, length, lo = batch.slice(lo, hi - lo), sizes[lo:hi], hi
+                flat = here.column("terms").flatten()
+                if not len(flat):
+                    continue
+                coded = flat.dictionary_encode()
+                words, code = coded.dictionary, coded.indices.to_numpy()
+                rank = np.empty(len(words), np.int64)
+                rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
+                order = np.argsort(rank[code], kind="stable")  # equal terms stay by document and position
+                document = np.repeat(np.arange(len(length)), length)
+                position = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+                code, document, position = code[order], document[order], position[order]
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(document) != 0)]))
+                bounds = np.append(first, len(flat))
+                yield pa.RecordBatch.from_arrays(
+                    [words.take(pa.array(code[first])), here.column("id").take(pa.array(document[first])), pa.array(np.diff(bounds).astype(np.int32)),
+                     pa.array(length[document[first]].astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(position.astype(np.int32)))],
+                    names=["term", "id", "tf", "length", "positions"])
+
+    return run
+
+
+def postings(base: DataFrame) -> DataFrame:
+    """(term, id, tf, length, positions) per term of each (id, terms) row; a document's terms are at one place, so nothing is shuffled."""
+    schema = StructType([StructField("term", StringType()), base.schema["id"], StructField("tf", IntegerType()), StructField("length", IntegerType()),
+                         StructField("positions", ArrayType(IntegerType()))])
+    return base.select("id", "terms").mapInArrow(_grouping(), schema)
+
+
 def add(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
     """Index ``docs`` as a new segment under ``path``.  Ids are taken as they are: a document is one row."""
     spark, segment = docs.sparkSession, uuid.uuid4().hex
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), terms_of(F.col(f"`{text_col}`")).alias("terms")).withColumn("doc", F.monotonically_increasing_id())
-    tokens = base.select("id", "doc", F.size("terms").alias("length"), F.posexplode("terms").alias("position", "term"))
-    postings = tokens.groupBy("term", "doc", "id", "length").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    (postings.select("term", "id", F.size("positions").alias("tf"), "length", "positions")
-     .repartitionByRange("term", F.xxhash64("id")).sortWithinPartitions("term").write.parquet(f"{path}/postings/segment={segment}"))
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), terms_of(F.col(f"`{text_col}`")).alias("terms"))
+    (postings(base).repartitionByRange("term", F.xxhash64("id")).sortWithinPartitions("term")
+     .write.parquet(f"{path}/postings/segment={segment}"))
     held = spark.read.parquet(f"{path}/postings/segment={segment}")
     terms = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     (terms.select(F.explode(trigrams(F.col("term"))).alias("gram"), "term", "df")
