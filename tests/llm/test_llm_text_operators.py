@@ -243,6 +243,22 @@ def test_long_lines_and_large_groups(spark):
         assert sum(rows[k] for k in range(50, len(texts))) >= 0.97 * 177
 
 
+def test_a_large_component_is_parted_without_pairs_of_chunks(spark):
+    """Rows to verify stay in proportion to lines and edges, and the two ends of every edge share a group."""
+    n, chunk = 600, 16
+    edges = {(k, m) for k in range(0, n, 3) for m in (k + 1, k + 2, k + 3)}  # one long chain of small groups
+    small = [(10_000, 10_001), (10_000, 10_002)]
+    near = [(0, k) for k in range(n + 1)] + [(10_000, w) for w in (10_000, 10_001, 10_002)]
+    made = lines._groups(spark.createDataFrame(near, "component long, who long"),
+                         spark.createDataFrame([*edges, *small], "a long, b long"), chunk).collect()
+    groups = {}
+    for r in made:
+        groups.setdefault(r.component, []).append(r.who)
+    assert all(len(set(g)) == len(g) <= chunk for g in groups.values()) and sorted(groups[10_000]) == [10_000, 10_001, 10_002]
+    assert len(made) <= 2 * len(edges) + 3 and {r.who for r in made} == {w for _, w in near}
+    assert all({a, b} <= set(groups[a]) for a, b in edges)
+
+
 def _brute_links(texts, seeds):
     """All links of the seed lines by edit similarity; only exact bounds (length, letter counts) leave a check out."""
     counts = np.array([[t.count(c) for c in " abcdefghijklmnopqrstuvwxyz0"] + [len(t)] for t in texts])
