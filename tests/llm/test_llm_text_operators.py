@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -243,6 +244,70 @@ def test_long_lines_and_large_groups(spark):
         assert sum(rows[k] for k in range(50, len(texts))) >= 0.97 * 177
 
 
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_unrelated_short_lines_of_one_vocabulary_do_not_hang_together():
+    """Links of one group of lines that met: all that are similar, no chains of others, as their number would outgrow the table."""
+    rng = random.Random(21)
+    syllables = ["th", "in", "er", "an", "re", "on", "tion", "ä"]
+    texts = {" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(7)) for _ in range(350)}
+    texts |= {t[:-1] + "x" for t in sorted(texts)[:60]}
+    texts = sorted({t for t in texts if len(t) < lines.PATTERN}, key=lambda t: (len(t), t))
+    size = np.array([len(t) for t in texts], np.int64)
+    made = [pa.array(x.view(np.int64)) for x in lines._sketched(texts, size)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(len(texts), np.int64)), pa.array(np.arange(len(texts))), pa.array(size.astype(np.int32)), *made, lines._spelled(texts, size)],
+        names=["component", "who", *lines._SKETCH_COLUMNS, "spelled"])
+    want = np.array(groups_of(len(texts), lambda i, j: lines.similar(texts[i], texts[j])))
+    small = lines.SMALL
+    for lines.SMALL in (small, 4):  # step by step, breadth-first
+        try:
+            found = [(a, b) for r in lines._refine([batch]) for a, b in zip(r["a"].to_pylist(), r["b"].to_pylist())]
+        finally:
+            lines.SMALL = small
+        assert all(want[a] == want[b] for a, b in found)
+        assert len(found) >= 0.9 * (len(texts) - len(set(want))) >= 30
+
+
+def test_edit_distances_of_many_short_pairs_at_once():
+    rng, pairs = random.Random(22), []
+    for _ in range(400):
+        a = "".join(rng.choice("abé日") for _ in range(rng.randint(1, 64)))
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randint(0, len(b))
+            b[at:at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "c"])
+        b = "".join(b)[:80] or "a"
+        pairs += sorted([a, b], key=len) if min(len(a), len(b)) <= 64 else []
+    size = np.array([len(t) for t in pairs], np.int64)
+    i = np.arange(0, len(pairs), 2)
+    got = lines._Spelling(lines._spelled(pairs, size))._distance(size, i, i + 1)
+    assert got.tolist() == [_edit_distance(pairs[k], pairs[k + 1]) for k in i]
+
+
+def test_aligned_words_never_promise_too_few_edits():
+    rng, proven = random.Random(23), 0
+    for _ in range(600):
+        a = [rng.choice(["ab", "c", "the", "of", "", "xyz"]) for _ in range(rng.randint(1, 12))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(0, len(b))
+            b[at:at + rng.randint(0, 2)] = rng.choice([[], ["q"], ["of"], ["the", "c"]])
+        a, b = " ".join(a), " ".join(b)
+        least = next(n for n in range(200) if lines.aligned(a, b, n))
+        assert least >= _edit_distance(a, b) and lines.aligned(a, b, 200)
+        proven += least == _edit_distance(a, b)
+    assert proven > 100
+
+
 def test_a_large_component_is_parted_without_pairs_of_chunks(spark):
     """Rows to verify stay in proportion to lines and edges, and the two ends of every edge share a group."""
     n, chunk = 600, 16
