@@ -254,6 +254,56 @@ def _edit_distance(a, b):
     return row[-1]
 
 
+def test_unrelated_long_lines_of_one_vocabulary_do_not_meet():
+    """Lines that meet in a key are compared by their sketches there: a copy with a changed word meets, unrelated lines do not."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7))) for _ in range(150)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(14, 40))) for _ in range(6000)]
+    texts[1] = texts[0].rsplit(" ", 1)[0] + " unheardof"
+    batch = pa.RecordBatch.from_pydict({"__id": list(range(60)), "__text": ["\n".join(texts[100 * k: 100 * k + 100]) for k in range(60)]})
+    marked = list(lines._mark([])([batch]))
+    h1 = np.array([x["h1"] for row in marked[0].column("__lines").to_pylist() for x in row], np.int64)
+    who = lines._who(h1).tolist()
+    met = set()
+    for deal in lines._DEALS:
+        dealt = pa.Table.from_batches(lines._dealt(*deal)(iter(marked)))
+        assert dealt.num_rows < 5000  # rows of a bucket travel together: 6000 lines have some 100,000 keys
+        for r in lines._meet(dealt.sort_by("bucket").to_batches(max_chunksize=100)):
+            met |= set(zip(r["component"].to_pylist(), r["who"].to_pylist()))
+    groups = {}
+    for component, line in met:
+        groups.setdefault(component, set()).add(line)
+    assert {who[0], who[1]} in groups.values()
+    assert len(met) < 600, "unrelated lines meet"
+
+
+def test_won_bits_against_plain_counts():
+    rng = np.random.default_rng(3)
+    for most in (5, 129, 700):
+        size = rng.integers(1, most, 30)
+        first = np.concatenate([[0], np.cumsum(size)])
+        feature, salts = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (int(first[-1]), 3))
+        got = lines.margins(feature, first, salts)
+        bits = np.stack([(lines.C.mix64(feature ^ x)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) for x in salts], axis=1)
+        bits = 2 * bits.reshape(len(feature), -1).astype(np.int64) - 1
+        assert (got == np.stack([bits[a:b].sum(axis=0) for a, b in zip(first, first[1:])])).all()
+
+
+def test_distances_of_many_pairs_at_once():
+    rng = random.Random(5)
+    pairs = [("", ""), ("", "a"), ("a", "")]
+    for _ in range(900):
+        letters = rng.choice(["ab", "abcdefghij ", "äöü漢字かなabc 🙂"])
+        a = [rng.choice(letters) for _ in range(rng.choice([1, 2, 10, 63, 64, 65, 128, 129, 300]) + rng.randint(0, 3))]
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // 3))):
+            b[(k := rng.randrange(len(b) + 1)): k + rng.randint(0, 1)] = rng.choice(letters) * rng.randint(0, 1)
+        pairs.append(("".join(a), "".join(b)))
+    want = [lines.similar(a, b) for a, b in pairs]
+    assert lines.similar_pairs(pairs).tolist() == want and 100 < sum(want) < 850
+    assert lines.similar_pairs([]).tolist() == []
+
+
 def test_unrelated_short_lines_of_one_vocabulary_do_not_hang_together():
     """Links of one group of lines that met: all that are similar, no chains of others, as their number would outgrow the table."""
     rng = random.Random(21)
