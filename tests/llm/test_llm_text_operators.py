@@ -304,6 +304,52 @@ def test_distances_of_many_pairs_at_once():
     assert lines.similar_pairs([]).tolist() == []
 
 
+def test_pairs_within_their_distance_near_the_diagonal():
+    """Only words near the diagonal are computed and unlike pairs are left early: the answer is that of the whole distance."""
+    rng, pairs = random.Random(31), []
+    for n in (20, 64, 130, 400):
+        for share in (0, 0.1, 0.25, 0.45, 0.7, 0.9, 2):
+            for letters in ("ab", "etaoin shr", "日本語 ñé🙂"):
+                a = [rng.choice(letters) for _ in range(n + rng.randint(0, 9))]
+                b = [rng.choice(letters) for _ in a] if share > 1 else list(a)
+                for _ in range(int(share * n) if share < 1 else 0):
+                    b[(k := rng.randrange(len(b) + 1)): k + rng.randint(0, 1)] = rng.choice(letters) * rng.randint(0, 1)
+                pairs.append(tuple(sorted(("".join(a), "".join(b) or "a"), key=len)))
+    size = np.array([(len(a), len(b)) for a, b in pairs])
+    allowed = (0.2 * size[:, 1] + 1e-9).astype(int)
+    on = np.flatnonzero(size[:, 1] - size[:, 0] <= allowed)
+    want = [_edit_distance(*pairs[k]) <= allowed[k] for k in on]
+    assert lines._within([pairs[k] for k in on], size[on], allowed[on]).tolist() == want and 20 < sum(want) < len(want) - 12
+
+
+def test_distances_of_many_groups_are_found_together(monkeypatch):
+    """Lines that are alike are linked by their words; the distances of all groups' other pairs take a few rounds, not some for each row."""
+    rng, rows = random.Random(32), []
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    for group in range(6):
+        base = [rng.choice(words) for _ in range(30)]
+        for k in range(lines.FEW_LINES + 6 if group % 2 else 9):
+            text = [rng.choice(words) if rng.random() < rng.choice([0.02, 0.3]) else w for w in base]
+            rows.append((group, " ".join(text)))
+    rows = sorted(set(rows), key=lambda r: (r[0], len(r[1]), r[1]))
+    texts, size = [t for _, t in rows], np.array([len(t) for _, t in rows], np.int64)
+    made = [pa.array(x.view(np.int64)) for x in lines._sketched(texts, size)]
+    zeros = pa.array(np.zeros(len(rows), np.int32))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.array([g for g, _ in rows])), zeros, zeros, zeros, pa.array(size.astype(np.int32)), *made[:4], pa.array(np.arange(len(rows))), pa.array(texts)],
+        names=["component", "i", "j", "part", *lines._SKETCH_COLUMNS, "line", "text"])
+    calls, similar_pairs = [], lines.similar_pairs
+    monkeypatch.setattr(lines, "similar_pairs", lambda pairs, *a: calls.append(len(pairs)) or similar_pairs(pairs, *a))
+    found = [(a, b) for r in lines._verify([batch]) for a, b in zip(r["a"].to_pylist(), r["b"].to_pylist())]
+    sketch = np.stack([x.to_numpy().view(np.uint64) for x in made])
+    want = groups_of(len(rows), lambda i, j: rows[i][0] == rows[j][0] and lines.similar(texts[i], texts[j])
+                     and bool(lines._close(size[[i]], sketch[:, [i]], size[[j]], sketch[:, [j]])[0]))
+    have = np.arange(len(rows))
+    lines.C.merge_labels(have, *np.array(found).T)
+    assert len(set(zip(want, have.tolist()))) == len(set(want)) == len(set(have.tolist())) < len(rows)
+    assert 0 < len(calls) <= 3
+
+
 def test_unrelated_short_lines_of_one_vocabulary_do_not_hang_together():
     """Links of one group of lines that met: all that are similar, no chains of others, as their number would outgrow the table."""
     rng = random.Random(21)
