@@ -350,6 +350,27 @@ def test_distances_of_many_groups_are_found_together(monkeypatch):
     assert 0 < len(calls) <= 3
 
 
+def test_large_keys_give_the_groups_of_small_ones(monkeypatch):
+    """Breadth-first search through a key finds the groups that the comparison of all its pairs does."""
+    rng = np.random.default_rng(33)
+    centres = rng.integers(0, 2**63, (60, 2), dtype=np.uint64)
+    rows = np.zeros(900, lines._KEY)
+    of = rng.integers(0, 60, 900)
+    for c, column in enumerate("ab"):
+        rows[column] = centres[of, c]
+        for _ in range(11):
+            rows[column] ^= np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64)
+    step, key = rng.integers(40, 52, 900).astype(np.uint64), rng.integers(0, 3, 900).astype(np.uint64)
+    rows["code"] = (key << np.uint64(lines._NAME + 8)) | (step << np.uint64(lines._NAME)) | np.arange(900, dtype=np.uint64)
+    for bucket in ((2 * lines.BLOCKS) << 8, (3 * lines.BLOCKS) << 8):
+        batch = pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), lines._binaries(rows, np.array([900]))], names=["bucket", "rows"])
+        found = []
+        for small in (2048, 4):
+            monkeypatch.setattr(lines, "SMALL", small)
+            found.append(sorted((c, w) for r in lines._meet([batch]) for c, w in zip(r["component"].to_pylist(), r["who"].to_pylist())))
+        assert found[0] == found[1] and len({c for c, _ in found[0]}) > 20
+
+
 def test_unrelated_short_lines_of_one_vocabulary_do_not_hang_together():
     """Links of one group of lines that met: all that are similar, no chains of others, as their number would outgrow the table."""
     rng = random.Random(21)
